@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import media, urlfilter, warc
-from quillgraph.llm.common import scratch, ship, table
+from quillgraph.llm import langid, media, quality, toxicity, urlfilter, warc
+from quillgraph.llm.common import held_out, scratch, ship, table
 
 #: The rules of op5: host, path, action.
 URL_RULES = [
@@ -20,6 +20,32 @@ URL_RULES = [
 ]
 
 
+#: Documents at or above this score are predicted toxic, or good.
+TOXIC_AT, GOOD_AT = 0.5, 0.3
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """(text, label) of the labelled documents that may be learned from."""
+    known = table(spark, sf_dir, "labels").select("doc_id", label).where(F.col(label).isNotNull() & ~held_out(5, 0))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(known, "doc_id").select("text", label)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    model = toxicity.fit(labelled(spark, sf_dir, "toxic"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(5, 0).alias("held_out"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), F.size("segments").alias("segments"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    model = quality.fit(labelled(spark, sf_dir, "quality"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(5, 0).alias("held_out"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= GOOD_AT).cast("int").alias("predicted"), "gain")
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,6 +64,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(3, 1).alias("held_out"))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     to = scratch(spark, "warc")
@@ -54,8 +87,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_quality": op2_quality,
         "op3_media": op3_media,
         "op5_url_filter": op5_url_filter,
+        "op9_langid": op9_langid,
         "op10_warc": op10_warc,
     }
 
