@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import langid, media, quality, toxicity, urlfilter, warc
+from quillgraph.llm import bpe, langid, media, packing, quality, toxicity, urlfilter, warc
 from quillgraph.llm.common import held_out, scratch, ship, table
 
 #: The rules of op5: host, path, action.
@@ -20,10 +20,19 @@ URL_RULES = [
 ]
 
 
+#: Vocabulary files of the installed tokenizers, and the id that ends a packed document.
+BYTE_BPE, WORD_BPE, END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 1
 #: Documents at or above this score are predicted toxic, or good.
 TOXIC_AT, GOOD_AT = 0.5, 0.3
 
 
+def vocabulary(name: str) -> str:
+    """The path of a vocabulary file, the same on every worker."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """(text, label) of the labelled documents that may be learned from."""
     known = table(spark, sf_dir, "labels").select("doc_id", label).where(F.col(label).isNotNull() & ~held_out(5, 0))
@@ -64,6 +73,24 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    path = vocabulary(BYTE_BPE)
+    read = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return read.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.tokenize(docs, vocabulary(WORD_BPE), END_ID), keep_ids=False)
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(3, 1).alias("held_out"))
@@ -91,6 +118,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_media": op3_media,
         "op5_url_filter": op5_url_filter,
+        "op6_bpe": op6_bpe,
+        "op8_packing": op8_packing,
         "op9_langid": op9_langid,
         "op10_warc": op10_warc,
     }
