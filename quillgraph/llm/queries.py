@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, langid, media, packing, quality, toxicity, urlfilter, warc
+from quillgraph.llm import bpe, langid, media, minhash, packing, quality, topk, toxicity, urlfilter, warc
 from quillgraph.llm.common import held_out, scratch, ship, table
 
 #: The rules of op5: host, path, action.
@@ -67,6 +67,12 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised("embedding").alias("q"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     judged = urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -85,6 +91,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -117,8 +128,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_quality": op2_quality,
         "op3_media": op3_media,
+        "op4_topk": op4_topk,
         "op5_url_filter": op5_url_filter,
         "op6_bpe": op6_bpe,
+        "op7_minhash": op7_minhash,
         "op8_packing": op8_packing,
         "op9_langid": op9_langid,
         "op10_warc": op10_warc,
@@ -128,6 +141,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
     return {
+        "op4_topk": """
+            WITH parts AS (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            scored AS (
+                SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+                       CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+                FROM parts a JOIN parts b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+            ranked AS (
+                SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+            SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+        """,
         "op5_url_filter": f"""
             WITH rules(rh, rp, action) AS (VALUES {rules}),
             cut AS (
