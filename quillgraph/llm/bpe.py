@@ -3,11 +3,10 @@
 ``encode`` turns a text column into packed token ids (little-endian unsigned 32-bit),
 ``decode`` turns packed ids back into text by concatenating vocabulary strings.
 
-A text is cut at single spaces between other characters, which no pre-token crosses;
-each chunk is pre-tokenized by the vocabulary's pattern and each pre-token merged: the
-pair of least rank (leftmost first) is popped, entries whose symbols have changed since
-are skipped, and a merge links the symbol out and pushes its new neighbours.  Chunks and
-pre-tokens that a worker has seen are kept, up to ``KEPT`` of each.
+A text is cut by the vocabulary's pattern and each pre-token merged: the pair of least
+rank (leftmost first) is popped, entries whose symbols have changed since are skipped,
+and a merge links the symbol out and pushes its new neighbours.  A worker remembers
+about ``KEPT`` pre-tokens.
 
 Defined results: null text counts as empty and gives no ids; the strings of added tokens
 become those tokens, as in the library; decoding drops ids outside the vocabulary and
@@ -19,25 +18,25 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Chunks and pre-tokens that a worker remembers, each.
-KEPT = 300_000
-#: The pattern of byte-level vocabularies.  Fixed value of the format.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Below it, this pattern and the library agree on every character; others are cut by the library.
-AGREED = "԰"
-_TWO_SPACES = re.compile(r"\s\s")
-_SINGLE = re.compile(r"(?<=\S) (?=\S)")
+from quillgraph.llm.common import LETTERS, NUMBERS, Kept
+
+#: Pre-tokens that a worker remembers between two clearances (about 60 MB).
+KEPT = 400_000
+#: The pattern of byte-level vocabularies (fixed value of the format), spelt out for characters below U+0250.
+PATTERN = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+#: Texts with other characters, or four that Python takes for white space and the library does not, are cut by the library.
+OTHER = re.compile("[^\x00-\x1b\x20-\u024f]").search
 
 
 def byte_symbols() -> dict[int, str]:
@@ -59,31 +58,31 @@ class Bpe:
         bytes_of = {c: b for b, c in symbols.items()}
         self.path = path
         self.symbol = [vocab[symbols[b]] for b in range(256)]
-        self.pairs: dict[int, tuple[int, int]] = {}
-        for rank, merge in enumerate(spec["model"]["merges"]):
-            a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.pairs[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        self.ranks = {a << 32 | b: rank << 32 for rank, (a, b, _) in enumerate(self.rules)}
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.added = added
         self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         words = {i: bytes(bytes_of[c] for c in w) for w, i in vocab.items()} | {i: w.encode() for w, i in added.items()}
         self.words = pa.array([words.get(i, b"") for i in range(max(words) + 1)], pa.binary())
-        self.pieces: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.pieces = Kept(lambda piece: array("I", self.merge(piece.encode())).tobytes(), KEPT)
         self._library = None
 
     def merge(self, data: bytes) -> list[int]:
         """Token ids of one pre-token."""
         own = [self.symbol[b] for b in data]
-        n, pairs = len(own), self.pairs
-        heap = [(*hit, i, own[i], own[i + 1]) for i in range(n - 1) if (hit := pairs.get(own[i] << 32 | own[i + 1]))]
+        n, ranks, rules = len(own), self.ranks, self.rules
+        # an entry is a merge's rank and the place of its left symbol
+        heap = [hit | i for i in range(n - 1) if (hit := ranks.get(own[i] << 32 | own[i + 1])) is not None]
         if not heap:
             return own
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            _, new, i, a, b = heappop(heap)
+            entry = heappop(heap)
+            i = entry & 0xFFFFFFFF
+            a, b, new = rules[entry >> 32]
             j = after[i]
             if own[i] != a or j >= n or own[j] != b:
                 continue  # a stale entry: one of its symbols was merged away
@@ -91,15 +90,15 @@ class Bpe:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if hit := pairs.get(new << 32 | own[k]):
-                    heappush(heap, (*hit, i, new, own[k]))
+                if (hit := ranks.get(new << 32 | own[k])) is not None:
+                    heappush(heap, hit | i)
             h = before[i]
-            if h >= 0 and (hit := pairs.get(own[h] << 32 | new)):
-                heappush(heap, (*hit, h, own[h], new))
+            if h >= 0 and (hit := ranks.get(own[h] << 32 | new)) is not None:
+                heappush(heap, hit | h)
         return [x for x in own if x >= 0]
 
     def pre_tokens(self, text: str) -> list[str]:
-        if max(text) < AGREED:
+        if not OTHER(text):
             return PATTERN.findall(text)
         if self._library is None:
             from tokenizers import Tokenizer
@@ -107,45 +106,16 @@ class Bpe:
             self._library = Tokenizer.from_file(self.path).pre_tokenizer
         return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
 
-    def chunk(self, text: str) -> bytes:
-        """Packed ids of a chunk."""
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a text."""
         out = []
         for part in self.cut.split(text) if self.cut else (text,):
             if part in self.added:
                 out.append(self.added[part].to_bytes(4, "little"))
             elif part:
-                for piece in self.pre_tokens(part):
-                    packed = self.pieces.get(piece)
-                    if packed is None:
-                        if len(self.pieces) >= KEPT:
-                            self.pieces.clear()
-                        packed = np.array(self.merge(piece.encode()), "<u4").tobytes()
-                        if len(piece) < 100:
-                            self.pieces[piece] = packed
-                    out.append(packed)
+                out += map(self.pieces.__getitem__, self.pre_tokens(part))
         return b"".join(out)
 
-    def encode(self, text: str) -> bytes:
-        """Packed ids of a text."""
-        parts = _SINGLE.split(text) if _TWO_SPACES.search(text) else text.split(" ")
-        head, rest = parts[0], parts[1:]
-        got = [self.first.get(head) or self._learn(self.first, head, head)]
-        spaced = self.spaced
-        try:
-            got += map(spaced.__getitem__, rest)
-        except KeyError:
-            del got[1:]
-            got += [spaced.get(p) or self._learn(spaced, p, " " + p) for p in rest]
-        return b"".join(got)
-
-    def _learn(self, kept: dict[str, bytes], key: str, text: str) -> bytes:
-        packed = self.chunk(text) if text else b""
-        if len(kept) >= KEPT:
-            kept.clear()
-        if len(key) < 200:
-            kept[key] = packed
-        return packed
-
     def decode(self, packed: bytes) -> str:
         ids = np.frombuffer(packed, "<u4")
         return b"".join(self.words.take(pa.array(ids[ids < len(self.words)])).to_pylist()).decode("utf-8", "replace")

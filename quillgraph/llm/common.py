@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import unicodedata
 import uuid
 import zipfile
 from pathlib import Path
@@ -11,8 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch for operators that hold whole texts in Python.
-BATCH_ROWS = 1000
+#: Rows of one Arrow batch: operators hold whole texts, so few rows bound their memory.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +43,9 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python once per application."""
+    """Send this package to the executors' Python once per application, and keep Arrow batches small."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_quillgraph_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -55,6 +57,40 @@ def ship(spark: SparkSession) -> None:
     sc._quillgraph_shipped = True
 
 
+class Kept(dict):
+    """Remembers what ``make`` gives for short keys: the latest ``most``, and those before them until the next clearance."""
+
+    def __init__(self, make, most: int, longest: int = 100):
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+def latin(member) -> str:
+    """The characters below U+0250 for which ``member`` holds, as ranges of a regular expression's class."""
+    ranges: list[list[int]] = []
+    for c in (c for c in range(0x250) if member(chr(c))):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges)
+
+
+#: Letters and numbers below U+0250, where all Unicode versions since 5 agree.
+LETTERS = latin(lambda c: unicodedata.category(c)[0] == "L")
+NUMBERS = latin(lambda c: unicodedata.category(c)[0] == "N")
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of an id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
@@ -67,3 +103,16 @@ def held_out(modulus: int, remainder: int, col: str = "doc_id") -> Column:
 def text_of(col: str = "text") -> Column:
     """Null text counts as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """(text, label) of about ``per_class`` documents of each label 0 and 1, stored, and how many labels there are of each.
+
+    Labels are sampled before the join, so what is sent to the executors is at most
+    about ``2 * per_class`` ids and labels, and the texts are not shuffled.
+    """
+    known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and __key is not null")
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    drawn = known.sampleBy("label", {k: min(1.0, per_class / v) for k, v in sizes.items()}, seed)
+    rows = docs.select(F.col(key).alias("__id"), text_of(text).alias("text"))
+    return stored(rows.join(F.broadcast(drawn), F.col("__id") == F.col("__key")).select("text", "label"), "sample"), sizes
