@@ -32,8 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a quality score of at least 0.3."""
     ship(spark)
-    known = table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null")
-    model = quality.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs.drop("score", "gain"), model)
     return scored.where(F.col("score") >= GOOD_AT).select(*docs.columns)
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.llm.calibrate import fit_logistic, logistic
+from quillgraph.llm.common import labelled_sample
 
 #: Labelled documents of each class for the dictionaries, and as many for the curve, about.
 PER_CLASS = 3000
@@ -64,14 +65,13 @@ def features(pair: tuple, text: str) -> tuple[float, float, float]:
     return ((b - g) / (b + g), least, min((g + b) / (2 * n), 1.0)) if n else (0.0, 0.0, 0.0)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", per_class: int = PER_CLASS, seed: int = 13) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, seed: int = 13, key: str = "doc_id", text: str = "text") -> Model:
     """Learn from about ``2 * per_class`` documents of each label 0 and 1, half for the dictionaries and half for the curve."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and text is not null")
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    sample, sizes = labelled_sample(docs, labels, label, 2 * per_class, seed, key, text)
     if len(sizes) < 2:
         y = np.array([*sizes.keys()], float)
         return Model(b"", b"", np.r_[fit_logistic(np.zeros((len(y), 1)), y)[0], 0.0, 0.0, 0.0])
-    sample = rows.sampleBy("label", {k: min(1.0, 2 * per_class / v) for k, v in sizes.items()}, seed).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)))
+    sample = sample.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)))
     count = F.ceil(F.length("text") / BLOCK).cast("int")
     blocks = sample.where("half = 0 and text != ''").select(
         "label", F.explode(F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring(F.col("text"), k * BLOCK + 1, F.lit(BLOCK)))).alias("block")

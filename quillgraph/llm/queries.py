@@ -33,24 +33,23 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """(text, label) of the labelled documents that may be learned from."""
-    known = table(spark, sf_dir, "labels").select("doc_id", label).where(F.col(label).isNotNull() & ~held_out(5, 0))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(known, "doc_id").select("text", label)
+def open_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned from."""
+    return table(spark, sf_dir, "labels").where(~held_out(5, 0))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    model = toxicity.fit(labelled(spark, sf_dir, "toxic"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(5, 0).alias("held_out"))
+    model = toxicity.fit(docs, open_labels(spark, sf_dir))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), F.size("segments").alias("segments"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    model = quality.fit(labelled(spark, sf_dir, "quality"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(5, 0).alias("held_out"))
+    model = quality.fit(docs, open_labels(spark, sf_dir))
     scored = quality.score(docs, model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= GOOD_AT).cast("int").alias("predicted"), "gain")
 

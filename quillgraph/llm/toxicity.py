@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.llm.calibrate import fit_logistic, logistic
+from quillgraph.llm.common import labelled_sample
 
 #: Labelled documents of each class that are learned from, about.
 PER_CLASS = 8000
@@ -139,14 +140,12 @@ def solve_lambda(score: np.ndarray, share: np.ndarray, drift: float) -> float:
     return (low + high) / 2
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, seed: int = 11) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, seed: int = 11, key: str = "doc_id", text: str = "text") -> Model:
     """Learn from about ``per_class`` documents of each label 0 and 1; rows of null label teach nothing."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    sample, sizes = labelled_sample(docs, labels, label, per_class, seed, key, text)
     if len(sizes) < 2:
         y = np.array([*sizes.keys()], float)
         return Model({}, 1.0, 1.0, np.r_[fit_logistic(np.zeros((len(y), 1)), y)[0], 0.0, 0.0])
-    sample = rows.sampleBy("label", {k: min(1.0, per_class / v) for k, v in sizes.items()}, seed)
     taken = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     told = weigh(count_tokens(sample), taken.get(1, 0), taken.get(0, 0)).toPandas()
     scores = dict(zip(told["token"], told["score"].astype(float), strict=True))
