@@ -15,7 +15,10 @@ any length are packed whole; other columns do not take part.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,19 +30,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import stored
+from quillgraph.llm.common import LETTERS, NUMBERS, stored
 
 WINDOW = 2048
 #: Open windows of a partition.
 OPEN = 16
-#: Chunks that a worker remembers.
-KEPT = 300_000
+#: Words that a worker remembers between two clearances (about 80 MB).
+KEPT = 500_000
 #: Sequence numbers of merged leftovers start here; below are partition << 32 | count.
 MERGED = 1 << 61
 
 
-class Chunked:
-    """A library tokenizer; where white space only separates, chunks between it are tokenized once and remembered."""
+#: The pre-token pattern of lower-casing vocabularies with word ends.  Fixed value of the format.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same, spelt out for characters below U+0250, none of which is composed of others.
+LATIN = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+#: Other characters, and four that Python takes for white space and the library does not.
+OTHER = re.compile("[^\x00-\x1b\x20-\u024f]").search
+
+
+class Worded:
+    """A library tokenizer that is asked once for each word.
+
+    Where a vocabulary drops white space, lower-cases and cuts by ``PATTERN``, a text of
+    Latin letters is the ids of its lower-cased pre-tokens one after another.  Texts with
+    other characters, and other vocabularies, go to the library as they are.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,38 +64,51 @@ class Chunked:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        ids = lambda t: self.library.encode(t, add_special_tokens=False).ids
-        probes = ("a b", "Ab,\nc' d", "x\t y", "1 2 é")
-        self.apart = not ids(" \n") and all(ids(p) == [i for c in p.split() for i in ids(c)] for p in probes)
-        self.kept: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        spec = json.loads(self.library.to_str())
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        cut = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.worded = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and cut.get("pattern") == {"Regex": PATTERN} and cut.get("invert") is True
+        self.marks = [x["content"] for x in spec["added_tokens"]]
+        if self.worded:
+            # the same vocabulary for words that are lowered and cut already
+            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][1]}))
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str], words: bool = False) -> list[bytes]:
+        tokenizer = self.bare if words else self.library
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pre_tokens(self, text: str) -> list[str] | None:
+        """None: the library is to take the text."""
+        if not self.worded or any(m in text for m in self.marks):
+            return None
+        low = text.lower()
+        return None if OTHER(low) else LATIN.findall(low)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        # the library does not take these four for white space, though Python does
-        odd = [k for k, t in enumerate(texts) if not self.apart or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t]
-        chunks = [t.split() for t in texts]
-        for k in odd:
-            chunks[k] = []
-        kept = self.kept
-        if len(kept) >= KEPT:
-            kept.clear()
-        new = list({c for own in chunks for c in own if c not in kept})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            kept.update(zip(part, self.whole(part), strict=True))
-        out = [b"".join(map(kept.__getitem__, own)) for own in chunks]
+        parts = [self.pre_tokens(t) for t in texts]
+        if len(self.words) >= KEPT:
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
+        new = set().union(*(p for p in parts if p)).difference(words)
+        words.update({w: older[w] for w in new if w in older})
+        new.difference_update(words)
+        rest = list(new)
+        for at in range(0, len(rest), 10_000):
+            words.update(zip(rest[at : at + 10_000], self.whole(rest[at : at + 10_000], words=True), strict=True))
+        out = [b"" if p is None else b"".join(map(words.__getitem__, p)) for p in parts]
+        odd = [k for k, p in enumerate(parts) if p is None]
         for k, packed in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
             out[k] = packed
         return out
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> Chunked:
+def load(path: str) -> Worded:
     """One tokenizer for each worker process."""
-    return Chunked(path)
+    return Worded(path)
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int | None, text: str = "text", ids: str = "ids") -> DataFrame:
