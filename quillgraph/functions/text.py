@@ -169,5 +169,5 @@ def retryable(kind: Column, status: Column) -> Column:
 
 def stable_id(*parts: Column) -> Column:
     """A positive 63-bit id of a row's identity; 0 becomes 1."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(2**63).cast("decimal(20,0)")
+    h = F.conv(F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(str(2**63)).cast("decimal(20,0)")
     return F.when(h == 0, 1).otherwise(h).cast("bigint")

@@ -1,4 +1,4 @@
-"""The logical tables: fixed schemas and value domains, enforced on read."""
+"""The logical tables: fixed schemas (as DDL) and value domains, enforced on read."""
 
 from __future__ import annotations
 
@@ -7,22 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _table(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
-
-
-FILES = _table(
+FILES = (
     "workspace_id bigint, root_id bigint, file_id bigint, rel_path string, language string, size_bytes bigint, mtime_unix_ms bigint,"
     "content_hash string, structure_hash string, public_api_hash string, parse_status string, freshness_state string, deleted_at_unix_ms bigint"
 )
-SYMBOLS = _table(
+SYMBOLS = (
     "symbol_id bigint, file_id bigint, parent_symbol_id bigint, kind string, name string, qualified_name string, exported boolean,"
     "line_start int, line_end int"
 )
-EDGES = _table("kind string, from_kind string, from_id bigint, to_kind string, to_id bigint, resolution string, line int")
-CHUNKS = _table("chunk_id bigint, file_id bigint, symbol_id bigint, kind string, title string, content string, content_hash string, line_start int, line_end int")
-EMBEDDINGS = _table("chunk_id bigint, model string, dimensions int, content_hash string, vector array<float>")
-TELEMETRY = _table("kind string, timestamp string, metrics struct<durationMs:double,totalTokens:bigint,chunksEmbedded:bigint,strategy:string>")
+EDGES = "kind string, from_kind string, from_id bigint, to_kind string, to_id bigint, resolution string, line int"
+CHUNKS = "chunk_id bigint, file_id bigint, symbol_id bigint, kind string, title string, content string, content_hash string, line_start int, line_end int"
+EMBEDDINGS = "chunk_id bigint, model string, dimensions int, content_hash string, vector array<float>"
+TELEMETRY = "kind string, timestamp string, metrics struct<durationMs:double,totalTokens:bigint,chunksEmbedded:bigint,strategy:string>"
 
 # The domains that decoders accept.
 LANGUAGES = ["typescript", "tsx", "javascript", "jsx", "python", "go", "rust", "unknown"]
@@ -40,7 +36,7 @@ def decoded(rows: DataFrame, column: str, domain: list[str]) -> DataFrame:
     return rows.withColumn(column, F.when(bad, F.raise_error(told)).otherwise(F.col(column)))
 
 
-def enforced(rows: DataFrame, schema: T.StructType) -> DataFrame:
+def enforced(rows: DataFrame, schema: str) -> DataFrame:
     """``rows`` cast to ``schema``; columns that it lacks are null."""
     have = set(rows.columns)
-    return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema).fields])

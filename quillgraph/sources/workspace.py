@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,8 @@ def scan(spark: SparkSession, root: str, max_bytes: int = 1 << 20) -> DataFrame:
     Contents of files over ``max_bytes`` are null, and so are their hashes.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/") + "/"
-    path = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
-    rel = F.expr(f"substring_index(path, '{base.split(':')[-1].lstrip('/')}', -1)") if base else path
+    base = re.sub(r"^[a-z]+:/*(?=/)", "", root).strip("/") + "/"
+    rel = F.substring_index("path", base, -1)
     rows = raw.withColumn("rel_path", rel).withColumn("language", scanned_language(F.col("rel_path"))).where("language is not null")
     small = F.col("length") <= max_bytes
     return rows.select(
