@@ -7,7 +7,7 @@ import numpy as np
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 50) -> np.ndarray:
     """Weights (intercept first) by Newton steps; with one class only, the intercept alone says so."""
-    x = np.column_stack([np.ones(len(x)), x.reshape(len(x), -1)])
+    x = np.column_stack([np.ones(len(x)), x if x.ndim > 1 else x[:, None]])
     w = np.zeros(x.shape[1])
     if len(y) == 0:
         return w
@@ -25,5 +25,5 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int =
 
 
 def logistic(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    x = x.reshape(len(x), -1)
+    x = x if x.ndim > 1 else x[:, None]
     return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))

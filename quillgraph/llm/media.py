@@ -126,7 +126,7 @@ FEATURES = T.StructType(
 
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` without the media column, with what its stored bytes give; a null media has null features."""
-    kept = [c for c in df.columns if c not in (media, *FEATURES.names)]
+    kept = [c for c in df.columns if c.lower() not in (media.lower(), *FEATURES.names)]
     rows = df.select(*[F.col(f"`{c}`") for c in kept], media)
     schema = T.StructType([*rows.drop(media).schema.fields, *FEATURES.fields])
 

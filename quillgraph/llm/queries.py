@@ -111,7 +111,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     to = scratch(spark, "warc")
-    warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), to)
+    warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages"), files=True), to)
     read = warc.read_archives(spark, to, payloads=False).where(F.col("error").isNull())
     return read.select(
         warc.page_of("record_id").alias("page_id"),

@@ -89,13 +89,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
             F.max_by(
                 F.struct("rule", "action"),
                 F.struct(F.length("rule"), (F.col("action") == "block"), F.transform(F.split("rule", ""), lambda c: -F.ascii(c))),
-            ).alias("won")
+            ).alias("__won")
         )
     )
     return rows.join(hits, ["host", "path"], "left").select(
         *[F.col(f"`{c}`") for c in kept],
         "host",
         "path",
-        F.col("won.rule").alias("rule"),
-        F.coalesce("won.action", F.lit(default)).alias("verdict"),
+        F.col("__won.rule").alias("rule"),
+        F.coalesce("__won.action", F.lit(default)).alias("verdict"),
     )

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.llm.common import stored
+
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records of one archive file at most: with usual pages about 16 MB.
@@ -51,8 +53,14 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*groups)
 
 
-def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, row_type, refers_to) a row; payloads under ``min_bytes`` are all responses."""
+def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, files: bool = False) -> DataFrame:
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) a row; payloads under ``min_bytes`` are all responses.
+
+    Rows are told apart by their place, which only holds for rows read from files; others
+    (``files`` false) are written to the shared folder first.
+    """
+    if not files:
+        pages = stored(pages.select(key, url, payload), "pages")
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"),
