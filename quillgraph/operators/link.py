@@ -104,3 +104,18 @@ def relink(edges: DataFrame, symbols: DataFrame, imported: DataFrame) -> DataFra
     again = edges.where("status != 'resolved'").select(F.col("edge_id").alias("use_id"), "file_id", F.get_json_object("payload_json", "$.name").alias("name"))
     found = resolve_names(again, symbols, imported)
     return keep.select("edge_id", "file_id", "symbol_id", "status").unionByName(found.select(F.col("use_id").alias("edge_id"), "file_id", "symbol_id", "status"))
+
+
+def inherited_aliases(configs: DataFrame, depth: int = 8) -> DataFrame:
+    """(config, pattern, target): aliases of each configuration and of those that it extends; the nearest wins.
+
+    ``configs`` has (config, extends, pattern, target), one row an alias.
+    """
+    chain = configs.select("config", F.col("config").alias("at"), "extends").distinct().withColumn("far", F.lit(0))
+    above = configs.select(F.col("config").alias("next"), F.col("extends").alias("beyond")).distinct()
+    step = chain
+    for far in range(1, depth + 1):
+        step = step.where("extends is not null").join(above, F.col("extends") == F.col("next")).select("config", F.col("next").alias("at"), F.col("beyond").alias("extends"), F.lit(far).alias("far"))
+        chain = chain.unionByName(step)
+    own = configs.select(F.col("config").alias("at"), "pattern", "target").where("pattern is not null")
+    return chain.join(own, "at").groupBy("config", "pattern").agg(F.min_by("target", "far").alias("target"))

@@ -92,3 +92,8 @@ def valid_steps(history: DataFrame, stages: list[str]) -> DataFrame:
     before = F.lag(place).over(Window.partitionBy("session_id").orderBy("seq"))
     ok = F.when(before.isNull(), place == 1).otherwise((place == before + 1) & F.lag("gate").over(Window.partitionBy("session_id").orderBy("seq")).isin("pass", "waived"))
     return history.withColumn("valid", ok)
+
+
+def combined_diffs(rows: DataFrame, by: str = "session_id") -> DataFrame:
+    """Different paths and summed lines of each session's diffs (path, additions, deletions)."""
+    return rows.groupBy(by).agg(F.count_distinct("path").alias("files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
