@@ -18,8 +18,8 @@ from quillgraph.llm import langid, minhash, packing, quality
 from quillgraph.llm.common import ship, stored, table
 from quillgraph.llm.queries import END_ID, GOOD_AT, WORD_BPE, vocabulary
 
-#: A text that costs more bits a byte than this under its best language is in none of them.
-FOREIGN_BITS = 6.0
+#: A text that costs more bits a byte than this under its best language is in none of them (bytes at random cost 8).
+FOREIGN_BITS = 9.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

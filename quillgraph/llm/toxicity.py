@@ -3,7 +3,8 @@
 Learning counts, over a bounded sample of labelled documents, in how many toxic and
 clean documents each token occurs.  A token's score is its log-odds under a Dirichlet
 prior in proportion to all documents, kept where it is ``MIN_Z`` standard deviations
-from none, and zero otherwise; every token also pays ``DRIFT``, so that chance text
+from none, and zero otherwise; the k-th time in a text it counts a k-th, since words
+repeat; every token also pays ``DRIFT``, so that chance text
 scores below zero.  One linear scan finds all maximal-scoring segments of a text.  A
 segment of score s has E-value K * tokens * exp(-lambda * s), where lambda solves
 sum p * exp(lambda * score) = 1 over clean text and K is the rate of segments there;
@@ -37,7 +38,7 @@ from quillgraph.llm.common import labelled_sample
 PER_CLASS = 8000
 #: Weight of the prior against all documents of the sample.
 PRIOR = 0.02
-MIN_Z = 2.5
+MIN_Z = 3.0
 DRIFT = 0.4
 #: E-value up to which a segment is significant.
 MAX_E = 0.05
@@ -86,7 +87,14 @@ def find(model: Model, text: str) -> tuple[int, list[tuple[int, int, float]]]:
     scores = model.scores
     if scores.keys().isdisjoint(words):
         return len(words), []
-    return len(words), segments([(i, scores[w]) for i, w in enumerate(words) if w in scores], len(words), DRIFT)
+    times: Counter[str] = Counter()
+    values = []
+    for i, w in enumerate(words):
+        s = scores.get(w)
+        if s is not None:
+            times[w] += 1
+            values.append((i, s / times[w]))
+    return len(words), segments(values, len(words), DRIFT)
 
 
 def evidence(model: Model, n: int, found: list[tuple[int, int, float]]) -> tuple[float, list[tuple[int, int, float, float]]]:
@@ -143,6 +151,7 @@ def solve_lambda(score: np.ndarray, share: np.ndarray, drift: float) -> float:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, seed: int = 11, key: str = "doc_id", text: str = "text") -> Model:
     """Learn from about ``per_class`` documents of each label 0 and 1; rows of null label teach nothing."""
     sample, sizes = labelled_sample(docs, labels, label, per_class, seed, key, text)
+    sample = sample.dropDuplicates(["text", "label"])
     if len(sizes) < 2:
         y = np.array([*sizes.keys()], float)
         return Model({}, 1.0, 1.0, np.r_[fit_logistic(np.zeros((len(y), 1)), y)[0], 0.0, 0.0])
