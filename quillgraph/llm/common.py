@@ -42,6 +42,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """``df``, which has about ``rows`` rows, in tasks of about ``each`` rows: small steps of a loop write few files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python once per application, and keep Arrow batches small."""
     sc = spark.sparkContext

@@ -10,39 +10,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import stored
+from quillgraph.llm.common import sized, stored
 
 
-def _towards_least(edges: DataFrame) -> DataFrame:
-    """(u, v, m): both directions of each edge with the least node of u's neighbourhood, u included."""
+def large_star(edges: DataFrame, rows: int) -> DataFrame:
+    """Each larger neighbour of a node points at the least node of its neighbourhood, the node included."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u")
+    near = sized(both.join(sized(least, rows), "u"), rows)
+    return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    near = _towards_least(edges)
-    return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-
-
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, rows: int) -> DataFrame:
+    """Each node and its smaller neighbours point at the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
-    out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+    least = sized(down.groupBy("u").agg(F.min("v").alias("m")), rows)
+    joined = sized(down.join(least, "u"), rows)
+    out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+    return sized(out.where("u != v").distinct(), rows)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (u, v); the component is its least node."""
-    edges, before = stored(links.where("u != v").select("u", "v").distinct(), "links"), None
+    edges, before = links.where("u != v").select("u", "v"), None
+    rows = edges.count()
     while True:
-        edges = stored(small_star(large_star(edges)), "links")
+        edges = stored(small_star(large_star(edges, rows), rows), "links")
         # a round that changes no edge has made stars of all components
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -33,7 +33,7 @@ ORDER = 3
 #: A context is kept from so many visits on, over all languages.
 MIN_VISITS = 8
 #: Bytes scored at a time.
-STEP = 1 << 20
+STEP = 1 << 18
 UNDETERMINED = "und"
 
 

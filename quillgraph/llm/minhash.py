@@ -10,10 +10,12 @@ at least ``THRESHOLD``.  Classes are the connected components of links and exact
 
 Only one text of each group of exact copies takes part.  In a bucket every text is first
 compared with the least one.  Where a bucket still holds several classes, a small one is
-compared in full across classes; a large one goes through rounds in which once, twice,
-four times, ... as many of its texts are compared with all the others and leave it, until
+compared in full across classes; a large one goes through rounds in which one, then
+``GROWTH`` times as many, of its texts are compared with all the others and leave it, until
 one class or few texts remain: no pair across classes is left out, and none inside a class
-is needed.
+is needed.  A text's shingles that no text of another class in the large buckets has cannot
+be common to a pair across classes, so texts and pairs that these alone keep below the
+threshold are passed over.
 
 Defined results: null text counts as empty; a word is a run of ASCII letters and digits
 or non-ASCII characters, in lower case; a text of fewer than ``WORDS`` words is one
@@ -31,18 +33,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import stored
+from quillgraph.llm.common import sized, stored
 from quillgraph.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 24, 5
 #: Buckets of at most so many texts are compared in full.
 SMALL = 32
+GROWTH = 4
+#: Pairs that a task verifies, about.
+PAIRS = 4_000
 #: So many texts (16 bytes each, and their ids) may be named to every executor at most.
 BROADCAST_TEXTS = 400_000
 #: Bytes of text hashed at a time.
-STEP = 2_000_000
+STEP = 400_000
 
 _U = np.uint64
 _IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -174,7 +179,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in _slices(texts, STEP // 2):
+            for a, b in _slices(texts):
                 sets = [e.view(np.int64) for e, _ in shingles(texts[a:b])]
                 flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
                 offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
@@ -185,16 +190,18 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Those of (u, v) whose sets of shingles have at least the Jaccard similarity ``threshold``."""
+    rows = pairs.count()
     one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
-    joined = pairs.join(one, "u").join(two, "v").withColumn("common", common)
+    joined = sized(sized(pairs.join(one, "u"), rows, PAIRS).join(two, "v"), rows, PAIRS).withColumn("common", common)
     return joined.where(F.col("common") >= threshold * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
 
 
 def _comparable(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Without pairs whose numbers of shingles rule the threshold out."""
-    return pairs.where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")).select("u", "v").distinct()
+    """Pairs in order, without those whose numbers of shingles rule the threshold out."""
+    near = pairs.where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv"))
+    return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def star_pairs(members: DataFrame, threshold: float) -> DataFrame:
@@ -204,11 +211,23 @@ def star_pairs(members: DataFrame, threshold: float) -> DataFrame:
     return _comparable(met.select(F.col("least.node").alias("u"), F.col("node").alias("v"), F.col("least.n").alias("nu"), F.col("n").alias("nv")), threshold)
 
 
-def classes_of(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(bucket, node, n, c): members of the buckets that hold several classes."""
-    named = members.join(comps, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
-    open_ = named.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 != c1")
-    return named.join(open_.select("bucket", "size"), "bucket")
+def classes_of(members: DataFrame, comps: DataFrame, rows: int) -> DataFrame:
+    """(bucket, node, n, s, c, size): members of the buckets that hold several classes."""
+    named = sized(members.join(comps, "node", "left"), rows).select("bucket", "node", "n", "s", F.coalesce("component", "node").alias("c"))
+    several = named.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 != c1")
+    return sized(named.join(sized(several.select("bucket", "size"), rows), "bucket"), rows)
+
+
+def supported(large: DataFrame, sets: DataFrame, threshold: float, rows: int) -> DataFrame:
+    """Members that can still have a link, with s: how many of their n shingles members of other classes have too."""
+    own = sets.join(large.select("node", "c").distinct(), "node").select("node", "c", F.explode("shingles").alias("x"))
+    inner = own.groupBy("x").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 = c1").select("x")
+    lone = own.join(inner, "x", "left_semi").groupBy("node").agg(F.count("*").alias("lone"))
+    least = sized(large.groupBy("bucket").agg(F.min("n").alias("n0")), rows)
+    known = sized(sized(large.join(lone, "node", "left"), rows).join(least, "bucket"), rows).withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0)))
+    # the partner that would suit best has s shingles, or the fewest that the bucket offers
+    best = F.col("s") >= threshold * (F.col("n") + F.greatest("n0", "s") - F.col("s"))
+    return known.where(best).select("bucket", "node", "n", "s", "c")
 
 
 def full_pairs(members: DataFrame, threshold: float) -> DataFrame:
@@ -225,37 +244,47 @@ def link_copies(texts: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD
     spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
     members = stored(spread.join(full, "bucket", "left_semi"), "buckets")
-    if members.isEmpty():
+    rows = members.count()
+    if not rows:
         return None
-    sets = stored(shingle_sets(texts(members.select("node").distinct())).dropDuplicates(["node"]), "shingles")
-    links = stored(verify(star_pairs(members, threshold), sets, threshold), "links")
+    sets = stored(shingle_sets(texts(sized(members.select("node").distinct(), rows))).dropDuplicates(["node"]), "shingles")
+    tested = stored(sized(star_pairs(members, threshold), rows), "pairs")
+    links = stored(verify(tested, sets, threshold), "links")
     comps = stored(components(links), "components")
-    leaders = 1
+    members, leaders = members.withColumn("s", F.col("n").cast("long")), 1
     while True:
-        left = stored(classes_of(members, comps), "buckets")
-        if left.isEmpty():
+        left = stored(classes_of(members, comps, rows), "buckets")
+        rows = left.count()
+        if not rows:
             break
         pairs = full_pairs(left.where(F.col("size") <= small), threshold)
         large = left.where(F.col("size") > small)
+        if leaders <= GROWTH and not large.isEmpty():
+            # later on classes only merge and buckets shrink, so s stays an upper bound
+            large = stored(supported(large, sets, threshold, rows), "buckets")
         # the least text of each of so many shares of a large bucket meets all its texts of other classes
         salted = large.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(leaders)))
-        first = salted.groupBy("bucket", "share").agg(F.min(F.struct("node", "n", "c")).alias("x"))
-        met = large.join(first, "bucket").where("c != x.c")
-        pairs = stored(pairs.unionByName(_comparable(met.select(F.col("x.node").alias("u"), F.col("node").alias("v"), F.col("x.n").alias("nu"), F.col("n").alias("nv")), threshold)).distinct(), "pairs")
+        first = sized(salted.groupBy("bucket", "share").agg(F.min(F.struct("node", "n", "s", "c")).alias("x")), rows)
+        common = F.least("s", "x.s")
+        met = sized(large.join(first, "bucket").where((F.col("c") != F.col("x.c")) & (common >= threshold * (F.col("n") + F.col("x.n") - common))), rows)
+        led = _comparable(met.select(F.col("x.node").alias("u"), F.col("node").alias("v"), F.col("x.n").alias("nu"), F.col("n").alias("nv")), threshold)
+        # texts meet in several buckets, but each pair is verified once
+        pairs = stored(sized(sized(pairs.unionByName(led).distinct(), rows).join(tested, ["u", "v"], "left_anti"), rows), "pairs")
+        tested = tested.unionByName(pairs)
         found = stored(verify(pairs, sets, threshold), "links")
-        members = stored(large.join(first.select("bucket", F.col("x.node").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n"), "buckets")
         if not found.isEmpty():
-            links = stored(links.unionByName(found), "links")
+            links = links.unionByName(found)
             comps = stored(components(links), "components")
-        leaders *= 2
+        members = sized(large.join(first.select("bucket", F.col("x.node").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "s"), rows)
+        leaders *= GROWTH
     return comps
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, many: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """(key, node, class_id, kept) a row: the class's least id, and whether this document is the one of its class to keep."""
-    seen = stored(sketch(docs, key, text, many, rows), "sketch")
     # null ids come last, so a class is named by a real id where it has one
-    nodes = seen.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    grouped = sketch(docs, key, text, many, rows).groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = stored(grouped, "texts")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         own = nodes.select("node", "id").join(wanted, "node", "left_semi")
@@ -272,6 +301,6 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         grouped = own.join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
         best = grouped.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
         named = grouped.join(best, "c").select("node", F.col("best.id").alias("class_id"), F.col("best.node").alias("keeper"))
-    out = seen.select("id", "node").join(named, "node")
+    out = docs.select(F.col(key).alias("id"), text_key(text).alias("node")).join(named, "node")
     kept = (F.col("node") == F.col("keeper")) & F.col("id").eqNullSafe(F.col("class_id"))
     return out.select(F.col("id").alias(key), "node", "class_id", kept.alias("kept"))
