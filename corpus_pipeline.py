@@ -56,7 +56,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
     ship(spark)
-    return packing.pack(packing.tokenize(docs.select("doc_id", "text"), vocabulary(WORD_BPE), END_ID), keep_ids=False)
+    return packing.pack_texts(docs.select("doc_id", "text"), vocabulary(WORD_BPE), END_ID, keep_ids=False)
 
 
 STAGES = [("language", language), ("quality", good), ("near_duplicates", distinct), ("packing", packed)]

@@ -7,8 +7,10 @@ import tempfile
 import unicodedata
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,16 @@ def ship(spark: SparkSession) -> None:
     sc._quillgraph_shipped = True
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow; what a task's buffers held goes back to the system at its end, as workers outlive tasks."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return task
+
+
 class Kept(dict):
     """Remembers what ``make`` gives for short keys: the latest ``most``, and those before them until the next clearance."""
 

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.llm.common import lean
+
 #: Documents of each language that are learned from, about.
 PER_LANG = 400
 ORDER = 3
@@ -67,7 +69,7 @@ def count_grams(sample: DataFrame, order: int) -> DataFrame:
                 codes, counts = np.unique(gram, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
-    return sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return sample.mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def build(langs: list[str], docs: list[int], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int, min_visits: int) -> Model:
@@ -186,4 +188,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                     names=[*batch.schema.names[:-1], *new],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

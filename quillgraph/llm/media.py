@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.llm.common import lean
+
 PAD = 64
 RATE = 8000
 FRAME = 256
@@ -108,7 +110,7 @@ def store_payload(docs: DataFrame, text: str = "text", media: str = "media") ->
                 names=[*batch.schema.names[:-1], "n_bytes", media],
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 FEATURES = T.StructType(
@@ -155,4 +157,4 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
                 new = [pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*cols, *new], names=[*batch.schema.names[:-1], *FEATURES.names])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import sized, stored
+from quillgraph.llm.common import lean, sized, stored
 from quillgraph.llm.components import components
 
 WORDS = 5
@@ -170,7 +170,7 @@ def sketch(docs: DataFrame, key: str, text: str = "text", many: int = BANDS, row
                     names=["id", "node", "n", "bands"],
                 )
 
-    return source.mapInArrow(run, f"id {kind}, node binary, n int, bands array<bigint>")
+    return source.mapInArrow(lean(run), f"id {kind}, node binary, n int, bands array<bigint>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, flat)], names=["node", "shingles"])
 
-    return texts.mapInArrow(run, "node binary, shingles array<bigint>")
+    return texts.mapInArrow(lean(run), "node binary, shingles array<bigint>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -20,7 +20,7 @@ import os
 import re
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import LETTERS, NUMBERS, stored
+from quillgraph.llm.common import LETTERS, NUMBERS, lean, stored
 
 WINDOW = 2048
 #: Open windows of a partition.
@@ -111,11 +111,8 @@ def load(path: str) -> Worded:
     return Worded(path)
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int | None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with packed ids (little-endian unsigned 32-bit), ended by ``end_id``, instead of the text."""
-    kept = [c for c in docs.columns if c.lower() not in (text.lower(), ids.lower())]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    schema = T.StructType([*rows.drop("__text").schema.fields, T.StructField(ids, T.BinaryType())])
+def token_batches(path: str, end_id: int | None, ids: str = "ids") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turns batches whose last column is text into batches with packed ids instead."""
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +122,17 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None, text: str = "text",
                 batch = whole.slice(at, 200)
                 packed = [p + end for p in tokenizer.encode(batch.column(batch.num_columns - 1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(packed, pa.binary())], names=[*batch.schema.names[:-1], ids])
+        tokenizer.older.clear()
 
-    return rows.mapInArrow(run, schema)
+    return run
+
+
+def tokenize(docs: DataFrame, path: str, end_id: int | None, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with packed ids (little-endian unsigned 32-bit), ended by ``end_id``, instead of the text."""
+    kept = [c for c in docs.columns if c.lower() not in (text.lower(), ids.lower())]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    schema = T.StructType([*rows.drop("__text").schema.fields, T.StructField(ids, T.BinaryType())])
+    return rows.mapInArrow(lean(token_batches(path, end_id, ids)), schema)
 
 
 class Windows:
@@ -159,9 +165,11 @@ class Windows:
                 insort(self.open, (free - take, age, held))
 
 
-def pack_partitions(docs: DataFrame, key: str = "doc_id", ids: str = "ids", window: int = WINDOW, most: int = OPEN) -> DataFrame:
-    """Pieces (key, start, length, doc_tokens, sequence_id, offset, open, part, ids) of each partition; ``open`` marks what was left."""
-    rows = docs.select(key, F.coalesce(F.col(ids), F.lit(b"")).alias("ids"))
+def pack_partitions(rows: DataFrame, window: int = WINDOW, most: int = OPEN, before: Callable = iter) -> DataFrame:
+    """Pieces (key, start, length, doc_tokens, sequence_id, offset, open, part, ids) of each partition; ``open`` marks what was left.
+
+    ``rows`` has a key and packed ids, or what ``before`` turns into these in the same task.
+    """
     long, kind = T.LongType(), rows.schema[0]
     schema = T.StructType([kind, *[T.StructField(c, long) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], T.StructField("open", T.BooleanType()), T.StructField("part", T.IntegerType()), T.StructField("ids", T.BinaryType())])
 
@@ -184,7 +192,7 @@ def pack_partitions(docs: DataFrame, key: str = "doc_id", ids: str = "ids", wind
             out.clear()
             return made
 
-        for batch in batches:
+        for batch in before(batches):
             key_type = batch.schema.field(0).type
             for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packed = packed.as_py()
@@ -201,7 +209,7 @@ def pack_partitions(docs: DataFrame, key: str = "doc_id", ids: str = "ids", wind
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def merge_leftovers(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -246,7 +254,18 @@ def _window(by: tuple, order: tuple):
 
 def pack(docs: DataFrame, key: str = "doc_id", ids: str = "ids", window: int = WINDOW, most: int = OPEN, keep_ids: bool = True) -> DataFrame:
     """Pieces (key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, packed ids) of all documents."""
-    local = pack_partitions(docs, key, ids, window, most)
+    rows = docs.select(key, F.coalesce(F.col(ids), F.lit(b"")).alias("ids"))
+    return merged(pack_partitions(rows, window, most), key, window, keep_ids)
+
+
+def pack_texts(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id", text: str = "text", window: int = WINDOW, most: int = OPEN, keep_ids: bool = True) -> DataFrame:
+    """``pack`` of what ``tokenize`` gives, in one Python worker a task: ids do not travel between the two."""
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return merged(pack_partitions(rows, window, most, token_batches(path, end_id)), key, window, keep_ids)
+
+
+def merged(local: DataFrame, key: str, window: int, keep_ids: bool) -> DataFrame:
+    """The pieces of all partitions with what was left open merged."""
     if not keep_ids:
         local = local.withColumn("ids_crc32", F.crc32("ids")).withColumn("ids", F.when(F.col("open"), F.col("ids")))
     held = stored(local, "packed")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.llm.calibrate import fit_logistic, logistic
-from quillgraph.llm.common import labelled_sample
+from quillgraph.llm.common import labelled_sample, lean
 
 #: Labelled documents of each class for the dictionaries, and as many for the curve, about.
 PER_CLASS = 3000
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
             x = [features(pair, t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array([v[k] for v in x], pa.float64()) for k in range(3)]], names=["label", "a", "b", "c"])
 
-    seen = sample.where("half = 1").select("text", "label").mapInArrow(measure, "label int, a double, b double, c double").toPandas()
+    seen = sample.where("half = 1").select("text", "label").mapInArrow(lean(measure), "label int, a double, b double, c double").toPandas()
     y = seen["label"].to_numpy(float)
     model.weights = fit_logistic(shaped(seen[["a", "b", "c"]].to_numpy(float)), y)
     drawn, real = (y.sum() + 0.5) / (len(y) - y.sum() + 0.5), sizes[1] / sizes[0]
@@ -140,4 +140,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     names=[*batch.schema.names[:-1], *new],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

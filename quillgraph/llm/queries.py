@@ -98,7 +98,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(packing.tokenize(docs, vocabulary(WORD_BPE), END_ID), keep_ids=False)
+    return packing.pack_texts(docs, vocabulary(WORD_BPE), END_ID, keep_ids=False)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.llm.calibrate import fit_logistic, logistic
-from quillgraph.llm.common import labelled_sample
+from quillgraph.llm.common import labelled_sample, lean
 
 #: Labelled documents of each class that are learned from, about.
 PER_CLASS = 8000
@@ -122,7 +122,7 @@ def count_tokens(sample: DataFrame) -> DataFrame:
                 names=["token", "toxic", "clean"],
             )
 
-    return sample.mapInArrow(run, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.mapInArrow(lean(run), "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def weigh(counts: DataFrame, toxic_docs: int, clean_docs: int, prior: float = PRIOR, min_z: float = MIN_Z) -> DataFrame:
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
                 names=["label", "n", "found"],
             )
 
-    seen = sample.mapInArrow(scan, "label int, n long, found array<double>").toPandas()
+    seen = sample.mapInArrow(lean(scan), "label int, n long, found array<double>").toPandas()
     clean = seen[seen["label"] == 0]
     length = max(float(clean["n"].sum()), 1.0)
     # a token's share of clean text: its documents over all tokens, at least
@@ -217,4 +217,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     names=[*batch.schema.names[:-1], *new],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
