@@ -13,7 +13,8 @@ compared with the least one.  Where a bucket still holds several classes, a smal
 compared in full across classes; a large one goes through rounds in which one, then
 ``GROWTH`` times as many, of its texts are compared with all the others and leave it, until
 one class or few texts remain: no pair across classes is left out, and none inside a class
-is needed.  A text's shingles that no text of another class in the large buckets has cannot
+is needed.  Texts that meet in several buckets are compared in the first band that they
+share.  A text's shingles that no text of another class in the large buckets has cannot
 be common to a pair across classes, so texts and pairs that these alone keep below the
 threshold are passed over.
 
@@ -251,7 +252,7 @@ def link_copies(texts: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD
     tested = stored(sized(star_pairs(members, threshold), rows), "pairs")
     links = stored(verify(tested, sets, threshold), "links")
     comps = stored(components(links), "components")
-    members, leaders = members.withColumn("s", F.col("n").cast("long")), 1
+    members, leaders, held = members.withColumn("s", F.col("n").cast("long")), 1, None
     while True:
         left = stored(classes_of(members, comps, rows), "buckets")
         rows = left.count()
@@ -262,13 +263,18 @@ def link_copies(texts: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD
         if leaders <= GROWTH and not large.isEmpty():
             # later on classes only merge and buckets shrink, so s stays an upper bound
             large = stored(supported(large, sets, threshold, rows), "buckets")
+        if held is None:
+            held = stored(nodes.select("node", "bands").join(large.select("node").distinct(), "node", "left_semi"), "bands")
         # the least text of each of so many shares of a large bucket meets all its texts of other classes
-        salted = large.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(leaders)))
-        first = sized(salted.groupBy("bucket", "share").agg(F.min(F.struct("node", "n", "s", "c")).alias("x")), rows)
+        banded = sized(large.join(held, "node"), rows)
+        salted = banded.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(leaders)))
+        first = sized(salted.groupBy("bucket", "share").agg(F.min(F.struct("node", "n", "s", "c", "bands")).alias("x")), rows)
         common = F.least("s", "x.s")
-        met = sized(large.join(first, "bucket").where((F.col("c") != F.col("x.c")) & (common >= threshold * (F.col("n") + F.col("x.n") - common))), rows)
+        # a pair that shares several buckets meets in the first of its bands only: each bucket gets to all its pairs in the end
+        here = F.col("bucket") == F.try_element_at(F.array_intersect("bands", "x.bands"), F.lit(1))
+        met = sized(banded.join(first, "bucket").where((F.col("c") != F.col("x.c")) & (common >= threshold * (F.col("n") + F.col("x.n") - common)) & here), rows)
         led = _comparable(met.select(F.col("x.node").alias("u"), F.col("node").alias("v"), F.col("x.n").alias("nu"), F.col("n").alias("nv")), threshold)
-        # texts meet in several buckets, but each pair is verified once
+        # small and large buckets, and rounds, may meet in a pair, but each pair is verified once
         pairs = stored(sized(sized(pairs.unionByName(led).distinct(), rows).join(tested, ["u", "v"], "left_anti"), rows), "pairs")
         tested = tested.unionByName(pairs)
         found = stored(verify(pairs, sets, threshold), "links")
