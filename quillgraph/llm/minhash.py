@@ -213,8 +213,8 @@ def star_pairs(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes_of(members: DataFrame, comps: DataFrame, rows: int) -> DataFrame:
-    """(bucket, node, n, s, c, size): members of the buckets that hold several classes."""
-    named = sized(members.join(comps, "node", "left"), rows).select("bucket", "node", "n", "s", F.coalesce("component", "node").alias("c"))
+    """Members, with c and size, of the buckets that hold several classes."""
+    named = sized(members.join(comps, "node", "left"), rows).select(*members.columns, F.coalesce("component", "node").alias("c"))
     several = named.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 != c1")
     return sized(named.join(sized(several.select("bucket", "size"), rows), "bucket"), rows)
 
@@ -225,10 +225,10 @@ def supported(large: DataFrame, sets: DataFrame, threshold: float, rows: int) ->
     inner = own.groupBy("x").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 = c1").select("x")
     lone = own.join(inner, "x", "left_semi").groupBy("node").agg(F.count("*").alias("lone"))
     least = sized(large.groupBy("bucket").agg(F.min("n").alias("n0")), rows)
-    known = sized(sized(large.join(lone, "node", "left"), rows).join(least, "bucket"), rows).withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0)))
+    known = sized(sized(large.drop("s").join(lone, "node", "left"), rows).join(least, "bucket"), rows).withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0)))
     # the partner that would suit best has s shingles, or the fewest that the bucket offers
     best = F.col("s") >= threshold * (F.col("n") + F.greatest("n0", "s") - F.col("s"))
-    return known.where(best).select("bucket", "node", "n", "s", "c")
+    return known.where(best).select(*[c for c in large.columns if c not in ("s", "size")], "s")
 
 
 def full_pairs(members: DataFrame, threshold: float) -> DataFrame:
@@ -252,7 +252,7 @@ def link_copies(texts: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD
     tested = stored(sized(star_pairs(members, threshold), rows), "pairs")
     links = stored(verify(tested, sets, threshold), "links")
     comps = stored(components(links), "components")
-    members, leaders, held = members.withColumn("s", F.col("n").cast("long")), 1, None
+    members, leaders = members.withColumn("s", F.col("n").cast("long")), 1
     while True:
         left = stored(classes_of(members, comps, rows), "buckets")
         rows = left.count()
@@ -262,17 +262,19 @@ def link_copies(texts: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD
         large = left.where(F.col("size") > small)
         if leaders <= GROWTH and not large.isEmpty():
             # later on classes only merge and buckets shrink, so s stays an upper bound
-            large = stored(supported(large, sets, threshold, rows), "buckets")
-        if held is None:
-            held = stored(nodes.select("node", "bands").join(large.select("node").distinct(), "node", "left_semi"), "bands")
+            large = supported(large, sets, threshold, rows)
+            if "bands" not in large.columns:
+                large = large.join(nodes.select("node", "bands"), "node")
+            large = stored(large, "buckets")
+        if "bands" not in large.columns:  # no bucket is large
+            large = large.withColumn("bands", F.array().cast("array<bigint>"))
         # the least text of each of so many shares of a large bucket meets all its texts of other classes
-        banded = sized(large.join(held, "node"), rows)
-        salted = banded.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(leaders)))
+        salted = large.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(leaders)))
         first = sized(salted.groupBy("bucket", "share").agg(F.min(F.struct("node", "n", "s", "c", "bands")).alias("x")), rows)
         common = F.least("s", "x.s")
         # a pair that shares several buckets meets in the first of its bands only: each bucket gets to all its pairs in the end
         here = F.col("bucket") == F.try_element_at(F.array_intersect("bands", "x.bands"), F.lit(1))
-        met = sized(banded.join(first, "bucket").where((F.col("c") != F.col("x.c")) & (common >= threshold * (F.col("n") + F.col("x.n") - common)) & here), rows)
+        met = sized(large.join(first, "bucket").where((F.col("c") != F.col("x.c")) & (common >= threshold * (F.col("n") + F.col("x.n") - common)) & here), rows)
         led = _comparable(met.select(F.col("x.node").alias("u"), F.col("node").alias("v"), F.col("x.n").alias("nu"), F.col("n").alias("nv")), threshold)
         # small and large buckets, and rounds, may meet in a pair, but each pair is verified once
         pairs = stored(sized(sized(pairs.unionByName(led).distinct(), rows).join(tested, ["u", "v"], "left_anti"), rows), "pairs")
@@ -281,7 +283,7 @@ def link_copies(texts: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD
         if not found.isEmpty():
             links = links.unionByName(found)
             comps = stored(components(links), "components")
-        members = sized(large.join(first.select("bucket", F.col("x.node").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "s"), rows)
+        members = sized(large.join(first.select("bucket", F.col("x.node").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "s", "bands"), rows)
         leaders *= GROWTH
     return comps
 
