@@ -1,10 +1,12 @@
-"""Near-duplicates: ProbMinHash signatures of weighted shingles, banding, verification.
+"""Near-duplicates: ProbMinHash signatures of shingles, banding, verification.
 
-A text's shingles (``WORDS`` words each, weight 1 + ln of how often) send arrivals of a
+A text's shingles (``WORDS`` words each, weight 1 + ln of a count) send arrivals of a
 Poisson process of their weight to random registers; each register keeps its earliest
 arrival, and a shingle stops as soon as its next arrival comes after the latest register
 (early termination).  Two texts agree in a register with the probability Jaccard of
-their weights.  Registers are hashed in bands, texts that share a band meet in a bucket,
+their weights.  Links are defined on sets, so banding counts every shingle once however
+often it occurs: registers then agree with the very similarity that is verified.
+Registers are hashed in bands, texts that share a band meet in a bucket,
 and pairs count as links when the exact Jaccard similarity of their sets of shingles is
 at least ``THRESHOLD``.  Classes are the connected components of links and exact copies.
 
@@ -163,7 +165,8 @@ def sketch(docs: DataFrame, key: str, text: str = "text", many: int = BANDS, row
                 own = list(dict.fromkeys(texts[a:b]))  # copies are hashed once
                 at = {t: k for k, t in enumerate(own)}
                 sets = shingles(own)
-                hashed = bands(signatures(sets, many * rows), many, rows)
+                once = [(e, np.ones_like(c)) for e, c in sets]
+                hashed = bands(signatures(once, many * rows), many, rows)
                 lists = [hashed[k].tolist() if len(sets[k][0]) else [] for k in range(len(own))]
                 pick = [at[t] for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays(

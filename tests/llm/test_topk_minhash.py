@@ -112,6 +112,21 @@ def test_large_bucket_rounds_lose_no_link(spark):
     assert got == brute_classes(docs)
 
 
+def test_repeated_passages_lose_no_link(spark):
+    """Pairs at and above the threshold on sets, where one text has a passage 20 to 100 times."""
+    rng = random.Random(8)
+    docs = {}
+    for k in range(120):
+        own = [f"p{k}w{i}" for i in range(200)]
+        passage = own[-50:]
+        other = own if k % 3 == 0 else [*own[: 185 - k % 2 * 15], *[f"q{k}w{i}" for i in range(8)]]
+        docs[2 * k], docs[2 * k + 1] = " ".join(own[:150] + passage * rng.choice([20, 50, 100])), " ".join(other)
+    want = brute_classes(docs)
+    assert sum(want[2 * k + 1] == 2 * k for k in range(120)) >= 80
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in minhash.classes(df).collect()} == want
+
+
 def test_minhash_odd_rows(spark):
     rows = [(None, "lonely text of some words here now"), (None, "lonely text of some words here now"), (7, "lonely text of some words here now"), (7, "lonely text of some words here now"), (8, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit("clash")).withColumn("Class_Id", F.lit(1))
