@@ -3,16 +3,18 @@
 ``plan_records`` finds for each payload its response (the smallest id) and marks
 the others as revisits; ``write_archives`` writes one WARC 1.1 record per row;
 ``read_archives`` reads archives back, and, where a record fails its checks,
-searches for the next version line (or gzip member) whose record holds, logging the
-bytes between as a quarantined gap.
+searches for the next version line or gzip member, whichever is nearer, whose record
+holds, logging the bytes between as a quarantined gap.  Only lengths and digests that a
+record carries are checked, digests in the algorithms of ``ALGORITHMS``.
 
-Archives may be plain, or gzip files of one member a record.  A record ends with
+Archives may be plain, gzip files of one member a record, or a mix of both.  A record ends with
 two line ends, which are the sink's separator, so the sink writes exact records.
 
 Defined results: null payload counts as empty; a null id is larger than any other;
 of rows with the same id and payload one is the response; a null url has no target
 line; control characters of a url are percent-encoded; an empty table writes no
-record and reads back as no row; other columns are not stored.
+record and reads back as no row; other columns are not stored.  The payload of a chunked
+response is its content without the chunks; a response that is not of HTTP is all payload.
 """
 
 from __future__ import annotations
@@ -129,6 +131,9 @@ def write_archives(records: DataFrame, path: str) -> None:
     )
 
 
+#: Digests that are checked.
+ALGORITHMS = {"md5", "sha1", "sha256", "sha384", "sha512"}
+_CHUNK = re.compile(rb"([0-9A-Fa-f]+)[ \t]*(?:;[^\r\n]*)?\r\n")
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 
@@ -137,6 +142,31 @@ def _b32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def fits(told: str, data: bytes) -> bool:
+    """Whether ``data`` has the digest ``told``, in base32, hex or base64; true of an algorithm that is not known."""
+    name, _, value = told.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip().rstrip("=")
+    if name not in ALGORITHMS:
+        return True
+    own = hashlib.new(name, data).digest()
+    plain = [x.decode().rstrip("=") for x in (base64.b64encode(own), base64.urlsafe_b64encode(own))]
+    return value.lower() == own.hex() or value.upper() == base64.b32encode(own).decode().rstrip("=") or value in plain
+
+
+def unchunked(body: bytes) -> bytes | None:
+    """The content of a chunked body; None if it is not one."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        at = m.end() + int(m[1], 16)
+        if at == m.end():
+            return b"".join(out)
+        if body[at : at + 2] != b"\r\n":
+            return None
+        out.append(body[m.end() : at])
+        at += 2
+    return None
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
     """The record at ``at`` and where the next begins, or why it does not hold."""
     if not _LINE.match(data, at):
@@ -160,17 +190,25 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
         return "no record end"
     block = data[start:stop]
     told = fields.get("warc-block-digest")
-    if told and told != f"sha1:{_b32(block)}":
+    if told and not fits(told, block):
         return "block digest differs"
     kind = fields.get("warc-type", "")
     head, gap, body = block.partition(b"\r\n\r\n")
     length = next((int(x.split(b":")[1]) for x in head.split(b"\r\n")[1:] if re.fullmatch(rb"(?i)content-length:\s*\d+", x)), None) if gap else None
     if kind == "response":
-        if not gap or length != len(body):
+        if not block.startswith(b"HTTP/"):
+            head, body, length = b"", block, None
+        chunked = any(re.fullmatch(rb"(?i)transfer-encoding:.*\bchunked\s*", x) for x in head.split(b"\r\n")[1:])
+        if length is not None and length != len(body) and not chunked and "warc-truncated" not in fields:
             return "payload length differs"
-        if fields.get("warc-payload-digest", "") != (own := f"sha1:{_b32(body)}"):
+        plain = unchunked(body) if chunked else None
+        # writers differ in whether the digest of a chunked body is of its content
+        bodies = [body] if plain is None else [plain, body]
+        same = [x for x in bodies if fits(fields.get("warc-payload-digest", ""), x)]
+        if not same:
             return "payload digest differs"
-        fields["warc-payload-digest"] = own
+        fields["warc-payload-digest"] = f"sha1:{_b32(same[0])}"
+        body, length = bodies[0], len(bodies[0])
     return {"fields": fields, "kind": kind, "payload": body, "length": length}, stop + 4
 
 
@@ -188,8 +226,8 @@ def unzip(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
 def salvage(data: bytes) -> Iterator[tuple]:
     """(offset, length, error, record) for each record that holds and each gap that does not."""
     at, bad, why = 0, -1, ""
-    zipped = data[:3] == _MEMBER
     n = len(data)
+    member = line = -1  # the next of each kind, found once
     while at < n:
         got: tuple | str
         if data[at : at + 3] == _MEMBER:
@@ -205,12 +243,11 @@ def salvage(data: bytes) -> Iterator[tuple]:
         if isinstance(got, str):
             if bad < 0:
                 bad, why = at, got
-            if zipped:
-                nxt = [x for x in (data.find(_MEMBER, at + 1),) if x >= 0]
-            else:
-                m = _LINE.search(data, at + 1)
-                nxt = [m.start()] if m else []
-            at = nxt[0] if nxt else n
+            if member <= at:
+                member = x if (x := data.find(_MEMBER, at + 1)) >= 0 else n
+            if line <= at:
+                line = m.start() if (m := _LINE.search(data, at + 1)) else n
+            at = min(member, line)
             continue
         if bad >= 0:
             yield bad, at - bad, why, None

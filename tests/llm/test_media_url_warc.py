@@ -156,6 +156,48 @@ def test_salvage(zipped):
     assert sum(n for _, n, *_ in found) == len(data)
 
 
+@pytest.mark.parametrize("front", ["magic", "garbage"])
+def test_salvage_whatever_the_file_begins_with(front):
+    """A broken first member, and plain records and members after one another."""
+    whole = [record(k, b"body %d " % k * 50) for k in range(6)]
+    zipped = [gzip.compress(r, mtime=0) for r in whole]
+    first = b"XX" + zipped[0][2:] if front == "magic" else b"garbage"
+    for data, n in ((first + b"".join(zipped[1:]), len(first)), (first + whole[1] + zipped[2] + whole[3] + zipped[4] + zipped[5], len(first))):
+        found = list(warc.salvage(data))
+        assert [r["fields"]["warc-record-id"] for *_, r in found if r] == [f"<urn:page:{k}>" for k in range(1, 6)]
+        assert [(a, n) for a, n, _, r in found if r is None] == [(0, n)]
+    broken = bytearray(whole[3])
+    broken[-20] ^= 0xFF
+    for data in (zipped[1] + b"garbage" + whole[2] + bytes(broken) + zipped[4] + whole[5], whole[1] + bytes(broken) + zipped[2] + zipped[3][:60] + whole[4] + zipped[5]):
+        found = list(warc.salvage(data))
+        kept = [r["fields"]["warc-record-id"] for *_, r in found if r]
+        assert kept == [f"<urn:page:{k}>" for k in ((1, 2, 4, 5))] and sum(n for _, n, *_ in found) == len(data)
+
+
+def other_record(head, body, *lines):
+    block = head + b"\r\n\r\n" + body if head else body
+    fields = [b"WARC/1.0", b"WARC-Type: response", b"WARC-Record-ID: <urn:x>", *lines, b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(fields) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers():
+    http, chunked = b"HTTP/1.1 200 OK", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked"
+    body, parts = b"hello world", b"6\r\nhello \r\n5;x=1\r\nworld\r\n0\r\n\r\n"
+    digest = lambda x: b"WARC-Payload-Digest: " + x.encode()
+    sha256 = hashlib.sha256(body)
+    sound = [
+        (http, body), (http, body, digest("sha1:" + b32(body))), (http, body, digest("sha1:" + hashlib.sha1(body).hexdigest())), (http, body, digest("sha256:" + sha256.hexdigest())),
+        (http, body, digest("SHA-256:" + base64.b32encode(sha256.digest()).decode())), (http, body, digest("blake3:00")), (http + b"\r\nContent-Length: 11", body),
+        (http + b"\r\nContent-Length: 99", body, b"WARC-Truncated: length"), (chunked, parts), (chunked, parts, digest("sha1:" + b32(body))), (chunked, parts, digest("sha1:" + b32(parts))), (b"", body, b"Content-Type: text/dns"),
+    ]
+    for args in sound:
+        got = warc.parse_record(other_record(*args), 0)
+        assert not isinstance(got, str), (args, got)
+        assert (got[0]["payload"], got[0]["length"]) == (body, len(body))
+    for args in ((http, body, digest("sha1:" + b32(b"x"))), (http, body, digest("sha256:" + "0" * 64)), (http + b"\r\nContent-Length: 12", body), (chunked, parts, digest("sha1:" + b32(b"x")))):
+        assert isinstance(warc.parse_record(other_record(*args), 0), str), args
+
+
 def test_salvage_never_fails_on_noise():
     rng = random.Random(3)
     base = record(1, b"x" * 100) + gzip.compress(record(2, b"y")) + record(3, b"")
