@@ -3,9 +3,10 @@
 Learning counts, over a bounded sample of labelled documents, in how many toxic and
 clean documents each token occurs.  A token's score is its log-odds under a Dirichlet
 prior in proportion to all documents, kept where it is ``MIN_Z`` standard deviations
-from none, and zero otherwise; the k-th time in a text it counts a k-th, since words
-repeat; every token also pays ``DRIFT``, so that chance text
-scores below zero.  One linear scan finds all maximal-scoring segments of a text.  A
+from none, and zero otherwise; every token also pays ``DRIFT``, so that chance text
+scores below zero.  Since words repeat, the k-th time in a stretch a token counts a
+k-th; a stretch ends where its sum falls to zero, which no segment reaches across, so
+what a passage scores does not depend on text far before it.  One linear scan finds all maximal-scoring segments of a text.  A
 segment of score s has E-value K * tokens * exp(-lambda * s), where lambda solves
 sum p * exp(lambda * score) = 1 over clean text and K is the rate of segments there;
 the evidence of a text is the sum of -log E over its significant segments, and a
@@ -89,11 +90,18 @@ def find(model: Model, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         return len(words), []
     times: Counter[str] = Counter()
     values = []
+    run, at = 0.0, 0
     for i, w in enumerate(words):
         s = scores.get(w)
         if s is not None:
+            run -= DRIFT * (i - at)
+            at = i + 1
+            if run <= 0:
+                run = 0.0
+                times.clear()
             times[w] += 1
             values.append((i, s / times[w]))
+            run += s / times[w] - DRIFT
     return len(words), segments(values, len(words), DRIFT)
 
 

@@ -83,6 +83,22 @@ def test_toxicity_finds_passages(spark):
     assert any(w in {"vile", "scum", "idiot"} for s in first.segments for w in words[s.from_token : s.to_token + 1])
 
 
+def test_toxic_passages_count_wherever_they_stand():
+    bad = [f"bad{i}" for i in range(6)]
+    model = toxicity.Model(dict.fromkeys(bad, 4.0), 1.0, 0.01, np.zeros(3))
+    found = lambda text: toxicity.evidence(model, *toxicity.find(model, " ".join(text)))[1]
+    clean = [f"w{i % 977}" for i in range(60_000)]
+    for i in range(54):
+        clean[1000 * i] = bad[i % 6]
+    assert found(clean) == []
+    alone, late = found([*["w"] * 60_000, *bad]), found([*clean, *bad])
+    assert [p[:2] for p in late] == [(60_000, 60_005)] and late[0][2] == pytest.approx(alone[0][2])
+    twice = found([*bad, *["w"] * 200, *bad])
+    assert [p[:2] for p in twice] == [(0, 5), (206, 211)] and twice[0][2] == pytest.approx(twice[1][2])
+    # inside one passage repeats still count less
+    assert found([*bad, *bad])[0][2] == pytest.approx(6 * 4 * 1.5 - 12 * toxicity.DRIFT)
+
+
 def test_toxicity_odd_rows(spark):
     docs, labels = made_labels(spark)
     model = toxicity.fit(docs, labels)
