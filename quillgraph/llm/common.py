@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch: operators hold whole texts, so few rows bound their memory.
@@ -44,6 +44,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, what: str, told: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates over its rows that the same job takes."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[v.alias(k) for k, v in told.items()]), what)
+    return out, seen.get
+
+
+def counted(df: DataFrame, what: str) -> tuple[DataFrame, int]:
+    """``stored``, and how many rows that are."""
+    out, told = observed(df, what, {"n": F.count(F.lit(1))})
+    return out, told["n"]
+
+
 def sized(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
     """``df``, which has about ``rows`` rows, in tasks of about ``each`` rows: small steps of a loop write few files."""
     return df.coalesce(max(1, -(-rows // each)))

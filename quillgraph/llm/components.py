@@ -1,8 +1,13 @@
 """Connected components of links, by alternating large-star and small-star rounds.
 
 Each round writes its edges to the shared folder, so lineage stays short and a lost
-executor costs one round.  Neighbour minima are partial aggregates, so a hub costs one
-row a task before the shuffle.
+executor costs one round; a round is one job, which also tells whether it changed an
+edge.  Neighbour minima are partial aggregates, so a hub costs one row a task before
+the shuffle.
+
+Defined results: links of a node to itself, links with a null end and repeated links
+add nothing; the order of a link's ends does not count; nodes of equal neighbourhoods
+are told apart by their ids only; no link gives no row; other columns do not take part.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import sized, stored
+from quillgraph.llm.common import observed, sized
 
 
 def large_star(edges: DataFrame, rows: int) -> DataFrame:
@@ -30,17 +35,16 @@ def small_star(edges: DataFrame, rows: int) -> DataFrame:
     return sized(out.where("u != v").distinct(), rows)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``links`` (u, v); the component is its least node."""
+def components(links: DataFrame, rows: int) -> DataFrame:
+    """(node, component) of every node of the about ``rows`` links (u, v); the component is its least node."""
     edges, before = links.where("u != v").select("u", "v"), None
-    rows = edges.count()
     while True:
-        edges = stored(small_star(large_star(edges, rows), rows), "links")
+        told = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("u", "v"))}
+        edges, now = observed(small_star(large_star(edges, rows), rows), "links", told)
         # a round that changes no edge has made stars of all components
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
-        before, rows = now, now[0]
+        before, rows = now, max(1, now["n"])
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        sized(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct(), rows)
     )

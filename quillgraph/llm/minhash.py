@@ -10,15 +10,15 @@ Registers are hashed in bands, texts that share a band meet in a bucket,
 and pairs count as links when the exact Jaccard similarity of their sets of shingles is
 at least ``THRESHOLD``.  Classes are the connected components of links and exact copies.
 
-Only one text of each group of exact copies takes part.  In a bucket every text is first
-compared with the least one.  Where a bucket still holds several classes, a small one is
-compared in full across classes; a large one goes through rounds in which one, then
-``GROWTH`` times as many, of its texts are compared with all the others and leave it, until
-one class or few texts remain: no pair across classes is left out, and none inside a class
-is needed.  Texts that meet in several buckets are compared in the first band that they
-share.  A text's shingles that no text of another class in the large buckets has cannot
-be common to a pair across classes, so texts and pairs that these alone keep below the
-threshold are passed over.
+Only one text of each group of exact copies takes part.  A bucket is led by its central
+text, the one that meets most texts in its buckets, and every text of the bucket is
+compared with it; classes are contracted over these links.  Pairs of texts that are
+still in different classes and share a bucket without leading it are compared in the
+first band that they share, once, unless counts rule the threshold out: a shingle that
+no other class has among these texts cannot be common, and of the rest a text can share
+with another at most the fewer inside their leader and the fewer outside it.  These
+bounds are exact, so no pair that shares a bucket is left out, and a run takes the same
+few steps however many texts a bucket holds.
 
 Defined results: null text counts as empty; a word is a run of ASCII letters and digits
 or non-ASCII characters, in lower case; a text of fewer than ``WORDS`` words is one
@@ -29,22 +29,19 @@ table gives no row; other columns do not take part; texts are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import lean, sized, stored
+from quillgraph.llm.common import counted, lean, sized, stored
 from quillgraph.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
-#: Buckets of at most so many texts are compared in full.
-SMALL = 32
-GROWTH = 4
 #: Pairs that a task verifies, about.
 PAIRS = 4_000
 #: So many texts (16 bytes each, and their ids) may be named to every executor at most.
@@ -189,129 +186,128 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, flat)], names=["node", "shingles"])
 
-    return texts.mapInArrow(lean(run), "node binary, shingles array<bigint>")
+    return texts.mapInArrow(lean(run), "node long, shingles array<bigint>")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Those of (u, v) whose sets of shingles have at least the Jaccard similarity ``threshold``."""
-    rows = pairs.count()
+def verify(pairs: DataFrame, rows: int, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Those of about ``rows`` pairs (u, v, nu, nv, ...) whose shingles have at least the Jaccard similarity ``threshold``.
+
+    ``sets`` may lack shingles that cannot be common to a pair; nu and nv count them all.
+    """
     one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    joined = sized(sized(pairs.join(one, "u"), rows, PAIRS).join(two, "v"), rows, PAIRS).withColumn("common", common)
-    return joined.where(F.col("common") >= threshold * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
+    joined = sized(sized(pairs.join(one, "u"), rows, PAIRS).join(two, "v"), rows, PAIRS)
+    joined = joined.withColumn("common", F.size(F.array_intersect("a", "b")))
+    return joined.where(enough(F.col("common"), F.col("nu"), F.col("nv"), threshold)).select(*pairs.columns)
+
+
+def enough(common: Column, nu: Column, nv: Column, threshold: float) -> Column:
+    """Whether sets of nu and nv shingles with so many common ones reach the threshold."""
+    return common >= threshold * (nu + nv - common)
+
+
+def led_members(members: DataFrame, rows: int) -> DataFrame:
+    """Members (bucket, node, n, k) of buckets of k texts, each with its bucket's leader (lead, lead_n); leaders leave."""
+    weight = members.groupBy("node").agg(F.sum("k").alias("w"))
+    ranked = sized(members.join(weight, "node"), rows)
+    lead = ranked.groupBy("bucket").agg(F.max(F.struct("w", "node", "n")).alias("x"))
+    led = members.join(lead.select("bucket", F.col("x.node").alias("lead"), F.col("x.n").alias("lead_n")), "bucket")
+    return sized(led.where(F.col("node") != F.col("lead")), rows)
+
 
+def star_pairs(led: DataFrame, rows: int, threshold: float) -> DataFrame:
+    """Pairs (u, v, nu, nv) of texts and leaders whose numbers of shingles allow the threshold."""
+    near = led.where(enough(F.least("n", "lead_n"), F.col("n"), F.col("lead_n"), threshold))
+    return sized(near.select(F.col("lead").alias("u"), F.col("node").alias("v"), F.col("lead_n").alias("nu"), F.col("n").alias("nv")).distinct(), rows)
 
-def _comparable(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs in order, without those whose numbers of shingles rule the threshold out."""
-    near = pairs.where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv"))
-    return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
+def unsettled(led: DataFrame, comps: DataFrame, rows: int) -> DataFrame:
+    """Members, with their class c, of buckets that hold several classes besides the leader."""
+    named = sized(led.where("k > 2").join(comps, "node", "left"), rows).withColumn("c", F.coalesce("component", "node"))
+    several = named.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("bucket")
+    return sized(named.join(several, "bucket", "left_semi").select("bucket", "node", "n", "c", "lead"), rows)
 
-def star_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Each text of a bucket with the bucket's least."""
-    least = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("least"))
-    met = members.join(least, "bucket").where(F.col("node") != F.col("least.node"))
-    return _comparable(met.select(F.col("least.node").alias("u"), F.col("node").alias("v"), F.col("least.n").alias("nu"), F.col("n").alias("nv")), threshold)
 
+def common_sets(left: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+    """(node, shingles) without the shingles that only one class of ``left`` has."""
+    own = sets.join(sized(left.select("node", "c").distinct(), rows), "node").select("node", "c", F.explode("shingles").alias("x"))
+    lone = own.groupBy("x").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 = c1").select("x")
+    return own.join(lone, "x", "left_anti").groupBy("node").agg(F.collect_list("x").alias("shingles"))
 
-def classes_of(members: DataFrame, comps: DataFrame, rows: int) -> DataFrame:
-    """Members, with c and size, of the buckets that hold several classes."""
-    named = sized(members.join(comps, "node", "left"), rows).select(*members.columns, F.coalesce("component", "node").alias("c"))
-    several = named.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 != c1")
-    return sized(named.join(sized(several.select("bucket", "size"), rows), "bucket"), rows)
 
+def bounded(left: DataFrame, kept: DataFrame, sets: DataFrame, nodes: DataFrame, rows: int, threshold: float) -> DataFrame:
+    """Members that can still have a link, with bands, s (shingles kept) and o (of these the leader's)."""
+    pairs = sized(left.select("node", "lead").distinct(), rows)
+    inside = sized(sized(pairs.join(kept, "node"), rows, PAIRS).join(sets.select(F.col("node").alias("lead"), F.col("shingles").alias("b")), "lead"), rows, PAIRS)
+    inside = inside.select("node", "lead", F.size("shingles").alias("s"), F.size(F.array_intersect("shingles", "b")).alias("o"))
+    known = sized(sized(left.join(inside, ["node", "lead"]), rows).join(nodes.select("node", "bands"), "node"), rows)
+    # the best partner has exactly the s shingles that are kept
+    return known.where(F.col("s") >= threshold * F.col("n"))
 
-def supported(large: DataFrame, sets: DataFrame, threshold: float, rows: int) -> DataFrame:
-    """Members that can still have a link, with s: how many of their n shingles members of other classes have too."""
-    own = sets.join(large.select("node", "c").distinct(), "node").select("node", "c", F.explode("shingles").alias("x"))
-    inner = own.groupBy("x").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 = c1").select("x")
-    lone = own.join(inner, "x", "left_semi").groupBy("node").agg(F.count("*").alias("lone"))
-    least = sized(large.groupBy("bucket").agg(F.min("n").alias("n0")), rows)
-    known = sized(sized(large.drop("s").join(lone, "node", "left"), rows).join(least, "bucket"), rows).withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0)))
-    # the partner that would suit best has s shingles, or the fewest that the bucket offers
-    best = F.col("s") >= threshold * (F.col("n") + F.greatest("n0", "s") - F.col("s"))
-    return known.where(best).select(*[c for c in large.columns if c not in ("s", "size")], "s")
 
+def cross_pairs(left: DataFrame, threshold: float) -> DataFrame:
+    """Pairs across classes that bounds allow, each in the first band that it shares."""
+    one = left.select("bucket", *[F.col(c).alias(f"{c}u") for c in ("n", "c", "s", "o", "bands")], F.col("node").alias("u"))
+    two = left.select("bucket", *[F.col(c).alias(f"{c}v") for c in ("n", "c", "s", "o", "bands")], F.col("node").alias("v"))
+    most = F.least("ou", "ov") + F.least(F.col("su") - F.col("ou"), F.col("sv") - F.col("ov"))
+    here = F.col("bucket") == F.try_element_at(F.array_intersect("bandsu", "bandsv"), F.lit(1))
+    met = one.join(two, "bucket").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & enough(most, F.col("nu"), F.col("nv"), threshold) & here)
+    return met.select("u", "v", "nu", "nv", "cu", "cv")
 
-def full_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """All pairs across classes of small buckets."""
-    listed = members.groupBy("bucket").agg(F.sort_array(F.collect_set(F.struct("node", "n", "c"))).alias("m"))
-    one = listed.select("m", F.posexplode("m").alias("i", "x"))
-    two = one.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-    met = two.where("x.c != y.c").select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.col("x.n").alias("nu"), F.col("y.n").alias("nv"))
-    return _comparable(met, threshold)
 
+def link_copies(texts: Callable[[DataFrame, int], DataFrame], nodes: DataFrame, threshold: float = THRESHOLD) -> list[DataFrame]:
+    """(node, component) tables: a text's class is what the first gives for its node, what the second gives for that, and so on.
 
-def link_copies(texts: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame | None:
-    """(node, component) of every text with a link; ``nodes`` has (node, n, bands), ``texts`` gives (node, text) for a set of nodes."""
+    ``nodes`` has (node, n, bands), ``texts`` gives (node, text) for a set of nodes and its
+    size; a node that a table lacks stays as it is.
+    """
     spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    full = spread.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    members = stored(spread.join(full, "bucket", "left_semi"), "buckets")
-    rows = members.count()
+    full = spread.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    members, rows = counted(spread.join(full, "bucket"), "buckets")
     if not rows:
-        return None
-    sets = stored(shingle_sets(texts(sized(members.select("node").distinct(), rows))).dropDuplicates(["node"]), "shingles")
-    tested = stored(sized(star_pairs(members, threshold), rows), "pairs")
-    links = stored(verify(tested, sets, threshold), "links")
-    comps = stored(components(links), "components")
-    members, leaders = members.withColumn("s", F.col("n").cast("long")), 1
-    while True:
-        left = stored(classes_of(members, comps, rows), "buckets")
-        rows = left.count()
-        if not rows:
-            break
-        pairs = full_pairs(left.where(F.col("size") <= small), threshold)
-        large = left.where(F.col("size") > small)
-        if leaders <= GROWTH and not large.isEmpty():
-            # later on classes only merge and buckets shrink, so s stays an upper bound
-            large = supported(large, sets, threshold, rows)
-            if "bands" not in large.columns:
-                large = large.join(nodes.select("node", "bands"), "node")
-            large = stored(large, "buckets")
-        if "bands" not in large.columns:  # no bucket is large
-            large = large.withColumn("bands", F.array().cast("array<bigint>"))
-        # the least text of each of so many shares of a large bucket meets all its texts of other classes
-        salted = large.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(leaders)))
-        first = sized(salted.groupBy("bucket", "share").agg(F.min(F.struct("node", "n", "s", "c", "bands")).alias("x")), rows)
-        common = F.least("s", "x.s")
-        # a pair that shares several buckets meets in the first of its bands only: each bucket gets to all its pairs in the end
-        here = F.col("bucket") == F.try_element_at(F.array_intersect("bands", "x.bands"), F.lit(1))
-        met = sized(large.join(first, "bucket").where((F.col("c") != F.col("x.c")) & (common >= threshold * (F.col("n") + F.col("x.n") - common)) & here), rows)
-        led = _comparable(met.select(F.col("x.node").alias("u"), F.col("node").alias("v"), F.col("x.n").alias("nu"), F.col("n").alias("nv")), threshold)
-        # small and large buckets, and rounds, may meet in a pair, but each pair is verified once
-        pairs = stored(sized(sized(pairs.unionByName(led).distinct(), rows).join(tested, ["u", "v"], "left_anti"), rows), "pairs")
-        tested = tested.unionByName(pairs)
-        found = stored(verify(pairs, sets, threshold), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comps = stored(components(links), "components")
-        members = sized(large.join(first.select("bucket", F.col("x.node").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "s", "bands"), rows)
-        leaders *= GROWTH
-    return comps
-
-
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, many: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
-    """(key, node, class_id, kept) a row: the class's least id, and whether this document is the one of its class to keep."""
+        return []
+    wanted, size = counted(sized(members.select("node").distinct(), rows), "wanted")
+    sets, got = counted(shingle_sets(texts(wanted, size)), "shingles")
+    if got > size:  # the same row twice
+        sets = stored(sets.dropDuplicates(["node"]), "shingles")
+    led = stored(led_members(members, rows), "led")
+    pairs, many = counted(star_pairs(led, rows, threshold), "pairs")
+    links, found = counted(verify(pairs, many, sets, threshold), "links")
+    out = [components(links.select("u", "v"), found)] if found else []
+    comps = out[0] if found else links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    left, rows = counted(unsettled(led, comps, rows), "left")
+    if not rows:
+        return out
+    kept = stored(common_sets(left, sets, rows), "kept")
+    left, rows = counted(bounded(left, kept, sets, nodes, rows, threshold), "left")
+    if not rows:
+        return out
+    pairs, many = counted(cross_pairs(left, threshold), "pairs")
+    if not many:
+        return out
+    links, found = counted(verify(pairs, many, kept, threshold), "links")
+    if found:
+        out.append(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), found))
+    return out
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, many: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(key, node, class_id, kept) a row: the text's key, the class's least id, and whether this document is the one of its class to keep."""
     # null ids come last, so a class is named by a real id where it has one
     grouped = sketch(docs, key, text, many, rows).groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = stored(grouped, "texts")
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        own = nodes.select("node", "id").join(wanted, "node", "left_semi")
-        own = stored(own, "wanted")
-        own = F.broadcast(own) if own.count() <= BROADCAST_TEXTS else own
-        source = docs.select(F.col(key).alias("__id"), text_key(text).alias("__node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        return source.join(own, (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("id")), "left_semi").select(F.col("__node").alias("node"), "text")
-
-    comps = link_copies(texts_of, nodes.select("node", "n", "bands"), threshold, small)
-    own = nodes.select("node", "id")
-    if comps is None:
-        named = own.select("node", F.col("id").alias("class_id"), F.col("node").alias("keeper"))
-    else:
-        grouped = own.join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        best = grouped.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
-        named = grouped.join(best, "c").select("node", F.col("best.id").alias("class_id"), F.col("best.node").alias("keeper"))
-    out = docs.select(F.col(key).alias("id"), text_key(text).alias("node")).join(named, "node")
-    kept = (F.col("node") == F.col("keeper")) & F.col("id").eqNullSafe(F.col("class_id"))
-    return out.select(F.col("id").alias(key), "node", "class_id", kept.alias("kept"))
+    nodes = stored(grouped.select(F.col("node").alias("text_key"), "id", "n", "bands", F.monotonically_increasing_id().alias("node")), "texts")
+
+    def texts_of(wanted: DataFrame, size: int) -> DataFrame:
+        own = nodes.select("node", "text_key", "id").join(wanted, "node", "left_semi")
+        own = F.broadcast(own) if size <= BROADCAST_TEXTS else own
+        source = docs.select(F.col(key).alias("__id"), text_key(text).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        return source.join(own, (F.col("__key") == F.col("text_key")) & F.col("__id").eqNullSafe(F.col("id"))).select("node", "text")
+
+    named = nodes.select("text_key", "id", F.col("node").alias("c"))
+    for step in link_copies(texts_of, nodes.select("node", "n", "bands"), threshold):
+        named = named.join(step, F.col("c") == F.col("node"), "left").select("text_key", "id", F.coalesce("component", "c").alias("c"))
+    best = named.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"))
+    named = named.join(best, "c").select("text_key", F.col("best.id").alias("class_id"), F.col("best.text_key").alias("keeper"))
+    out = docs.select(F.col(key).alias("id"), text_key(text).alias("text_key")).join(named, "text_key")
+    kept = (F.col("text_key") == F.col("keeper")) & F.col("id").eqNullSafe(F.col("class_id"))
+    return out.select(F.col("id").alias(key), F.col("text_key").alias("node"), "class_id", kept.alias("kept"))

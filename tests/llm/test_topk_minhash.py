@@ -93,22 +93,21 @@ def made_docs(n=25, seed=1):
     return docs
 
 
-@pytest.mark.parametrize("small", [32, 2])
-def test_classes_equal_brute_force(spark, small):
+def test_classes_equal_brute_force(spark):
     docs = made_docs()
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
-    out = minhash.classes(df, small=small).collect()
+    out = minhash.classes(df).collect()
     assert {r.doc_id: r.class_id for r in out} == brute_classes(docs)
     kept = [r for r in out if r.kept]
     assert sorted(r.doc_id for r in kept) == sorted({r.class_id for r in out})
 
 
-def test_large_bucket_rounds_lose_no_link(spark):
+def test_followers_of_a_leader_lose_no_link(spark):
     """A chain whose ends are not alike: classes only close through links between followers."""
     words = [f"w{i}" for i in range(2000)]
     docs = {k: " ".join(words[k * 4 : k * 4 + 80]) for k in range(40)}
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    got = {r.doc_id: r.class_id for r in minhash.classes(df, small=2, many=60, rows=2).collect()}
+    got = {r.doc_id: r.class_id for r in minhash.classes(df, many=60, rows=2).collect()}
     assert got == brute_classes(docs)
 
 
@@ -166,6 +165,6 @@ def test_shingles_follow_words():
 
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (5, 5), (3, 1), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u bigint, v bigint"), len(links)).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, **{k: 20 for k in range(20, 26)}}
-    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+    assert components(spark.createDataFrame([], "u bigint, v bigint"), 0).count() == 0
