@@ -18,10 +18,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import LETTERS, NUMBERS, lean, stored
+from quillgraph.llm.common import lean, stored
 
 WINDOW = 2048
 #: Open windows of a partition.
@@ -43,18 +45,50 @@ MERGED = 1 << 61
 
 #: The pre-token pattern of lower-casing vocabularies with word ends.  Fixed value of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same, spelt out for characters below U+0250, none of which is composed of others.
-LATIN = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+#: Kinds of the characters below U+0250, none of which is composed of others, in the pattern's terms.
+SPACE, LETTER, NUMBER, MARK = range(4)
+KINDS = np.full(0x250, MARK, np.int8)
+for _c in range(0x250):
+    KINDS[_c] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(_c))[0], SPACE if chr(_c).isspace() else MARK)
 #: Other characters, and four that Python takes for white space and the library does not.
 OTHER = re.compile("[^\x00-\x1b\x20-\u024f]").search
+#: Characters that are cut at a time.
+STEP = 1_000_000
+
+
+def cut_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each pre-token, and each stretch of white space, of lower-cased UTF-8 begins, and which are white space."""
+    kind = KINDS[np.where(data < 0x80, data, ord("a"))]
+    wide = np.flatnonzero(data >= 0xC0)
+    if len(wide):
+        kind[wide] = kind[wide + 1] = KINDS[(data[wide].astype(np.int32) & 0x1F) << 6 | data[wide + 1] & 0x3F]
+    first = np.ones(len(data), bool)
+    # runs of one kind stay together, but every number is one of its own
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    first[wide + 1] = False
+    # an apostrophe alone takes one or two letters with it
+    lone = np.flatnonzero(first & (data == ord("'")))
+    lone = lone[(lone + 1 < len(data))]
+    lone = lone[first[lone + 1] & (kind[lone + 1] == LETTER)]
+    after = np.append(data, np.uint8(0)).astype(np.int32)
+    x, y = after[lone + 1], after[lone + 2]
+    one = np.isin(x, [ord(c) for c in "stmd"])
+    two = ~one & np.isin(x << 8 | y, [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")])
+    taken = np.r_[lone[one], lone[two]]
+    first[taken + 1] = False
+    ends = np.r_[lone[one] + 2, lone[two] + 3]
+    first[ends[ends < len(data)]] = True
+    at = np.flatnonzero(first)
+    return at, kind[at] == SPACE
 
 
 class Worded:
     """A library tokenizer that is asked once for each word.
 
     Where a vocabulary drops white space, lower-cases and cuts by ``PATTERN``, a text of
-    Latin letters is the ids of its lower-cased pre-tokens one after another.  Texts with
-    other characters, and other vocabularies, go to the library as they are.
+    Latin letters is the ids of its lower-cased pre-tokens one after another: texts are
+    cut together, and ids looked up once for each different word.  Texts with other
+    characters, and other vocabularies, go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -70,38 +104,75 @@ class Worded:
         self.worded = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and cut.get("pattern") == {"Regex": PATTERN} and cut.get("invert") is True
         self.marks = [x["content"] for x in spec["added_tokens"]]
         if self.worded:
-            # the same vocabulary for words that are lowered and cut already
-            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][1]}))
+            # the same vocabulary for words that are lowered and cut already, one a line
+            lines = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
+            steps = {"type": "Sequence", "pretokenizers": [lines, spec["pre_tokenizer"]["pretokenizers"][1]]}
+            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": steps}))
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str], words: bool = False) -> list[bytes]:
-        tokenizer = self.bare if words else self.library
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pre_tokens(self, text: str) -> list[str] | None:
-        """None: the library is to take the text."""
-        if not self.worded or any(m in text for m in self.marks):
-            return None
-        low = text.lower()
-        return None if OTHER(low) else LATIN.findall(low)
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Ask the library for words that were not asked for yet."""
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
+            told = self.bare.encode("\n".join(some), add_special_tokens=False)
+            ids, place = np.array(told.ids, "<u4"), np.array(told.word_ids)
+            ends = np.searchsorted(place, np.arange(len(some)), "right")
+            packed, last = ids.tobytes(), 0
+            for word, end in zip(some, ends.tolist(), strict=True):
+                self.words[word] = packed[4 * last : 4 * end]
+                last = end
+
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """Packed ids of different words; the latest ``KEPT`` are remembered, and those before until the next clearance."""
+        if len(self.words) >= KEPT:
+            self.older, self.words = self.words, {}
+        known, older, new = self.words, self.older, []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        self.learn(new)
+        return [known[w] for w in words]
+
+    def latin(self, low: list[str]) -> list[bytes]:
+        """Packed ids of lower-cased texts of Latin letters."""
+        data = np.frombuffer("\n".join([*low, ""]).encode(), np.uint8)
+        at, blank = cut_points(data)
+        offsets = np.append(at, len(data)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).filter(pa.array(~blank)).dictionary_encode()
+        ids = self.lookup(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        code = pieces.indices.to_numpy()
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        begin, many = np.cumsum(size) - size, size[code]
+        upto = np.cumsum(many)
+        total = int(upto[-1]) if len(upto) else 0
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begin[code] - upto + many, many) + np.arange(total)]
+        ends = np.cumsum([len(t.encode()) + 1 for t in low])
+        words = np.searchsorted(at[~blank], ends)
+        cuts = [0, *np.concatenate([[0], upto])[words].tolist()]
+        packed = flat.tobytes()
+        return [packed[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        parts = [self.pre_tokens(t) for t in texts]
-        if len(self.words) >= KEPT:
-            self.older, self.words = self.words, {}
-        words, older = self.words, self.older
-        new = set().union(*(p for p in parts if p)).difference(words)
-        words.update({w: older[w] for w in new if w in older})
-        new.difference_update(words)
-        rest = list(new)
-        for at in range(0, len(rest), 10_000):
-            words.update(zip(rest[at : at + 10_000], self.whole(rest[at : at + 10_000], words=True), strict=True))
-        out = [b"" if p is None else b"".join(map(words.__getitem__, p)) for p in parts]
-        odd = [k for k, p in enumerate(parts) if p is None]
-        for k, packed in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
-            out[k] = packed
+        low = [t.lower() for t in texts] if self.worded else []
+        odd = {k for k, t in enumerate(texts) if not self.worded or OTHER(low[k]) or any(m in t for m in self.marks)}
+        out: list[bytes] = [b""] * len(texts)
+        for some, how in ((sorted(odd), lambda own: self.whole([texts[k] for k in own])), ([k for k in range(len(texts)) if k not in odd], lambda own: self.latin([low[k] for k in own]))):
+            at = 0
+            while at < len(some):
+                size, stop = 0, at
+                while stop < len(some) and (stop == at or size + len(texts[some[stop]]) <= STEP):
+                    size, stop = size + len(texts[some[stop]]), stop + 1
+                for k, packed in zip(some[at:stop], how(some[at:stop]), strict=True):
+                    out[k] = packed
+                at = stop
         return out
 
 
@@ -117,11 +188,9 @@ def token_batches(path: str, end_id: int | None, ids: str = "ids") -> Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                packed = [p + end for p in tokenizer.encode(batch.column(batch.num_columns - 1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(packed, pa.binary())], names=[*batch.schema.names[:-1], ids])
+        for batch in batches:
+            packed = [p + end for p in tokenizer.encode(batch.column(batch.num_columns - 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(packed, pa.binary())], names=[*batch.schema.names[:-1], ids])
         tokenizer.older.clear()
 
     return run
@@ -165,13 +234,14 @@ class Windows:
                 insort(self.open, (free - take, age, held))
 
 
-def pack_partitions(rows: DataFrame, window: int = WINDOW, most: int = OPEN, before: Callable = iter) -> DataFrame:
-    """Pieces (key, start, length, doc_tokens, sequence_id, offset, open, part, ids) of each partition; ``open`` marks what was left.
+def pack_partitions(rows: DataFrame, window: int = WINDOW, most: int = OPEN, before: Callable = iter, keep_ids: bool = True) -> DataFrame:
+    """Pieces (key, start, length, doc_tokens, sequence_id, offset, ids_crc32, open, part, ids) of each partition; ``open`` marks what was left.
 
-    ``rows`` has a key and packed ids, or what ``before`` turns into these in the same task.
+    ``rows`` has a key and packed ids, or what ``before`` turns into these in the same
+    task.  Unless ids are to be kept, only open pieces have them.
     """
     long, kind = T.LongType(), rows.schema[0]
-    schema = T.StructType([kind, *[T.StructField(c, long) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], T.StructField("open", T.BooleanType()), T.StructField("part", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([kind, *[T.StructField(c, long) for c in ("start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32")], T.StructField("open", T.BooleanType()), T.StructField("part", T.IntegerType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, part, count = Windows(window, most), TaskContext.get().partitionId(), 0
@@ -182,12 +252,12 @@ def pack_partitions(rows: DataFrame, window: int = WINDOW, most: int = OPEN, bef
             nonlocal count
             offset = 0
             for (doc, tokens), start, packed in held:
-                out.append((doc, start, len(packed) // 4, tokens, part << 32 | count, offset, is_open, part, packed))
+                out.append((doc, start, len(packed) // 4, tokens, part << 32 | count, offset, crc32(packed), is_open, part, packed if keep_ids or is_open else None))
                 offset += len(packed) // 4
             count += 1
 
         def flush() -> pa.RecordBatch:
-            kinds = [key_type, *[pa.int64()] * 5, pa.bool_(), pa.int32(), pa.binary()]
+            kinds = [key_type, *[pa.int64()] * 6, pa.bool_(), pa.int32(), pa.binary()]
             made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=schema.names)
             out.clear()
             return made
@@ -243,6 +313,7 @@ def merge_leftovers(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
         "open": F.lit(False),
         "ids": F.expr("substring(ids, cast(4 * (low - g) + 1 as int), cast(4 * (high - low) as int))"),
     }
+    values["ids_crc32"] = F.crc32(values["ids"])
     return cut.select(*[(values[c].alias(c) if c in values else F.col(f"`{c}`")) for c in pieces.columns])
 
 
@@ -255,24 +326,17 @@ def _window(by: tuple, order: tuple):
 def pack(docs: DataFrame, key: str = "doc_id", ids: str = "ids", window: int = WINDOW, most: int = OPEN, keep_ids: bool = True) -> DataFrame:
     """Pieces (key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, packed ids) of all documents."""
     rows = docs.select(key, F.coalesce(F.col(ids), F.lit(b"")).alias("ids"))
-    return merged(pack_partitions(rows, window, most), key, window, keep_ids)
+    return merged(pack_partitions(rows, window, most, keep_ids=keep_ids), key, window, keep_ids)
 
 
 def pack_texts(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id", text: str = "text", window: int = WINDOW, most: int = OPEN, keep_ids: bool = True) -> DataFrame:
     """``pack`` of what ``tokenize`` gives, in one Python worker a task: ids do not travel between the two."""
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return merged(pack_partitions(rows, window, most, token_batches(path, end_id)), key, window, keep_ids)
+    return merged(pack_partitions(rows, window, most, token_batches(path, end_id), keep_ids), key, window, keep_ids)
 
 
 def merged(local: DataFrame, key: str, window: int, keep_ids: bool) -> DataFrame:
     """The pieces of all partitions with what was left open merged."""
-    if not keep_ids:
-        local = local.withColumn("ids_crc32", F.crc32("ids")).withColumn("ids", F.when(F.col("open"), F.col("ids")))
     held = stored(local, "packed")
-    left = merge_leftovers(held.where("open"), window)
-    if not keep_ids:
-        left = left.withColumn("ids_crc32", F.crc32("ids"))
-    whole = held.where("not open").unionByName(left)
-    if keep_ids:
-        whole = whole.withColumn("ids_crc32", F.crc32("ids"))
+    whole = held.where("not open").unionByName(merge_leftovers(held.where("open"), window))
     return whole.select(key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids)
