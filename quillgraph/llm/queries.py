@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe, langid, media, minhash, packing, quality, topk, toxicity, urlfilter, warc
-from quillgraph.llm.common import held_out, scratch, ship, table
+from quillgraph.llm.common import held_out, observed, scratch, ship, table
 
 #: The rules of op5: host, path, action.
 URL_RULES = [
@@ -112,13 +112,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     to = scratch(spark, "warc")
     warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages"), files=True), to)
-    read = warc.read_archives(spark, to, payloads=False).where(F.col("error").isNull())
-    return read.select(
+    return read_back(spark, to)
+
+
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the archives below ``path``; each row tells how many byte gaps were quarantined, which are logged beside the records."""
+    read, told = observed(warc.read_archives(spark, path, payloads=False), "records", {"gaps": F.count_if(F.col("error").isNotNull())})
+    return read.where(F.col("error").isNull()).select(
         warc.page_of("record_id").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",
         warc.page_of("refers_to").alias("refers_to"),
+        F.lit(told["gaps"]).alias("gaps"),
     )
 
 

@@ -13,7 +13,8 @@ two line ends, which are the sink's separator, so the sink writes exact records.
 Defined results: null payload counts as empty; a null id is larger than any other;
 of rows with the same id and payload one is the response; a null url has no target
 line; control characters of a url are percent-encoded; an empty table writes no
-record and reads back as no row; other columns are not stored.  The payload of a chunked
+record and reads back as no row; other columns are not stored, whatever their names;
+payloads of any length are stored whole.  The payload of a chunked
 response is its content without the chunks; a response that is not of HTTP is all payload.
 """
 
@@ -26,18 +27,20 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import stored
+from quillgraph.llm.common import counted, stored
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of one archive file at most: with usual pages about 16 MB.
-RECORDS_PER_FILE = 4096
-#: Revisits of at most so many rows (24 bytes each) may be sent to every executor.
-BROADCAST_REVISITS = 200_000
+#: Records of one archive file at most, and bytes of a payload among so many; larger ones have archives of their own.
+RECORDS_PER_FILE, SMALL_PAYLOAD = 4096, 64 << 10
+#: Bytes of an archive of larger payloads, about, unless one record has more.
+ARCHIVE_BYTES = 256 << 20
+#: Digests that occur again: so many rows (64 bytes each) may be sent to every executor.
+BROADCAST_DIGESTS = 200_000
 _LARGEST = (1 << 63) - 1
 
 
@@ -74,23 +77,19 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", paylo
     )
     order = F.struct(F.coalesce("page_id", F.lit(_LARGEST)).alias("k"), F.col("row").alias("r"))
     marks = rows.where(F.col("payload_bytes") >= min_bytes).select("payload_digest", "page_id", "row", order.alias("o"))
-    first = marks.groupBy("payload_digest").agg(F.min("o").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = (
-        marks.join(first, "payload_digest")
-        .where(F.col("row") != F.col("first.r"))
-        .select("row", F.when(F.col("first.k") < _LARGEST, F.col("first.k")).alias("refers_to"), F.lit(True).alias("seen"))
-    )
-    n = again.count()
-    again = F.broadcast(again) if n <= BROADCAST_REVISITS else again
-    return rows.join(again, "row", "left").select(
-        "page_id",
-        "url",
-        "payload",
-        "payload_bytes",
-        "payload_digest",
-        F.when(F.col("seen"), F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
-        "refers_to",
-    )
+    grouped = marks.groupBy("payload_digest").agg(F.min("o").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # stored, so that a join of very many of them deals both sides anew and can split a hot digest
+    first, n = counted(grouped.select("payload_digest", "first"), "digests")
+    later = (F.col("row") != F.col("first.r")) & (F.col("payload_bytes") >= min_bytes)
+    to = F.when(F.col("first.k") < _LARGEST, F.col("first.k"))
+    if n <= BROADCAST_DIGESTS:
+        told = rows.join(F.broadcast(first), "payload_digest", "left").withColumn("seen", later).withColumn("refers_to", F.when(later, to))
+    else:
+        # payloads move once, by row, and never by digest
+        again = marks.join(first, "payload_digest").where(F.col("row") != F.col("first.r")).select("row", to.alias("refers_to"), F.lit(True).alias("seen"))
+        told = rows.join(again, "row", "left")
+    kind = F.when(F.col("seen"), F.lit("revisit")).otherwise(F.lit("response"))
+    return told.select("page_id", "url", "payload", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 def record_text(date: str = "2000-01-01T00:00:00Z") -> Column:
@@ -122,13 +121,17 @@ def record_text(date: str = "2000-01-01T00:00:00Z") -> Column:
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """Write planned rows as archives below ``path``."""
-    (
-        records.select(record_text().alias("value"))
-        .write.option("lineSep", "\r\n\r\n")
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
-        .text(path)
-    )
+    """Write planned rows as archives below ``path``: small payloads by number, larger ones by bytes."""
+    large = F.col("payload_bytes") > SMALL_PAYLOAD
+    seen = Observation()
+    rows = records.observe(seen, F.max(F.when(large, F.col("payload_bytes"))).alias("most"))
+    _write(rows.where(~large), f"{path}/small", RECORDS_PER_FILE)
+    if most := seen.get["most"]:
+        _write(records.where(large), f"{path}/large", max(1, ARCHIVE_BYTES // most))
+
+
+def _write(records: DataFrame, path: str, most: int) -> None:
+    records.select(record_text().alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(path)
 
 
 #: Digests that are checked.
@@ -277,7 +280,7 @@ RECORDS = T.StructType(
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records and quarantined gaps (``error`` not null) of the archives below ``path``; one archive is in memory at a time."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list) -> pa.RecordBatch:
