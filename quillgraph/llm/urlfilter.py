@@ -3,11 +3,14 @@
 Native: DataFrame functions only.  Each distinct (host, path) expands into the
 expressions that a rule could be written as (its last k host labels followed by
 the first n characters of its path, for the k and n that occur among the rules),
-the expressions are hashed, joined to the rules on a four-byte prefix of the
-digest, confirmed on the full digest, and the longest confirmed rule wins.
+the expressions are hashed, joined to the rules of the same four-byte prefix of the
+digest and to nothing else, confirmed on the full digest, and the longest confirmed
+rule wins.  Addresses without a host need no join and get the default verdict at once.
 
 Defined results: a null url, or one without ``://``, has empty host and path; an
-empty rule table, or no fitting rule, gives the default verdict and a null rule;
+empty rule table, or no fitting rule, gives the default verdict and a null rule; rules
+without a host, and urls with an empty host, fit nothing; urls of any length are read
+whole; an empty table gives no row;
 of equally long rules ``block`` wins, then the smaller rule text; repeated rows
 each get a row; other columns of the input do not take part, whatever their names.
 """
@@ -37,7 +40,7 @@ def rule_table(rules: DataFrame) -> DataFrame:
     """Rules (host, path, action) with the digest of their expression."""
     rule = F.concat("host", "path")
     return (
-        rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("action").isNotNull())
+        rules.where((F.col("host") != "") & F.col("path").isNotNull() & F.col("action").isNotNull())
         .select(
             rule.alias("rule"),
             "action",
@@ -62,7 +65,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         F.sort_array(F.collect_set("labels")).alias("labels"),
         F.sort_array(F.collect_set("path_len")).alias("lens"),
     ).first()
-    side = known.select("prefix", "digest", "rule", "action")
+    # the rules of a prefix are few: only digests that begin alike share one
+    side = known.groupBy("prefix").agg(F.collect_list(F.struct("digest", "rule", "action")).alias("known"))
     if shape["n"] <= BROADCAST_RULES:
         side = F.broadcast(side)
     label_counts = F.array(*[F.lit(k) for k in shape["labels"]]) if shape["n"] else F.array().cast("array<int>")
@@ -79,11 +83,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     expressions = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.sha2(F.concat(h, p), 256))))
 
     # each distinct address is judged once, so a hot host or page costs one row
-    addresses = rows.select("host", "path").distinct()
+    named = F.col("host") != ""
+    confirmed = F.filter("known", lambda r: r["digest"] == F.col("full"))
     hits = (
-        addresses.select("host", "path", F.explode(expressions).alias("full"))
-        .withColumn("short", F.substring("full", 1, PREFIX_DIGITS))
-        .join(side, (F.col("short") == F.col("prefix")) & (F.col("full") == F.col("digest")))
+        rows.where(named)
+        .select("host", "path")
+        .distinct()
+        .select("host", "path", F.explode(expressions).alias("full"))
+        .withColumn("prefix", F.substring("full", 1, PREFIX_DIGITS))
+        .join(side, "prefix")
+        .select("host", "path", F.inline(confirmed).alias("digest", "rule", "action"))
         .groupBy("host", "path")
         .agg(
             F.max_by(
@@ -92,7 +101,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
             ).alias("__won")
         )
     )
-    return rows.join(hits, ["host", "path"], "left").select(
+    out = rows.where(named).join(hits, ["host", "path"], "left").select(*[F.col(f"`{c}`") for c in kept], "host", "path", "__won")
+    return out.unionByName(rows.where(~named), allowMissingColumns=True).select(
         *[F.col(f"`{c}`") for c in kept],
         "host",
         "path",
