@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import oracle
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from quillgraph.llm import minhash, queries, topk
@@ -168,3 +169,19 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u bigint, v bigint"), len(links)).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, **{k: 20 for k in range(20, 26)}}
     assert components(spark.createDataFrame([], "u bigint, v bigint"), 0).count() == 0
+
+
+def test_topk_bounds_and_hot_vectors(spark):
+    """Clustered vectors: few blocks travel; one vector that many rows share; products beyond 2**53."""
+    rng = random.Random(4)
+    rows = [(i, [rng.randrange(50) + (400 if j == i % 12 else 0) for j in range(12)]) for i in range(900)] + [(1000 + i, [7] * 12) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, q array<bigint>").withColumn("id", F.lit("clash")).withColumn("Block", F.lit(1))
+    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block=16, shelf=4, queries=8).collect()}
+    assert got == brute_top(rows, lambda q: q % 50 == 0, 5)
+    big = [(i, [(1 << 30) + rng.randrange(1 << 20), rng.randrange(-(1 << 29), 1 << 29), i]) for i in range(60)]
+    got = {tuple(r) for r in topk.top_k(spark.createDataFrame(big, "vec_id bigint, q array<bigint>"), F.col("vec_id") % 7 == 0, block=8, shelf=2, queries=4).collect()}
+    assert got == brute_top(big, lambda q: q % 7 == 0, 5)
+    q, mats = np.array([[400, 1], [1, 400]]), [np.array([[300, 0], [350, 2]]), np.array([[0, 300], [1, 310]])]
+    asks = pd.DataFrame([[0, 0, [1, 2], q.ravel(), [120_000, 120_000]]], columns=["group", "shelf", "asked", "q", "floor"])
+    maxima = pd.DataFrame([[b, m.max(axis=0), m.min(axis=0)] for b, m in enumerate([*mats, np.array([[1, 1]])])], columns=["block", "top", "low"])
+    assert topk.live_blocks(asks, maxima)["block"].tolist() == [0, 1]
