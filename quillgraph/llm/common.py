@@ -26,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session has none (tests), a folder of this machine is set.
+    Where a local session has none (tests), a folder of this machine is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints/quillgraph"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
@@ -135,6 +137,15 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def drawn_by(key: Column, seed: int, stratum: Column, share: dict) -> Column:
+    """Whether a row is in a sample of a share of each stratum: the hash of its key decides, so that files and reruns do not matter."""
+    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    limit = F.lit(0.0)
+    for k, v in share.items():
+        limit = F.when(stratum == k, min(1.0, v)).otherwise(limit)
+    return place < limit
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[int, int]]:
     """(text, label) of about ``per_class`` documents of each label 0 and 1, stored, and how many labels there are of each.
 
@@ -143,6 +154,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and __key is not null")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    drawn = known.sampleBy("label", {k: min(1.0, per_class / v) for k, v in sizes.items()}, seed)
+    drawn = known.where(drawn_by(F.col("__key"), seed, F.col("label"), {k: per_class / v for k, v in sizes.items()}))
     rows = docs.select(F.col(key).alias("__id"), text_of(text).alias("text"))
     return stored(rows.join(F.broadcast(drawn), F.col("__id") == F.col("__key")).select("text", "label"), "sample"), sizes

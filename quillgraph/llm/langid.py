@@ -12,8 +12,9 @@ once, by following its contexts through arrays.
 Defined results: a null text, or one without a letter, gives ``und`` with score 0
 (so does every text if nothing was learned); rows of null lang or text teach
 nothing; ties go to the language first in order; texts of any length are scored
-whole; repeated rows each get a row; other columns pass through unless they have the
-name of a result, which replaces them.
+whole; repeated rows each get a row and are learned from once; an empty table gives no
+row; other columns pass through unless they have the name of a result, which replaces
+them.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import lean
+from quillgraph.llm.common import drawn_by, lean
 
 #: Documents of each language that are learned from, about.
 PER_LANG = 400
 ORDER = 3
 #: A context is kept from so many visits on, over all languages.
 MIN_VISITS = 8
+#: The model is sent to every executor; where it would be larger, contexts need more visits.
+MODEL_BYTES = 64 << 20
 #: Bytes scored at a time.
 STEP = 1 << 18
 UNDETERMINED = "und"
@@ -51,7 +54,7 @@ class Model:
 
 
 def count_grams(sample: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, n): how often each byte followed each context of ``order`` bytes; text starts follow line ends."""
+    """(lang, gram, n): how often each byte followed each context of ``order`` bytes; line ends come before and after a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +62,7 @@ def count_grams(sample: DataFrame, order: int) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text.encode())
             for lang, texts in by.items():
-                data = np.frombuffer((b"\n" * order).join([b"", *texts]), np.uint8).astype(np.int64)
+                data = np.frombuffer((b"\n" * order).join([b"", *texts, b""]), np.uint8).astype(np.int64)
                 n = len(data) - order
                 if n <= 0:
                     continue
@@ -72,6 +75,16 @@ def count_grams(sample: DataFrame, order: int) -> DataFrame:
     return sample.mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def table_bytes(gram: np.ndarray, n: np.ndarray, order: int, min_visits: int, langs: int) -> int:
+    """How large the tables of the contexts of at least so many visits are, at most."""
+    kept = 1
+    for k in range(1, order + 1):
+        _, at = np.unique(gram >> 8 & ((1 << 8 * k) - 1), return_inverse=True)
+        kept += int((np.bincount(at, n) >= min_visits).sum())
+    different = np.unique(np.concatenate([np.unique(gram >> 8 * k & 255) for k in range(order + 1)]))
+    return kept * (len(different) + 1) * 4 * (langs + 1)
+
+
 def build(langs: list[str], docs: list[int], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int, min_visits: int) -> Model:
     """The shared table of contexts from (language index, gram, count) rows."""
     seen = np.unique(gram & 255)
@@ -117,14 +130,18 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int =
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    sample = rows.sampleBy("lang", {k: min(1.0, per_lang / v) for k, v in sizes.items()}, seed)
+    # equal texts are drawn together, and one of them is learned from
+    sample = rows.where(drawn_by(F.col("text"), seed, F.col("lang"), {k: per_lang / v for k, v in sizes.items()})).dropDuplicates(["lang", "text"])
     langs = sorted(sizes)
     counts = count_grams(sample, order).toArrow()
     if not counts.num_rows:
         return None
     at = {k: i for i, k in enumerate(langs)}
     index = np.array([at[x] for x in counts["lang"].to_pylist()], np.int64)
-    return build(langs, [sizes[k] for k in langs], index, counts["gram"].to_numpy(), counts["n"].to_numpy(), order, min_visits)
+    gram, n = counts["gram"].to_numpy(), counts["n"].to_numpy()
+    while table_bytes(gram, n, order, min_visits, len(langs)) > MODEL_BYTES:
+        min_visits *= 2
+    return build(langs, [sizes[k] for k in langs], index, gram, n, order, min_visits)
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:

@@ -5,10 +5,13 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from quillgraph.llm import langid, quality, queries, toxicity
 from quillgraph.llm.calibrate import fit_logistic, logistic
+from quillgraph.llm.common import labelled_sample
 
 DOC = "doc_id bigint, text string, score string, Segments int, lang string"
 
@@ -118,8 +121,38 @@ def test_toxicity_query_on_held_out(spark, sf):
     out = queries.op1_toxicity(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = out.where("held_out").join(labels, "doc_id").collect()
-    right = sum(r.predicted == r.toxic for r in rows) / len(rows)
-    assert right >= 0.9 and out.count() == 1000
+    toxic, told = [r for r in rows if r.toxic == 1], [r for r in rows if r.predicted == 1]
+    assert sum(r.predicted for r in toxic) / len(toxic) >= 0.6 and sum(r.toxic for r in told) / len(told) >= 0.9
+    assert out.count() == 1000
+
+
+def test_toxicity_recall_and_precision(spark):
+    sf = "/root/testdata/sf0.1"
+    out = queries.op1_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    told = {(r.toxic, r.predicted): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
+    hit, missed, false = (told.get(k, 0) for k in ((1, 1), (1, 0), (0, 1)))
+    assert hit + missed > 50 and hit / (hit + missed) >= 0.85 and hit / (hit + false) >= 0.97
+
+
+def test_weights_follow_the_formula(spark):
+    """Log-odds and their deviations from counts by hand, over every token of made labels."""
+    docs, labels = made_labels(spark, 60)
+    texts, of = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    sample = docs.join(labels, "doc_id").select("text", F.col("toxic").alias("label"))
+    n = [sum(v == k for v in of.values()) for k in (0, 1)]
+    want = {}
+    for token in {w for t in texts.values() for w in toxicity.tokens(t)}:
+        y = [sum(of[k] == c and token in toxicity.tokens(t) for k, t in texts.items()) for c in (0, 1)]
+        a = sum(y) * 0.02
+        odds = [np.log((y[c] + a) / (n[c] + 0.02 * sum(n) - y[c] - a)) for c in (0, 1)]
+        z = abs(odds[1] - odds[0]) / np.sqrt(1 / (y[0] + a) + 1 / (y[1] + a))
+        if z >= 1.0:
+            want[token] = odds[1] - odds[0]
+    got = {r.token: r.score for r in toxicity.weigh(toxicity.count_tokens(sample), n[1], n[0], 0.02, 1.0).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    score, share = np.array([2.0, -1.0]), np.array([0.05, 0.3])
+    lam = toxicity.solve_lambda(score, share, 0.4)
+    assert 0.05 * np.exp(lam * 1.6) + 0.3 * np.exp(lam * -1.4) + 0.65 * np.exp(-lam * 0.4) == pytest.approx(1, abs=1e-6)
 
 
 # --- quality
@@ -133,6 +166,21 @@ def test_quality_query_on_held_out(spark):
     assert out.count() == 1000
 
 
+def test_quality_features_by_plain_compression(spark):
+    """Features and scores of the operator against zstandard called by hand on the same dictionaries."""
+    docs = spark.createDataFrame([(i, ("good sentence number %d. " % i if i % 2 else "### junk *** %d %%%% " % i) * (3 + i % 40 * 8)) for i in range(240)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels)
+    packers = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+    for r in quality.score(docs, model).collect():
+        blocks = [r.text[a : a + quality.BLOCK] for a in range(0, len(r.text), quality.BLOCK)]
+        sizes = [[len(p.compress(b.encode())) for p in packers] for b in blocks]
+        g, b = map(sum, zip(*sizes, strict=True))
+        least = min((y - x) / (x + y) for k, ((x, y), block) in enumerate(zip(sizes, blocks, strict=True)) if k == 0 or len(block) >= quality.BLOCK // 2)
+        x = np.array([20 * (b - g) / (b + g), 20 * least, 4 * min((g + b) / (2 * len(r.text)), 1.0)])
+        assert r.gain == pytest.approx((b - g) / (b + g)) and r.score == pytest.approx(1 / (1 + np.exp(-(model.weights[0] + x @ model.weights[1:]))), abs=1e-9)
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(i, ("good sentence number %d. " % i if i % 2 else "### junk *** %d %%%% " % i) * 20) for i in range(200)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
@@ -249,3 +297,21 @@ def test_language_odd_rows(spark):
     assert none is None and {r.lang_pred for r in langid.identify(rows, none).collect()} == {"und"}
     clash = langid.identify(rows.withColumnRenamed("lang", "Lang_Pred"), model)
     assert sorted(clash.columns) == sorted(["doc_id", "text", "Segments", "lang_pred", "score", "bits_per_byte"])
+
+
+def test_samples_do_not_depend_on_files(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    drawn = lambda parts: {r.text for r in labelled_sample(docs.repartition(parts), labels.repartition(parts), "quality", 20, 5)[0].collect()}
+    assert drawn(1) == drawn(7) and 10 <= len(drawn(3)) <= 90
+    models = [langid.fit(docs.repartition(k), per_lang=15) for k in (1, 7)]
+    assert (models[0].bits == models[1].bits).all() and len(models[0].child) == len(models[1].child)
+
+
+def test_language_model_stays_within_its_bound(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = langid.fit(docs)
+    monkeypatch.setattr(langid, "MODEL_BYTES", whole.bits.nbytes // 4)
+    less = langid.fit(docs)
+    assert less.bits.nbytes + less.child.nbytes <= langid.MODEL_BYTES
+    told = langid.identify(docs, less).where("lang is not null").collect()
+    assert sum(r.lang_pred == r.lang for r in told) / len(told) > 0.95
