@@ -11,7 +11,8 @@ about ``KEPT`` pre-tokens.
 Defined results: null text counts as empty and gives no ids; the strings of added tokens
 become those tokens, as in the library; decoding drops ids outside the vocabulary and
 replaces broken UTF-8; null ids decode to null; repeated rows each get a row; texts of any
-length are encoded whole; other columns pass through unless they have the result's name.
+length are encoded whole; of equal ranks the leftmost pair merges first; an empty table
+gives no row; other columns pass through unless they have the result's name.
 """
 
 from __future__ import annotations

@@ -8,7 +8,11 @@ stored as two arrays (frame of the anchor, pair code).
 
 Defined results: null text counts as empty; an empty payload is padded to 64 zero
 bytes, so every row has media; a frame of silence has no peaks, so its arrays are
-empty; equal payloads give equal media and arrays; other columns pass through.
+empty; of equally strong bins of a band the lower one is its peak, and of equal
+neighbours in time the earlier one; texts of any length are read whole, frames in blocks;
+equal payloads, so repeated rows too, give equal media and arrays; an empty table gives
+no row; other columns pass through unless they have the name of a result, which replaces
+them.
 """
 
 from __future__ import annotations

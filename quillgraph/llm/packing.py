@@ -37,8 +37,8 @@ from quillgraph.llm.common import lean, stored
 WINDOW = 2048
 #: Open windows of a partition.
 OPEN = 16
-#: Words that a worker remembers between two clearances (about 80 MB).
-KEPT = 500_000
+#: Words that a worker remembers between two clearances (about 40 MB).
+KEPT = 200_000
 #: Sequence numbers of merged leftovers start here; below are partition << 32 | count.
 MERGED = 1 << 61
 

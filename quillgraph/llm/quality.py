@@ -8,7 +8,9 @@ A logistic curve fitted on other labelled documents turns that into a score.
 Defined results: null and empty texts have no difference and get the score of the
 features 0; rows of null label teach nothing; with one class, or none, every score is
 the share of that class (0.5 without rows); texts of any length are compressed whole;
-repeated rows each get a row; other columns pass through unless named score or gain.
+equal sizes are no difference; repeated rows each get a row, and repeated blocks train
+once; an empty table gives no row; other columns pass through unless named score or gain,
+which the results replace.
 """
 
 from __future__ import annotations

@@ -63,7 +63,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("fp_time").cast("string"),
         F.md5(F.to_json(F.struct("fp_time", "fp_code")).cast("binary")),
     )
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "fp_time", "fp_code")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

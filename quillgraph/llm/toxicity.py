@@ -16,7 +16,9 @@ Defined results: null and empty texts have no segment and get the score of no
 evidence; a token is a run of letters, digits or underscores, in lower case; without
 learned rows, or with one class only, every score is the share of that class (0.5
 without rows); tied segments are listed by place; texts of any length are read whole;
-repeated rows each get a row; other columns pass through unless a result has their name.
+repeated rows each get a row, and repeated labelled texts teach once; an empty table
+gives no row; other columns pass through unless a result has their name, which replaces
+them.
 """
 
 from __future__ import annotations

@@ -3,9 +3,12 @@
 import base64
 import gzip
 import hashlib
+import io
 import random
+import wave
 import zlib
 
+import numpy as np
 import oracle
 import pytest
 from pyspark.sql import functions as F
@@ -34,8 +37,6 @@ def test_media_round_trip(spark):
 
 
 def test_fingerprints_pair_peaks(spark):
-    import numpy as np
-
     tone = (128 + 100 * np.sin(np.arange(8000) * 2 * np.pi * 0.11) * (np.arange(8000) // 500 % 2)).astype(np.uint8).tobytes()
     t, f = media.peaks(tone)
     when, code = media.fingerprints(tone)
@@ -47,10 +48,43 @@ def test_fingerprints_pair_peaks(spark):
     assert set(zip((shifted[0] - 10).tolist(), shifted[1].tolist(), strict=True)) & peaks
 
 
+def brute_pairs(payload):
+    """Peaks and pairs by definition: a transform as sums of sines, every frame, band and pair by hand."""
+    frames = 1 + max(0, -(-(len(payload) - 256) // 128))
+    x = np.zeros(256 + (frames - 1) * 128)
+    x[: len(payload)] = np.frombuffer(payload, np.uint8) - 128.0
+    k, n = np.arange(129)[:, None], np.arange(256)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * n / 255)
+    basis = np.exp(-2j * np.pi * k * n / 256) * window
+    power = [np.abs(basis @ x[128 * f : 128 * f + 256]) for f in range(frames)]
+    top = [[max((power[f][b], -b) for b in range(lo, hi)) for lo, hi in media.BANDS] for f in range(frames)]
+    peaks = []
+    for f in range(frames):
+        for b in range(4):
+            before = top[f - 1][b][0] if f else -1
+            after = top[f + 1][b][0] if f + 1 < frames else -1
+            if top[f][b][0] > before and top[f][b][0] >= after and top[f][b][0] > 1e-3:
+                peaks.append((f, -top[f][b][1]))
+    pairs = [(i, step) for step in range(1, 4) for i in range(len(peaks) - step) if peaks[i + step][0] - peaks[i][0] <= 32]
+    return [(peaks[i][0], peaks[i][1] << 14 | peaks[i + s][1] << 7 | (peaks[i + s][0] - peaks[i][0])) for i, s in sorted(pairs, key=lambda p: (peaks[p[0]][0], p[1], p[0]))]
+
+
 def test_media_query(spark, sf):
     out = queries.op3_media(spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert out.count() == docs.count()
+    told = {r.doc_id: r for r in out.collect()}
+    assert len(told) == docs.count()
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        payload, held = data + b"\0" * (-len(data) % 64 or 64 * (not data)), io.BytesIO()
+        with wave.open(held, "wb") as w:
+            w.setparams((1, 1, 8000, 0, "NONE", ""))
+            w.writeframes(payload)
+        x = told[r.doc_id]
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (x.media_bytes, x.media_sha256) == (len(held.getvalue()), hashlib.sha256(held.getvalue()).hexdigest())
+        if len(payload) < 1500:
+            assert list(zip(x.fp_time, x.fp_code, strict=True)) == brute_pairs(payload)
     same = out.join(docs, "doc_id").groupBy("text").agg(F.count_distinct("feature", "media_sha256").alias("n"))
     assert same.where("n != 1").count() == 0
 

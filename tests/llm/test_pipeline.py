@@ -1,7 +1,10 @@
 """The pipeline: each stage on its own input, and the whole."""
 
+import random
+
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from quillgraph.llm.common import stored
 from test_topk_minhash import brute_classes
 
@@ -25,7 +28,28 @@ def test_stages_keep_the_columns(stages):
 
 def test_languages_keep_clean_documents(stages):
     _, before, after = stages[0]
-    assert after.count() == before.count()
+    labels = before.sparkSession.read.parquet(f"{SF}/labels.parquet").where("quality = 1")
+    gone = before.join(after, "doc_id", "left_anti")
+    assert gone.count() <= before.count() // 100 and gone.join(labels, "doc_id", "left_semi").count() == 0
+
+
+def test_languages_drop_what_is_in_none(spark):
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    odd = [noise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2000), "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(300)), noise("ЖЩЫЭЮЯбгджз ", 1500), "12 34 56", ""]
+    junk = spark.createDataFrame([(10_000 + k, t, None, "odd", len(t)) for k, t in enumerate(odd)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(junk), SF).collect()}
+    assert not kept & set(range(10_000, 10_005)) and len(kept) >= 0.99 * docs.count()
+
+
+def test_filters_leave_columns_with_names_of_results_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    named = docs.withColumns({"score": F.lit("mine"), "lang_pred": F.lit(7), "gain": F.lit(True), "bits_per_byte": F.array(F.lit("x")), "n_bytes": F.lit(None).cast("int"), "__node": F.lit(1), "k": F.lit(2)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, named, SF)
+        assert out.schema.simpleString() == named.schema.simpleString()
+        assert {(r.score, r.lang_pred, r.gain, r.n_bytes, r["__node"], r.k) for r in out.collect()} == {("mine", 7, True, None, 1, 2)}
 
 
 def test_quality_drops_bad_documents(spark, stages):
