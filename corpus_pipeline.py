@@ -6,51 +6,63 @@ of ``documents``; each drops whole documents and changes none.
 
 Defined results: null text counts as empty and has no language, so the first stage
 drops it; documents without labels teach the quality stage nothing; without any label
-it keeps all; an empty table goes through as an empty table.
+it keeps all; texts of any length are judged and packed whole; rows of the same id and
+text are one document, of which the near-duplicate stage keeps one row, and of texts that
+tie the one of least id stays (null last); columns besides these five pass through the
+filters unchanged, whatever their names; an empty table goes through as an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import langid, minhash, packing, quality
-from quillgraph.llm.common import ship, stored, table
+from quillgraph.llm.common import observed, ship, stored, table
 from quillgraph.llm.queries import END_ID, GOOD_AT, WORD_BPE, vocabulary
 
-#: A text that costs more bits a byte than this under its best language is in none of them (bytes at random cost 8).
-FOREIGN_BITS = 9.0
+#: A text of at least so many bytes that costs more bits a byte under its best language is in none of them: clean
+#: texts of that length cost up to 4, letters or digits at random 6 (shorter ones may be half keys and numbers).
+FOREIGN_BYTES, FOREIGN_BITS = 200, 5.0
+
+
+def where(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame], keep: Column) -> DataFrame:
+    """Rows of ``docs`` that ``keep`` holds for, of the columns that ``judge`` adds; other columns are set aside under names of their own."""
+    private = docs.toDF(*[f"__in{k}" for k in range(len(docs.columns))])
+    text = private.columns[docs.columns.index("text")]
+    return judge(private, text).where(keep).select(*private.columns).toDF(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that are in one of the languages that the table names."""
     ship(spark)
-    told = langid.identify(docs.drop("lang_pred", "score", "bits_per_byte"), langid.fit(docs))
-    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("bits_per_byte") <= FOREIGN_BITS)).select(*docs.columns)
+    model = langid.fit(docs)
+    known = F.col("lang_pred") != langid.UNDETERMINED
+    told = (F.col("bits_per_byte") <= FOREIGN_BITS) | (F.col("n_bytes") < FOREIGN_BYTES)
+    return where(docs, lambda rows, text: langid.identify(rows, model, text).withColumn("n_bytes", F.octet_length(text)), known & told)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a quality score of at least 0.3."""
     ship(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs.drop("score", "gain"), model)
-    return scored.where(F.col("score") >= GOOD_AT).select(*docs.columns)
+    return where(docs, lambda rows, text: quality.score(rows, model, text), F.col("score") >= GOOD_AT)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near-duplicates, the one of least id."""
     ship(spark)
-    kept = stored(minhash.classes(docs.select("doc_id", "text")).where("kept").select("doc_id", "node"), "kept")
-    rows = docs.withColumn("__node", minhash.text_key())
-    # copies with the same id are one document; they are rare, so look before shuffling texts
-    twice = kept.count() - kept.distinct().count()
-    own = kept.distinct()
-    same = F.col("__node") == F.col("__keep")
-    own = own.select(F.col("doc_id").alias("__id"), F.col("node").alias("__keep"))
-    out = rows.join(own, same & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    if twice:
-        out = out.dropDuplicates(["doc_id", "__node"])
-    return out.select(*docs.columns)
+    kept = minhash.classes(docs.select("doc_id", "text")).where("kept").groupBy("doc_id", "node").agg(F.count("*").alias("k"))
+    own, told = observed(kept.select(F.col("doc_id").alias("__id"), F.col("node").alias("__keep"), "k"), "kept", {"most": F.max("k")})
+    rows = docs.toDF(*[f"__in{k}" for k in range(len(docs.columns))])
+    key, text = (rows.columns[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = rows.withColumn("__key", minhash.text_key(text))
+    out = rows.join(own.drop("k"), (F.col("__key") == F.col("__keep")) & F.col(key).eqNullSafe(F.col("__id")), "left_semi")
+    if (told["most"] or 0) > 1:  # copies with the same id are one document
+        out = out.dropDuplicates([key, "__key"])
+    return out.drop("__key").toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
