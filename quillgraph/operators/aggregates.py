@@ -26,13 +26,6 @@ def buckets(rows: DataFrame, column: str, limit: int) -> DataFrame:
     return rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(limit)
 
 
-def nearest_rank(values: Column, percent: float) -> Column:
-    """sorted[round(p / 100 * (n - 1))]; 0 of nothing."""
-    ordered = F.array_sort(F.collect_list(values))
-    at = F.round(F.lit(percent / 100) * (F.size(ordered) - 1)).cast("int") + 1
-    return F.coalesce(F.try_element_at(ordered, F.greatest(at, F.lit(1))), F.lit(0.0))
-
-
 def nearest_rank_of(rows: DataFrame, column: str, percents: list[float], by: list[str]) -> DataFrame:
     """Nearest-rank percentiles of each group by ranks, not by lists, so a hot group spills instead of filling memory."""
     from pyspark.sql import Window
@@ -50,16 +43,26 @@ def parity(counts: DataFrame, by: str = "fact") -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, line: Column, by: list[str]) -> DataFrame:
-    """SHA-256 over the sorted lines of each group, each ended by a line end."""
-    lines = F.concat_ws("\n", F.array_sort(F.collect_list(line)))
-    return rows.groupBy(*by).agg(F.sha2(F.concat(lines, F.lit("\n")), 256).alias("fingerprint"), F.count("*").alias("lines"))
+    """(by, fingerprint, lines): a hash over all lines of each group, whatever their order; repeats count.
+
+    A tree of hashes: equal lines become one leaf with their number, leaves whose hashes
+    begin with the same six hexadecimal digits one hash, those with the same three one
+    hash, and these the fingerprint.  So no list grows with a group beyond its leaves over
+    16 million, and what is equal in two snapshots hashes alike.
+    """
+    leaf = rows.groupBy(*by, F.sha2(line, 256).alias("h")).agg(F.count("*").alias("n"))
+    node = leaf.select(*by, F.substring("h", 1, 6).alias("at"), F.concat_ws(":", "h", "n").alias("part"), "n")
+    for digits in (3, 0):
+        up = node.groupBy(*by, "at").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("part"))), 256).alias("h"), F.sum("n").alias("n"))
+        node = up.select(*by, F.substring("at", 1, digits).alias("at"), F.concat_ws(":", "at", "h").alias("part"), "n")
+    root = F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("part"))), 256)
+    return node.groupBy(*by).agg(root.alias("fingerprint"), F.sum("n").alias("lines"))
 
 
 def link_report(edges: DataFrame, files: DataFrame) -> DataFrame:
     """One row: linked and unresolved edges by kind, and links across roots."""
-    roots = files.select(F.col("file_id").alias("id"), "root_id")
-    found = edges.join(roots.withColumnRenamed("root_id", "r1").withColumnRenamed("id", "from_id"), "from_id", "left")
-    found = found.join(roots.withColumnRenamed("root_id", "r2").withColumnRenamed("id", "to_id"), "to_id", "left")
+    side = lambda end, name: files.select(F.lit("file").alias(f"{end}_kind"), F.col("file_id").alias(f"{end}_id"), F.col("root_id").alias(name))
+    found = edges.join(side("from", "r1"), ["from_kind", "from_id"], "left").join(side("to", "r2"), ["to_kind", "to_id"], "left")
     linked = F.col("resolution") == "resolved"
     count = lambda kind, ok: F.count_if((F.col("kind") == kind) & (linked if ok else ~linked))
     names = [("imports", "imports"), ("calls", "calls"), ("references", "references"), ("re_exports", "re_exports")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import CONFIG_NAMES
 from quillgraph.operators.graph import frontier
+from quillgraph.operators.joins import suffix_matches
 
 KEY = ["root_id", "rel_path"]
 
@@ -44,6 +45,39 @@ def to_hash(before: DataFrame, scanned: DataFrame, forced: bool = False) -> Data
     return both.where(changed).select(*KEY)
 
 
+def metadata_dirty(before: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(root_id, rel_path, level) without hashing: known files whose size or time differs, that were deleted or have no hash, and files that are gone.
+
+    New files are not among them: they are found by hashing.
+    """
+    old = before.select(*KEY, F.col("content_hash").alias("old_hash"), F.col("size_bytes").alias("old_size"), F.col("mtime_unix_ms").alias("old_mtime"), F.col("deleted_at_unix_ms").isNotNull().alias("dead"))
+    new = scanned.select(*KEY, F.lit(True).alias("is"), F.col("size_bytes").alias("new_size"), F.col("mtime_unix_ms").alias("new_mtime"))
+    both = old.join(new, KEY, "left")
+    changed = F.col("dead") | (F.coalesce("old_hash", F.lit("")) == "") | ~F.col("old_size").eqNullSafe(F.col("new_size")) | ~F.col("old_mtime").eqNullSafe(F.col("new_mtime"))
+    level = F.when(F.col("is") & changed, "content_only").when(F.col("is").isNull() & ~F.col("dead"), "deleted")
+    return both.select(*KEY, level.alias("level")).where("level is not null")
+
+
+def resolution_scope(before: DataFrame, scanned: DataFrame, planned: DataFrame) -> DataFrame:
+    """(root_id, rel_path, action) where ``planned`` (with level) changes how names resolve: every other live file is refreshed, or not current if it is not found now."""
+    basis = planned.where("level = 'resolution_scope'").agg(F.count("*").alias("__roots"))
+    rest = before.where("deleted_at_unix_ms is null").select(*KEY).join(planned.select(*KEY), KEY, "left_anti")
+    there = rest.join(scanned.select(*KEY, F.lit(True).alias("is")), KEY, "left")
+    # one row of an aggregate
+    return there.join(F.broadcast(basis), F.lit(True)).where("__roots > 0").select(*KEY, F.when(F.col("is"), "refresh").otherwise("not_current").alias("action"))
+
+
+def invalidation(imports: DataFrame, unresolved: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
+    """(file_id, depth): what depends on changed files, over imports and over specifiers that did not resolve but end like a root's path.
+
+    ``imports`` are file edges, ``unresolved`` has (file_id, specifier); importers by suffix count as one hop.
+    """
+    paths = files.join(roots.select("file_id").distinct(), "file_id", "left_semi")
+    near = suffix_matches(unresolved.select(F.col("file_id").alias("from_id"), "specifier"), paths).select("from_id", F.col("file_id").alias("to_id"))
+    guessed = near.select(F.lit("imports").alias("kind"), F.lit("file").alias("from_kind"), "from_id", F.lit("file").alias("to_kind"), "to_id")
+    return dependents_of(imports.select(*guessed.columns).unionByName(guessed), roots)
+
+
 def confirmed_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """(file_id, structure_changed, api_changed); a new file changed neither."""
     old = before.select("file_id", F.lit(True).alias("was"), F.col("structure_hash").alias("s0"), F.col("public_api_hash").alias("a0"))
@@ -56,8 +90,8 @@ def reusable_edges(delta: DataFrame) -> DataFrame:
     return delta.where(~F.col("structure_changed") & ~F.col("api_changed")).select("file_id")
 
 
-def dependents_of(imports: DataFrame, roots: DataFrame, max_hops: int = 50) -> DataFrame:
-    """(file_id, depth): the transitive importers of the roots (file_id), they themselves at 0."""
+def dependents_of(imports: DataFrame, roots: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(file_id, depth): the transitive importers of the roots (file_id), they themselves at 0; all of them unless hops are bounded."""
     seeds = roots.select(F.lit(0).alias("seed"), F.lit("file").alias("node_kind"), F.col("file_id").alias("node_id"))
     return frontier(imports, seeds, max_hops, "incoming").select(F.col("node_id").alias("file_id"), "depth")
 
@@ -102,7 +136,7 @@ def workspace_changes(before: DataFrame, scanned: DataFrame, most: int = 50) ->
 
 def classify_paths(chunks: DataFrame, files: DataFrame, root: str) -> DataFrame:
     """Stored chunk paths: canonical, convertible (absolute below the root, or with ``./``), or unresolved."""
-    path = F.regexp_replace(F.when(F.col("file_path").startswith(root.rstrip("/") + "/"), F.substring("file_path", len(root.rstrip("/")) + 2, 4096)).otherwise(F.col("file_path")), r"^\./", "")
+    path = F.regexp_replace(F.when(F.col("file_path").startswith(root.rstrip("/") + "/"), F.expr(f"substring(file_path, {len(root.rstrip('/')) + 2})")).otherwise(F.col("file_path")), r"^\./", "")
     known = files.select(F.col("rel_path").alias("canonical"), F.lit(True).alias("there")).distinct()
     out = chunks.withColumn("canonical", path).join(known, "canonical", "left")
     status = F.when(F.col("there").isNull(), "unresolved").when(F.col("canonical") == F.col("file_path"), "canonical").otherwise("convertible")

@@ -41,14 +41,14 @@ def leaf_roots(roots: DataFrame, path: str = "path") -> DataFrame:
 def suffix_matches(specifiers: DataFrame, files: DataFrame) -> DataFrame:
     """Specifiers with the files whose path, with or without its extension, equals them or ends with ``/`` and them.
 
-    Both sides meet on the last path segment, and the suffix is checked on what meets.
+    Every file names the suffixes of its path, so a common last segment is no hot key and
+    nothing but matches is made.
     """
     clean = F.regexp_replace(F.regexp_replace("specifier", r"^(\./|\.\./|/)+", ""), r"\.(ts|tsx|js|jsx|mjs|py|rs|go)$", "")
-    asked = specifiers.withColumn("wanted", clean).withColumn("last", F.element_at(F.split("wanted", "/"), -1))
-    bare = F.regexp_replace("rel_path", r"\.[a-z]+$", "")
-    there = files.select("file_id", "rel_path", bare.alias("bare")).withColumn("last", F.element_at(F.split("bare", "/"), -1))
-    met = asked.join(there, "last")
-    return met.where((F.col("bare") == F.col("wanted")) | F.endswith("bare", F.concat(F.lit("/"), "wanted"))).drop("last", "wanted", "bare")
+    parts = F.split(F.regexp_replace("rel_path", r"\.[a-z]+$", ""), "/")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    there = files.select("file_id", "rel_path", F.explode(suffixes).alias("wanted"))
+    return specifiers.withColumn("wanted", clean).join(there, "wanted").drop("wanted")
 
 
 def enclosing(points: DataFrame, spans: DataFrame, by: str, at: str, start: str, end: str, key: str, cell: int = 64) -> DataFrame:

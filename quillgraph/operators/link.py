@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs"]
 
 
-def normalised(path: Column, most: int = 16) -> Column:
-    """A lexically normalised relative path: no ``.``, ``x/..`` folded."""
-    out = F.regexp_replace(path, r"(^|/)(\./)+", "$1")
-    for _ in range(most):
-        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\.(/|$)", "$1")
-    return F.regexp_replace(F.regexp_replace(out, r"/+", "/"), r"/$", "")
+def normalised(path: Column) -> Column:
+    """A lexically normalised relative path: no ``.`` or empty part, ``x/..`` folded however often; ``..`` stays where nothing is left to fold."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    last = lambda done: F.try_element_at(done, F.lit(-1))
+    fold = lambda done, p: F.when((p == "..") & (F.coalesce(last(done), F.lit("..")) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), fold), "/")
 
 
 def specifier_kind(specifier: Column) -> Column:
@@ -36,18 +36,32 @@ def matched_alias(pattern: Column, specifier: Column) -> Column:
     return F.when(fits, F.substring(specifier, F.length(head) + 1, F.length(specifier) - F.length(head) - F.length(tail)))
 
 
+def alias_matches(specifiers: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Rows of ``specifiers`` with each (pattern, target) that fits and what its ``*`` stands for, by an equi-join on heads."""
+    head = F.substring_index("pattern", "*", 1)
+    known = aliases.select("pattern", "target", head.alias("head")).where("pattern like '%*%'").distinct()
+    # only lengths that some head has: one small row, however many patterns there are
+    lengths = F.broadcast(known.agg(F.coalesce(F.collect_set(F.length("head")), F.array().cast("array<int>")).alias("lengths")))
+    asked = specifiers.join(lengths, F.lit(True)).withColumn("n", F.explode("lengths")).where(F.col("n") <= F.length("specifier"))
+    asked = asked.withColumn("head", F.substring(F.col("specifier"), F.lit(1), F.col("n"))).drop("lengths", "n")
+    star = matched_alias(F.col("pattern"), F.col("specifier"))
+    return asked.join(known, "head").withColumn("star", star).where("star is not null").drop("head")
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Imports (file_id, rel_path, specifier) with kind, target_file_id, confidence and status.
 
     Every import names its candidate paths in order of preference; one equi-join with
-    the files and one minimum decide.  ``aliases`` has (pattern, target), few rows.
+    the files and one minimum decide.  ``aliases`` has (pattern, target), however many:
+    an import names every head that a pattern could have and meets those of one ``*``.
+    Ambiguous imports have no target.
     """
     kind = specifier_kind(F.col("specifier"))
     base = F.regexp_extract("rel_path", r"^(.*/)?[^/]*$", 1)
-    wanted = F.when(kind == "relative", normalised(F.concat(base, "specifier"))).when(kind == "absolute", normalised(F.substring("specifier", 2, 4096)))
+    wanted = F.when(kind == "relative", normalised(F.concat(base, "specifier"))).when(kind == "absolute", normalised(F.col("specifier")))
     rows = imports.withColumn("kind", kind).withColumn("wanted", wanted)
     if aliases is not None:
-        mapped = rows.where("kind = 'package'").join(F.broadcast(aliases.limit(1000)), F.lit(True)).withColumn("star", matched_alias(F.col("pattern"), F.col("specifier"))).where("star is not null")
+        mapped = alias_matches(rows.where("kind = 'package'").select("file_id", "specifier").distinct(), aliases)
         best = mapped.groupBy("file_id", "specifier").agg(F.min_by(F.struct(F.replace("target", F.lit("*"), "star").alias("path")), F.struct(-F.length("pattern"), "pattern")).alias("m"))
         rows = rows.join(best, ["file_id", "specifier"], "left").withColumn("kind", F.when(F.col("m").isNotNull(), "alias").otherwise(F.col("kind"))).withColumn("wanted", F.coalesce("wanted", "m.path")).drop("m")
     asked = rows.where("wanted is not null").select("wanted").distinct()
@@ -58,7 +72,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
     out = rows.join(hits, "wanted", "left")
     status = F.when(F.col("kind").isin("empty", "dynamic"), F.col("kind")).when(F.col("n") > 1, "ambiguous").when(F.col("n") == 1, "resolved").when(F.col("kind") == "package", "external").otherwise("missing")
     confidence = F.when(status == "ambiguous", 0.4).when((status == "resolved") & (F.col("target_root") != F.col("root_id")), 0.9).when(status == "resolved", 1.0).otherwise(0.0)
-    return out.withColumn("status", status).withColumn("confidence", confidence).drop("n", "target_root")
+    out = out.withColumn("status", status).withColumn("confidence", confidence).drop("n", "target_root")
+    return out.withColumn("target_file_id", F.when(F.col("status") != "ambiguous", F.col("target_file_id")))
 
 
 def package_of(specifier: Column) -> tuple[Column, Column]:
@@ -85,13 +100,90 @@ def resolve_names(uses: DataFrame, symbols: DataFrame, imported: DataFrame) -> D
     near = imported.select("file_id", "target_file_id").distinct().join(known.where("exported"), F.col("target_file_id") == F.col("owner")).groupBy("file_id", "name").agg(F.count_distinct("symbol_id").alias("n2"), F.min("symbol_id").alias("s2"))
     everywhere = known.groupBy("name").agg(F.count("*").alias("n3"), F.min("symbol_id").alias("s3"))
     out = uses.join(local.withColumnRenamed("owner", "file_id"), ["file_id", "name"], "left").join(near, ["file_id", "name"], "left").join(everywhere, "name", "left")
+    return out.withColumn("r", ladder()).select(*uses.columns, "r.symbol_id", "r.status", "r.reason")
+
+
+def binding_candidates(uses: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(use_id, symbol_id): exported symbols that the bindings of a use's file may mean by its name.
+
+    ``uses`` has (use_id, file_id, name, qualified), ``bindings`` (file_id, local_name,
+    imported_name, target_file_id).  A binding of the name leads to the imported name in
+    its target (to the local one for default and unnamed imports, and to ``default``); a
+    name of exactly two parts whose first is a namespace binding (``*``) to the second.
+    """
+    known = symbols.where("exported").select(F.col("file_id").alias("target_file_id"), F.col("name").alias("wanted"), "symbol_id")
+    direct = uses.join(bindings.where("imported_name is null or imported_name != '*'"), ["file_id"]).where("name = local_name")
+    named = F.when(F.coalesce("imported_name", F.lit("default")) == "default", F.array_distinct(F.array("local_name", F.lit("default")))).otherwise(F.array("imported_name"))
+    named = F.when(F.col("imported_name").isNull(), F.array("local_name")).otherwise(named)
+    asked = direct.select("use_id", "target_file_id", F.explode(named).alias("wanted"))
+    two = uses.where(F.col("qualified").rlike(r"^[^.]+\.[^.]+$"))
+    two = two.withColumn("local_name", F.split_part("qualified", F.lit("."), F.lit(1))).withColumn("wanted", F.split_part("qualified", F.lit("."), F.lit(2)))
+    spaces = two.join(bindings.where("imported_name = '*'"), ["file_id", "local_name"]).select("use_id", "target_file_id", "wanted")
+    return asked.unionByName(spaces).join(known, ["target_file_id", "wanted"]).select("use_id", "symbol_id").distinct()
+
+
+def resolve_uses(uses: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Uses (use_id, file_id, name, qualified) with symbol_id, status, reason and the number of candidates, by bindings instead of whole imported files."""
+    known = symbols.select("name", "symbol_id", F.col("file_id").alias("owner"))
+    local = known.groupBy("name", F.col("owner").alias("file_id")).agg(F.count("*").alias("n1"), F.min("symbol_id").alias("s1"))
+    near = binding_candidates(uses, symbols, bindings).groupBy("use_id").agg(F.count("*").alias("n2"), F.min("symbol_id").alias("s2"))
+    everywhere = known.groupBy("name").agg(F.count("*").alias("n3"), F.min("symbol_id").alias("s3"))
+    out = uses.join(local, ["file_id", "name"], "left").join(near, "use_id", "left").join(everywhere, "name", "left")
+    return out.withColumn("r", ladder()).select(*uses.columns, "r.symbol_id", "r.status", "r.reason", F.coalesce("r.candidates", F.lit(0)).alias("candidates"))
+
+
+def ladder() -> Column:
+    """The first of n1, n2, n3 that is not null decides: one candidate resolves, several stop the search."""
     none = F.lit(None).cast("bigint")
-    rung = lambda symbol, status, reason: F.struct(symbol.alias("symbol_id"), F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+    rung = lambda symbol, status, reason, n: F.struct(symbol.alias("symbol_id"), F.lit(status).alias("status"), F.lit(reason).alias("reason"), n.cast("bigint").alias("candidates"))
     step = F
     for n, symbol, where in (("n1", "s1", "local"), ("n2", "s2", "imported"), ("n3", "s3", "workspace")):
-        step = step.when(F.col(n) == 1, rung(F.col(symbol), "resolved", where)).when(F.col(n) > 1, rung(none, "unresolved", f"{where}_ambiguous"))
-    step = step.otherwise(rung(none, "unresolved", "missing"))
-    return out.withColumn("r", step).select(*uses.columns, "r.symbol_id", "r.status", "r.reason")
+        step = step.when(F.col(n) == 1, rung(F.col(symbol), "resolved", where, F.col(n))).when(F.col(n) > 1, rung(none, "unresolved", f"{where}_ambiguous", F.col(n)))
+    return step.otherwise(rung(none, "unresolved", "missing", none))
+
+
+def link_imports(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Edges of imports (file_id, specifier, imported_name, is_reexport, line, status, target_file_id): to the file, or to themselves where nothing was found.
+
+    The one exported symbol of the imported name in the target is told in the payload.
+    """
+    exported = symbols.where("exported").groupBy(F.col("file_id").alias("target_file_id"), F.col("name").alias("imported_name")).agg(F.count("*").alias("n"), F.min("symbol_id").alias("s"))
+    out = resolved.join(exported, ["target_file_id", "imported_name"], "left").withColumn("symbol_id", F.when(F.col("n") == 1, F.col("s")))
+    found = F.col("target_file_id").isNotNull()
+    reason = F.when(found, "resolved_path_matched_indexed_file").when(F.col("status") == "external", "external_dependency").otherwise(F.col("status"))
+    told = F.to_json(F.struct("specifier", "imported_name", F.when(found, "linked").otherwise("unresolved").alias("status"), reason.alias("reason"), F.col("target_file_id").alias("resolved_file_id"), F.col("symbol_id").alias("resolved_symbol_id")))
+    return out.select(
+        F.when(F.col("is_reexport"), "re_exports").otherwise("imports").alias("kind"), F.lit("file").alias("from_kind"), F.col("file_id").alias("from_id"),
+        F.lit("file").alias("to_kind"), F.coalesce("target_file_id", "file_id").alias("to_id"), F.when(found, "resolved").otherwise("unresolved").alias("resolution"),
+        F.when(found, "direct").otherwise("best_effort").alias("confidence"), "line", told.alias("payload_json"),
+    )
+
+
+def link_uses(kind: str, uses: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Edges of calls or references (use_id, file_id, caller_id, name, qualified, line): from the symbol around them, or the file, to what the ladder finds, else to where they are."""
+    out = resolve_uses(uses, symbols, bindings)
+    source_kind, source = F.when(F.col("caller_id").isNotNull(), "symbol").otherwise("file"), F.coalesce("caller_id", "file_id")
+    found = F.col("symbol_id").isNotNull()
+    told = F.to_json(F.struct("name", "qualified", "status", "reason", "candidates"))
+    return out.select(
+        F.lit(kind).alias("kind"), source_kind.alias("from_kind"), source.alias("from_id"), F.when(found, "symbol").otherwise(source_kind).alias("to_kind"), F.coalesce("symbol_id", source).alias("to_id"),
+        F.when(found, "resolved").otherwise("unresolved").alias("resolution"), F.when(found, "direct").otherwise("best_effort").alias("confidence"), "line", told.alias("payload_json"),
+    )
+
+
+def link_workspace(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataFrame, references: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """All edges of a workspace in one job.
+
+    ``imports`` has (file_id, specifier, local_name, imported_name, is_reexport, line),
+    ``calls`` and ``references`` (use_id, file_id, caller_id, name, qualified, line).
+    """
+    placed = imports.join(files.select("file_id", "rel_path", "root_id"), "file_id")
+    resolved = resolve_imports(placed, files, aliases)
+    bindings = resolved.where("target_file_id is not null and local_name is not null").select("file_id", "local_name", "imported_name", "target_file_id")
+    edges = link_imports(resolved, symbols)
+    for kind, uses in (("calls", calls), ("references", references)):
+        edges = edges.unionByName(link_uses(kind, uses, symbols, bindings))
+    return edges
 
 
 def payload(rows: DataFrame, *columns: str) -> DataFrame:

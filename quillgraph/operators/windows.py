@@ -34,10 +34,13 @@ def tail(rows: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
     return rows.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).drop("__k")
 
 
-def dedupe_by_score(rows: DataFrame, key: list[str], most: int, score: str = "score", seq: str = "seq") -> DataFrame:
-    """The best row of each key, then the best ``most`` of those; ties by sequence."""
-    w = Window.partitionBy(*key).orderBy(F.desc(score), seq)
-    return rows.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k").orderBy(F.desc(score), seq).limit(most)
+def dedupe_by_score(rows: DataFrame, key: list[str], most: int, score: str = "score", seq: str = "seq", by: list[str] | None = None) -> DataFrame:
+    """The best row of each key, then the best ``most`` of those, of each group if ``by`` names one; ties by sequence."""
+    w = Window.partitionBy(*(by or []), *key).orderBy(F.desc(score), seq)
+    best = rows.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+    if not by:
+        return best.orderBy(F.desc(score), seq).limit(most)
+    return cap_each(best, by, [F.desc(score), seq], most)
 
 
 def cap_each(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:

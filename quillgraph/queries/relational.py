@@ -128,12 +128,12 @@ def leaf_roots(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(v.with_(v.FILES_SQL) + """
-, asked AS (SELECT file_id AS ask, split_part(rel_path, '/', 2) || '/' || regexp_replace(split_part(rel_path, '/', 3), '\\.[a-z]+$', '') AS wanted FROM files WHERE file_id % 20 = 0)
+, asked AS (SELECT file_id AS ask, split_part(rel_path, '/', 2) || '/' || regexp_replace(split_part(rel_path, '/', 3), '\\.[a-z]+$', '') AS wanted FROM files)
 SELECT ask, file_id FROM asked JOIN files ON ends_with(regexp_replace(rel_path, '\\.[a-z]+$', ''), '/' || wanted) OR regexp_replace(rel_path, '\\.[a-z]+$', '') = wanted""")
 def importers_by_suffix(spark: SparkSession, d: str) -> DataFrame:
     parts = F.split("rel_path", "/")
     files = v.files(spark, d)
-    asked = files.where("file_id % 20 = 0").select(F.col("file_id").alias("ask"), F.concat(F.lit("./"), parts[1], F.lit("/"), parts[2]).alias("specifier"))
+    asked = files.select(F.col("file_id").alias("ask"), F.concat(F.lit("./"), parts[1], F.lit("/"), parts[2]).alias("specifier"))
     return joins.suffix_matches(asked, files).select("ask", "file_id")
 
 
@@ -154,10 +154,22 @@ def freshness_counts(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.freshness_counts(v.files(spark, d))
 
 
-@query(v.with_(v.FILES_SQL) + "SELECT 'stale' AS freshness")
+PARTS = {"all": "true", "recent": "freshness_state <> 'not_current'", "sound": "freshness_state NOT IN ('not_current', 'degraded_partial')", "none": "false"}
+
+
+@query(v.with_(v.FILES_SQL) + ", counts AS (" + " UNION ALL ".join(f"SELECT '{k}' AS part, count(*) AS n, count_if(freshness_state = 'not_current') AS old, count_if(freshness_state = 'degraded_partial') AS weak FROM files WHERE {w}" for k, w in PARTS.items()) + """)
+SELECT part, run, CASE WHEN n = 0 OR run = 'missing' THEN 'cold' WHEN run <> 'completed' OR old > 0 THEN 'stale' WHEN weak > 0 THEN 'partial' ELSE 'current' END AS freshness
+FROM counts, (SELECT unnest(['completed', 'failed', 'running', 'missing']) AS run)""")
 def graph_freshness(spark: SparkSession, d: str) -> DataFrame:
-    state = spark.createDataFrame([("completed", None)], "status string, active_run_id string")
-    return aggregates.index_freshness(v.files(spark, d), state)
+    """Of several parts of the files, after runs of different outcome."""
+    files, out = v.files(spark, d), None
+    for run in ("completed", "failed", "running", "missing"):
+        rows = [] if run == "missing" else [("completed" if run == "running" else run, "r7" if run == "running" else None)]
+        state = spark.createDataFrame(rows, "status string, active_run_id string")
+        for part, where in PARTS.items():
+            one = aggregates.index_freshness(files.where(where), state).select(F.lit(part).alias("part"), F.lit(run).alias("run"), "freshness")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(v.with_(v.EMBEDDINGS_SQL, v.FILES_SQL) + """
@@ -205,16 +217,22 @@ def nearest_rank_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.nearest_rank_of(v.telemetry(spark, d), "duration_ms", [50, 95], ["kind"])
 
 
-@query(v.with_(v.FILES_SQL) + """
-SELECT root_id, sha256(string_agg(rel_path || ':' || size_bytes || ':' || content_hash, chr(10) ORDER BY rel_path || ':' || size_bytes || ':' || content_hash) || chr(10)) AS fingerprint, count(*) AS lines
-FROM files GROUP BY root_id""")
+def hash_tree(source: str, by: str) -> str:
+    """The fingerprints of ``source`` (BY, line), as the operator forms them."""
+    join = lambda part: f"string_agg({part}, chr(10) ORDER BY {part})"
+    return f"""
+leaves AS (SELECT {by}, sha256(line) AS h, count(*) AS n FROM ({source}) GROUP BY ALL),
+sixes AS (SELECT {by}, substr(h, 1, 6) AS pre, sha256({join("h || ':' || n")}) AS h, sum(n) AS n FROM leaves GROUP BY {by}, substr(h, 1, 6)),
+threes AS (SELECT {by}, substr(pre, 1, 3) AS pre, sha256({join("pre || ':' || h")}) AS h, sum(n) AS n FROM sixes GROUP BY {by}, substr(pre, 1, 3))
+SELECT {by}, sha256({join("pre || ':' || h")}) AS fingerprint, CAST(sum(n) AS BIGINT) AS lines FROM threes GROUP BY {by}"""
+
+
+@query(v.with_(v.FILES_SQL) + "," + hash_tree("SELECT root_id, rel_path || ':' || size_bytes || ':' || content_hash AS line FROM files", "root_id"))
 def workspace_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.fingerprint(v.files(spark, d), F.concat_ws(":", "rel_path", "size_bytes", "content_hash"), ["root_id"])
 
 
-@query(v.with_(v.SYMBOLS_SQL) + """
-SELECT file_id, sha256(string_agg(kind || '|' || qualified_name || '|' || symbol_id, chr(10) ORDER BY kind || '|' || qualified_name || '|' || symbol_id) || chr(10)) AS fingerprint, count(*) AS lines
-FROM symbols WHERE exported GROUP BY file_id""")
+@query(v.with_(v.SYMBOLS_SQL) + "," + hash_tree("SELECT file_id, kind || '|' || qualified_name || '|' || symbol_id AS line FROM symbols WHERE exported", "file_id"))
 def public_api_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.fingerprint(v.symbols(spark, d).where("exported"), F.concat_ws("|", "kind", "qualified_name", "symbol_id"), ["file_id"])
 
@@ -225,7 +243,7 @@ count_if(kind = 'calls' AND resolution = 'resolved') AS linked_calls, count_if(k
 count_if(kind = 'references' AND resolution = 'resolved') AS linked_references, count_if(kind = 'references' AND resolution <> 'resolved') AS unresolved_references,
 count_if(kind = 're_exports' AND resolution = 'resolved') AS linked_re_exports, count_if(kind = 're_exports' AND resolution <> 'resolved') AS unresolved_re_exports,
 count_if(from_kind = 'file' AND resolution = 'resolved' AND a.root_id <> b.root_id) AS across_roots
-FROM edges LEFT JOIN files a ON from_id = a.file_id LEFT JOIN files b ON to_id = b.file_id""")
+FROM edges LEFT JOIN files a ON from_kind = 'file' AND from_id = a.file_id LEFT JOIN files b ON to_kind = 'file' AND to_id = b.file_id""")
 def link_report(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.link_report(v.edges(spark, d), v.files(spark, d))
 

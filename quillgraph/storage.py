@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the cluster's shared folder (a folder of this machine only where none is set)."""
+    """``df`` checkpointed to the cluster's shared folder (a folder of this machine only in a local session without one)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(shared or f"file://{tempfile.gettempdir()}/checkpoints/quillgraph")
     return df.checkpoint()
