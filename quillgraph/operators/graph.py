@@ -9,12 +9,16 @@ is one job.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.storage import settled
 
 NODE = ["node_kind", "node_id"]
+#: After so many hops what was seen is written into one table.
+REWRITE = 16
 
 
 def hydrated(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -44,21 +48,23 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     return out.unionByName(back) if direction == "both" else out.where(F.lit(False))
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, max_hops: int, direction: str = "outgoing") -> DataFrame:
-    """(seed, node_kind, node_id, depth): nodes within ``max_hops`` of each seed with their least depth, the seed at 0.
+def frontier(edges: DataFrame, seeds: DataFrame, max_hops: int | None, direction: str = "outgoing") -> DataFrame:
+    """(seed, node_kind, node_id, depth): nodes within ``max_hops`` (None: any number) of each seed with their least depth, the seed at 0.
 
     ``seeds`` has (seed, node_kind, node_id).  Stops when a hop finds nothing new.
     """
     steps = directed(edges, direction).select("a_kind", "a_id", "b_kind", "b_id").distinct()
     seen = settled(seeds.select("seed", *NODE).distinct().withColumn("depth", F.lit(0)))
     front = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         met = front.join(steps, (F.col("node_kind") == F.col("a_kind")) & (F.col("node_id") == F.col("a_id")))
         new = met.select("seed", F.col("b_kind").alias("node_kind"), F.col("b_id").alias("node_id")).distinct()
         front = settled(new.join(seen.select("seed", *NODE), ["seed", *NODE], "left_anti").withColumn("depth", F.lit(hop)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if hop % REWRITE == 0:  # one table instead of as many as hops
+            seen = settled(seen)
     return seen
 
 
@@ -92,6 +98,62 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int) -> DataFra
     return reached.select("pair", "hops", "path")
 
 
+def trace_paths(edges: DataFrame, symbols: DataFrame, asked: DataFrame, max_hops: int) -> DataFrame:
+    """(pair, from_id, to_id, hops, path) of (pair, from_name, to_name): the first symbol of either name and a shortest path between them, nulls where there is none."""
+    first = symbols.groupBy("name").agg(F.min("symbol_id").alias("id"))
+    ends = asked.join(first.withColumnRenamed("id", "from_id"), F.col("from_name") == F.col("name"), "left").drop("name")
+    ends = ends.join(first.withColumnRenamed("id", "to_id"), F.col("to_name") == F.col("name"), "left").select("pair", "from_id", "to_id")
+    whole = ends.where("from_id is not null and to_id is not null")
+    pairs = whole.select("pair", F.lit("symbol").alias("from_kind"), "from_id", F.lit("symbol").alias("to_kind"), "to_id")
+    return settled(ends.join(shortest_paths(edges, pairs, max_hops), "pair", "left"))
+
+
+def trace_hops(paths: DataFrame, edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(pair, hop, from_label, to_label, from_file, to_file, edge_kind, resolution, line, confidence): a row a step of each path.
+
+    Of several edges between two nodes the first resolved one by kind stands for the step.
+    """
+    steps = paths.where("hops > 0").select("pair", F.explode(F.sequence(F.lit(0), F.col("hops") - 1)).alias("hop"), "path")
+    end = lambda at, side: [F.split_part(F.col("path")[at], F.lit(":"), F.lit(1)).alias(f"{side}_kind"), F.split_part(F.col("path")[at], F.lit(":"), F.lit(2)).cast("bigint").alias(f"{side}_id")]
+    steps = steps.select("pair", "hop", *end(F.col("hop"), "from"), *end(F.col("hop") + 1, "to"))
+    key = ["from_kind", "from_id", "to_kind", "to_id"]
+    best = edges.join(steps.select(*key).distinct(), key).groupBy(*key).agg(F.min(F.struct((F.col("resolution") != "resolved").alias("weak"), "kind", "resolution", "line")).alias("e"))
+    named = symbols.join(files.select("file_id", "rel_path"), "file_id", "left")
+    own = named.select(F.lit("symbol").alias("kind"), F.col("symbol_id").alias("id"), F.col("qualified_name").alias("label"), F.col("rel_path").alias("file"))
+    own = own.unionByName(files.select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), F.col("rel_path").alias("label"), F.col("rel_path").alias("file")))
+    out = steps.join(best, key)
+    for side in ("from", "to"):
+        told = own.select(F.col("kind").alias(f"{side}_kind"), F.col("id").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"), F.col("file").alias(f"{side}_file"))
+        out = out.join(told, [f"{side}_kind", f"{side}_id"], "left").withColumn(f"{side}_label", F.coalesce(f"{side}_label", F.concat_ws(":", f"{side}_kind", f"{side}_id")))
+    confidence = F.when(F.col("e.resolution") == "resolved", "grounded").otherwise("partial")
+    return out.select("pair", "hop", "from_label", "to_label", "from_file", "to_file", F.col("e.kind").alias("edge_kind"), F.col("e.resolution").alias("resolution"), F.col("e.line").alias("line"), confidence.alias("confidence"))
+
+
+def trace_states(paths: DataFrame, hops: DataFrame) -> DataFrame:
+    """(pair, answer_state, stop_reason, hop_count): partial with an unresolved step, insufficient without both ends or a path."""
+    weak = hops.groupBy("pair").agg(F.count_if(F.col("confidence") == "partial").alias("weak"))
+    ends = F.col("from_id").isNotNull() & F.col("to_id").isNotNull()
+    state = F.when(~ends | F.col("hops").isNull(), "insufficient").when(F.col("weak") > 0, "partial").otherwise("grounded")
+    stop = F.when(~ends, "missing_endpoint").when(F.col("hops").isNull(), "path_not_found")
+    return paths.join(weak, "pair", "left").select("pair", state.alias("answer_state"), stop.alias("stop_reason"), F.coalesce("hops", F.lit(0)).alias("hop_count"))
+
+
+def direct_edges(edges: DataFrame, symbols: DataFrame, nodes: DataFrame, limit: int, direction: str = "outgoing") -> DataFrame:
+    """Of each (node_kind, node_id) its stored edges in order, then the synthetic ones with the symbols or file that belong to it, up to the limit.
+
+    Columns: node_kind, node_id, seq, kind, other_kind, other_id, resolution.  Nodes of
+    other kinds than file and symbol have none.
+    """
+    near, far = ("from", "to") if direction == "outgoing" else ("to", "from")
+    stored = edges.select(F.col(f"{near}_kind").alias("node_kind"), F.col(f"{near}_id").alias("node_id"), F.lit(0).alias("late"), "kind", F.col(f"{far}_kind").alias("other_kind"), F.col(f"{far}_id").alias("other_id"), "resolution")
+    own = lambda here, there, kind: symbols.select(F.lit(here).alias("node_kind"), F.col(f"{here}_id").alias("node_id"), F.lit(1).alias("late"), F.lit(kind).alias("kind"), F.lit(there).alias("other_kind"), F.col(f"{there}_id").alias("other_id"), F.lit("resolved").alias("resolution"))
+    kinds = ("contains", "definition") if direction == "outgoing" else ("definition", "contains")
+    every = stored.unionByName(own("file", "symbol", kinds[0])).unionByName(own("symbol", "file", kinds[1]))
+    met = every.join(nodes.select(*NODE).where(F.col("node_kind").isin("file", "symbol")).distinct(), NODE)
+    w = Window.partitionBy(*NODE).orderBy("late", "kind", "other_kind", "other_id")
+    return met.withColumn("seq", F.row_number().over(w)).where(F.col("seq") <= limit).drop("late")
+
+
 def neighbours(edges: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     """Of each node: outgoing and incoming edges up to the limit, and whether either reached it."""
     out = nodes.join(edges, (F.col("node_kind") == F.col("from_kind")) & (F.col("node_id") == F.col("from_id")), "left").groupBy(*NODE).agg(F.count("kind").alias("n_out"))
@@ -151,18 +213,20 @@ def expand_results(results: DataFrame, edges: DataFrame, symbols: DataFrame, top
     return out.join(first, "to_id", "left").select(F.col("to_id").alias("file_id"), "symbol_id", F.lit(score).alias("score")).distinct()
 
 
-def layers(items: DataFrame, needs: DataFrame, most: int = 1000) -> DataFrame:
+def layers(items: DataFrame, needs: DataFrame) -> DataFrame:
     """(item, layer): items by the layer in which all that they need is done; null for cycles and missing needs.
 
     ``items`` has (item), ``needs`` (item, needs).
     """
     left, done, k = settled(items.select("item").distinct()), None, 0
     pending = settled(needs.select("item", "needs").distinct())
-    while k < most:
+    while True:
         ready = settled(left.join(pending, "item", "left_anti").withColumn("layer", F.lit(k)))
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
+        if k % REWRITE == REWRITE - 1:
+            done = settled(done)
         left = settled(left.join(ready, "item", "left_anti"))
         pending = settled(pending.join(ready.select(F.col("item").alias("needs")), "needs", "left_anti"))
         k += 1

@@ -10,8 +10,8 @@ from quillgraph.operators import graph, joins
 from quillgraph.registry import query
 
 
-def seeds(rows: DataFrame, key: str, kind: str, every: int) -> DataFrame:
-    """Every so-manieth row as a seed: the questions of a batch."""
+def seeds(rows: DataFrame, key: str, kind: str, every: int = 100) -> DataFrame:
+    """Every row whose id is divisible by 100 as a seed: the questions of a batch, at any size."""
     return rows.where(F.col(key) % every == 0).select(F.col(key).alias("seed"), F.lit(kind).alias("node_kind"), F.col(key).alias("node_id"))
 
 
@@ -40,74 +40,164 @@ def hydration_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL) + """
 , every_edge AS (
-    SELECT kind, from_kind, to_kind FROM edges
-    UNION ALL SELECT 'contains', 'file', 'symbol' FROM symbols JOIN files USING (file_id) WHERE deleted_at_unix_ms IS NULL
-    UNION ALL SELECT 'definition', 'symbol', 'file' FROM symbols JOIN files USING (file_id) WHERE deleted_at_unix_ms IS NULL)
-SELECT kind, from_kind, to_kind, count(*) AS n FROM every_edge GROUP BY ALL""")
+    SELECT kind, from_kind, from_id, to_kind, to_id, resolution, line FROM edges
+    UNION ALL SELECT 'contains', 'file', file_id, 'symbol', symbol_id, 'resolved', line_start FROM symbols JOIN files USING (file_id) WHERE deleted_at_unix_ms IS NULL
+    UNION ALL SELECT 'definition', 'symbol', symbol_id, 'file', file_id, 'resolved', line_start FROM symbols JOIN files USING (file_id) WHERE deleted_at_unix_ms IS NULL)
+SELECT * FROM every_edge""")
 def hydrated_edges(spark: SparkSession, d: str) -> DataFrame:
-    rows = graph.hydrated(v.edges(spark, d), v.symbols(spark, d), v.files(spark, d))
-    return rows.groupBy("kind", "from_kind", "to_kind").agg(F.count("*").alias("n"))
+    return graph.hydrated(v.edges(spark, d), v.symbols(spark, d), v.files(spark, d))
 
 
 @query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL) + """
-, n AS (SELECT symbol_id AS node_id FROM symbols WHERE symbol_id % 10 = 0),
+, n AS (SELECT symbol_id AS node_id FROM symbols),
 o AS (SELECT node_id, count(from_id) AS c FROM n LEFT JOIN edges ON from_kind = 'symbol' AND from_id = node_id GROUP BY node_id),
 i AS (SELECT node_id, count(to_id) AS c FROM n LEFT JOIN edges ON to_kind = 'symbol' AND to_id = node_id GROUP BY node_id)
 SELECT node_id, least(o.c, 3) AS n_out, least(i.c, 3) AS n_in, o.c >= 3 OR i.c >= 3 AS truncated FROM o JOIN i USING (node_id)""")
 def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    nodes = seeds(v.symbols(spark, d), "symbol_id", "symbol", 10).select("node_kind", "node_id")
+    nodes = v.symbols(spark, d).select(F.lit("symbol").alias("node_kind"), F.col("symbol_id").alias("node_id"))
     return graph.neighbours(v.edges(spark, d), nodes, 3).drop("node_kind")
 
 
-@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, CALLS_IN, walk_sql(SYMBOL_SEEDS.format(20), "callers", 2)) + "SELECT seed, node_id, depth FROM near WHERE depth > 0")
+@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, CALLS_IN, walk_sql(SYMBOL_SEEDS.format(100), "callers", 2)) + "SELECT seed, node_id, depth FROM near WHERE depth > 0")
 def callers_2hop(spark: SparkSession, d: str) -> DataFrame:
-    return graph.call_closure(v.edges(spark, d), seeds(v.symbols(spark, d), "symbol_id", "symbol", 20), 2, "incoming").select("seed", "node_id", "depth")
+    return graph.call_closure(v.edges(spark, d), seeds(v.symbols(spark, d), "symbol_id", "symbol"), 2, "incoming").select("seed", "node_id", "depth")
 
 
-@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, CALLS_OUT, walk_sql(SYMBOL_SEEDS.format(20), "callees", 3)) + "SELECT seed, node_id, depth FROM near WHERE depth > 0")
+@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, CALLS_OUT, walk_sql(SYMBOL_SEEDS.format(100), "callees", 3)) + "SELECT seed, node_id, depth FROM near WHERE depth > 0")
 def callees_3hop(spark: SparkSession, d: str) -> DataFrame:
-    return graph.call_closure(v.edges(spark, d), seeds(v.symbols(spark, d), "symbol_id", "symbol", 20), 3, "outgoing").select("seed", "node_id", "depth")
+    return graph.call_closure(v.edges(spark, d), seeds(v.symbols(spark, d), "symbol_id", "symbol"), 3, "outgoing").select("seed", "node_id", "depth")
 
 
-@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL, CALLS_IN, walk_sql(SYMBOL_SEEDS.format(20), "callers", 3)) + """
+@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL, CALLS_IN, walk_sql(SYMBOL_SEEDS.format(100), "callers", 3)) + """
 , named AS (SELECT seed, node_id, 'src1/' AS mark, rel_path, name FROM near JOIN symbols ON node_id = symbol_id JOIN files USING (file_id) WHERE depth > 0)
 SELECT seed, node_id, CASE WHEN contains('api/' || rel_path, 'routes/') OR contains(replace(rel_path, 'src1/', 'api/'), 'api/') THEN 'api_route'
     WHEN starts_with('cli_' || name, 'cli_red') THEN 'cli_command' ELSE 'event_handler' END AS entry_kind FROM named
 WHERE contains(rel_path, 'src1/') OR name IN ('red', 'green')""")
 def entry_points(spark: SparkSession, d: str) -> DataFrame:
     """Files of one source stand for routes, red symbols for commands, green ones for handlers."""
-    callers = graph.call_closure(v.edges(spark, d), seeds(v.symbols(spark, d), "symbol_id", "symbol", 20), 3, "incoming")
+    callers = graph.call_closure(v.edges(spark, d), seeds(v.symbols(spark, d), "symbol_id", "symbol"), 3, "incoming")
     files = v.files(spark, d).withColumn("rel_path", F.replace("rel_path", F.lit("src1/"), F.lit("api/")))
     name = F.when(F.col("name") == "red", "cli_red").when(F.col("name") == "green", "green_handler").otherwise(F.col("name"))
     return graph.entry_points(callers, v.symbols(spark, d).withColumn("name", name), files).select("seed", "node_id", "entry_kind")
 
 
-@query(v.with_(v.EDGES_SQL, v.FILES_SQL, BOTH, walk_sql(FILE_SEEDS.format(25), "boths", 2)) + """
+@query(v.with_(v.EDGES_SQL, v.FILES_SQL, BOTH, walk_sql(FILE_SEEDS.format(100), "boths", 2)) + """
 SELECT seed, node_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node_kind, node_id) AS k FROM near) WHERE k <= 30""")
 def undirected_neighborhood(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbourhood(v.edges(spark, d), seeds(v.files(spark, d), "file_id", "file", 25), 2, 30).select("seed", "node_id", "depth")
+    return graph.neighbourhood(v.edges(spark, d), seeds(v.files(spark, d), "file_id", "file"), 2, 30).select("seed", "node_id", "depth")
 
 
-@query(v.with_(v.EDGES_SQL, v.FILES_SQL, OUT, walk_sql(FILE_SEEDS.format(25), "outs", 3)) + "SELECT seed, node_id, depth FROM near")
+@query(v.with_(v.EDGES_SQL, v.FILES_SQL, OUT, walk_sql(FILE_SEEDS.format(100), "outs", 3)) + "SELECT seed, node_id, depth FROM near")
 def outgoing_neighborhood(spark: SparkSession, d: str) -> DataFrame:
-    return graph.frontier(v.edges(spark, d), seeds(v.files(spark, d), "file_id", "file", 25), 3, "outgoing").select("seed", "node_id", "depth")
+    return graph.frontier(v.edges(spark, d), seeds(v.files(spark, d), "file_id", "file"), 3, "outgoing").select("seed", "node_id", "depth")
 
 
-@query(v.with_(v.EDGES_SQL, v.FILES_SQL, BOTH, walk_sql(FILE_SEEDS.format(25), "boths", 3)) + """
+@query(v.with_(v.EDGES_SQL, v.FILES_SQL, BOTH, walk_sql(FILE_SEEDS.format(100), "boths", 3)) + """
 SELECT seed, node_id, CASE WHEN depth <= 1 THEN 'direct' ELSE 'transitive' END AS category, CASE WHEN depth <= 1 THEN 1 ELSE 2 END AS distance FROM near""")
 def impact(spark: SparkSession, d: str) -> DataFrame:
-    return graph.impact(v.edges(spark, d), seeds(v.files(spark, d), "file_id", "file", 25), 3).select("seed", "node_id", "category", "distance")
+    return graph.impact(v.edges(spark, d), seeds(v.files(spark, d), "file_id", "file"), 3).select("seed", "node_id", "category", "distance")
 
 
-@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, OUT, walk_sql(SYMBOL_SEEDS.format(50), "outs", 5)) + """
-SELECT a.seed AS pair, a.depth AS hops FROM near a WHERE a.node_kind = 'symbol' AND a.node_id = (a.seed * 7 + 10) % (SELECT count(*) FROM symbols)""")
+def paths_sql(pairs: str, hops: int, steps: str = "edges") -> str:
+    """The least shortest path of each (pair, a, b) of ``pairs``: distances to its end, then the least next node at each step."""
+    return f"""
+asked AS ({pairs}),
+steps AS (SELECT DISTINCT from_kind || ':' || from_id AS a, to_kind || ':' || to_id AS b FROM {steps}),
+back(pair, node, dist) AS (
+    SELECT pair, 'symbol:' || b, 0 FROM asked UNION SELECT k.pair, s.a, k.dist + 1 FROM back k JOIN steps s ON s.b = k.node WHERE k.dist < {hops}),
+far AS (SELECT pair, node, min(dist) AS dist FROM back GROUP BY pair, node),
+trail(pair, node, togo, path) AS (
+    SELECT pair, 'symbol:' || a, dist, ['symbol:' || a] FROM asked JOIN far USING (pair) WHERE node = 'symbol:' || a
+    UNION ALL SELECT t.pair, min(s.b), t.togo - 1, list_append(t.path, min(s.b)) FROM trail t JOIN steps s ON s.a = t.node JOIN far f ON f.pair = t.pair AND f.node = s.b AND f.dist = t.togo - 1
+        WHERE t.togo > 0 GROUP BY t.pair, t.node, t.togo, t.path)"""
+
+
+#: Each hundredth symbol to another one.
+PAIRS_SQL = "SELECT symbol_id AS pair, symbol_id AS a, (symbol_id * 7 + 10) % (SELECT parts FROM sizes) AS b FROM symbols WHERE symbol_id % 100 = 0"
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    s = v.symbols(spark, d).join(v.sizes(spark, d), F.lit(True)).where("symbol_id % 100 = 0")
+    return s.select(F.col("symbol_id").alias("pair"), F.lit("symbol").alias("from_kind"), F.col("symbol_id").alias("from_id"), F.lit("symbol").alias("to_kind"), ((F.col("symbol_id") * 7 + 10) % F.col("parts")).alias("to_id"))
+
+
+@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, paths_sql(PAIRS_SQL, 5)) + "SELECT pair, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, ' ') AS path FROM trail WHERE togo = 0")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
+    return graph.shortest_paths(v.edges(spark, d), pairs(spark, d), 5).select("pair", "hops", F.array_join("path", " ").alias("path"))
+
+
+HYDRATED_SQL = """
+walkable AS (
+    SELECT from_kind, from_id, to_kind, to_id FROM edges
+    UNION ALL SELECT 'file', file_id, 'symbol', symbol_id FROM symbols JOIN files USING (file_id) WHERE deleted_at_unix_ms IS NULL
+    UNION ALL SELECT 'symbol', symbol_id, 'file', file_id FROM symbols JOIN files USING (file_id) WHERE deleted_at_unix_ms IS NULL)"""
+
+
+@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL, HYDRATED_SQL, paths_sql(PAIRS_SQL, 4, "walkable")) + "SELECT pair, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, ' ') AS path FROM trail WHERE togo = 0")
+def hydrated_path(spark: SparkSession, d: str) -> DataFrame:
+    """Over stored and synthetic edges."""
+    edges = graph.hydrated(v.edges(spark, d), v.symbols(spark, d), v.files(spark, d))
+    return graph.shortest_paths(edges, pairs(spark, d), 4).select("pair", "hops", F.array_join("path", " ").alias("path"))
+
+
+#: From each hundredth symbol's name to another symbol's, and to a name that nothing has.
+TRACES_SQL = """
+firsts AS (SELECT name, min(symbol_id) AS id FROM symbols GROUP BY name),
+names AS (SELECT s.symbol_id AS pair, s.name AS n1, CASE WHEN s.symbol_id % 500 = 0 THEN 'nothing' ELSE o.name END AS n2 FROM symbols s JOIN sizes ON true JOIN symbols o ON o.symbol_id = (s.symbol_id * 3 + 11) % parts WHERE s.symbol_id % 100 = 0),
+ends AS (SELECT pair, x.id AS a, y.id AS b FROM names LEFT JOIN firsts x ON x.name = n1 LEFT JOIN firsts y ON y.name = n2)"""
+TRACE_SQL = (
+    TRACES_SQL
+    + ","
+    + paths_sql("SELECT pair, a, b FROM ends WHERE a IS NOT NULL AND b IS NOT NULL", 4)
+    + """,
+done AS (SELECT pair, path, len(path) - 1 AS hops FROM trail WHERE togo = 0),
+hop AS (SELECT pair, i AS hop, path[i + 1] AS x, path[i + 2] AS y FROM (SELECT pair, path, unnest(range(0, hops)) AS i FROM done)),
+step AS (SELECT pair, hop, x, y, min({'weak': resolution <> 'resolved', 'kind': kind, 'resolution': resolution, 'line': line}) AS e
+    FROM hop JOIN edges ON from_kind || ':' || from_id = x AND to_kind || ':' || to_id = y GROUP BY ALL),
+label AS (SELECT 'file:' || file_id AS node, rel_path AS label, rel_path AS file FROM files UNION ALL SELECT 'symbol:' || symbol_id, qualified_name, rel_path FROM symbols LEFT JOIN files USING (file_id))"""
+)
+
+
+def traces(spark: SparkSession, d: str) -> DataFrame:
     s = v.symbols(spark, d)
-    n = s.count()
-    pairs = s.where("symbol_id % 50 = 0").select(
-        F.col("symbol_id").alias("pair"), F.lit("symbol").alias("from_kind"), F.col("symbol_id").alias("from_id"), F.lit("symbol").alias("to_kind"), ((F.col("symbol_id") * 7 + 10) % n).alias("to_id")
-    )
-    return graph.shortest_paths(v.edges(spark, d), pairs, 5).select("pair", "hops")
+    other = s.select(F.col("symbol_id").alias("o"), F.col("name").alias("n2"))
+    asked = s.join(v.sizes(spark, d), F.lit(True)).where("symbol_id % 100 = 0").withColumn("o", (F.col("symbol_id") * 3 + 11) % F.col("parts")).join(other, "o")
+    asked = asked.select(F.col("symbol_id").alias("pair"), F.col("name").alias("from_name"), F.when(F.col("symbol_id") % 500 == 0, "nothing").otherwise(F.col("n2")).alias("to_name"))
+    return graph.trace_paths(v.edges(spark, d), s, asked, 4)
+
+
+@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL, TRACE_SQL) + """
+SELECT pair, CAST(hop AS INTEGER) AS hop, coalesce(p.label, x) AS from_label, coalesce(q.label, y) AS to_label, p.file AS from_file, q.file AS to_file, e.kind AS edge_kind, e.resolution AS resolution, e.line AS line,
+    CASE WHEN e.weak THEN 'partial' ELSE 'grounded' END AS confidence
+FROM step LEFT JOIN label p ON p.node = x LEFT JOIN label q ON q.node = y""")
+def trace_flow(spark: SparkSession, d: str) -> DataFrame:
+    return graph.trace_hops(traces(spark, d), v.edges(spark, d), v.symbols(spark, d), v.files(spark, d))
+
+
+@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL, TRACE_SQL) + """
+, weak AS (SELECT pair, count_if(e.weak) AS weak FROM step GROUP BY pair)
+SELECT pair, CASE WHEN a IS NULL OR b IS NULL OR hops IS NULL THEN 'insufficient' WHEN weak > 0 THEN 'partial' ELSE 'grounded' END AS answer_state,
+    CASE WHEN a IS NULL OR b IS NULL THEN 'missing_endpoint' WHEN hops IS NULL THEN 'path_not_found' END AS stop_reason, CAST(coalesce(hops, 0) AS INTEGER) AS hop_count
+FROM ends LEFT JOIN done USING (pair) LEFT JOIN weak USING (pair)""")
+def trace_states(spark: SparkSession, d: str) -> DataFrame:
+    paths = traces(spark, d)
+    return graph.trace_states(paths, graph.trace_hops(paths, v.edges(spark, d), v.symbols(spark, d), v.files(spark, d)))
+
+
+@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL) + "".join(f"""
+{start} every_{name} AS (
+    SELECT {near}_kind AS nk, {near}_id AS id, 0 AS late, kind, {far}_kind AS other_kind, {far}_id AS other_id, resolution FROM edges
+    UNION ALL SELECT 'file', file_id, 1, '{k1}', 'symbol', symbol_id, 'resolved' FROM symbols
+    UNION ALL SELECT 'symbol', symbol_id, 1, '{k2}', 'file', file_id, 'resolved' FROM symbols)""" for start, name, near, far, k1, k2 in ((",", "out", "from", "to", "contains", "definition"), (",", "in", "to", "from", "definition", "contains"))) + """
+SELECT direction, nk AS node_kind, id AS node_id, CAST(seq AS INTEGER) AS seq, kind, other_kind, other_id, resolution FROM (
+    SELECT *, row_number() OVER (PARTITION BY direction, nk, id ORDER BY late, kind, other_kind, other_id) AS seq FROM (SELECT 'outgoing' AS direction, * FROM every_out UNION ALL SELECT 'incoming', * FROM every_in)) WHERE seq <= 8 AND id % 100 = 0""")
+def direct_edges(spark: SparkSession, d: str) -> DataFrame:
+    nodes = seeds(v.files(spark, d), "file_id", "file").unionByName(seeds(v.symbols(spark, d), "symbol_id", "symbol"))
+    both = None
+    for way in ("outgoing", "incoming"):
+        one = graph.direct_edges(v.edges(spark, d), v.symbols(spark, d), nodes, 8, way).select(F.lit(way).alias("direction"), "node_kind", "node_id", "seq", "kind", "other_kind", "other_id", "resolution")
+        both = one if both is None else both.unionByName(one)
+    return both
 
 
 @query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL) + """
@@ -131,13 +221,13 @@ def dependencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL) + """
-, n AS (SELECT from_kind AS node_kind, from_id AS node_id FROM edges UNION SELECT 'chunk', file_id FROM files WHERE file_id % 10 = 0)
+, n AS (SELECT from_kind AS node_kind, from_id AS node_id FROM edges UNION SELECT 'chunk', file_id FROM files)
 SELECT node_kind, node_id, coalesce(CASE WHEN node_kind = 'file' THEN rel_path WHEN node_kind = 'symbol' THEN qualified_name END, node_kind || ':' || node_id) AS label
 FROM n LEFT JOIN files ON node_kind = 'file' AND node_id = file_id LEFT JOIN symbols ON node_kind = 'symbol' AND node_id = symbol_id""")
 def node_labels(spark: SparkSession, d: str) -> DataFrame:
     files, symbols = v.files(spark, d), v.symbols(spark, d)
     nodes = v.edges(spark, d).select(F.col("from_kind").alias("node_kind"), F.col("from_id").alias("node_id")).distinct()
-    nodes = nodes.unionByName(files.where("file_id % 10 = 0").select(F.lit("chunk").alias("node_kind"), F.col("file_id").alias("node_id")))
+    nodes = nodes.unionByName(files.select(F.lit("chunk").alias("node_kind"), F.col("file_id").alias("node_id")))
     return joins.labelled_nodes(nodes, files, symbols).select("node_kind", "node_id", "label")
 
 
@@ -153,30 +243,43 @@ def expanded_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE items AS (SELECT o_orderkey % 300 AS item FROM orders WHERE o_orderkey < 300), needs AS (
-    SELECT DISTINCT o_orderkey % 300 AS item, o_custkey % 300 AS needs FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey % 300 < o_orderkey % 300),
-depth(item, k) AS (SELECT item, 0 FROM items UNION SELECT n.item, d.k + 1 FROM depth d JOIN needs n ON n.needs = d.item)
-SELECT item, max(k) AS layer FROM depth GROUP BY item""")
+WITH RECURSIVE items AS (SELECT o_orderkey AS item FROM orders), needs AS (
+    SELECT item, item // 3 AS needs FROM items WHERE item % 2 = 0 AND item >= 6
+    UNION SELECT item, CASE WHEN item % 97 = 0 THEN item + 1 ELSE item - 1 END FROM items WHERE item % 97 IN (0, 1) AND item > 1
+    UNION SELECT item, -item FROM items WHERE item % 101 = 0),
+stuck(item) AS (
+    SELECT item FROM needs WHERE needs NOT IN (SELECT item FROM items)
+    UNION SELECT a.item FROM needs a JOIN needs b ON a.needs = b.item AND b.needs = a.item
+    UNION SELECT n.item FROM stuck s JOIN needs n ON n.needs = s.item),
+depth(item, k) AS (
+    SELECT item, 0 FROM items WHERE item NOT IN (SELECT item FROM stuck)
+    UNION SELECT n.item, d.k + 1 FROM depth d JOIN needs n ON n.needs = d.item WHERE n.item NOT IN (SELECT item FROM stuck))
+SELECT item, max(k) AS layer FROM depth GROUP BY item UNION ALL SELECT DISTINCT item, NULL FROM stuck""")
 def work_layers(spark: SparkSession, d: str) -> DataFrame:
-    orders = v.table(spark, d, "orders")
-    items = orders.where("o_orderkey < 300").select((F.col("o_orderkey") % 300).alias("item"))
-    needs = orders.where("o_orderkey % 5 = 0 and o_custkey % 300 < o_orderkey % 300").select((F.col("o_orderkey") % 300).alias("item"), (F.col("o_custkey") % 300).alias("needs"))
+    """Orders that wait for others: chains, cycles of two, and needs that are not there."""
+    items = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("item"))
+    k = F.col("item")
+    needs = (
+        items.where((k % 2 == 0) & (k >= 6)).select("item", F.floor(k / 3).alias("needs"))
+        .unionByName(items.where((k % 97).isin(0, 1) & (k > 1)).select("item", F.when(k % 97 == 0, k + 1).otherwise(k - 1).alias("needs")))
+        .unionByName(items.where(k % 101 == 0).select("item", (-k).alias("needs")))
+    )
     return graph.layers(items, needs)
 
 
 @query(v.with_(v.EDGES_SQL, v.FILES_SQL) + """
 , imp AS (SELECT from_id, to_id FROM edges WHERE kind = 'imports'),
-up(id, depth) AS (SELECT file_id, 0 FROM files WHERE file_id % 97 = 5 UNION SELECT from_id, depth + 1 FROM up JOIN imp ON to_id = id WHERE depth < 4)
+up(id, depth) AS (SELECT file_id, 0 FROM files WHERE file_id % 100 = 0 UNION SELECT from_id, depth + 1 FROM up JOIN imp ON to_id = id WHERE depth < 4)
 SELECT id AS file_id, min(depth) AS depth FROM up GROUP BY id""")
 def dependent_closure(spark: SparkSession, d: str) -> DataFrame:
     from quillgraph.operators import incremental
 
-    return incremental.dependents_of(v.edges(spark, d).where("kind = 'imports'"), v.files(spark, d).where("file_id % 97 = 5"), 4)
+    return incremental.dependents_of(v.edges(spark, d).where("kind = 'imports'"), v.files(spark, d).where("file_id % 100 = 0"), 4)
 
 
 @query(v.with_(v.EDGES_SQL, v.FILES_SQL) + """
-SELECT DISTINCT from_id AS file_id FROM edges JOIN files ON to_id = file_id WHERE kind = 'imports' AND file_id % 97 = 5 AND from_id NOT IN (SELECT file_id FROM files WHERE file_id % 97 = 5)""")
+SELECT DISTINCT from_id AS file_id FROM edges JOIN files ON to_id = file_id WHERE kind = 'imports' AND file_id % 100 = 0 AND from_id NOT IN (SELECT file_id FROM files WHERE file_id % 100 = 0)""")
 def structural_invalidation(spark: SparkSession, d: str) -> DataFrame:
     from quillgraph.operators import incremental
 
-    return incremental.direct_dependents(v.edges(spark, d).where("kind = 'imports'"), v.files(spark, d).where("file_id % 97 = 5"))
+    return incremental.direct_dependents(v.edges(spark, d).where("kind = 'imports'"), v.files(spark, d).where("file_id % 100 = 0"))

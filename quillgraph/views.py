@@ -39,11 +39,17 @@ files AS (
     FROM documents)"""
 
 
+def sizes(spark: SparkSession, d: str) -> DataFrame:
+    """One row: how many files and symbols there are."""
+    docs, parts = (table(spark, d, t).agg(F.count("*").alias(n)) for t, n in (("documents", "docs"), ("part", "parts")))
+    # one row of an aggregate each
+    return F.broadcast(docs.join(parts, F.lit(True)))
+
+
 def symbols(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "documents").count()
-    return table(spark, d, "part").select(
+    return table(spark, d, "part").join(sizes(spark, d), F.lit(True)).select(
         F.col("p_partkey").alias("symbol_id"),
-        (F.col("p_partkey") % n).alias("file_id"),
+        (F.col("p_partkey") % F.col("docs")).alias("file_id"),
         F.lower("p_type").alias("kind"),
         F.substring_index("p_name", " ", 1).alias("name"),
         F.concat("p_brand", F.lit("."), F.regexp_replace("p_name", " ", "_")).alias("qualified_name"),
@@ -60,16 +66,20 @@ symbols AS (
     FROM part)"""
 
 
+#: By line number.
+EDGE_KINDS = ("calls", "imports", "references", "re_exports", "calls", "references", "imports")
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Calls and references between symbols, imports and re-exports between files: a sparse graph from small line items."""
-    docs, parts = table(spark, d, "documents").count(), table(spark, d, "part").count()
+    """Calls and references between symbols, imports and re-exports between files: every line item is an edge."""
     n = F.col("l_linenumber")
-    node = F.when(n.isin(2, 4), "file").otherwise("symbol")
-    size = F.when(n.isin(2, 4), F.lit(docs)).otherwise(F.lit(parts))
-    rows = table(spark, d, "lineitem").where(n.between(1, 4) & (F.col("l_quantity") <= F.when(n == 4, 1).otherwise(8)))
+    of_files = n.isin(2, 4, 7)
+    node = F.when(of_files, "file").otherwise("symbol")
+    size = F.when(of_files, F.col("docs")).otherwise(F.col("parts"))
+    rows = table(spark, d, "lineitem").join(sizes(spark, d), F.lit(True))
     return (
         rows.select(
-            F.element_at(F.array(*map(F.lit, ("calls", "imports", "references", "re_exports"))), n).alias("kind"),
+            F.element_at(F.array(*map(F.lit, EDGE_KINDS)), n).alias("kind"),
             node.alias("from_kind"),
             (F.col("l_partkey") % size).alias("from_id"),
             node.alias("to_kind"),
@@ -82,13 +92,13 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-EDGES_SQL = """
+EDGES_SQL = f"""
 sizes AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM part) AS parts),
 raw_edges AS (
-    SELECT (['calls', 'imports', 'references', 're_exports'])[l_linenumber] AS kind, CASE WHEN l_linenumber IN (2, 4) THEN 'file' ELSE 'symbol' END AS nk,
-           l_partkey % CASE WHEN l_linenumber IN (2, 4) THEN docs ELSE parts END AS f, l_orderkey % CASE WHEN l_linenumber IN (2, 4) THEN docs ELSE parts END AS t,
+    SELECT ({list(EDGE_KINDS)})[l_linenumber] AS kind, CASE WHEN l_linenumber IN (2, 4, 7) THEN 'file' ELSE 'symbol' END AS nk,
+           l_partkey % CASE WHEN l_linenumber IN (2, 4, 7) THEN docs ELSE parts END AS f, l_orderkey % CASE WHEN l_linenumber IN (2, 4, 7) THEN docs ELSE parts END AS t,
            CASE WHEN l_returnflag = 'R' THEN 'unresolved' ELSE 'resolved' END AS resolution, CAST(l_quantity AS INTEGER) AS line
-    FROM lineitem, sizes WHERE l_linenumber BETWEEN 1 AND 4 AND l_quantity <= CASE WHEN l_linenumber = 4 THEN 1 ELSE 8 END),
+    FROM lineitem, sizes),
 edges AS (
     SELECT kind, nk AS from_kind, f AS from_id, nk AS to_kind, t AS to_id, min(resolution) AS resolution, min(line) AS line
     FROM raw_edges GROUP BY kind, nk, f, t)"""
