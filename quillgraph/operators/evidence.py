@@ -14,10 +14,6 @@ GROUNDED_EXTRA = 0.10
 # Budgets (usual, most).
 BUDGETS = {"files": (5, 20), "symbols": (8, 32), "snippets": (8, 32)}
 
-# What a language supports (language, capability, state).
-_FULL = ["definitions", "references", "imports", "calls", "entry_points", "search"]
-
-
 def budget(name: str, asked: int | None = None) -> int:
     usual, most = BUDGETS[name]
     return min(asked if asked and asked > 0 else usual, most)
@@ -61,6 +57,57 @@ def packets(questions: DataFrame, rows: DataFrame, most: int) -> DataFrame:
     return out.select("question_id", F.col("state").alias("answer_state"), F.coalesce("evidence", F.array().cast("array<struct<rank:int,source:string,file_id:bigint,hybrid:double,snippet:string>>")).alias("evidence"), gaps.alias("gaps"))
 
 
+def search_entries(hits: DataFrame, mode: str, most: int = 20) -> DataFrame:
+    """The first ``most`` hits (question_id, rank, score, ...) of each question as evidence: symbols are definitions, grounded from 0.9 on; other modes give chunks, never grounded."""
+    symbol = mode == "symbol"
+    confidence = F.when(F.lit(symbol) & (F.col("score") >= 0.9), "grounded").otherwise("partial")
+    kind, source = ("definition", "storage") if symbol else ("chunk", "query")
+    return hits.where(F.col("rank") <= most).withColumns({"kind": F.lit(kind), "source": F.lit(source), "confidence": confidence})
+
+
+def search_states(questions: DataFrame, entries: DataFrame, mode: str) -> DataFrame:
+    """(question_id, answer_state, entries, gap): insufficient without a hit; only searches for symbols can be grounded, and only if every entry is."""
+    counted = entries.groupBy("question_id").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") != "grounded").alias("weak"))
+    out = questions.select("question_id").join(counted, "question_id", "left").fillna(0, ["n", "weak"])
+    state = F.when(F.col("n") == 0, "insufficient").when(F.lit(mode != "symbol") | (F.col("weak") > 0), "partial").otherwise("grounded")
+    gap = F.when(F.col("n") == 0, "no_matches").when(F.lit(mode != "symbol"), "retrieval_only").when(F.col("weak") > 0, "lower_confidence")
+    return out.select("question_id", state.alias("answer_state"), F.col("n").alias("entries"), gap.alias("gap"))
+
+
+def target_candidates(targets: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(question_id, target_seq, source_seq, row_seq, source, key, score, confidence): what each source has for each target, in the order of both.
+
+    ``targets`` has (question_id, target_seq, target); a source is a name and rows of
+    (target, row_seq, key, score, confidence).
+    """
+    out = None
+    for at, (name, rows) in enumerate(sources):
+        own = targets.join(rows, "target").select("question_id", "target_seq", F.lit(at).alias("source_seq"), "row_seq", F.lit(name).alias("source"), "key", "score", "confidence")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def built(questions: DataFrame, candidates: DataFrame, files: int, snippets: int) -> tuple[DataFrame, DataFrame]:
+    """Ranked evidence and a verdict for each (question_id, intent, unsupported, targets): guards first, then dedupe by key, the cap of files times snippets, and the hybrid order.
+
+    A question without targets is insufficient; intents other than ``explain``, and
+    unsupported classes, are unsupported; none of these gets evidence.
+    """
+    asks = questions.where((F.col("targets") > 0) & (F.col("intent") == "explain") & F.col("unsupported").isNull()).select("question_id")
+    most = files * snippets
+    rows = ranked(capped(candidates.join(asks, "question_id", "left_semi"), ["key"], ["target_seq", "source_seq", "row_seq"], most))
+    counted = rows.groupBy("question_id").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") != "grounded").alias("weak"))
+    out = questions.join(counted, "question_id", "left").fillna(0, ["n", "weak"])
+    state = (
+        F.when(F.col("targets") == 0, "insufficient")
+        .when((F.col("intent") != "explain") | F.col("unsupported").isNotNull(), "unsupported")
+        .when(F.col("n") == 0, "insufficient")
+        .when((F.col("weak") > 0) | (F.col("n") >= most), "partial")
+        .otherwise("grounded")
+    )
+    return rows, out.select("question_id", state.alias("answer_state"), F.col("n").alias("evidence"))
+
+
 def capability_matrix(spark) -> DataFrame:
     """(language, capability, state) for each language and capability."""
     rows = []

@@ -38,6 +38,9 @@ IMPORTS = [
 # Words that are no calls or references.
 RESERVED = ["if", "for", "while", "switch", "return", "function", "catch", "new", "typeof", "await", "def", "class", "fn", "match", "import", "require", "super", "func"]
 
+# Other keywords of the languages, which are no identifiers.
+KEYWORDS = ["as", "async", "and", "break", "case", "const", "continue", "default", "defer", "del", "do", "elif", "else", "enum", "except", "export", "extends", "false", "False", "finally", "from", "go", "impl", "in", "instanceof", "interface", "is", "let", "mod", "mut", "None", "not", "null", "of", "or", "package", "pass", "pub", "raise", "select", "static", "struct", "this", "throw", "trait", "true", "True", "try", "type", "undefined", "use", "var", "void", "with", "yield"]
+
 
 def lines(files: DataFrame, text: str = "content") -> DataFrame:
     """Files with one row a line: ``line`` from 1 and ``code``."""
@@ -62,6 +65,124 @@ def symbols(files: DataFrame) -> DataFrame:
     return out.dropDuplicates(["file_id", "name", "kind", "line_start"])
 
 
+def unquoted(code: Column) -> Column:
+    """A line without its strings, templates and comments."""
+    return F.regexp_replace(code, r"//.*$|/\*.*?\*/|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`", "")
+
+
+def depths(files: DataFrame) -> DataFrame:
+    """Lines with ``before`` and ``after``: how many braces are open around them, comments and strings left out."""
+    bare = unquoted(F.col("code"))
+    net = F.length(F.regexp_replace(bare, r"[^{]", "")) - F.length(F.regexp_replace(bare, r"[^}]", ""))
+    w = Window.partitionBy("file_id").orderBy("line")
+    return lines(files).withColumn("bare", bare).withColumn("net", net).withColumn("after", F.sum("net").over(w)).withColumn("before", F.col("after") - F.col("net"))
+
+
+# Members of script classes (kind, pattern whose first group is the name).
+MEMBERS = [
+    ("method", r"^\s*(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*\*?\s*([A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\([^)]*\)?[^;]*(?:\{.*)?$"),
+    ("field", r"^\s*(?:(?:public|private|protected|static|readonly|declare|override)\s+)*([A-Za-z_$#][\w$]*)[?!]?\s*(?::[^=;]+)?(?:=.*)?;?\s*$"),
+]
+#: What opens a block that members or inner declarations belong to.
+CONTAINERS = ["class", "interface", "enum", "function", "method"]
+
+
+def scoped_symbols(files: DataFrame) -> DataFrame:
+    """(file_id, kind, name, qualified_name, parent, line_start, line_end, exported) of brace languages in scripts.
+
+    Braces tell where a declaration ends and what it stands in: the innermost container
+    around a line is its parent, whose qualified name comes before its own.  Members are
+    looked for one level inside classes.  Text in comments, strings and templates of one
+    line is left out; longer ones are read as code.
+    """
+    scripts = files.where(F.col("language").isin(_SCRIPT))
+    split = depths(scripts).withColumn("s", _first(DECLARATIONS, F.col("language"), F.col("code")))
+    # the next line on which no more braces are open than before a declaration
+    ends = split.select("file_id", F.col("line").alias("at"), F.col("after").alias("level"))
+    declared = split.where("s is not null").select("file_id", "line", "code", F.col("before").alias("depth"), F.col("s.kind").alias("kind"), F.col("s.name").alias("name"))
+    classes = _ended(declared.where(F.col("kind").isin("class", "interface")), ends)
+    inside = split.where("s is null").join(classes.select("file_id", F.col("line").alias("c0"), F.col("line_end").alias("c1"), (F.col("depth") + 1).alias("depth"), F.col("kind").alias("in_kind")), "file_id")
+    inside = inside.where((F.col("line") > F.col("c0")) & (F.col("line") <= F.col("c1")) & (F.col("before") == F.col("depth")) & (F.trim("bare") != "") & ~F.trim("bare").startswith("}"))
+    member = F
+    for kind, pattern in MEMBERS:
+        member = member.when(F.col("code").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", pattern, 1).alias("name")))
+    members = inside.withColumn("m", member).where("m is not null").select("file_id", "line", "code", "depth", F.col("m.kind").alias("kind"), F.col("m.name").alias("name"))
+    members = members.where(~F.col("name").isin([w for w in RESERVED if w != "import"]))
+    own = _ended(declared.unionByName(members), ends)
+    holders = own.where(F.col("kind").isin(CONTAINERS)).select("file_id", F.col("name").alias("outer"), F.col("line").alias("o0"), F.col("line_end").alias("o1"), F.col("depth").alias("outer_depth"))
+    around = own.join(holders, "file_id", "left").where(F.col("o0").isNull() | ((F.col("o0") < F.col("line")) & (F.col("line") <= F.col("o1")) & (F.col("outer_depth") < F.col("depth"))) | (F.col("o0") == F.col("line")))
+    key = ["file_id", "line", "kind", "name", "depth", "line_end", "code"]
+    chain = F.transform(F.array_sort(F.collect_list(F.when(F.col("o0") < F.col("line"), F.struct("outer_depth", "o0", "outer")))), lambda x: x["outer"])
+    named = around.groupBy(*key).agg(chain.alias("chain"))
+    alone = own.join(named.select("file_id", "line", "name"), ["file_id", "line", "name"], "left_anti").select(*key, F.array().cast("array<string>").alias("chain"))
+    out = named.unionByName(alone)
+    return out.select(
+        "file_id", "kind", "name", F.array_join(F.concat("chain", F.array("name")), ".").alias("qualified_name"), F.try_element_at("chain", F.lit(-1)).alias("parent"),
+        F.col("line").alias("line_start"), "line_end", F.col("code").rlike(r"^\s*export\b").alias("exported"),
+    )
+
+
+def _ended(declared: DataFrame, ends: DataFrame) -> DataFrame:
+    """Declarations with the line on which their braces are closed: the same where they open none, the last where they stay open."""
+    met = declared.join(ends, "file_id").where(F.col("at") >= F.col("line"))
+    return met.groupBy(*declared.columns).agg(F.coalesce(F.min(F.when(F.col("level") <= F.col("depth"), F.col("at"))), F.max("at")).alias("line_end"))
+
+
+def bindings(files: DataFrame) -> DataFrame:
+    """(file_id, line, specifier, local_name, imported_name, is_reexport): each name that scripts import, ``default``, ``*`` or its own; none for bare imports."""
+    pattern = r"^\s*(import|export)\s+(?:type\s+)?([^'\"();]*?)\s*from\s*['\"]([^'\"]+)['\"]"
+    code = F.col("code")
+    found = lines(files.where(F.col("language").isin(_SCRIPT))).where(code.rlike(pattern))
+    found = found.select("file_id", "line", (F.regexp_extract(code, pattern, 1) == "export").alias("is_reexport"), F.regexp_extract(code, pattern, 2).alias("clause"), F.regexp_extract(code, pattern, 3).alias("specifier"))
+    listed = F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ",")
+    outside = F.split(F.regexp_replace("clause", r"\{[^}]*\}", ""), ",")
+    parts = found.withColumn("part", F.explode(F.concat(F.transform(listed, lambda x: F.struct(F.trim(x).alias("text"), F.lit(True).alias("named"))), F.transform(outside, lambda x: F.struct(F.trim(x).alias("text"), F.lit(False).alias("named")))))).where("part.text != ''")
+    text = F.regexp_replace("part.text", r"^type\s+", "")
+    whole, alias = F.split_part(text, F.lit(" as "), F.lit(1)), F.when(text.contains(" as "), F.trim(F.split_part(text, F.lit(" as "), F.lit(2))))
+    imported = F.when(F.col("part.named"), F.trim(whole)).when(F.trim(whole) == "*", "*").otherwise("default")
+    local = F.when(F.col("part.named") | (F.trim(whole) == "*"), F.coalesce(alias, F.when(F.trim(whole) != "*", F.trim(whole)))).otherwise(text)
+    return parts.select("file_id", "line", "specifier", local.alias("local_name"), imported.alias("imported_name"), "is_reexport")
+
+
+# What scripts export, by line (kind, pattern whose first group is the name or list).
+EXPORTS = [
+    ("default", r"^\s*export\s+default\s+(?:async\s+)?(?:abstract\s+)?(?:function\s*\*?|class)?\s*([A-Za-z_$][\w$]*)?"),
+    ("named", r"^\s*export\s+(?:declare\s+)?(?:async\s+)?(?:abstract\s+)?(?:function\s*\*?|class|interface|type|enum|const|let|var)\s+([A-Za-z_$][\w$]*)"),
+    ("list", r"^\s*export\s+(?:type\s+)?\{([^}]*)\}"),
+    ("all", r"^\s*export\s+\*(?:\s+as\s+([A-Za-z_$][\w$]*))?"),
+    ("commonjs_default", r"^\s*module\.exports\s*=\s*([A-Za-z_$][\w$]*)?"),
+    ("commonjs", r"^\s*(?:module\.)?exports\.([A-Za-z_$][\w$]*)\s*="),
+]
+
+
+def exports(files: DataFrame) -> DataFrame:
+    """(file_id, line, kind, name, local_name): exported names of scripts, CommonJS included; the name of a default export is ``default``."""
+    found = lines(files.where(F.col("language").isin(_SCRIPT)))
+    rule = F
+    for kind, pattern in EXPORTS:
+        rule = rule.when(F.col("code").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", pattern, 1).alias("text")))
+    found = found.withColumn("e", rule).where("e is not null").select("file_id", "line", "e.kind", "e.text")
+    each = F.when(F.col("kind") == "list", F.filter(F.transform(F.split("text", ","), lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array("text"))
+    out = found.withColumn("part", F.explode(each))
+    local = F.trim(F.split_part("part", F.lit(" as "), F.lit(1)))
+    name = F.when(F.col("kind").isin("default", "commonjs_default"), "default").when(F.col("part").contains(" as "), F.trim(F.split_part("part", F.lit(" as "), F.lit(2)))).when((F.col("kind") == "all") & (F.col("part") == ""), "*").otherwise(F.col("part"))
+    return out.select("file_id", "line", "kind", name.alias("name"), F.when(local != "", local).alias("local_name"))
+
+
+def parse_status(files: DataFrame, text: str = "content", most: int = 5) -> DataFrame:
+    """(file_id, status, diagnostics): parsed, parsed_with_errors (braces of scripts, Go and Rust that do not match; the first ``most`` lines are told), or skipped (no text, NUL bytes, or an unknown language)."""
+    braces = [*_SCRIPT, "go", "rust"]
+    known = F.col("language").isin([*braces, "python"])
+    skip = F.col(text).isNull() | F.col(text).contains("\0") | ~F.coalesce(known, F.lit(False))
+    split = depths(files.where(~skip & F.col("language").isin(braces)))
+    last = F.max(F.struct("line", "after"))
+    wrong = split.groupBy("file_id").agg(F.array_sort(F.collect_list(F.when((F.col("after") < 0) & (F.col("net") < 0), F.col("line")))).alias("early"), last.alias("end"))
+    wrong = wrong.withColumn("told", F.concat(F.transform(F.slice("early", 1, most), lambda x: F.concat(F.lit("unexpected } in line "), x)), F.when(F.col("end.after") > 0, F.array(F.concat("end.after", F.lit(" blocks not closed")))).otherwise(F.array().cast("array<string>"))))
+    out = files.select("file_id", skip.alias("skip")).join(wrong.select("file_id", "told"), "file_id", "left")
+    status = F.when(F.col("skip"), "skipped").when(F.size("told") > 0, "parsed_with_errors").otherwise("parsed")
+    return out.select("file_id", status.alias("status"), F.array_join(F.slice("told", 1, most), "; ").alias("diagnostics"))
+
+
 def imports(files: DataFrame) -> DataFrame:
     """(file_id, kind, specifier, line): imports by line."""
     found = lines(files).withColumn("s", _first(IMPORTS, F.col("language"), F.col("code"))).where("s is not null")
@@ -80,9 +201,14 @@ def calls(files: DataFrame) -> DataFrame:
 
 
 def references(files: DataFrame) -> DataFrame:
-    """(file_id, line, name, reference_kind): identifiers; capitalised ones count as types, assigned ones as written."""
-    words = F.regexp_extract_all("code", F.lit(r"([A-Za-z_$][\w$]*)(?!\s*:)"), 1)
-    out = lines(files).select("file_id", "line", "code", F.explode(words).alias("name")).where(~F.col("name").isin(RESERVED))
+    """(file_id, line, name, reference_kind): identifiers; capitalised ones count as types, assigned ones as written.
+
+    Keywords, words in strings and comments, and in scripts the keys of object literals, are none.
+    """
+    word = r"(?<![\w$])([A-Za-z_$][\w$]*+)"
+    bare = unquoted(F.col("code"))
+    words = F.when(F.col("language").isin(_SCRIPT), F.regexp_extract_all(bare, F.lit(word + r"(?!\s*:(?!:))"), 1)).otherwise(F.regexp_extract_all(bare, F.lit(word), 1))
+    out = lines(files).select("file_id", "line", "code", F.explode(words).alias("name")).where(~F.col("name").isin([*RESERVED, *KEYWORDS]))
     written = F.col("code").rlike(r"^\s*(?:const\s+|let\s+|var\s+)?[A-Za-z_$][\w$]*\s*=[^=]") & F.col("code").rlike(r"=")
     first = F.regexp_extract("code", r"^\s*(?:const\s+|let\s+|var\s+)?([A-Za-z_$][\w$]*)\s*=[^=]", 1)
     kind = F.when(F.col("name").rlike("^[A-Z]"), "type").when(written & (F.col("name") == first), "write").otherwise("read")

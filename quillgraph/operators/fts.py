@@ -14,30 +14,61 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
-def index(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(key, term, tf, length): one row for each term of each chunk."""
-    words = chunks.select(key, terms(F.col(text)).alias("words")).withColumn("length", F.size("words"))
-    return words.select(key, "length", F.explode("words").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+def words_of(chunks: DataFrame, key: str, text: str, title: str | None) -> DataFrame:
+    """(key, words, length): the words of title and content together."""
+    own = terms(F.col(text)) if title is None else F.concat(terms(F.coalesce(title, F.lit(""))), terms(F.col(text)))
+    return chunks.select(key, own.alias("words")).withColumn("length", F.size("words"))
 
 
-def search(chunks: DataFrame, questions: DataFrame, limit: int, key: str = "chunk_id", text: str = "content") -> DataFrame:
+def index(chunks: DataFrame, key: str = "chunk_id", text: str = "content", title: str | None = None) -> DataFrame:
+    """(key, term, tf, length): one row for each term of each chunk, counted inside the chunk's own row."""
+    words = words_of(chunks, key, text, title)
+    once = words.select(key, "words", "length", F.explode(F.array_distinct("words")).alias("term"))
+    return once.select(key, "term", F.size(F.filter("words", lambda w: w == F.col("term"))).cast("bigint").alias("tf"), "length")
+
+
+def maintained(postings: DataFrame, gone: DataFrame, added: DataFrame, key: str = "chunk_id", text: str = "content", title: str | None = None) -> DataFrame:
+    """The index after chunks of ``gone`` (key) left and ``added`` came: rows of other chunks stay as they are."""
+    return postings.join(gone.select(key).distinct(), key, "left_anti").unionByName(index(added, key, text, title))
+
+
+def deletes(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """(chunk_id, title, content): what the index must forget with the chunks of files; the title is the path, empty where the file is gone."""
+    known = files.select("file_id", "rel_path")
+    return chunks.join(known, "file_id", "left").select("chunk_id", F.coalesce("rel_path", F.lit("")).alias("title"), "content")
+
+
+def plain(question: Column) -> Column:
+    """Whether a strict parser would take the question: words of letters, digits and underscores only, and one at least."""
+    return F.coalesce(question.rlike(r"^\s*[\p{L}\p{N}_]+(\s+[\p{L}\p{N}_]+)*\s*$"), F.lit(False))
+
+
+def search(chunks: DataFrame, questions: DataFrame, limit: int, key: str = "chunk_id", text: str = "content", title: str | None = None, strict: bool = False) -> DataFrame:
     """(question_id, key, score, rank): the best chunks that hold all terms of each (question_id, question); ties by key.
 
-    The index is only built for terms that are asked: chunks meet the questions' terms
-    before anything is counted or shuffled.
+    The rarest term of a question brings its chunks; those that lack another term are gone
+    before anything else is counted, so common words make no postings.  A question is a
+    bag of words whatever its characters; with ``strict``, questions that a strict parser
+    refuses find nothing.
     """
-    asked = questions.select("question_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
-    needed = asked.groupBy("question_id").agg(F.count("*").alias("needed"))
-    words = chunks.select(key, terms(F.col(text)).alias("words")).withColumn("length", F.size("words"))
+    if strict:
+        questions = questions.where(plain(F.col("question")))
+    asked = questions.select("question_id", F.array_distinct(terms(F.col("question"))).alias("asked")).where(F.size("asked") > 0)
+    words = words_of(chunks, key, text, title)
     corpus = words.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-    hits = words.select(key, "length", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    postings = hits.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    single = asked.select("question_id", F.explode("asked").alias("term"))
+    found = words.select(F.explode(F.array_distinct("words")).alias("term")).join(single.select("term").distinct(), "term", "left_semi")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    # a term that no chunk has leaves its question out
+    weighed = single.join(df, "term", "left").groupBy("question_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rarest"), F.map_from_entries(F.collect_list(F.struct("term", F.coalesce("df", F.lit(0))))).alias("df"))
+    rare = weighed.where("rarest.df > 0").join(asked, "question_id").select("question_id", "asked", "df", F.col("rarest.term").alias("term"))
+    terms_wanted = rare.select("term").distinct()
+    hits = words.select(key, "words", "length", F.explode(F.array_distinct("words")).alias("term")).join(terms_wanted, "term", "left_semi").join(rare, "term")
+    hits = hits.where(F.size(F.array_except("asked", "words")) == 0)
+    idf = lambda t: F.greatest(F.log((F.col("n") - F.col("df")[t] + 0.5) / (F.col("df")[t] + 0.5)), F.lit(1e-6))
+    tf = lambda t: F.size(F.filter("words", lambda w: w == t))
+    part = lambda t: idf(t) * tf(t) * (K1 + 1) / (tf(t) + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     # one row: the corpus sizes
-    weighed = postings.join(df, "term").join(F.broadcast(corpus), F.lit(True))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    scored = weighed.withColumn("part", part).join(asked, "term").groupBy("question_id", key).agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("found"))
-    kept = scored.join(needed, "question_id").where("found = needed")
+    scored = hits.join(F.broadcast(corpus), F.lit(True)).select("question_id", key, F.round(F.aggregate("asked", F.lit(0.0), lambda s, t: s + part(t)), 6).alias("score"))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), key)
-    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("question_id", key, "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("question_id", key, "score", "rank")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.vectors import cosine, seeded_vector
+from quillgraph.storage import settled
 
 
 def exact_scan(vectors: DataFrame, question: list[float], k: int, min_score: float = -1.0, key: str = "chunk_id") -> DataFrame:
@@ -29,35 +30,59 @@ def search(vectors: DataFrame, question: list[float], dimensions: int, k: int, m
     return exact_scan(vectors, question, k, min_score, key)
 
 
-def batch_scan(vectors: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id", most: int = 1000) -> DataFrame:
-    """(question_id, key, score, rank) for at most ``most`` questions (question_id, vector), which are checked and sent to every task."""
-    n = questions.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} questions: use the bucketed search")
-    asked = F.broadcast(questions.select("question_id", F.col("vector").alias("__q")))
-    scored = vectors.join(asked, F.lit(True)).where(F.col(key) != F.col("question_id")).select("question_id", key, F.round(cosine(F.col("vector"), F.col("__q")), 6).alias("score"))
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def buckets(vectors: DataFrame, dimensions: int, tables: int = 16, planes: int = 6, seed: int = 5) -> DataFrame:
-    """Vectors with their bucket in each table: the signs against random hyperplanes."""
+def batch_scan(vectors: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id", block: int = 1000) -> DataFrame:
+    """(question_id, key, score, rank): the exact k best for each question (question_id, vector).
+
+    Questions go to all tasks in blocks of so many; a block is one pass over the vectors
+    with a partial top-k, so vectors are never shuffled.
+    """
+    asked = settled(questions.select("question_id", F.col("vector").alias("__q")))
+    blocks = max(1, -(-asked.count() // block))
+    # blocks of even size: the rank of a hash, not the hash, says where a question belongs
+    order = Window.orderBy(F.xxhash64("question_id"), "question_id")
+    placed = settled(asked.select("question_id").withColumn("block", ((F.row_number().over(order) - 1) / block).cast("int"))) if blocks > 1 else None
+    out = None
+    for at in range(blocks):
+        own = asked if placed is None else asked.join(F.broadcast(placed.where(F.col("block") == at).drop("block")), "question_id")
+        # at most ``block`` rows
+        scored = vectors.join(F.broadcast(own), F.lit(True)).where(F.col(key) != F.col("question_id")).select("question_id", key, F.round(cosine(F.col("vector"), F.col("__q")), 6).alias("score"))
+        w = Window.partitionBy("question_id").orderBy(F.desc("score"), key)
+        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        best = best if blocks == 1 else settled(best)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def buckets(vectors: DataFrame, dimensions: int, tables: int = 8, planes: int = 10, probes: int = 1, seed: int = 5) -> DataFrame:
+    """Vectors with their buckets in each table: the signs against random hyperplanes, and the ``probes`` - 1 nearest others."""
     normal = np.random.default_rng(seed).standard_normal((tables * planes, dimensions))
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<int>")
     def signs(column: pd.Series) -> pd.Series:
-        side = np.stack(column).astype(float) @ normal.T >= 0
-        codes = (side.reshape(len(side), tables, planes) << np.arange(planes)).sum(axis=2)
-        return pd.Series([[f"{t}:{c}" for t, c in enumerate(row)] for row in codes])
+        side = (np.stack(column).astype(float) @ normal.T).reshape(len(column), tables, planes)
+        codes = ((side >= 0) << np.arange(planes)).sum(axis=2)
+        if probes > 1:
+            flips = np.arange(1 << planes)
+            # how far a vector is from the buckets that differ in the bits of ``flips``
+            cost = (side**2) @ ((flips[:, None] >> np.arange(planes)) & 1).T
+            codes = codes[:, :, None] ^ np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+        else:
+            codes = codes[:, :, None]
+        return pd.Series((codes + (np.arange(tables) << planes)[None, :, None]).reshape(len(column), -1).tolist())
 
     return vectors.where(F.size("vector") == dimensions).withColumn("buckets", signs("vector"))
 
 
+def candidates(vectors: DataFrame, questions: DataFrame, dimensions: int, key: str = "chunk_id", probes: int = 1, **how: int) -> DataFrame:
+    """(question_id, key): pairs that share a bucket; only questions, which are few, look into several buckets of a table."""
+    there = buckets(vectors, dimensions, **how).select(key, F.explode("buckets").alias("bucket"))
+    asked = buckets(questions, dimensions, probes=probes, **how).select("question_id", F.explode("buckets").alias("bucket"))
+    return asked.join(there, "bucket").where(F.col(key) != F.col("question_id")).select("question_id", key).distinct()
+
+
 def bucketed_search(vectors: DataFrame, questions: DataFrame, dimensions: int, k: int, key: str = "chunk_id", **how: int) -> DataFrame:
     """Approximate top-k: candidates share a bucket with the question, then are ranked exactly."""
-    there = buckets(vectors, dimensions, **how).select(key, F.explode("buckets").alias("bucket"))
-    asked = buckets(questions, dimensions, **how).select("question_id", F.explode("buckets").alias("bucket"))
-    pairs = asked.join(there, "bucket").where(F.col(key) != F.col("question_id")).select("question_id", key).distinct()
+    pairs = candidates(vectors, questions, dimensions, key, **how)
     scored = pairs.join(questions.select("question_id", F.col("vector").alias("__q")), "question_id").join(vectors.select(key, "vector"), key)
     scored = scored.select("question_id", key, F.round(cosine(F.col("vector"), F.col("__q")), 6).alias("score"))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), key)
@@ -75,6 +100,17 @@ def embed(chunks: DataFrame, model: str, dimensions: int) -> DataFrame:
     return chunks.select("chunk_id", F.lit(model).alias("model"), F.lit(dimensions).alias("dimensions"), "content_hash", seeded_vector(F.col("content"), dimensions).alias("vector"))
 
 
+def batches(chunks: DataFrame, size: int = 96, text: str = "content", key: str = "chunk_id") -> DataFrame:
+    """(batch, position, key, text): requests to a provider of at most ``size`` texts, formed in each partition alone.
+
+    Blank texts are no request; texts stay where they are, so the last batch of a
+    partition may be smaller.
+    """
+    rows = chunks.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(key, text, F.monotonically_increasing_id().alias("__at"))
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    return rows.select(F.concat_ws(":", part, F.floor(place / size)).alias("batch"), (place % size).cast("int").alias("position"), key, text)
+
+
 def reembedded(chunks: DataFrame, embeddings: DataFrame, model: str, dimensions: int, old_model: str | None = None) -> DataFrame:
     """All chunks anew for the model; vectors of other models stay, but for the old model's and those of no chunk."""
     kept = embeddings.where(F.col("model") != model).join(chunks.select("chunk_id"), "chunk_id", "left_semi")

@@ -27,6 +27,53 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.element_at(F.array(*map(F.lit, LANGUAGE)), (k + 1).cast("int")).alias("language"), code.alias("content"))
 
 
+def scripts(spark: SparkSession, d: str) -> DataFrame:
+    """A script of each part with imports of all forms, a class and exports; every tenth has a brace too many, every tenth one too few."""
+    word, other, k = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1), F.col("p_partkey") % 10
+    parts = [
+        "import base, { helper as h_", word, " } from './", other, "'\nimport * as ns from 'pkg-", other, "'\nexport { ", word, " as ", other, "2 } from './re'\nexport class C_", word,
+        " extends base {\n  size: number = 1\n  run(x) {\n    return ns.", other, "('}', x) // }\n  }\n}\nmodule.exports = C_", word, "\n",
+    ]
+    code = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts], F.when(k == 0, "}\n").when(k == 1, "function open() {\n").otherwise(""))
+    language = F.when(k == 2, "cobol").when(k == 3, "python").otherwise("typescript")
+    return v.table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), language.alias("language"), code.alias("content"))
+
+
+SCRIPTS_SQL = "x AS (SELECT p_partkey AS file_id, p_partkey % 10 AS k, split_part(p_name, ' ', 1) AS word, split_part(p_name, ' ', -1) AS other FROM part), s AS (SELECT * FROM x WHERE k NOT IN (2, 3))"
+
+
+@query(v.with_(SCRIPTS_SQL) + """
+SELECT file_id, 'class' AS kind, 'C_' || word AS name, 'C_' || word AS qualified_name, NULL AS parent, 4 AS line_start, 9 AS line_end, true AS exported FROM s
+UNION ALL SELECT file_id, 'field', 'size', 'C_' || word || '.size', 'C_' || word, 5, 5, false FROM s
+UNION ALL SELECT file_id, 'method', 'run', 'C_' || word || '.run', 'C_' || word, 6, 8, false FROM s
+UNION ALL SELECT file_id, 'function', 'open', 'open', NULL, 11, 12, false FROM s WHERE k = 1""")
+def scoped_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return extract.scoped_symbols(scripts(spark, d))
+
+
+@query(v.with_(SCRIPTS_SQL) + """
+SELECT file_id, 1 AS line, './' || other AS specifier, 'base' AS local_name, 'default' AS imported_name, false AS is_reexport FROM s
+UNION ALL SELECT file_id, 1, './' || other, 'h_' || word, 'helper', false FROM s
+UNION ALL SELECT file_id, 2, 'pkg-' || other, 'ns', '*', false FROM s
+UNION ALL SELECT file_id, 3, './re', other || '2', word, true FROM s""")
+def import_bindings(spark: SparkSession, d: str) -> DataFrame:
+    return extract.bindings(scripts(spark, d))
+
+
+@query(v.with_(SCRIPTS_SQL) + """
+SELECT file_id, 3 AS line, 'list' AS kind, other || '2' AS name, word AS local_name FROM s UNION ALL SELECT file_id, 4, 'named', 'C_' || word, 'C_' || word FROM s
+UNION ALL SELECT file_id, 10, 'commonjs_default', 'default', 'C_' || word FROM s""")
+def exported_names(spark: SparkSession, d: str) -> DataFrame:
+    return extract.exports(scripts(spark, d))
+
+
+@query(v.with_(SCRIPTS_SQL) + """
+SELECT file_id, CASE k WHEN 2 THEN 'skipped' WHEN 0 THEN 'parsed_with_errors' WHEN 1 THEN 'parsed_with_errors' ELSE 'parsed' END AS status,
+CASE k WHEN 0 THEN 'unexpected } in line 11' WHEN 1 THEN '1 blocks not closed' WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE '' END AS diagnostics FROM x""")
+def parse_status(spark: SparkSession, d: str) -> DataFrame:
+    return extract.parse_status(scripts(spark, d))
+
+
 WORDS_SQL = "w AS (SELECT p_partkey AS file_id, p_partkey % 4 AS k, split_part(p_name, ' ', 1) AS word, split_part(p_name, ' ', -1) AS other FROM part)"
 
 
@@ -56,10 +103,14 @@ def extracted_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(v.with_(WORDS_SQL) + """
-SELECT file_id, name, reference_kind FROM (SELECT file_id, unnest(['y', other]) AS name, unnest(['write', 'read']) AS reference_kind FROM w WHERE k = 0)""")
+SELECT file_id, line, name, CASE WHEN k = 0 AND name = 'y' THEN 'write' WHEN k = 2 AND name = 'Run' THEN 'type' ELSE 'read' END AS reference_kind FROM (
+    SELECT file_id, k, unnest([1, 2, 2, 3, 3, 3, 5, 5]) AS line, unnest([other, word, 'x', 'api', other, 'x', 'y', other]) AS name FROM w WHERE k = 0
+    UNION ALL SELECT file_id, k, unnest([1, 1, 3, 4, 4, 5]), unnest([other, 'z', word, '_' || other, 'self', word]) FROM w WHERE k = 1
+    UNION ALL SELECT file_id, k, unnest([1, 3, 3, 3]), unnest(['p', word, other, 'Run']) FROM w WHERE k = 2
+    UNION ALL SELECT file_id, k, unnest([1, 1, 2, 3, 3]), unnest([other, 'x', word, other, word]) FROM w WHERE k = 3)
+WHERE name <> 'new'""")
 def extracted_references(spark: SparkSession, d: str) -> DataFrame:
-    """Of the last line of each script."""
-    return extract.references(sources(spark, d).where("language = 'typescript'")).where("line = 5 and name != 'const'").select("file_id", "name", "reference_kind")
+    return extract.references(sources(spark, d)).select("file_id", "line", "name", "reference_kind")
 
 
 @query(v.with_(v.SYMBOLS_SQL) + "SELECT symbol_id // 8 AS parent_symbol_id, string_agg(name, ', ' ORDER BY name) AS content FROM symbols GROUP BY 1")
@@ -120,13 +171,13 @@ def context_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT 'c' || conv_id AS session_id, turn AS seq, role AS key, CASE WHEN role = 'system' THEN '[REDACTED_COMMAND]' WHEN regexp_matches(text, '(?i)bearer\\s+[a-z0-9._:-]+|sk-[a-z0-9._:-]+') THEN '[REDACTED_SECRET]' ELSE left(text, 40) END AS value FROM conversations""")
+SELECT 'c' || conv_id AS session_id, turn AS seq, role AS key, CASE WHEN role = 'system' THEN '[REDACTED_COMMAND]' WHEN regexp_matches(text, '(?i)bearer\\s+[a-z0-9._:-]+|sk-[a-z0-9._:-]+') THEN '[REDACTED_SECRET]' ELSE sha256(text) END AS value FROM conversations""")
 def session_export(spark: SparkSession, d: str) -> DataFrame:
     """Export to nested documents and import again."""
     key = F.when(F.col("role") == "system", "command").otherwise(F.col("role"))
     rows = v.table(spark, d, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("session_id"), F.col("turn").alias("seq"), key.alias("key"), F.col("text").alias("value"))
     out = sessions.imported(sessions.exported(rows, ["/home/"]))
-    return out.select("session_id", "seq", F.when(F.col("key") == "command", "system").otherwise(F.col("key")).alias("key"), F.when(F.col("value").startswith("[REDACTED_"), F.col("value")).otherwise(F.substring("value", 1, 40)).alias("value"))
+    return out.select("session_id", "seq", F.when(F.col("key") == "command", "system").otherwise(F.col("key")).alias("key"), F.when(F.col("value").startswith("[REDACTED_"), F.col("value")).otherwise(F.sha2("value", 256)).alias("value"))
 
 
 @query("SELECT 'fork' AS session_id, turn AS seq, role AS key, 'fork/' || turn AS value FROM conversations WHERE conv_id = 3")

@@ -193,9 +193,8 @@ def test_freshness_ladder(spark):
 
 
 def test_percentile_and_parity(spark):
-    df = spark.createDataFrame([(float(x),) for x in (5, 1, 3, 2)], "x double")
-    assert df.agg(aggregates.nearest_rank(F.col("x"), 50).alias("p")).first().p == 3.0
-    assert df.limit(0).agg(aggregates.nearest_rank(F.col("x"), 50).alias("p")).first().p == 0.0
+    df = spark.createDataFrame([(1, float(x)) for x in (5, 1, 3, 2)] + [(2, None)], "g int, x double")
+    assert {r.g: (r.p50, r.p100) for r in aggregates.nearest_rank_of(df, "x", [50, 100], ["g"]).collect()} == {1: (3.0, 5.0)}
     counts = spark.createDataFrame([("s", 4, 3), ("s", 1, 2), ("t", 0, 0)], "fact string, expected int, actual int")
     assert {r.fact: r.parity for r in aggregates.parity(counts).collect()} == {"s": 66.666667, "t": 100.0}
 

@@ -28,3 +28,10 @@ def test_bucketed_recall(spark, sf):
     exact = {(r.question_id, r.chunk_id) for r in QUERIES["cosine_batch"](spark, sf).collect()}
     near = {(r.question_id, r.chunk_id) for r in QUERIES["bucketed_topk"](spark, sf).collect()}
     assert len(exact & near) / len(exact) >= 0.9
+
+
+def test_bucketed_recall_on_more_vectors(spark):
+    sf = "/root/testdata/sf0.1"
+    exact = {(r.question_id, r.chunk_id) for r in QUERIES["cosine_batch"](spark, sf).collect()}
+    near = {(r.question_id, r.chunk_id) for r in QUERIES["bucketed_topk"](spark, sf).collect()}
+    assert len(exact) == 200 and len(exact & near) / len(exact) >= 0.9
