@@ -126,6 +126,40 @@ def capability_matrix(spark) -> DataFrame:
     return spark.createDataFrame(rows, "language string, capability string, state string")
 
 
+def ledger(candidates: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Entries (question_id, path, source, order) of a mode's budget, and (question_id, entries, warnings): what the ledger lacks.
+
+    Modes: ``small`` 4 entries, ``usual`` 12, ``large`` 24.
+    """
+    most = {"small": 4, "usual": 12, "large": 24}[mode]
+    kept = capped(candidates, ["path", "source"], ["order"], most)
+    all_ = candidates.groupBy("question_id").agg(F.count_distinct("path", "source").alias("there"), F.count_distinct("source").alias("sources"))
+    have = kept.groupBy("question_id").agg(F.count("*").alias("entries"), F.count_distinct("source").alias("kept_sources"))
+    both = all_.join(have, "question_id")
+    warn = F.filter(F.array(F.when(F.col("there") > F.col("entries"), "budget_reached"), F.when(F.col("sources") > F.col("kept_sources"), "source_missing"), F.when(F.col("kept_sources") == 1, "single_source")), lambda x: x.isNotNull())
+    return kept, both.select("question_id", "entries", warn.alias("warnings"))
+
+
+def routed(servers: DataFrame, lane: str, role: str, wanted: Column, capabilities: list[str], versions: list[str], most: int = 4) -> DataFrame:
+    """Every server with its first reject reason, or its score and rank and whether it is among the best ``most``.
+
+    ``servers`` has (server_id, version, entry, lanes, roles, capabilities, priority, tags).
+    """
+    need = F.array(*map(F.lit, capabilities)) if capabilities else F.array().cast("array<string>")
+    reason = (
+        F.when(~F.col("version").isin(versions), "contract_version_mismatch")
+        .when(F.coalesce("entry", F.lit("")) == "", "entry_missing")
+        .when(~F.array_contains("lanes", lane), "lane_mismatch")
+        .when(~F.array_contains("roles", role), "role_mismatch")
+        .when(F.size(F.array_except(need, "capabilities")) > 0, "capability_denied")
+    )
+    score = F.when(reason.isNull(), F.col("priority") + F.when(F.arrays_overlap("tags", wanted), 20).otherwise(-25))
+    told = servers.select("server_id", reason.alias("reason"), score.alias("score"))
+    # servers are a registry: a few rows
+    rank = F.row_number().over(Window.partitionBy(F.col("reason").isNull()).orderBy(F.desc("score"), "server_id"))
+    return told.withColumn("rank", F.when(F.col("reason").isNull(), rank)).withColumn("selected", F.coalesce(F.col("rank") <= most, F.lit(False)))
+
+
 def route(servers: DataFrame, wanted: Column, most: int = 4) -> DataFrame:
     """Eligible servers by score (priority, more with a wanted tag, less without), then id; the best ``most``.
 

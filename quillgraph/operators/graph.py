@@ -68,10 +68,57 @@ def frontier(edges: DataFrame, seeds: DataFrame, max_hops: int | None, direction
     return seen
 
 
-def neighbourhood(edges: DataFrame, seeds: DataFrame, max_hops: int, limit: int, direction: str = "both") -> DataFrame:
-    """The nearest ``limit`` nodes of each seed; ties by kind and id."""
+def neighbourhood(edges: DataFrame, seeds: DataFrame, max_hops: int, limit: int, direction: str = "both", kind: str | None = None) -> DataFrame:
+    """The nearest ``limit`` nodes of each seed, of one kind if asked; ties by kind and id."""
+    near = frontier(edges, seeds, max_hops, direction)
+    near = near if kind is None else near.where(F.col("node_kind") == kind)
     w = Window.partitionBy("seed").orderBy("depth", *NODE)
-    return frontier(edges, seeds, max_hops, direction).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= limit).drop("__k")
+    return near.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= limit).drop("__k")
+
+
+def bounded_neighbourhood(edges: DataFrame, seeds: DataFrame, max_hops: int, limit: int, each: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and state of each seed's outgoing neighbourhood over the first ``each`` edges of a node.
+
+    Nodes: the nearest ``limit``.  Edges: those of kept nodes before the last hop, once for
+    ends and kind.  State (seed, nodes, edges, truncated): whether a bound was met, the
+    last hop included.
+    """
+    order = Window.partitionBy("from_kind", "from_id").orderBy("kind", "to_kind", "to_id")
+    kept = settled(edges.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= each).drop("__k"))
+    every = frontier(kept, seeds, max_hops)
+    w = Window.partitionBy("seed").orderBy("depth", *NODE)
+    ranked = every.withColumn("__k", F.row_number().over(w))
+    nodes = settled(ranked.where(F.col("__k") <= limit).drop("__k"))
+    near = nodes.where(F.col("depth") < max_hops).select("seed", F.col("node_kind").alias("from_kind"), F.col("node_id").alias("from_id"))
+    found = near.join(kept, ["from_kind", "from_id"]).select("seed", "kind", "from_kind", "from_id", "to_kind", "to_id").distinct()
+    state = every.groupBy("seed").agg(F.count("*").alias("all"), F.max("depth").alias("far")).join(found.groupBy("seed").agg(F.count("*").alias("edges")), "seed", "left")
+    state = state.select("seed", F.least("all", F.lit(limit)).alias("nodes"), F.coalesce("edges", F.lit(0)).alias("edges"), ((F.col("all") >= limit) | (F.col("far") == max_hops)).alias("truncated"))
+    return nodes, found, state
+
+
+def find_references(edges: DataFrame, symbols: DataFrame, files: DataFrame, asked: DataFrame, limit: int, include_tests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """References of each (question_id, symbol_id or name), the first symbol of the name, up to the limit; and (question_id, answer_state, n).
+
+    Insufficient without a symbol or a reference, partial where the limit is met, else grounded.
+    """
+    first = symbols.groupBy("name").agg(F.min("symbol_id").alias("__first"))
+    found = asked.join(first, "name", "left").select("question_id", F.coalesce("symbol_id", "__first").alias("symbol_id"))
+    rows = found.join(references(edges, symbols, files, include_tests), F.col("symbol_id") == F.col("to_id"))
+    w = Window.partitionBy("question_id").orderBy("rel_path", "line", "from_id")
+    kept = rows.withColumn("seq", F.row_number().over(w)).where(F.col("seq") <= limit).select("question_id", "seq", "symbol_id", "from_id", "from_name", "rel_path", "line")
+    counts = kept.groupBy("question_id").agg(F.count("*").alias("n"))
+    state = F.when(F.col("n").isNull(), "insufficient").when(F.col("n") >= limit, "partial").otherwise("grounded")
+    return kept, found.join(counts, "question_id", "left").select("question_id", state.alias("answer_state"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def call_hierarchy(edges: DataFrame, seeds: DataFrame, max_depth: int, limit: int) -> DataFrame:
+    """(seed, side, seq, node_id, depth): callers and callees of each seed, the nearest ``limit`` of either side."""
+    out = None
+    for side, way in (("callers", "incoming"), ("callees", "outgoing")):
+        one = call_closure(edges, seeds, max_depth, way).select("seed", F.lit(side).alias("side"), "node_id", "depth")
+        out = one if out is None else out.unionByName(one)
+    w = Window.partitionBy("seed", "side").orderBy("depth", "node_id")
+    return out.withColumn("seq", F.row_number().over(w)).where(F.col("seq") <= limit)
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int) -> DataFrame:

@@ -134,6 +134,12 @@ def workspace_changes(before: DataFrame, scanned: DataFrame, most: int = 50) ->
     return counted.join(first, F.lit(True)).select(status.alias("status"), "n", "removed", "paths")
 
 
+def converted_paths(chunks: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """Chunks with convertible paths made canonical; canonical and unresolved ones stay as they are."""
+    told = classify_paths(chunks, files, root)
+    return told.withColumn("file_path", F.when(F.col("status") == "convertible", F.col("canonical")).otherwise(F.col("file_path"))).select(*chunks.columns)
+
+
 def classify_paths(chunks: DataFrame, files: DataFrame, root: str) -> DataFrame:
     """Stored chunk paths: canonical, convertible (absolute below the root, or with ``./``), or unresolved."""
     path = F.regexp_replace(F.when(F.col("file_path").startswith(root.rstrip("/") + "/"), F.expr(f"substring(file_path, {len(root.rstrip('/')) + 2})")).otherwise(F.col("file_path")), r"^\./", "")

@@ -198,6 +198,19 @@ def relink(edges: DataFrame, symbols: DataFrame, imported: DataFrame) -> DataFra
     return keep.select("edge_id", "file_id", "symbol_id", "status").unionByName(found.select(F.col("use_id").alias("edge_id"), "file_id", "symbol_id", "status"))
 
 
+def read_configs(files: DataFrame, path: str = "rel_path", text: str = "content") -> DataFrame:
+    """(config, extends, pattern, target) of configuration texts: comments and trailing commas are left out; a config without aliases has one row of nulls, as has one that is no JSON."""
+    bare = F.regexp_replace(F.col(text), r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/', "$1")
+    bare = F.regexp_replace(bare, r",(\s*[}\]])", "$1")
+    parsed = F.from_json(bare, "extends string, compilerOptions struct<baseUrl: string, paths: map<string, array<string>>>")
+    rows = files.select(F.col(path).alias("config"), parsed.alias("c"))
+    base = F.regexp_extract("config", r"^(.*/)?[^/]*$", 1)
+    above = F.when(F.col("c.extends").isNotNull(), normalised(F.concat(base, F.when(F.col("c.extends").endswith(".json"), F.col("c.extends")).otherwise(F.concat("c.extends", F.lit(".json"))))))
+    flat = rows.select("config", above.alias("extends"), base.alias("base"), F.col("c.compilerOptions.baseUrl").alias("url"), F.explode_outer("c.compilerOptions.paths").alias("pattern", "targets"))
+    target = F.when(F.size("targets") > 0, normalised(F.concat("base", F.coalesce("url", F.lit(".")), F.lit("/"), F.col("targets")[0])))
+    return flat.select("config", "extends", "pattern", target.alias("target"))
+
+
 def inherited_aliases(configs: DataFrame, depth: int = 8) -> DataFrame:
     """(config, pattern, target): aliases of each configuration and of those that it extends; the nearest wins.
 

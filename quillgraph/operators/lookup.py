@@ -12,6 +12,11 @@ from quillgraph.functions.text import is_test_path
 CURRENT = ["refreshed_current", "retained_current"]
 
 
+def by_keys(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by whole keys (an id, a path, a root and a path) for a batch of questions (question_id and the keys); null where there is none."""
+    return asked.join(rows, keys, "left")
+
+
 def find_symbols(symbols: DataFrame, name: str, limit: int) -> DataFrame:
     """Symbols of that name or qualified name; exported first, then by id."""
     return symbols.where((F.col("name") == name) | (F.col("qualified_name") == name)).orderBy(F.desc("exported"), "symbol_id").limit(limit)

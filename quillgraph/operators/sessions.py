@@ -16,6 +16,30 @@ def timeline(parts: list[DataFrame], limit: int) -> DataFrame:
     return out.orderBy(F.desc("timestamp"), "kind", "id").limit(limit)
 
 
+def audit_snapshot(parts: dict[str, DataFrame], domains: dict[tuple[str, str], list[str]], limit: int) -> DataFrame:
+    """(measure, value, n): the sizes of the latest ``limit`` rows of each kind, and how often each value of a domain occurs among them, zero included.
+
+    ``parts`` has rows (id, timestamp, ...) by kind, ``domains`` the values by kind and column.
+    """
+    spark = next(iter(parts.values())).sparkSession
+    latest = {k: rows.orderBy(F.desc("timestamp"), "id").limit(limit) for k, rows in parts.items()}
+    out = None
+    for kind, rows in latest.items():
+        size = rows.agg(F.lit("size").alias("measure"), F.lit(kind).alias("value"), F.count("*").alias("n"))
+        out = size if out is None else out.unionByName(size)
+    for (kind, column), values in domains.items():
+        known = spark.createDataFrame([(x,) for x in values], "value string")
+        counts = latest[kind].groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+        out = out.unionByName(known.join(counts, "value", "left").select(F.lit(f"{kind}.{column}").alias("measure"), "value", F.coalesce("n", F.lit(0)).alias("n")))
+    return out
+
+
+def shown(sessions: DataFrame, parts: dict[str, DataFrame], summaries: DataFrame) -> DataFrame:
+    """Counts of each part and the latest summary (updated, text) of every session."""
+    last = summaries.groupBy("session_id").agg(F.max_by("text", F.struct("updated", "text")).alias("summary"))
+    return session_counts(sessions, parts).join(last, "session_id", "left")
+
+
 def session_counts(sessions: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     """One row a session with how many rows of each part it has."""
     out = sessions.select("session_id").distinct()
@@ -24,8 +48,21 @@ def session_counts(sessions: DataFrame, parts: dict[str, DataFrame]) -> DataFram
     return out.fillna(0, list(parts))
 
 
-def compacted(entries: DataFrame, most: int = 12, max_bytes: int = 24_000) -> DataFrame:
-    """One row a session (session_id, seq, line): whether its summary overflows, the tail that stays, the first blockers."""
+def compacted(entries: DataFrame, most: int = 12, max_bytes: int = 24_000, events: DataFrame | None = None, most_events: int = 64) -> DataFrame:
+    """One row a session (session_id, seq, line): whether its summary overflows, the tail that stays, the first blockers.
+
+    Of ``events`` (session_id, seq, event) the last ``most_events`` add their bytes as JSON.
+    """
+    if events is not None:
+        latest = events.withColumn("__k", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("seq")))).where(F.col("__k") <= most_events)
+        extra = latest.groupBy("session_id").agg(F.sum(F.octet_length(F.to_json(F.struct("seq", "event")))).alias("__extra"))
+        base = compacted(entries, most, 2**62)
+        bytes_ = entries.groupBy("session_id").agg(F.sum(F.octet_length("line")).alias("__bytes"))
+        both = base.join(bytes_, "session_id").join(extra, "session_id", "left")
+        over = (F.col("entries") > most) | (F.col("__bytes") + F.coalesce("__extra", F.lit(0)) > max_bytes)
+        keep = max(4, most // 2)
+        dropped = F.when(over, F.greatest(F.col("entries") - keep, F.lit(0))).otherwise(0)
+        return both.withColumn("overflow", over).withColumn("dropped", dropped).select(*base.columns)
     last = Window.partitionBy("session_id").orderBy(F.desc("seq"))
     numbered = entries.withColumn("from_end", F.row_number().over(last))
     keep = max(4, most // 2)

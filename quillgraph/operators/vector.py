@@ -18,9 +18,28 @@ def exact_scan(vectors: DataFrame, question: list[float], k: int, min_score: flo
     return scored.orderBy(F.desc("score"), key).limit(max(k, 0))
 
 
-def indexed_scan(vectors: DataFrame, question: list[float], k: int, min_score: float, key: str = "chunk_id") -> DataFrame:
-    """The k nearest first, then without those below ``min_score``: fewer than k may come."""
-    return exact_scan(vectors, question, k, -1.0, key).where(F.col("score") >= min_score)
+def indexed_scan(vectors: DataFrame, question: list[float], k: int, min_score: float, key: str = "chunk_id", now: DataFrame | None = None) -> DataFrame:
+    """The k nearest first, then without those below ``min_score``, or whose hash is not that of ``now`` (key, content_hash): fewer than k may come."""
+    best = exact_scan(vectors, question, k, -1.0, key).where(F.col("score") >= min_score)
+    if now is None:
+        return best
+    own = best.join(vectors.select(key, "content_hash").distinct(), key)
+    return own.join(now.select(key, "content_hash"), [key, "content_hash"], "left_semi").select(key, "score")
+
+
+def first_source(sources: list[tuple[str, DataFrame]]) -> tuple[str, DataFrame]:
+    """The first of the named tables of vectors that holds any row, else the last."""
+    for name, rows in sources:
+        if not rows.isEmpty():
+            return name, rows
+    return sources[-1]
+
+
+def semantic_search(sources: list[tuple[str, DataFrame]], question: list[float], k: int = 10, min_score: float = 0.25, key: str = "chunk_id") -> DataFrame:
+    """The k best of the first source that holds vectors: an ``index`` drops what is below ``min_score`` after its k, other sources before; ``source`` names it."""
+    name, rows = first_source(sources)
+    out = indexed_scan(rows, question, k, min_score, key) if name == "index" else exact_scan(rows, question, k, min_score, key)
+    return out.withColumn("source", F.lit(name))
 
 
 def search(vectors: DataFrame, question: list[float], dimensions: int, k: int, min_score: float, key: str = "chunk_id") -> DataFrame:

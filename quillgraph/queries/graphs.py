@@ -283,3 +283,71 @@ def structural_invalidation(spark: SparkSession, d: str) -> DataFrame:
     from quillgraph.operators import incremental
 
     return incremental.direct_dependents(v.edges(spark, d).where("kind = 'imports'"), v.files(spark, d).where("file_id % 100 = 0"))
+
+
+CAPPED_SQL = """
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY from_kind, from_id ORDER BY kind, to_kind, to_id) AS k FROM edges) WHERE k <= 6),
+cap_outs AS (SELECT DISTINCT from_kind AS ak, from_id AS a, to_kind AS bk, to_id AS b FROM capped)"""
+
+
+@query(v.with_(v.EDGES_SQL, v.FILES_SQL, CAPPED_SQL, walk_sql(FILE_SEEDS.format(100), "cap_outs", 2)) + """
+, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node_kind, node_id) AS k FROM near) WHERE k <= 25),
+lines AS (SELECT DISTINCT seed, kind, from_kind, from_id, to_kind, to_id FROM kept JOIN capped ON node_kind = from_kind AND node_id = from_id WHERE depth < 2)
+SELECT seed, least(count(*), 25) AS nodes, (SELECT count(*) FROM lines l WHERE l.seed = near.seed) AS edges, count(*) >= 25 OR max(depth) = 2 AS truncated FROM near GROUP BY seed""")
+def bounded_neighborhood(spark: SparkSession, d: str) -> DataFrame:
+    return graph.bounded_neighbourhood(v.edges(spark, d), seeds(v.files(spark, d), "file_id", "file"), 2, 25, 6)[2]
+
+
+@query(v.with_(v.EDGES_SQL, v.FILES_SQL, CAPPED_SQL, walk_sql(FILE_SEEDS.format(100), "cap_outs", 2)) + """
+, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node_kind, node_id) AS k FROM near) WHERE k <= 25)
+SELECT DISTINCT seed, kind, from_id, to_id FROM kept JOIN capped ON node_kind = from_kind AND node_id = from_id WHERE depth < 2""")
+def bounded_neighborhood_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.bounded_neighbourhood(v.edges(spark, d), seeds(v.files(spark, d), "file_id", "file"), 2, 25, 6)[1].select("seed", "kind", "from_id", "to_id")
+
+
+ALL_SQL = """
+every_edge AS (SELECT from_kind, from_id, to_kind, to_id FROM edges UNION ALL SELECT 'file', file_id, 'symbol', symbol_id FROM symbols),
+mixed AS (SELECT from_kind AS ak, from_id AS a, to_kind AS bk, to_id AS b FROM every_edge UNION SELECT to_kind, to_id, from_kind, from_id FROM every_edge)"""
+
+
+@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL, ALL_SQL, walk_sql(FILE_SEEDS.format(100), "mixed", 2)) + """
+SELECT seed, node_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node_id) AS k FROM near WHERE node_kind = 'file') WHERE k <= 20""")
+def file_neighborhood(spark: SparkSession, d: str) -> DataFrame:
+    """Over edges of all kinds and what files contain; only files stay."""
+    edges, symbols = v.edges(spark, d), v.symbols(spark, d)
+    inside = symbols.select(F.lit("contains").alias("kind"), F.lit("file").alias("from_kind"), F.col("file_id").alias("from_id"), F.lit("symbol").alias("to_kind"), F.col("symbol_id").alias("to_id"))
+    rows = edges.select(*inside.columns).unionByName(inside)
+    return graph.neighbourhood(rows, seeds(v.files(spark, d), "file_id", "file"), 2, 20, "both", "file").select("seed", "node_id", "depth")
+
+
+FOUND_SQL = """
+firsts AS (SELECT name, min(symbol_id) AS id FROM symbols GROUP BY name),
+asks AS (SELECT symbol_id AS question_id, CASE WHEN symbol_id % 200 = 0 THEN symbol_id ELSE id END AS sid FROM symbols LEFT JOIN firsts USING (name) WHERE symbol_id % 100 = 0
+    UNION ALL SELECT -1, NULL),
+refs AS (SELECT question_id, sid AS symbol_id, from_id, qualified_name AS from_name, rel_path, line, row_number() OVER (PARTITION BY question_id ORDER BY rel_path, line, from_id) AS seq
+    FROM asks JOIN edges ON to_id = sid AND edges.kind = 'references' JOIN symbols ON from_id = symbols.symbol_id JOIN files USING (file_id) WHERE NOT contains(lower(rel_path), 'test'))"""
+
+
+def asked_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth symbol, half of them by id and half by name alone, and a name that nothing has."""
+    s = v.symbols(spark, d).where("symbol_id % 100 = 0")
+    asks = s.select(F.col("symbol_id").alias("question_id"), F.when(F.col("symbol_id") % 200 == 0, F.col("symbol_id")).alias("symbol_id"), "name")
+    return asks.unionByName(spark.createDataFrame([(-1, None, "nothing")], "question_id bigint, symbol_id bigint, name string"))
+
+
+@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL, FOUND_SQL) + "SELECT question_id, CAST(seq AS INTEGER) AS seq, symbol_id, from_id, from_name, rel_path, line FROM refs WHERE seq <= 7")
+def found_references(spark: SparkSession, d: str) -> DataFrame:
+    return graph.find_references(v.edges(spark, d), v.symbols(spark, d), v.files(spark, d), asked_symbols(spark, d), 7)[0]
+
+
+@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL, FOUND_SQL) + """
+SELECT a.question_id, CASE WHEN count(seq) = 0 THEN 'insufficient' WHEN count(seq) >= 7 THEN 'partial' ELSE 'grounded' END AS answer_state, count(seq) AS n FROM asks a LEFT JOIN refs r ON a.question_id = r.question_id AND seq <= 7 GROUP BY a.question_id""")
+def found_reference_states(spark: SparkSession, d: str) -> DataFrame:
+    return graph.find_references(v.edges(spark, d), v.symbols(spark, d), v.files(spark, d), asked_symbols(spark, d), 7)[1]
+
+
+@query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, CALLS_IN, CALLS_OUT, walk_sql(SYMBOL_SEEDS.format(100), "callers", 2).replace("walk", "walk_in").replace("near", "near_in"), walk_sql(SYMBOL_SEEDS.format(100), "callees", 2).replace("walk", "walk_out").replace("near", "near_out")) + """
+SELECT seed, side, CAST(seq AS INTEGER) AS seq, node_id, depth FROM (
+    SELECT *, row_number() OVER (PARTITION BY seed, side ORDER BY depth, node_id) AS seq FROM (SELECT 'callers' AS side, * FROM near_in UNION ALL SELECT 'callees', * FROM near_out) WHERE depth > 0) WHERE seq <= 9""")
+def call_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    return graph.call_hierarchy(v.edges(spark, d), seeds(v.symbols(spark, d), "symbol_id", "symbol"), 2, 9).select("seed", "side", "seq", "node_id", "depth")

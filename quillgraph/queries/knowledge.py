@@ -615,3 +615,67 @@ def built_evidence(spark: SparkSession, d: str) -> DataFrame:
     ]
     questions_ = asks.select("question_id", "intent", "unsupported", F.size("names").alias("targets"))
     return evidence.built(questions_, evidence.target_candidates(targets, sources), 5, 8)[1]
+
+
+@query(v.with_(v.FILES_SQL) + """
+SELECT file_id, CASE file_id % 4 WHEN 3 THEN 'gone/' || rel_path ELSE rel_path END AS file_path FROM files""")
+def converted_paths(spark: SparkSession, d: str) -> DataFrame:
+    files = v.files(spark, d)
+    k = F.col("file_id") % 4
+    path = F.when(k == 0, F.concat(F.lit("/repo/"), "rel_path")).when(k == 1, F.concat(F.lit("./"), "rel_path")).when(k == 2, F.col("rel_path")).otherwise(F.concat(F.lit("gone/"), "rel_path"))
+    return incremental.converted_paths(files.select("file_id", path.alias("file_path")), files.select("rel_path"), "/repo")
+
+
+@query("".join(f"""
+{start} SELECT '{mode}' AS mode, user_id AS question_id, least(count(DISTINCT event_type || ':' || (event_id % 9)), {most}) AS entries, count(DISTINCT event_type || ':' || (event_id % 9)) > {most} AS budget_reached FROM events GROUP BY user_id""" for start, mode, most in (("", "small", 4), ("UNION ALL", "usual", 12), ("UNION ALL", "large", 24))))
+def ledger_modes(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.table(spark, d, "events").select(F.col("user_id").alias("question_id"), (F.col("event_id") % 9).cast("string").alias("path"), F.col("event_type").alias("source"), F.col("event_id").alias("order"))
+    out = None
+    for mode in ("small", "usual", "large"):
+        one = evidence.ledger(rows, mode)[1].select(F.lit(mode).alias("mode"), "question_id", "entries", F.array_contains("warnings", "budget_reached").alias("budget_reached"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""
+WITH r AS (SELECT s_suppkey AS server_id, CASE WHEN s_suppkey % 5 = 0 THEN 'contract_version_mismatch' WHEN s_acctbal < 0 THEN 'entry_missing' WHEN s_suppkey % 7 = 0 THEN 'lane_mismatch' WHEN s_suppkey % 11 = 0 THEN 'role_mismatch' WHEN s_suppkey % 13 = 0 THEN 'capability_denied' END AS reason,
+    s_nationkey + CASE WHEN s_nationkey % 3 = 0 THEN 20 ELSE -25 END AS score FROM supplier),
+k AS (SELECT server_id, row_number() OVER (ORDER BY score DESC, server_id) AS rank FROM r WHERE reason IS NULL)
+SELECT server_id, reason, CASE WHEN reason IS NULL THEN score END AS score, CAST(rank AS INTEGER) AS rank, coalesce(rank <= 4, false) AS selected FROM r LEFT JOIN k USING (server_id)""")
+def routing_reasons(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    one = lambda name, bad: F.array(F.when(bad, "other").otherwise(name))
+    servers = v.table(spark, d, "supplier").select(
+        k.alias("server_id"), F.when(k % 5 == 0, "v0").otherwise("v1").alias("version"), F.when(F.col("s_acctbal") >= 0, "run").alias("entry"), one("lane", k % 7 == 0).alias("lanes"), one("role", k % 11 == 0).alias("roles"),
+        one("read", k % 13 == 0).alias("capabilities"), F.col("s_nationkey").alias("priority"), F.array(F.when(F.col("s_nationkey") % 3 == 0, "graph").otherwise("other")).alias("tags"),
+    )
+    return evidence.routed(servers, "lane", "role", F.array(F.lit("graph")), ["read"], ["v1"])
+
+
+@query(v.with_(v.EMBEDDINGS_SQL, v.FILES_SQL) + f"""
+SELECT chunk_id, score FROM (SELECT chunk_id, content_hash, {COSINE} AS score FROM vecs ORDER BY score DESC, chunk_id LIMIT 40) b WHERE score >= 0.1 AND EXISTS (SELECT 1 FROM files f WHERE f.file_id = b.chunk_id AND f.content_hash = b.content_hash)""")
+def fresh_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest first, then without stale ones."""
+    now = v.files(spark, d).select(F.col("file_id").alias("chunk_id"), "content_hash")
+    return vector.indexed_scan(v.embeddings(spark, d), question_vector(spark, d), 40, 0.1, now=now)
+
+
+@query(v.with_(v.EMBEDDINGS_SQL) + f"SELECT chunk_id, score, 'stored' AS source FROM (SELECT chunk_id, {COSINE} AS score FROM vecs WHERE {COSINE} >= 0.25 ORDER BY score DESC, chunk_id LIMIT 10)")
+def semantic_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Neither index nor cache holds anything, so the stored vectors are scanned."""
+    rows = v.embeddings(spark, d)
+    none = rows.where("false")
+    return vector.semantic_search([("index", none), ("cache", none), ("stored", rows)], question_vector(spark, d))
+
+
+@query("""
+WITH c AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS word FROM part)
+SELECT 'app' || id || '/tsconfig.json' AS config, CASE WHEN id % 3 = 0 THEN 'base/tsconfig.json' END AS extends, '@' || word || '/*' AS pattern, 'app' || id || '/src/' || word || '/*' AS target FROM c WHERE id % 5 <> 0
+UNION ALL SELECT 'app' || id || '/tsconfig.json', CASE WHEN id % 3 = 0 THEN 'base/tsconfig.json' END, 'exact', 'app' || id || '/one.ts' FROM c WHERE id % 5 <> 0
+UNION ALL SELECT 'app' || id || '/tsconfig.json', NULL, NULL, NULL FROM c WHERE id % 5 = 0""")
+def config_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations with comments, commas too many, a parent for every third, and no JSON in every fifth."""
+    k, word = F.col("p_partkey"), F.substring_index("p_name", " ", 1)
+    parts = ['{ // aliases\n  ', F.when(k % 3 == 0, '"extends": "../base/tsconfig",').otherwise("/* none */"), '\n  "compilerOptions": { "baseUrl": "./src", "paths": { "@', word, '/*": ["./', word, '/*", "//x"], "exact": ["../one.ts",], }, },\n}']
+    text = F.when(k % 5 == 0, "not a configuration").otherwise(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    return link.read_configs(v.table(spark, d, "part").select(F.concat(F.lit("app"), k, F.lit("/tsconfig.json")).alias("rel_path"), text.alias("content")))

@@ -364,3 +364,80 @@ def replaced_facts(spark: SparkSession, d: str) -> DataFrame:
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     files = v.files(spark, d)
     return sinks.cascaded({"chunks": v.chunks(spark, d)}, files.where("deleted_at_unix_ms is not null"))["chunks"].select("chunk_id")
+
+
+AUDIT_SQL = """
+tool AS (SELECT event_id AS id, timestamp, (['called', 'succeeded', 'failed', 'other'])[k % 4 + 1] AS status FROM telemetry WHERE kind = 'click' ORDER BY timestamp DESC, event_id LIMIT 300),
+skill AS (SELECT event_id AS id, timestamp FROM telemetry WHERE kind = 'purchase' ORDER BY timestamp DESC, event_id LIMIT 300),
+mcp AS (SELECT conv_id * 1000 + turn AS id, '2024-01-' || lpad(CAST(1 + conv_id % 30 AS VARCHAR), 2, '0') AS timestamp FROM conversations ORDER BY timestamp DESC, id LIMIT 300),
+gate AS (SELECT doc_id AS id, '2024-02-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0') AS timestamp, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS result, CASE WHEN toxic = 1 THEN 'unavailable' ELSE 'available' END AS availability FROM labels ORDER BY timestamp DESC, id LIMIT 300),
+hook AS (SELECT event_id AS id, timestamp, (['allow', 'block', 'allow'])[k % 3 + 1] AS decision FROM telemetry WHERE kind = 'error' ORDER BY timestamp DESC, event_id LIMIT 300)"""
+#: The values of each kind's columns.
+AUDIT_DOMAINS = {
+    ("tool", "status"): ["called", "succeeded", "failed", "required_but_missing"],
+    ("hook", "decision"): ["allow", "block", "modify"],
+    ("gate", "result"): ["pass", "fail", "not_run"],
+    ("gate", "availability"): ["available", "unavailable", "not_configured"],
+}
+
+
+def audit_parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    t = v.telemetry(spark, d).withColumnRenamed("event_id", "id")
+    pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (by + 1).cast("int"))
+    day = lambda month, by, n: F.concat(F.lit(f"2024-{month}-"), F.lpad((1 + by % n).cast("string"), 2, "0"))
+    turns, labels = v.table(spark, d, "conversations"), v.table(spark, d, "labels")
+    return {
+        "tool": t.where("kind = 'click'").select("id", "timestamp", pick(("called", "succeeded", "failed", "other"), F.col("k") % 4).alias("status")),
+        "skill": t.where("kind = 'purchase'").select("id", "timestamp"),
+        "mcp": turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), day("01", F.col("conv_id"), 30).alias("timestamp")),
+        "gate": labels.select(F.col("doc_id").alias("id"), day("02", F.col("doc_id"), 28).alias("timestamp"), F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("result"), F.when(F.col("toxic") == 1, "unavailable").otherwise("available").alias("availability")),
+        "hook": t.where("kind = 'error'").select("id", "timestamp", pick(("allow", "block", "allow"), F.col("k") % 3).alias("decision")),
+    }
+
+
+@query(v.with_(v.TELEMETRY_SQL, AUDIT_SQL) + " UNION ALL ".join([f"SELECT 'size' AS measure, '{k}' AS value, count(*) AS n FROM {k}" for k in ("tool", "skill", "mcp", "gate", "hook")] + [f"SELECT '{k}.{c}', value, count({c}) FROM (SELECT unnest({values}) AS value) LEFT JOIN {k} ON {c} = value GROUP BY value" for (k, c), values in AUDIT_DOMAINS.items()]))
+def audit_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.audit_snapshot(audit_parts(spark, d), AUDIT_DOMAINS, 300)
+
+
+@query(v.with_(v.TELEMETRY_SQL, AUDIT_SQL) + "SELECT kind, id, timestamp FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, id, timestamp FROM {k}" for k in ("tool", "skill", "mcp", "gate", "hook")) + ") ORDER BY timestamp DESC, kind, id LIMIT 100")
+def audit_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.timeline([rows.select(F.lit(k).alias("kind"), "id", "timestamp") for k, rows in audit_parts(spark, d).items()], 100)
+
+
+@query(v.with_(v.TELEMETRY_SQL) + """
+, lanes AS (SELECT session_id, strategy AS lane, max(ts) AS updated, min(ts) AS created FROM telemetry GROUP BY ALL)
+SELECT lane, session_id FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY updated DESC, created DESC, session_id) AS k FROM lanes) WHERE k = 1""")
+def latest_session_by_lane(spark: SparkSession, d: str) -> DataFrame:
+    lanes = v.telemetry(spark, d).groupBy("session_id", F.col("strategy").alias("lane")).agg(F.max("ts").alias("updated"), F.min("ts").alias("created"))
+    return windows.latest(lanes, ["lane"], [F.desc("updated"), F.desc("created"), F.col("session_id")]).select("lane", "session_id")
+
+
+@query(v.with_(v.TELEMETRY_SQL) + """
+SELECT session_id, count_if(kind = 'click') AS clicks, count_if(kind = 'error') AS errors, arg_max(CASE WHEN k % 5 = 0 THEN kind || ':' || k END, CASE WHEN k % 5 = 0 THEN {'a': timestamp, 'b': kind || ':' || k} END) AS summary
+FROM telemetry GROUP BY session_id""")
+def session_show(spark: SparkSession, d: str) -> DataFrame:
+    t = v.telemetry(spark, d)
+    summaries = t.where("k % 5 = 0").select("session_id", F.col("timestamp").alias("updated"), F.concat_ws(":", "kind", "k").alias("text"))
+    return sessions.shown(t, {"clicks": t.where("kind = 'click'"), "errors": t.where("kind = 'error'")}, summaries)
+
+
+@query(v.with_(v.TELEMETRY_SQL) + """
+, lines AS (SELECT session_id, count(*) AS entries, sum(octet_length(encode(kind || ' ' || k))) AS bytes FROM telemetry GROUP BY session_id),
+late AS (SELECT session_id, sum(octet_length(encode('{"seq":' || event_id || ',"event":"' || timestamp || '"}'))) AS extra FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) AS r FROM telemetry) WHERE r <= 5 GROUP BY session_id)
+SELECT session_id, entries, entries > 40 OR bytes + extra > 420 AS overflow, CASE WHEN entries > 40 OR bytes + extra > 420 THEN greatest(entries - 20, 0) ELSE 0 END AS dropped FROM lines JOIN late USING (session_id)""")
+def session_compaction_with_events(spark: SparkSession, d: str) -> DataFrame:
+    t = v.telemetry(spark, d)
+    lines = t.select("session_id", F.col("event_id").alias("seq"), F.concat_ws(" ", "kind", "k").alias("line"))
+    events = t.select("session_id", F.col("event_id").alias("seq"), F.col("timestamp").alias("event"))
+    return sessions.compacted(lines, 40, 420, events, 5).select("session_id", "entries", "overflow", F.col("dropped").cast("bigint").alias("dropped"))
+
+
+@query(v.with_(v.FILES_SQL) + """
+, asks AS (SELECT file_id AS question_id, CASE WHEN file_id % 3 = 0 THEN 1 - root_id ELSE root_id END AS root_id, rel_path FROM files)
+SELECT question_id, f.file_id FROM asks a LEFT JOIN files f ON a.root_id = f.root_id AND a.rel_path = f.rel_path""")
+def files_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """By root and path; every third asks in the other root."""
+    files = v.files(spark, d)
+    asks = files.select(F.col("file_id").alias("question_id"), F.when(F.col("file_id") % 3 == 0, 1 - F.col("root_id")).otherwise(F.col("root_id")).alias("root_id"), "rel_path")
+    return lookup.by_keys(files.select("root_id", "rel_path", "file_id"), asks, ["root_id", "rel_path"]).select("question_id", "file_id")
