@@ -43,13 +43,12 @@ def quantised(vector: str = "embedding", scale: int = 256) -> Column:
     return F.when(whole, x)
 
 
-def in_blocks(rows: DataFrame, size: int, of_queries: bool) -> DataFrame:
-    """(part, dims, ids, flat, top, low): ranges of (dims, locality key, id) of at most ``size`` rows (id, v), with maxima and minima."""
+def in_blocks(rows: DataFrame, size: int, parts: int, of_queries: bool) -> DataFrame:
+    """(part, dims, ids, flat, top, low): ranges of (dims, locality key, id) of at most ``size`` rows (id, v), with maxima and minima unless they are queries; made in so many tasks."""
     # the locality key: the strongest component, so that a block's maxima are high in few terms
     near = F.array_position("v", F.array_max("v"))
     keyed = rows.select(F.size("v").alias("dims"), near.alias("near"), "id", "v")
-    n = rows.sparkSession.sparkContext.defaultParallelism
-    keyed = keyed.repartitionByRange(n, "dims", "near", "id").sortWithinPartitions("dims", "near", "id")
+    keyed = keyed.repartitionByRange(parts, "dims", "near", "id").sortWithinPartitions("dims", "near", "id")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame(columns=["dims", "near", "id", "v"])
@@ -77,9 +76,11 @@ def in_blocks(rows: DataFrame, size: int, of_queries: bool) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "q", k: int = 5, block: int = BLOCK, shelf: int = SHELF, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, key, score): the k best inner products of each query over all rows but its own."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("id is not null and v is not null")
-    groups = stored(in_blocks(rows.where("asks"), queries, True), "groups")
+    asks = rows.where("asks")
+    # as few groups as the queries fill, since a block travels to each
+    groups = stored(in_blocks(asks, queries, max(1, -(-asks.count() // queries)), True), "groups")
     groups = groups.select(F.col("part").alias("group"), "dims", F.col("ids").alias("asked"), F.col("flat").alias("q"))
-    blocks, n = counted(in_blocks(rows, block, False), "blocks")
+    blocks, n = counted(in_blocks(rows, block, rows.sparkSession.sparkContext.defaultParallelism, False), "blocks")
     shelves = max(1, -(-n // shelf))
     blocks = blocks.withColumnRenamed("part", "block").withColumn("shelf", F.pmod(F.xxhash64("block"), F.lit(shelves)).cast("int"))
 
