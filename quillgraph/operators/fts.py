@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.storage import settled
+
 # BM25 as commonly set.
 K1, B = 1.2, 0.75
 
 
 def terms(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), "")
 
 
 def words_of(chunks: DataFrame, key: str, text: str, title: str | None) -> DataFrame:
@@ -21,10 +23,9 @@ def words_of(chunks: DataFrame, key: str, text: str, title: str | None) -> DataF
 
 
 def index(chunks: DataFrame, key: str = "chunk_id", text: str = "content", title: str | None = None) -> DataFrame:
-    """(key, term, tf, length): one row for each term of each chunk, counted inside the chunk's own row."""
+    """(key, term, tf, length): one row for each term of each chunk; uses are counted before anything is shuffled."""
     words = words_of(chunks, key, text, title)
-    once = words.select(key, "words", "length", F.explode(F.array_distinct("words")).alias("term"))
-    return once.select(key, "term", F.size(F.filter("words", lambda w: w == F.col("term"))).cast("bigint").alias("tf"), "length")
+    return words.select(key, "length", F.explode("words").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf")).select(key, "term", "tf", "length")
 
 
 def maintained(postings: DataFrame, gone: DataFrame, added: DataFrame, key: str = "chunk_id", text: str = "content", title: str | None = None) -> DataFrame:
@@ -46,24 +47,30 @@ def plain(question: Column) -> Column:
 def search(chunks: DataFrame, questions: DataFrame, limit: int, key: str = "chunk_id", text: str = "content", title: str | None = None, strict: bool = False) -> DataFrame:
     """(question_id, key, score, rank): the best chunks that hold all terms of each (question_id, question); ties by key.
 
-    The rarest term of a question brings its chunks; those that lack another term are gone
-    before anything else is counted, so common words make no postings.  A question is a
-    bag of words whatever its characters; with ``strict``, questions that a strict parser
-    refuses find nothing.
+    The rarest term of a question brings its chunks, and those that lack another term are
+    gone before anything else is counted, so common words make no postings: one pass
+    counts in how many chunks the asked terms are, one finds the chunks of rarest terms,
+    one takes these chunks' words.  A question is a bag of words whatever its characters;
+    with ``strict``, questions that a strict parser refuses find nothing.
     """
     if strict:
         questions = questions.where(plain(F.col("question")))
     asked = questions.select("question_id", F.array_distinct(terms(F.col("question"))).alias("asked")).where(F.size("asked") > 0)
+    own = [key, text] if title is None else [key, text, title]
     words = words_of(chunks, key, text, title)
-    corpus = words.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
     single = asked.select("question_id", F.explode("asked").alias("term"))
-    found = words.select(F.explode(F.array_distinct("words")).alias("term")).join(single.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    # the empty term stands for every chunk: its count and lengths are those of the corpus
+    wanted = single.select("term").distinct().unionByName(chunks.sparkSession.createDataFrame([("",)], "term string"))
+    found = words.select("length", F.explode(F.array_distinct(F.concat("words", F.array(F.lit(""))))).alias("term")).join(wanted, "term", "left_semi")
+    counts = settled(found.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("lengths")))
+    corpus = counts.where("term = ''").select(F.col("df").alias("n"), (F.col("lengths") / F.col("df")).alias("avg_length"))
     # a term that no chunk has leaves its question out
-    weighed = single.join(df, "term", "left").groupBy("question_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rarest"), F.map_from_entries(F.collect_list(F.struct("term", F.coalesce("df", F.lit(0))))).alias("df"))
-    rare = weighed.where("rarest.df > 0").join(asked, "question_id").select("question_id", "asked", "df", F.col("rarest.term").alias("term"))
-    terms_wanted = rare.select("term").distinct()
-    hits = words.select(key, "words", "length", F.explode(F.array_distinct("words")).alias("term")).join(terms_wanted, "term", "left_semi").join(rare, "term")
+    weighed = single.join(counts.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    weighed = weighed.groupBy("question_id").agg(F.min(F.struct("df", "term")).alias("rarest"), F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
+    rare = settled(weighed.where("rarest.df > 0").join(asked, "question_id").select("question_id", "asked", "df", F.col("rarest.term").alias("term")))
+    met = words.select(key, F.explode(F.array_distinct("words")).alias("term")).join(rare.select("term").distinct(), "term", "left_semi")
+    pairs = settled(met.join(rare.select("question_id", "term"), "term").select(key, "question_id"))
+    hits = words_of(chunks.select(*own).join(pairs.select(key).distinct(), key, "left_semi"), key, text, title).join(pairs, key).join(rare.drop("term"), "question_id")
     hits = hits.where(F.size(F.array_except("asked", "words")) == 0)
     idf = lambda t: F.greatest(F.log((F.col("n") - F.col("df")[t] + 0.5) / (F.col("df")[t] + 0.5)), F.lit(1e-6))
     tf = lambda t: F.size(F.filter("words", lambda w: w == t))

@@ -122,27 +122,37 @@ def call_hierarchy(edges: DataFrame, seeds: DataFrame, max_depth: int, limit: in
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int) -> DataFrame:
-    """(pair, hops, path): a shortest outgoing path of each (pair, from node, to node); ties to the smallest predecessor.
+    """(pair, hops, path): a shortest outgoing path of each (pair, from node, to node); of several the one whose nodes come first by name.
 
-    Each reached node keeps one path, so the search never enumerates walks.
+    Both ends search towards each other a hop at a time, so neither reaches more than half
+    as far; each reached node keeps the first of its paths, so walks are never enumerated.
+    A path of length n has one node that is half of n from the one end and the rest from
+    the other, where the two halves meet.
     """
     steps = directed(edges, "outgoing").select("a_kind", "a_id", "b_kind", "b_id").distinct()
-    start = pairs.select("pair", F.col("from_kind").alias("node_kind"), F.col("from_id").alias("node_id"))
-    goals = pairs.select("pair", F.col("to_kind").alias("node_kind"), F.col("to_id").alias("node_id"))
     name = lambda k, i: F.concat_ws(":", k, i)
-    front = settled(start.withColumn("path", F.array(name("node_kind", "node_id"))).withColumn("hops", F.lit(0)))
-    seen, reached = front, front.join(goals, ["pair", *NODE], "left_semi")
-    for hop in range(1, max_hops + 1):
-        alive = front.join(reached.select("pair"), "pair", "left_anti")
-        met = alive.join(steps, (F.col("node_kind") == F.col("a_kind")) & (F.col("node_id") == F.col("a_id")))
-        new = met.select("pair", F.col("b_kind").alias("node_kind"), F.col("b_id").alias("node_id"), F.concat("path", F.array(name("b_kind", "b_id"))).alias("path"))
-        new = new.groupBy("pair", *NODE).agg(F.min("path").alias("path"))
-        front = settled(new.join(seen.select("pair", *NODE), ["pair", *NODE], "left_anti").withColumn("hops", F.lit(hop)))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-        reached = reached.unionByName(front.join(goals, ["pair", *NODE], "left_semi"))
-    return reached.select("pair", "hops", "path")
+    side = lambda end: pairs.select("pair", F.col(f"{end}_kind").alias("node_kind"), F.col(f"{end}_id").alias("node_id")).distinct().withColumn("path", F.array(name("node_kind", "node_id")))
+    fronts = [settled(side("from")), settled(side("to"))]
+    seen, reached = list(fronts), None
+    for hops in range(max_hops + 1):
+        if hops:
+            back = 1 - hops % 2  # odd lengths move the start's half, even ones the end's
+            here, there = ("b", "a") if back else ("a", "b")
+            alive = fronts[back].join(reached.select("pair"), "pair", "left_anti")
+            met = alive.join(steps, (F.col("node_kind") == F.col(f"{here}_kind")) & (F.col("node_id") == F.col(f"{here}_id")))
+            node = name(f"{there}_kind", f"{there}_id")
+            longer = F.concat(F.array(node), "path") if back else F.concat("path", F.array(node))
+            new = met.select("pair", F.col(f"{there}_kind").alias("node_kind"), F.col(f"{there}_id").alias("node_id"), longer.alias("path"))
+            new = new.groupBy("pair", *NODE).agg(F.min("path").alias("path"))
+            fronts[back] = settled(new.join(seen[back].select("pair", *NODE), ["pair", *NODE], "left_anti"))
+            if fronts[back].isEmpty():
+                break
+            seen[back] = seen[back].unionByName(fronts[back])
+        halves = fronts[0].join(fronts[1].withColumnRenamed("path", "rest"), ["pair", *NODE])
+        whole = halves.groupBy("pair").agg(F.min(F.concat("path", F.slice("rest", F.lit(2), F.size("rest")))).alias("path"))
+        whole = settled(whole.select("pair", F.lit(hops).alias("hops"), "path"))
+        reached = whole if reached is None else reached.unionByName(whole)
+    return reached
 
 
 def trace_paths(edges: DataFrame, symbols: DataFrame, asked: DataFrame, max_hops: int) -> DataFrame:
