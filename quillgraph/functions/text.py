@@ -67,6 +67,19 @@ def glob_pattern(glob: str) -> str:
     return "^" + "".join(parts.get(p, re.escape(p)) for p in pieces) + "$"
 
 
+def ignored(path: Column, lines: list[str]) -> Column:
+    """Whether the lines of an ignore file leave a relative path out: the last line that fits decides, ``!`` takes back, a slash inside anchors, one at the end means folders."""
+    out = F
+    for line in reversed([x.strip() for x in lines]):
+        if not line or line.startswith("#"):
+            continue
+        keep, line = line.startswith("!"), line.removeprefix("!")
+        body = glob_pattern(line.strip("/"))[1:-1]
+        start = "^" if "/" in line.rstrip("/") else "^(?:.*/)?"
+        out = out.when(path.rlike(start + body + ("/.*$" if line.endswith("/") else "(?:/.*)?$")), not keep)
+    return F.lit(False) if out is F else out.otherwise(False)
+
+
 def language_of(path: Column) -> Column:
     """Language by suffix; null for others."""
     low = F.lower(path)

@@ -78,10 +78,12 @@ def compacted(entries: DataFrame, most: int = 12, max_bytes: int = 24_000, event
     return out.select("session_id", "entries", overflow.alias("overflow"), F.when(overflow, F.greatest(F.col("entries") - keep, F.lit(0))).otherwise(0).alias("dropped"), "tail", "blockers")
 
 
-def exported(messages: DataFrame, roots: list[str]) -> DataFrame:
-    """One nested document a session, its values redacted; ``messages`` has (session_id, seq, key, value)."""
+def exported(messages: DataFrame, roots: list[str], size: int = 1000) -> DataFrame:
+    """Nested documents of each session, numbered parts of at most ``size`` messages, values redacted; ``messages`` has (session_id, seq, key, value)."""
     clean = messages.withColumn("value", redacted(F.col("key"), F.col("value"), roots))
-    return clean.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "key", "value"))).alias("messages"))
+    order = Window.partitionBy("session_id").orderBy("seq", "key")
+    placed = clean.withColumn("part", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
+    return placed.groupBy("session_id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "key", "value"))).alias("messages"))
 
 
 def imported(documents: DataFrame) -> DataFrame:

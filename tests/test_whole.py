@@ -10,8 +10,9 @@ import pytest
 import quillgraph.queries  # noqa: F401
 from pyspark.sql import functions as F
 from quillgraph.functions.vectors import seeded_vector
-from quillgraph.operators import aggregates, evidence, extract, fts, graph, incremental, joins, link, vector
+from quillgraph.operators import aggregates, evidence, extract, fts, graph, incremental, joins, link, sessions, vector
 from quillgraph.registry import QUERIES
+from quillgraph.sources import workspace
 
 
 def test_paths_of_any_length_and_depth(spark):
@@ -172,3 +173,25 @@ def test_guards_of_built_evidence(spark):
     kept, states = evidence.built(asks, evidence.target_candidates(targets, [("storage", rows), ("query", rows)]), 5, 8)
     assert {r.question_id: (r.answer_state, r.evidence) for r in states.collect()} == {1: ("grounded", 1), 2: ("unsupported", 0), 3: ("unsupported", 0), 4: ("insufficient", 0), 5: ("partial", 1)}
     assert {(r.question_id, r.key, r.source) for r in kept.collect()} == {(1, "k1", "storage"), (5, "k2", "storage")}
+
+
+def test_ignore_lines_and_bounds_of_a_scan(spark, tmp_path):
+    root = tmp_path / "ws"
+    names = ["a.ts", "b.ts", "big.ts", "dist/x.ts", "src/dist/y.ts", "src/gen/z.ts", "src/gen/keep.ts", "deep/1/2/3/d.ts", "note.txt", "node_modules/m.ts"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x" * (500 if name == "big.ts" else 5))
+    ignore = ["# made", "", "dist/", "/src/gen/*", "!keep.ts"]
+    files, report = workspace.bounded_scan(spark, str(root), ignore, max_depth=3, max_bytes=100)
+    assert [r.rel_path for r in files.collect()] == ["a.ts", "b.ts", "src/gen/keep.ts"]
+    assert report.first().asDict() == {"visited": 10, "indexed": 3, "ignored": 3, "other": 2, "too_deep": 1, "too_large": 1, "stop_reason": "file_too_large"}
+    few, report = workspace.bounded_scan(spark, str(root), max_files=2)
+    assert few.count() == 2 and report.first().stop_reason == "file_limit" and report.first().indexed == 2
+
+
+def test_sessions_are_exported_in_parts(spark):
+    rows = [("s", k, "note", f"v{k}") for k in range(25)] + [("t", 0, "token", "x")]
+    messages = spark.createDataFrame(rows, "session_id string, seq int, key string, value string")
+    out = sessions.exported(messages, [], 10)
+    assert {(r.session_id, r.part, len(r.messages)) for r in out.collect()} == {("s", 0, 10), ("s", 1, 10), ("s", 2, 5), ("t", 0, 1)}
+    assert sessions.imported(out).where("session_id = 's'").orderBy("seq").select("value").collect() == [(f"v{k}",) for k in range(25)]
