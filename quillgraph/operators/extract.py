@@ -22,6 +22,8 @@ DECLARATIONS = [
     (["rust"], "struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+([A-Za-z_]\w*)"),
     (["rust"], "enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+([A-Za-z_]\w*)"),
     (["rust"], "trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+([A-Za-z_]\w*)"),
+    (["rust"], "module", r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+([A-Za-z_]\w*)"),
+    (["rust"], "type", r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+([A-Za-z_]\w*)"),
 ]
 # Import statements (languages, kind, pattern whose first group is the specifier).
 IMPORTS = [
@@ -88,12 +90,13 @@ CONTAINERS = ["class", "interface", "enum", "function", "method"]
 
 
 def scoped_symbols(files: DataFrame) -> DataFrame:
-    """(file_id, kind, name, qualified_name, parent, line_start, line_end, exported) of brace languages in scripts.
+    """(file_id, kind, name, qualified_name, parent, line_start, line_end, exported) of scripts and Python.
 
     Braces tell where a declaration ends and what it stands in: the innermost container
     around a line is its parent, whose qualified name comes before its own.  Members are
     looked for one level inside classes.  Text in comments, strings and templates of one
-    line is left out; longer ones are read as code.
+    line is left out; longer ones are read as code.  In Python indentation does what
+    braces do, and functions right inside classes are methods.
     """
     scripts = files.where(F.col("language").isin(_SCRIPT))
     split = depths(scripts).withColumn("s", _first(DECLARATIONS, F.col("language"), F.col("code")))
@@ -108,18 +111,35 @@ def scoped_symbols(files: DataFrame) -> DataFrame:
         member = member.when(F.col("code").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", pattern, 1).alias("name")))
     members = inside.withColumn("m", member).where("m is not null").select("file_id", "line", "code", "depth", F.col("m.kind").alias("kind"), F.col("m.name").alias("name"))
     members = members.where(~F.col("name").isin([w for w in RESERVED if w != "import"]))
-    own = _ended(declared.unionByName(members), ends)
-    holders = own.where(F.col("kind").isin(CONTAINERS)).select("file_id", F.col("name").alias("outer"), F.col("line").alias("o0"), F.col("line_end").alias("o1"), F.col("depth").alias("outer_depth"))
+    own = _ended(declared.unionByName(members), ends).withColumn("exported", F.col("code").rlike(r"^\s*export\b"))
+    named = _scoped(own.unionByName(_python_symbols(files)))
+    kind = F.when(F.col("python") & (F.col("kind") == "function") & (F.col("parent_kind") == "class"), "method").otherwise(F.col("kind"))
+    return named.select("file_id", kind.alias("kind"), "name", "qualified_name", "parent", F.col("line").alias("line_start"), "line_end", "exported")
+
+
+def _python_symbols(files: DataFrame) -> DataFrame:
+    """Classes and functions of Python with their indentation as depth; one ends before the next line that is indented no further."""
+    python = lines(files.where("language = 'python'")).where(F.trim("code") != "").withColumn("depth", F.length(F.regexp_extract("code", r"^(\s*)", 1)))
+    declared = python.withColumn("s", _first(DECLARATIONS, F.col("language"), F.col("code"))).where("s is not null").select("file_id", "line", "code", "depth", F.col("s.kind").alias("kind"), F.col("s.name").alias("name"))
+    after = python.select("file_id", F.col("line").alias("at"), F.col("depth").alias("level"))
+    met = declared.join(after, "file_id").where(F.col("at") >= F.col("line"))
+    stop = F.min(F.when((F.col("at") > F.col("line")) & (F.col("level") <= F.col("depth")), F.col("at") - 1))
+    return met.groupBy(*declared.columns).agg(F.coalesce(stop, F.max("at")).alias("line_end")).withColumn("exported", ~F.col("name").startswith("_"))
+
+
+def _scoped(own: DataFrame) -> DataFrame:
+    """Declarations with the names of the containers around them, outermost first."""
+    own = own.withColumn("python", F.col("code").rlike(r"^\s*(?:class\s+\w+.*:|(?:async\s+)?def\s)"))
+    holders = own.where(F.col("kind").isin(CONTAINERS)).select("file_id", F.col("name").alias("outer"), F.col("kind").alias("outer_kind"), F.col("line").alias("o0"), F.col("line_end").alias("o1"), F.col("depth").alias("outer_depth"))
     around = own.join(holders, "file_id", "left").where(F.col("o0").isNull() | ((F.col("o0") < F.col("line")) & (F.col("line") <= F.col("o1")) & (F.col("outer_depth") < F.col("depth"))) | (F.col("o0") == F.col("line")))
-    key = ["file_id", "line", "kind", "name", "depth", "line_end", "code"]
-    chain = F.transform(F.array_sort(F.collect_list(F.when(F.col("o0") < F.col("line"), F.struct("outer_depth", "o0", "outer")))), lambda x: x["outer"])
+    key = ["file_id", "line", "kind", "name", "depth", "line_end", "python", "exported"]
+    chain = F.array_sort(F.collect_list(F.when(F.col("o0") < F.col("line"), F.struct("outer_depth", "o0", "outer", "outer_kind"))))
     named = around.groupBy(*key).agg(chain.alias("chain"))
-    alone = own.join(named.select("file_id", "line", "name"), ["file_id", "line", "name"], "left_anti").select(*key, F.array().cast("array<string>").alias("chain"))
-    out = named.unionByName(alone)
-    return out.select(
-        "file_id", "kind", "name", F.array_join(F.concat("chain", F.array("name")), ".").alias("qualified_name"), F.try_element_at("chain", F.lit(-1)).alias("parent"),
-        F.col("line").alias("line_start"), "line_end", F.col("code").rlike(r"^\s*export\b").alias("exported"),
-    )
+    none = F.slice(F.array(F.struct(F.col("depth").alias("outer_depth"), F.col("line").alias("o0"), F.col("name").alias("outer"), F.col("kind").alias("outer_kind"))), 1, 0)
+    alone = own.join(named.select("file_id", "line", "name"), ["file_id", "line", "name"], "left_anti").select(*key, none.alias("chain"))
+    last = F.try_element_at("chain", F.lit(-1))
+    path = F.array_join(F.concat(F.transform("chain", lambda x: x["outer"]), F.array("name")), ".")
+    return named.unionByName(alone).select(*key, path.alias("qualified_name"), last["outer"].alias("parent"), last["outer_kind"].alias("parent_kind"))
 
 
 def _ended(declared: DataFrame, ends: DataFrame) -> DataFrame:
@@ -184,8 +204,13 @@ def parse_status(files: DataFrame, text: str = "content", most: int = 5) -> Data
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """(file_id, kind, specifier, line): imports by line."""
+    """(file_id, kind, specifier, line): imports by line; a quoted path alone on a line of Go only counts inside ``import ( )``."""
     found = lines(files).withColumn("s", _first(IMPORTS, F.col("language"), F.col("code"))).where("s is not null")
+    bare = (F.col("language") == "go") & ~F.col("code").rlike(r"^\s*import\b")
+    edge = F.when(F.col("code").rlike(r"^\s*import\s*\("), True).when(F.col("code").rlike(r"^\s*\)"), False)
+    w = Window.partitionBy("file_id").orderBy("line")
+    inside = lines(files.where("language = 'go'")).withColumn("inside", F.last(edge, ignorenulls=True).over(w)).where("inside").select("file_id", "line")
+    found = found.where(~bare).unionByName(found.where(bare).join(inside, ["file_id", "line"], "left_semi"))
     return found.select("file_id", F.col("s.kind").alias("kind"), F.col("s.name").alias("specifier"), "line")
 
 

@@ -195,3 +195,12 @@ def test_sessions_are_exported_in_parts(spark):
     out = sessions.exported(messages, [], 10)
     assert {(r.session_id, r.part, len(r.messages)) for r in out.collect()} == {("s", 0, 10), ("s", 1, 10), ("s", 2, 5), ("t", 0, 1)}
     assert sessions.imported(out).where("session_id = 's'").orderBy("seq").select("value").collect() == [(f"v{k}",) for k in range(25)]
+
+
+def test_scopes_of_python_and_imports_of_go(spark):
+    python = "\n".join(["@wrapped", "class A(B):", "    x = 1", "", "    @property", "    def top(self):", "        def inner(): return 1", "        return inner", "    class C:", "        async def go(self): pass", "def _main():", "    pass", ""])
+    go = "\n".join(["package p", 'import "one"', "import (", '  "two/x"', '  y "three"', ")", "const s = `", '"four"', '  "five"', "`", 'import z "six"'])
+    files = spark.createDataFrame([(1, "python", python), (2, "go", go)], "file_id int, language string, content string")
+    named = {r.qualified_name: (r.kind, r.line_start, r.line_end, r.exported) for r in extract.scoped_symbols(files).collect()}
+    assert named == {"A": ("class", 2, 10, True), "A.top": ("method", 6, 8, True), "A.top.inner": ("function", 7, 7, True), "A.C": ("class", 9, 10, True), "A.C.go": ("method", 10, 10, True), "_main": ("function", 11, 12, False)}
+    assert [r.specifier for r in extract.imports(files).where("file_id = 2").orderBy("line").collect()] == ["one", "two/x", "three", "six"]
