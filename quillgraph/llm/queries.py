@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, langid, media, minhash, packing, quality, topk, toxicity, urlfilter, warc
+from quillgraph.llm import bpe, langid, media, minhash, packing, quality, spotsigs, topk, toxicity, urlfilter, vbmw, warc, whitening
 from quillgraph.llm.common import held_out, observed, scratch, ship, table
 
 #: The rules of op5: host, path, action.
@@ -115,6 +115,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(spark, to)
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return vbmw.ranked(docs, asked, k=10)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op13_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.col("n_chars").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("own")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_own")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives below ``path``; each row tells how many byte gaps were quarantined, which are logged beside the records."""
     read, told = observed(warc.read_archives(spark, path, payloads=False), "records", {"gaps": F.count_if(F.col("error").isNotNull())})
@@ -140,6 +166,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_langid": op9_langid,
         "op10_warc": op10_warc,
+        "op11_ranked": op11_ranked,
+        "op12_whitening": op12_whitening,
+        "op13_spotsigs": op13_spotsigs,
     }
 
 
@@ -158,6 +187,25 @@ def oracle_sql() -> dict[str, str]:
                 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
             SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
         """,
+        "op11_ranked": r"""
+            WITH found AS (
+                SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM documents),
+            lengths AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id),
+            corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM lengths),
+            uses AS (SELECT doc_id, term, count(*) AS tf FROM found GROUP BY doc_id, term),
+            weights AS (
+                SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM uses, corpus GROUP BY term, docs),
+            asked AS (
+                SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM benchmark),
+            scored AS (
+                SELECT item_id, u.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score
+                FROM asked JOIN weights USING (term) JOIN uses u USING (term) JOIN lengths l ON u.doc_id = l.doc_id, corpus
+                GROUP BY item_id, u.doc_id),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+            SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+        """,
         "op5_url_filter": f"""
             WITH rules(rh, rp, action) AS (VALUES {rules}),
             cut AS (
