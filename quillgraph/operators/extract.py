@@ -1,10 +1,27 @@
-"""Extraction from source text with native expressions: symbols, imports, calls, references, chunks."""
+"""Extraction from source text: symbols, imports, exports, calls and references by tokens; an outline and chunks with native expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions import lexer, syntax
+
+# the two modules travel with the function that uses them, so that workers need no copy of the package
+cloudpickle.register_pickle_by_value(lexer)
+cloudpickle.register_pickle_by_value(syntax)
+
+#: Languages whose texts are read.
+LANGUAGES = [*sorted(lexer.SCRIPT), "python", "go", "rust"]
+#: Facts of one Arrow batch.
+FACT_ROWS = 20_000
+_TYPES = {"seq": pa.int64(), "flag": pa.bool_(), "type_only": pa.bool_(), "start": pa.int64(), "stop": pa.int64(), "line": pa.int32(), "line_end": pa.int32(), "confidence": pa.float64()}
+_NAMES = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.float64(): "double", pa.string(): "string"}
+
 # What each language's declarations look like (languages, kind, pattern whose first group is the name).
 _SCRIPT = ["typescript", "tsx", "javascript", "jsx"]
 DECLARATIONS = [
@@ -25,25 +42,6 @@ DECLARATIONS = [
     (["rust"], "module", r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+([A-Za-z_]\w*)"),
     (["rust"], "type", r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+([A-Za-z_]\w*)"),
 ]
-# Import statements (languages, kind, pattern whose first group is the specifier).
-IMPORTS = [
-    (_SCRIPT, "reexport", r"^\s*export\s+(?:\*|\{[^}]*\})(?:\s+as\s+\w+)?\s+from\s+['\"]([^'\"]+)['\"]"),
-    (_SCRIPT, "esm", r"^\s*import\s+[^'\"();]+\s+from\s+['\"]([^'\"]+)['\"]"),
-    (_SCRIPT, "side_effect", r"^\s*import\s+['\"]([^'\"]+)['\"]"),
-    (_SCRIPT, "dynamic", r"\bimport\(\s*['\"]([^'\"]+)['\"]"),
-    (_SCRIPT, "require", r"\brequire\(\s*['\"]([^'\"]+)['\"]"),
-    (["python"], "from", r"^\s*from\s+([\w.]+)\s+import\b"),
-    (["python"], "import", r"^\s*import\s+([\w.]+)"),
-    (["go"], "import", r"^\s*(?:import\s+)?(?:\w+\s+)?\"([\w./-]+)\"\s*$"),
-    (["rust"], "use", r"^\s*(?:pub\s+)?use\s+([\w:]+)"),
-]
-# Words that are no calls or references.
-RESERVED = ["if", "for", "while", "switch", "return", "function", "catch", "new", "typeof", "await", "def", "class", "fn", "match", "import", "require", "super", "func"]
-
-# Other keywords of the languages, which are no identifiers.
-KEYWORDS = ["as", "async", "and", "break", "case", "const", "continue", "default", "defer", "del", "do", "elif", "else", "enum", "except", "export", "extends", "false", "False", "finally", "from", "go", "impl", "in", "instanceof", "interface", "is", "let", "mod", "mut", "None", "not", "null", "of", "or", "package", "pass", "pub", "raise", "select", "static", "struct", "this", "throw", "trait", "true", "True", "try", "type", "undefined", "use", "var", "void", "with", "yield"]
-
-
 def lines(files: DataFrame, text: str = "content") -> DataFrame:
     """Files with one row a line: ``line`` from 1 and ``code``."""
     return files.select(*[c for c in files.columns if c != text], F.posexplode(F.split(text, r"\r?\n")).alias("at", "code")).withColumn("line", F.col("at") + 1).drop("at")
@@ -67,177 +65,82 @@ def symbols(files: DataFrame) -> DataFrame:
     return out.dropDuplicates(["file_id", "name", "kind", "line_start"])
 
 
-def unquoted(code: Column) -> Column:
-    """A line without its strings, templates and comments."""
-    return F.regexp_replace(code, r"//.*$|/\*.*?\*/|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`", "")
+def facts(files: DataFrame, *wanted: str, text: str = "content") -> DataFrame:
+    """(file_id, fact, ...) of files in a known language, one walk over the tokens of each: see ``syntax.FIELDS``.
 
-
-def depths(files: DataFrame) -> DataFrame:
-    """Lines with ``before`` and ``after``: how many braces are open around them, comments and strings left out."""
-    bare = unquoted(F.col("code"))
-    net = F.length(F.regexp_replace(bare, r"[^{]", "")) - F.length(F.regexp_replace(bare, r"[^}]", ""))
-    w = Window.partitionBy("file_id").orderBy("line")
-    return lines(files).withColumn("bare", bare).withColumn("net", net).withColumn("after", F.sum("net").over(w)).withColumn("before", F.col("after") - F.col("net"))
-
-
-# Members of script classes (kind, pattern whose first group is the name).
-MEMBERS = [
-    ("method", r"^\s*(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*\*?\s*([A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\([^)]*\)?[^;]*(?:\{.*)?$"),
-    ("field", r"^\s*(?:(?:public|private|protected|static|readonly|declare|override)\s+)*([A-Za-z_$#][\w$]*)[?!]?\s*(?::[^=;]+)?(?:=.*)?;?\s*$"),
-]
-#: What opens a block that members or inner declarations belong to.
-CONTAINERS = ["class", "interface", "enum", "function", "method"]
+    Facts are of the wanted kinds: symbol, import, binding, export, call, reference, status.  ``start`` and ``stop`` are
+    places in characters.  A walk is linear in the text, and a file is one row, so a generated file
+    of any length costs its length.  Texts that are null or hold NUL characters, and other languages, give none.
+    """
+    known = files.where(F.col("language").isin(LANGUAGES) & F.col(text).isNotNull() & ~F.col(text).contains("\0"))
+    kind, asked = known.schema["file_id"].dataType.simpleString(), frozenset(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids: list[int] = []
+            rows: list[dict] = []
+            for k in range(batch.num_rows):
+                found = syntax.facts(batch.column(2)[k].as_py(), batch.column(1)[k].as_py(), asked)
+                ids += [k] * len(found)
+                rows += found
+                if len(rows) >= FACT_ROWS or k + 1 == batch.num_rows:
+                    for at in range(0, len(rows), FACT_ROWS):
+                        part = rows[at : at + FACT_ROWS]
+                        data = [pa.array([r.get(f) for r in part], _TYPES.get(f, pa.string())) for f in syntax.FIELDS]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids[at : at + FACT_ROWS])), *data], names=["file_id", *syntax.FIELDS])
+                    ids, rows = [], []
+
+    schema = ", ".join([f"file_id {kind}", *[f"{f} {_NAMES[_TYPES.get(f, pa.string())]}" for f in syntax.FIELDS]])
+    return known.select("file_id", "language", text).mapInArrow(run, schema)
 
 
 def scoped_symbols(files: DataFrame) -> DataFrame:
-    """(file_id, kind, name, qualified_name, parent, line_start, line_end, exported) of scripts and Python.
+    """(file_id, kind, name, qualified_name, parent, line_start, line_end, exported): declarations with their spans and what they stand in.
 
-    Braces tell where a declaration ends and what it stands in: the innermost container
-    around a line is its parent, whose qualified name comes before its own.  Members are
-    looked for one level inside classes.  Text in comments, strings and templates of one
-    line is left out; longer ones are read as code.  In Python indentation does what
-    braces do, and functions right inside classes are methods.
+    Scripts: classes and their methods and fields, functions, methods of object literals, interfaces, types, enums,
+    constants and variables; Python: classes, methods, functions; Go: functions, methods by receiver, types; Rust:
+    functions, methods by impl or trait, structs, enums, traits, types, modules.
     """
-    scripts = files.where(F.col("language").isin(_SCRIPT))
-    split = depths(scripts).withColumn("s", _first(DECLARATIONS, F.col("language"), F.col("code")))
-    # the next line on which no more braces are open than before a declaration
-    ends = split.select("file_id", F.col("line").alias("at"), F.col("after").alias("level"))
-    declared = split.where("s is not null").select("file_id", "line", "code", F.col("before").alias("depth"), F.col("s.kind").alias("kind"), F.col("s.name").alias("name"))
-    classes = _ended(declared.where(F.col("kind").isin("class", "interface")), ends)
-    inside = split.where("s is null").join(classes.select("file_id", F.col("line").alias("c0"), F.col("line_end").alias("c1"), (F.col("depth") + 1).alias("depth"), F.col("kind").alias("in_kind")), "file_id")
-    inside = inside.where((F.col("line") > F.col("c0")) & (F.col("line") <= F.col("c1")) & (F.col("before") == F.col("depth")) & (F.trim("bare") != "") & ~F.trim("bare").startswith("}"))
-    member = F
-    for kind, pattern in MEMBERS:
-        member = member.when(F.col("code").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", pattern, 1).alias("name")))
-    members = inside.withColumn("m", member).where("m is not null").select("file_id", "line", "code", "depth", F.col("m.kind").alias("kind"), F.col("m.name").alias("name"))
-    members = members.where(~F.col("name").isin([w for w in RESERVED if w != "import"]))
-    own = _ended(declared.unionByName(members), ends).withColumn("exported", F.col("code").rlike(r"^\s*export\b"))
-    named = _scoped(own.unionByName(_python_symbols(files)))
-    kind = F.when(F.col("python") & (F.col("kind") == "function") & (F.col("parent_kind") == "class"), "method").otherwise(F.col("kind"))
-    return named.select("file_id", kind.alias("kind"), "name", "qualified_name", "parent", F.col("line").alias("line_start"), "line_end", "exported")
-
-
-def _python_symbols(files: DataFrame) -> DataFrame:
-    """Classes and functions of Python with their indentation as depth; one ends before the next line that is indented no further."""
-    python = lines(files.where("language = 'python'")).where(F.trim("code") != "").withColumn("depth", F.length(F.regexp_extract("code", r"^(\s*)", 1)))
-    declared = python.withColumn("s", _first(DECLARATIONS, F.col("language"), F.col("code"))).where("s is not null").select("file_id", "line", "code", "depth", F.col("s.kind").alias("kind"), F.col("s.name").alias("name"))
-    after = python.select("file_id", F.col("line").alias("at"), F.col("depth").alias("level"))
-    met = declared.join(after, "file_id").where(F.col("at") >= F.col("line"))
-    stop = F.min(F.when((F.col("at") > F.col("line")) & (F.col("level") <= F.col("depth")), F.col("at") - 1))
-    return met.groupBy(*declared.columns).agg(F.coalesce(stop, F.max("at")).alias("line_end")).withColumn("exported", ~F.col("name").startswith("_"))
-
-
-def _scoped(own: DataFrame) -> DataFrame:
-    """Declarations with the names of the containers around them, outermost first."""
-    own = own.withColumn("python", F.col("code").rlike(r"^\s*(?:class\s+\w+.*:|(?:async\s+)?def\s)"))
-    holders = own.where(F.col("kind").isin(CONTAINERS)).select("file_id", F.col("name").alias("outer"), F.col("kind").alias("outer_kind"), F.col("line").alias("o0"), F.col("line_end").alias("o1"), F.col("depth").alias("outer_depth"))
-    around = own.join(holders, "file_id", "left").where(F.col("o0").isNull() | ((F.col("o0") < F.col("line")) & (F.col("line") <= F.col("o1")) & (F.col("outer_depth") < F.col("depth"))) | (F.col("o0") == F.col("line")))
-    key = ["file_id", "line", "kind", "name", "depth", "line_end", "python", "exported"]
-    chain = F.array_sort(F.collect_list(F.when(F.col("o0") < F.col("line"), F.struct("outer_depth", "o0", "outer", "outer_kind"))))
-    named = around.groupBy(*key).agg(chain.alias("chain"))
-    none = F.slice(F.array(F.struct(F.col("depth").alias("outer_depth"), F.col("line").alias("o0"), F.col("name").alias("outer"), F.col("kind").alias("outer_kind"))), 1, 0)
-    alone = own.join(named.select("file_id", "line", "name"), ["file_id", "line", "name"], "left_anti").select(*key, none.alias("chain"))
-    last = F.try_element_at("chain", F.lit(-1))
-    path = F.array_join(F.concat(F.transform("chain", lambda x: x["outer"]), F.array("name")), ".")
-    return named.unionByName(alone).select(*key, path.alias("qualified_name"), last["outer"].alias("parent"), last["outer_kind"].alias("parent_kind"))
-
-
-def _ended(declared: DataFrame, ends: DataFrame) -> DataFrame:
-    """Declarations with the line on which their braces are closed: the same where they open none, the last where they stay open."""
-    met = declared.join(ends, "file_id").where(F.col("at") >= F.col("line"))
-    return met.groupBy(*declared.columns).agg(F.coalesce(F.min(F.when(F.col("level") <= F.col("depth"), F.col("at"))), F.max("at")).alias("line_end"))
+    return facts(files, "symbol").select("file_id", "kind", "name", "qualified_name", "parent", F.col("line").alias("line_start"), "line_end", F.col("flag").alias("exported"))
 
 
 def bindings(files: DataFrame) -> DataFrame:
-    """(file_id, line, specifier, local_name, imported_name, is_reexport): each name that scripts import, ``default``, ``*`` or its own; none for bare imports."""
-    pattern = r"^\s*(import|export)\s+(?:type\s+)?([^'\"();]*?)\s*from\s*['\"]([^'\"]+)['\"]"
-    code = F.col("code")
-    found = lines(files.where(F.col("language").isin(_SCRIPT))).where(code.rlike(pattern))
-    found = found.select("file_id", "line", (F.regexp_extract(code, pattern, 1) == "export").alias("is_reexport"), F.regexp_extract(code, pattern, 2).alias("clause"), F.regexp_extract(code, pattern, 3).alias("specifier"))
-    listed = F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ",")
-    outside = F.split(F.regexp_replace("clause", r"\{[^}]*\}", ""), ",")
-    parts = found.withColumn("part", F.explode(F.concat(F.transform(listed, lambda x: F.struct(F.trim(x).alias("text"), F.lit(True).alias("named"))), F.transform(outside, lambda x: F.struct(F.trim(x).alias("text"), F.lit(False).alias("named")))))).where("part.text != ''")
-    text = F.regexp_replace("part.text", r"^type\s+", "")
-    whole, alias = F.split_part(text, F.lit(" as "), F.lit(1)), F.when(text.contains(" as "), F.trim(F.split_part(text, F.lit(" as "), F.lit(2))))
-    imported = F.when(F.col("part.named"), F.trim(whole)).when(F.trim(whole) == "*", "*").otherwise("default")
-    local = F.when(F.col("part.named") | (F.trim(whole) == "*"), F.coalesce(alias, F.when(F.trim(whole) != "*", F.trim(whole)))).otherwise(text)
-    return parts.select("file_id", "line", "specifier", local.alias("local_name"), imported.alias("imported_name"), "is_reexport")
-
-
-# What scripts export, by line (kind, pattern whose first group is the name or list).
-EXPORTS = [
-    ("default", r"^\s*export\s+default\s+(?:async\s+)?(?:abstract\s+)?(?:function\s*\*?|class)?\s*([A-Za-z_$][\w$]*)?"),
-    ("named", r"^\s*export\s+(?:declare\s+)?(?:async\s+)?(?:abstract\s+)?(?:function\s*\*?|class|interface|type|enum|const|let|var)\s+([A-Za-z_$][\w$]*)"),
-    ("list", r"^\s*export\s+(?:type\s+)?\{([^}]*)\}"),
-    ("all", r"^\s*export\s+\*(?:\s+as\s+([A-Za-z_$][\w$]*))?"),
-    ("commonjs_default", r"^\s*module\.exports\s*=\s*([A-Za-z_$][\w$]*)?"),
-    ("commonjs", r"^\s*(?:module\.)?exports\.([A-Za-z_$][\w$]*)\s*="),
-]
+    """(file_id, line, specifier, local_name, imported_name, is_reexport, type_only): each name that an import brings in, ``default``, ``*`` or its own; none for bare imports."""
+    return facts(files, "binding").select("file_id", "line", "specifier", "local_name", "imported_name", F.col("flag").alias("is_reexport"), "type_only")
 
 
 def exports(files: DataFrame) -> DataFrame:
-    """(file_id, line, kind, name, local_name): exported names of scripts, CommonJS included; the name of a default export is ``default``."""
-    found = lines(files.where(F.col("language").isin(_SCRIPT)))
-    rule = F
-    for kind, pattern in EXPORTS:
-        rule = rule.when(F.col("code").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", pattern, 1).alias("text")))
-    found = found.withColumn("e", rule).where("e is not null").select("file_id", "line", "e.kind", "e.text")
-    each = F.when(F.col("kind") == "list", F.filter(F.transform(F.split("text", ","), lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array("text"))
-    out = found.withColumn("part", F.explode(each))
-    local = F.trim(F.split_part("part", F.lit(" as "), F.lit(1)))
-    name = F.when(F.col("kind").isin("default", "commonjs_default"), "default").when(F.col("part").contains(" as "), F.trim(F.split_part("part", F.lit(" as "), F.lit(2)))).when((F.col("kind") == "all") & (F.col("part") == ""), "*").otherwise(F.col("part"))
-    return out.select("file_id", "line", "kind", name.alias("name"), F.when(local != "", local).alias("local_name"))
-
-
-def parse_status(files: DataFrame, text: str = "content", most: int = 5) -> DataFrame:
-    """(file_id, status, diagnostics): parsed, parsed_with_errors (braces of scripts, Go and Rust that do not match; the first ``most`` lines are told), or skipped (no text, NUL bytes, or an unknown language)."""
-    braces = [*_SCRIPT, "go", "rust"]
-    known = F.col("language").isin([*braces, "python"])
-    skip = F.col(text).isNull() | F.col(text).contains("\0") | ~F.coalesce(known, F.lit(False))
-    split = depths(files.where(~skip & F.col("language").isin(braces)))
-    last = F.max(F.struct("line", "after"))
-    wrong = split.groupBy("file_id").agg(F.array_sort(F.collect_list(F.when((F.col("after") < 0) & (F.col("net") < 0), F.col("line")))).alias("early"), last.alias("end"))
-    wrong = wrong.withColumn("told", F.concat(F.transform(F.slice("early", 1, most), lambda x: F.concat(F.lit("unexpected } in line "), x)), F.when(F.col("end.after") > 0, F.array(F.concat("end.after", F.lit(" blocks not closed")))).otherwise(F.array().cast("array<string>"))))
-    out = files.select("file_id", skip.alias("skip")).join(wrong.select("file_id", "told"), "file_id", "left")
-    status = F.when(F.col("skip"), "skipped").when(F.size("told") > 0, "parsed_with_errors").otherwise("parsed")
-    return out.select("file_id", status.alias("status"), F.array_join(F.slice("told", 1, most), "; ").alias("diagnostics"))
+    """(file_id, line, kind, name, local_name, specifier, type_only): exported names of scripts, CommonJS included; the name of a default export is ``default``."""
+    return facts(files, "export").select("file_id", "line", "kind", "name", "local_name", "specifier", F.coalesce("type_only", F.lit(False)).alias("type_only"))
+
+
+def parse_status(files: DataFrame, text: str = "content") -> DataFrame:
+    """(file_id, status, diagnostics): parsed, parsed_with_errors (brackets, strings, templates or comments that are not closed or not open; the first five are told), or skipped (no text, NUL characters, or an unknown language)."""
+    found = facts(files, "status", text=text).select("file_id", F.col("seq").alias("wrong"), F.col("name").alias("told"))
+    skip = F.col("wrong").isNull()
+    status = F.when(skip, "skipped").when(F.col("wrong") > 0, "parsed_with_errors").otherwise("parsed")
+    # scripts, Go and Rust tell of no error with an empty text
+    told = F.when((F.col("told") != "") | (F.col("language") != "python"), F.col("told"))
+    return files.select("file_id", "language").join(found, "file_id", "left").select("file_id", status.alias("status"), told.alias("diagnostics"))
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """(file_id, kind, specifier, line): imports by line; a quoted path alone on a line of Go only counts inside ``import ( )``."""
-    found = lines(files).withColumn("s", _first(IMPORTS, F.col("language"), F.col("code"))).where("s is not null")
-    bare = (F.col("language") == "go") & ~F.col("code").rlike(r"^\s*import\b")
-    edge = F.when(F.col("code").rlike(r"^\s*import\s*\("), True).when(F.col("code").rlike(r"^\s*\)"), False)
-    w = Window.partitionBy("file_id").orderBy("line")
-    inside = lines(files.where("language = 'go'")).withColumn("inside", F.last(edge, ignorenulls=True).over(w)).where("inside").select("file_id", "line")
-    found = found.where(~bare).unionByName(found.where(bare).join(inside, ["file_id", "line"], "left_semi"))
-    return found.select("file_id", F.col("s.kind").alias("kind"), F.col("s.name").alias("specifier"), "line")
+    """(file_id, kind, specifier, line): import statements, however many lines they take; modules that are computed are ``<dynamic-expression>``."""
+    return facts(files, "import").select("file_id", "kind", "specifier", "line")
 
 
 def calls(files: DataFrame) -> DataFrame:
-    """(file_id, line, callee, name, call_kind): call sites; the name is the last part of the callee."""
-    sites = F.regexp_extract_all("code", F.lit(r"((?:[A-Za-z_$][\w$]*(?:\?\.|\.|::))*[A-Za-z_$][\w$]*)\s*\("), 1)
-    declared = F.col("code").rlike(r"^\s*(?:export\s+|pub\s+|async\s+|default\s+)*(?:function|def|fn|func)\b")
-    out = lines(files).select("file_id", "line", declared.alias("declared"), F.posexplode(sites).alias("seq", "callee"))
-    out = out.where(~(F.col("declared") & (F.col("seq") == 0)))
-    name = F.element_at(F.split("callee", r"\?\.|\.|::"), -1)
-    kind = F.when(F.col("callee").contains("."), "method").otherwise("direct")
-    return out.select("file_id", "line", "callee", name.alias("name"), kind.alias("call_kind")).where(~F.col("name").isin(RESERVED))
+    """(file_id, line, callee, name, call_kind, caller): call sites; the name is the last part of the callee, the caller the innermost declaration around."""
+    return facts(files, "call").select("file_id", "line", F.col("specifier").alias("callee"), "name", F.col("kind").alias("call_kind"), F.col("parent").alias("caller"))
 
 
 def references(files: DataFrame) -> DataFrame:
-    """(file_id, line, name, reference_kind): identifiers; capitalised ones count as types, assigned ones as written.
+    """(file_id, line, name, reference_kind, confidence, scope): identifiers apart from reserved words and keys of object literals.
 
-    Keywords, words in strings and comments, and in scripts the keys of object literals, are none.
+    In scripts names in places of types count as types, declared, assigned and counted ones as written; all others
+    are read.  The scope is the innermost declaration around.
     """
-    word = r"(?<![\w$])([A-Za-z_$][\w$]*+)"
-    bare = unquoted(F.col("code"))
-    words = F.when(F.col("language").isin(_SCRIPT), F.regexp_extract_all(bare, F.lit(word + r"(?!\s*:(?!:))"), 1)).otherwise(F.regexp_extract_all(bare, F.lit(word), 1))
-    out = lines(files).select("file_id", "line", "code", F.explode(words).alias("name")).where(~F.col("name").isin([*RESERVED, *KEYWORDS]))
-    written = F.col("code").rlike(r"^\s*(?:const\s+|let\s+|var\s+)?[A-Za-z_$][\w$]*\s*=[^=]") & F.col("code").rlike(r"=")
-    first = F.regexp_extract("code", r"^\s*(?:const\s+|let\s+|var\s+)?([A-Za-z_$][\w$]*)\s*=[^=]", 1)
-    kind = F.when(F.col("name").rlike("^[A-Z]"), "type").when(written & (F.col("name") == first), "write").otherwise("read")
-    return out.select("file_id", "line", "name", kind.alias("reference_kind"))
+    return facts(files, "reference").select("file_id", "line", "name", F.col("kind").alias("reference_kind"), "confidence", F.col("parent").alias("scope"))
 
 
 def window_chunks(files: DataFrame, window: int = 60, overlap: int = 8, text: str = "content") -> DataFrame:
