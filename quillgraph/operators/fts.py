@@ -1,14 +1,28 @@
-"""Full-text search: an inverted index as a table, BM25, all terms required."""
+"""Full-text search: an inverted index that is written once as tables, BM25, all terms required; and a query syntax.
+
+The index of chunks is a folder of three tables, dealt into buckets by a hash of the term:
+``postings`` has a row for each term of each chunk (uses, length of the chunk, places), ``blocks``
+a row for each term and segment of chunks (how many chunks, the most uses, the least length), ``terms`` how many
+chunks hold a term.  Segments are hashes of the chunk's key, so none is much larger than
+``SEGMENT`` whatever the keys.  A search reads the buckets of asked terms only.  Places of title words are
+negative and end at -2, so no phrase runs from the title into the content.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.storage import settled
+from quillgraph.storage import place, settled
 
 # BM25 as commonly set.
 K1, B = 1.2, 0.75
+#: Chunks of a segment, about, buckets of terms, and segments of a bucket that share a file.
+SEGMENT, BUCKETS, TOGETHER = 4096, 32, 256
+#: Segments of highest bounds that a question begins with.
+FIRST = 2
 
 
 def terms(text: Column) -> Column:
@@ -44,38 +58,117 @@ def plain(question: Column) -> Column:
     return F.coalesce(question.rlike(r"^\s*[\p{L}\p{N}_]+(\s+[\p{L}\p{N}_]+)*\s*$"), F.lit(False))
 
 
-def search(chunks: DataFrame, questions: DataFrame, limit: int, key: str = "chunk_id", text: str = "content", title: str | None = None, strict: bool = False) -> DataFrame:
-    """(question_id, key, score, rank): the best chunks that hold all terms of each (question_id, question); ties by key.
+class TextIndex(NamedTuple):
+    """A stored index: its folder, how many chunks it holds, and their words in all."""
 
-    The rarest term of a question brings its chunks, and those that lack another term are
-    gone before anything else is counted, so common words make no postings: one pass
-    counts in how many chunks the asked terms are, one finds the chunks of rarest terms,
-    one takes these chunks' words.  A question is a bag of words whatever its characters;
-    with ``strict``, questions that a strict parser refuses find nothing.
-    """
+    spark: SparkSession
+    path: str
+    n: int
+    total: int
+
+    @property
+    def postings(self) -> DataFrame:
+        """(bucket, term, seg, id, tf, length, places)."""
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    @property
+    def blocks(self) -> DataFrame:
+        """(bucket, term, seg, n, max_tf, min_length)."""
+        return self.spark.read.parquet(f"{self.path}/blocks")
+
+    @property
+    def terms(self) -> DataFrame:
+        """(bucket, term, df)."""
+        return self.spark.read.parquet(f"{self.path}/terms")
+
+    def norm(self, length: Column | str) -> Column:
+        return K1 * (1 - B + B * F.col(length) * self.n / max(self.total, 1))
+
+    def idf(self, df: Column | str) -> Column:
+        return F.greatest(F.log((self.n - F.col(df) + 0.5) / (F.col(df) + 0.5)), F.lit(1e-6))
+
+    def part(self, tf: str, length: str) -> Column:
+        """What so many uses in a chunk of such a length add for a term of weight 1."""
+        return F.col(tf) * (K1 + 1) / (F.col(tf) + self.norm(length))
+
+
+def bucket_of(term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(chunks: DataFrame, key: str = "chunk_id", text: str = "content", title: str | None = None, path: str | None = None) -> TextIndex:
+    """The index of (key, text, title) rows, written to ``path`` (a new folder of the shared one)."""
+    spark = chunks.sparkSession
+    path = path or place(spark, "text-index")
+    told = words_of(chunks, key, text, title).agg(F.count("*").alias("n"), F.sum("length").alias("total")).first()
+    segments = max(1, -(-told["n"] // SEGMENT))
+    seg = F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int")
+    head = F.array().cast("array<string>") if title is None else terms(F.coalesce(title, F.lit("")))
+    own = chunks.select(F.col(key).alias("id"), head.alias("head"), terms(F.col(text)).alias("body"))
+    own = own.select("id", F.concat("head", "body").alias("words"), F.size("head").alias("heads")).withColumn("length", F.size("words"))
+    each = own.select("id", seg.alias("seg"), "length", "heads", F.posexplode("words").alias("at", "term"))
+    at = F.col("at") - F.col("heads") - F.when(F.col("at") < F.col("heads"), 1).otherwise(0)
+    # a chunk's uses are put together before the shuffle
+    made = each.groupBy("term", "seg", "id", "length").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list(at)).alias("places"))
+    dealt = made.withColumn("bucket", bucket_of()).repartition("bucket", F.floor(F.col("seg") / TOGETHER)).sortWithinPartitions("bucket", "term", "seg", "id")
+    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    out = TextIndex(spark, path, told["n"], told["total"] or 0)
+    blocks = out.postings.groupBy("bucket", "term", "seg").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
+    blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "seg").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    out.blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/terms")
+    spark.createDataFrame([(out.n, out.total)], "n long, total long").write.parquet(f"{path}/corpus")
+    return out
+
+
+def open_index(spark: SparkSession, path: str) -> TextIndex:
+    told = spark.read.parquet(f"{path}/corpus").first()
+    return TextIndex(spark, path, told["n"], told["total"])
+
+
+def asked_of(questions: DataFrame, strict: bool = False) -> DataFrame:
+    """(question_id, term, needed) of (question_id, question), each term once."""
     if strict:
         questions = questions.where(plain(F.col("question")))
     asked = questions.select("question_id", F.array_distinct(terms(F.col("question"))).alias("asked")).where(F.size("asked") > 0)
-    own = [key, text] if title is None else [key, text, title]
-    words = words_of(chunks, key, text, title)
-    single = asked.select("question_id", F.explode("asked").alias("term"))
-    # the empty term stands for every chunk: its count and lengths are those of the corpus
-    wanted = single.select("term").distinct().unionByName(chunks.sparkSession.createDataFrame([("",)], "term string"))
-    found = words.select("length", F.explode(F.array_distinct(F.concat("words", F.array(F.lit(""))))).alias("term")).join(wanted, "term", "left_semi")
-    counts = settled(found.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("lengths")))
-    corpus = counts.where("term = ''").select(F.col("df").alias("n"), (F.col("lengths") / F.col("df")).alias("avg_length"))
-    # a term that no chunk has leaves its question out
-    weighed = single.join(counts.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    weighed = weighed.groupBy("question_id").agg(F.min(F.struct("df", "term")).alias("rarest"), F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
-    rare = settled(weighed.where("rarest.df > 0").join(asked, "question_id").select("question_id", "asked", "df", F.col("rarest.term").alias("term")))
-    met = words.select(key, F.explode(F.array_distinct("words")).alias("term")).join(rare.select("term").distinct(), "term", "left_semi")
-    pairs = settled(met.join(rare.select("question_id", "term"), "term").select(key, "question_id"))
-    hits = words_of(chunks.select(*own).join(pairs.select(key).distinct(), key, "left_semi"), key, text, title).join(pairs, key).join(rare.drop("term"), "question_id")
-    hits = hits.where(F.size(F.array_except("asked", "words")) == 0)
-    idf = lambda t: F.greatest(F.log((F.col("n") - F.col("df")[t] + 0.5) / (F.col("df")[t] + 0.5)), F.lit(1e-6))
-    tf = lambda t: F.size(F.filter("words", lambda w: w == t))
-    part = lambda t: idf(t) * tf(t) * (K1 + 1) / (tf(t) + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    # one row: the corpus sizes
-    scored = hits.join(F.broadcast(corpus), F.lit(True)).select("question_id", key, F.round(F.aggregate("asked", F.lit(0.0), lambda s, t: s + part(t)), 6).alias("score"))
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("question_id", key, "score", "rank")
+    return asked.select("question_id", F.size("asked").alias("needed"), F.explode("asked").alias("term"))
+
+
+def ask(own: TextIndex, questions: DataFrame, limit: int, key: str = "chunk_id", strict: bool = False) -> DataFrame:
+    """(question_id, key, score, rank): the best chunks that hold all terms of each (question_id, question); ties by key.
+
+    A segment that lacks a term of a question, or whose maxima cannot reach the ``limit``-th score, is left out.  In the
+    others the rarest term brings the chunks, and the rest is looked up for them alone.  A question is a bag of words
+    whatever its characters; with ``strict``, questions that a strict parser refuses find nothing.
+    """
+    asked = asked_of(questions, strict).withColumn("bucket", bucket_of())
+    # at most BUCKETS numbers: they prune the partitions that are read
+    buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
+    asked = settled(asked.join(own.terms.where(F.col("bucket").isin(buckets)), ["bucket", "term"]).withColumn("weight", own.idf("df")))
+    rare = settled(asked.groupBy("question_id", "needed").agg(F.min(F.struct("df", "term", "bucket")).alias("r"), F.count("*").alias("known")).where("known = needed").select("question_id", "needed", "r.term", "r.bucket"))
+    blocks = own.blocks.where(F.col("bucket").isin(buckets)).join(asked.select("bucket", "term", "question_id", "needed", "weight"), ["bucket", "term"])
+    bounds = blocks.groupBy("question_id", "needed", "seg").agg(F.count("*").alias("found"), F.sum(F.col("weight") * own.part("max_tf", "min_length")).alias("bound")).where("found = needed")
+    bounds = settled(bounds.select("question_id", "seg", "bound"))
+    postings = own.postings.where(F.col("bucket").isin(buckets))
+    first = bounds.withColumn("k", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("bound"), "seg"))).where(F.col("k") <= FIRST)
+    begun = scored(own, postings, asked, rare, first)
+    floors = begun.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score")))).where(F.col("rank") == limit).select("question_id", F.col("score").alias("least"))
+    # scores are rounded to six digits
+    live = bounds.join(floors, "question_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-5))
+    found = scored(own, postings, asked, rare, live)
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("question_id", F.col("id").alias(key), "score", "rank")
+
+
+def scored(own: TextIndex, postings: DataFrame, asked: DataFrame, rare: DataFrame, segments: DataFrame) -> DataFrame:
+    """(question_id, id, score) of the chunks in (question_id, seg) that hold all terms of the question."""
+    near = rare.join(segments.select("question_id", "seg"), "question_id")
+    chunks = postings.select("bucket", "term", "seg", "id").join(near, ["bucket", "term", "seg"]).select("question_id", "needed", "seg", "id")
+    wanted = chunks.join(asked.select("question_id", "bucket", "term", "weight"), "question_id")
+    met = postings.select("bucket", "term", "seg", "id", "tf", "length").join(wanted, ["bucket", "term", "seg", "id"])
+    whole = met.groupBy("question_id", "id", "needed").agg(F.count("*").alias("found"), F.sum(F.col("weight") * own.part("tf", "length")).alias("score")).where("found = needed")
+    return whole.select("question_id", "id", F.round("score", 6).alias("score"))
+
+
+def search(chunks: DataFrame, questions: DataFrame, limit: int, key: str = "chunk_id", text: str = "content", title: str | None = None, strict: bool = False) -> DataFrame:
+    """``ask`` of an index that is written for these chunks."""
+    return ask(write_index(chunks, key, text, title), questions, limit, key, strict)

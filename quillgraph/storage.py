@@ -1,18 +1,31 @@
-"""Cutting lineage in iterative jobs."""
+"""Cutting lineage in iterative jobs, and folders for tables that outlive a query."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the cluster's shared folder (a folder of this machine only in a local session without one)."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The cluster's shared folder (a folder of this machine only in a local session without one), set for checkpoints too."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or f"file://{tempfile.gettempdir()}/checkpoints/quillgraph"
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(shared or f"file://{tempfile.gettempdir()}/checkpoints/quillgraph")
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()
+
+
+def place(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared(spark)}/{what}-{uuid.uuid4().hex}"
