@@ -123,14 +123,15 @@ class Walk:
     def binding(self, at: int, specifier: str, local: str | None, imported: str, again: bool = False, types: bool = False) -> dict:
         return self.fact("binding", at, specifier=specifier, local_name=local, imported_name=imported, flag=again, type_only=types)
 
-    def facts(self) -> Iterator[dict]:
+    def facts(self, wanted: frozenset[str]) -> Iterator[dict]:
+        calls, references = "call" in wanted, "reference" in wanted
         walk = {"script": self.script, "python": self.python, "go": self.go, "rust": self.rust}[self.family]
         for i in range(len(self.t)):
             if self.t[i].kind == "w":
                 yield from walk(i, self.t[i].text)
-            elif self.text(i) == "(":
+            elif calls and self.text(i) == "(":
                 yield from self.call(i)
-            if self.t[i].kind == "w":
+            if references and self.t[i].kind == "w":
                 yield from self.reference(i)
         yield {"fact": "status", "seq": len(self.own.errors), "name": "; ".join(self.own.errors[:5])}
 
@@ -602,4 +603,4 @@ def facts(source: str, language: str, wanted: frozenset[str]) -> list[dict]:
     walk = (ScriptWalk if family(language) == "script" else Walk)(source, language)
     if walk.family == "python":
         walk.columns(source)
-    return [f for f in walk.facts() if f["fact"] in wanted]
+    return [f for f in walk.facts(wanted) if f["fact"] in wanted]

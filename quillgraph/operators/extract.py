@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import lexer, syntax
+from quillgraph.storage import spread
 
 # the two modules travel with the function that uses them, so that workers need no copy of the package
 cloudpickle.register_pickle_by_value(lexer)
@@ -91,7 +92,7 @@ def facts(files: DataFrame, *wanted: str, text: str = "content") -> DataFrame:
                     ids, rows = [], []
 
     schema = ", ".join([f"file_id {kind}", *[f"{f} {_NAMES[_TYPES.get(f, pa.string())]}" for f in syntax.FIELDS]])
-    return known.select("file_id", "language", text).mapInArrow(run, schema)
+    return spread(known.select("file_id", "language", text)).mapInArrow(run, schema)
 
 
 def scoped_symbols(files: DataFrame) -> DataFrame:

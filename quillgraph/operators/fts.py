@@ -10,9 +10,12 @@ negative and end at -2, so no phrase runs from the title into the content.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.storage import place, settled
@@ -20,7 +23,9 @@ from quillgraph.storage import place, settled
 # BM25 as commonly set.
 K1, B = 1.2, 0.75
 #: Chunks of a segment, about, buckets of terms, and segments of a bucket that share a file.
-SEGMENT, BUCKETS, TOGETHER = 4096, 32, 256
+SEGMENT, BUCKETS, TOGETHER = 4096, 16, 256
+#: So many (question, chunk, term) rows may be sent to every executor (about 60 bytes each); more are shuffled.
+BROADCAST_LOOKUPS = 300_000
 #: Segments of highest bounds that a question begins with.
 FIRST = 2
 
@@ -96,26 +101,53 @@ def bucket_of(term: str = "term") -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _posting() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings of (id, seg, heads, words) rows; an inner function, which travels to workers that lack this package."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            ends = lists.offsets.to_numpy()
+            size = np.diff(ends)
+            words = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(row)) - np.repeat(ends[:-1] - ends[0], size)
+            heads = batch.column(2).to_numpy()[row]
+            at = at - heads - (at < heads)
+            key = row * max(1, len(words.dictionary)) + words.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            own = order[first]
+            tf = np.diff(first, append=len(order))
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(at[order], pa.int32()))
+            rows = pa.array(row[own])
+            terms = words.dictionary.take(words.indices.take(pa.array(own)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), terms, pa.array(tf, pa.int32()), pa.array(size[row[own]], pa.int32()), places], names=["id", "seg", "term", "tf", "length", "places"])
+
+    return run
+
+
 def write_index(chunks: DataFrame, key: str = "chunk_id", text: str = "content", title: str | None = None, path: str | None = None) -> TextIndex:
     """The index of (key, text, title) rows, written to ``path`` (a new folder of the shared one)."""
     spark = chunks.sparkSession
     path = path or place(spark, "text-index")
-    told = words_of(chunks, key, text, title).agg(F.count("*").alias("n"), F.sum("length").alias("total")).first()
-    segments = max(1, -(-told["n"] // SEGMENT))
+    segments = max(1, -(-chunks.count() // SEGMENT))
     seg = F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int")
     head = F.array().cast("array<string>") if title is None else terms(F.coalesce(title, F.lit("")))
     own = chunks.select(F.col(key).alias("id"), head.alias("head"), terms(F.col(text)).alias("body"))
     own = own.select("id", F.concat("head", "body").alias("words"), F.size("head").alias("heads")).withColumn("length", F.size("words"))
-    each = own.select("id", seg.alias("seg"), "length", "heads", F.posexplode("words").alias("at", "term"))
-    at = F.col("at") - F.col("heads") - F.when(F.col("at") < F.col("heads"), 1).otherwise(0)
-    # a chunk's uses are put together before the shuffle
-    made = each.groupBy("term", "seg", "id", "length").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list(at)).alias("places"))
-    dealt = made.withColumn("bucket", bucket_of()).repartition("bucket", F.floor(F.col("seg") / TOGETHER)).sortWithinPartitions("bucket", "term", "seg", "id")
+    kind = own.schema["id"].dataType.simpleString()
+    files = max(spark.sparkContext.defaultParallelism, BUCKETS * -(-segments // TOGETHER))
+    sizes = Observation()
+    own = own.observe(sizes, F.count("*").alias("n"), F.sum("length").alias("total"))
+    # a chunk's uses are put together where it is read, before the shuffle
+    made = own.select("id", seg.alias("seg"), "heads", "words").mapInArrow(_posting(), f"id {kind}, seg int, term string, tf int, length int, places array<int>")
+    dealt = made.withColumn("bucket", bucket_of()).repartition(files, "bucket", F.floor(F.col("seg") / TOGETHER)).sortWithinPartitions("bucket", "term", "seg", "id")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    out = TextIndex(spark, path, told["n"], told["total"] or 0)
+    out = TextIndex(spark, path, sizes.get["n"], sizes.get["total"] or 0)
     blocks = out.postings.groupBy("bucket", "term", "seg").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
-    blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "seg").write.partitionBy("bucket").parquet(f"{path}/blocks")
-    out.blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/terms")
+    blocks.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "seg").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    out.blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition(BUCKETS, "bucket").write.partitionBy("bucket").parquet(f"{path}/terms")
     spark.createDataFrame([(out.n, out.total)], "n long, total long").write.parquet(f"{path}/corpus")
     return out
 
@@ -136,34 +168,46 @@ def asked_of(questions: DataFrame, strict: bool = False) -> DataFrame:
 def ask(own: TextIndex, questions: DataFrame, limit: int, key: str = "chunk_id", strict: bool = False) -> DataFrame:
     """(question_id, key, score, rank): the best chunks that hold all terms of each (question_id, question); ties by key.
 
-    A segment that lacks a term of a question, or whose maxima cannot reach the ``limit``-th score, is left out.  In the
-    others the rarest term brings the chunks, and the rest is looked up for them alone.  A question is a bag of words
+    The rarest term brings the chunks, and the rest is looked up for them alone.  Where that makes many lookups, segments
+    that lack a term of a question, or whose maxima cannot reach the ``limit``-th score, are left out first.  A question is a bag of words
     whatever its characters; with ``strict``, questions that a strict parser refuses find nothing.
     """
     asked = asked_of(questions, strict).withColumn("bucket", bucket_of())
     # at most BUCKETS numbers: they prune the partitions that are read
     buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
     asked = settled(asked.join(own.terms.where(F.col("bucket").isin(buckets)), ["bucket", "term"]).withColumn("weight", own.idf("df")))
-    rare = settled(asked.groupBy("question_id", "needed").agg(F.min(F.struct("df", "term", "bucket")).alias("r"), F.count("*").alias("known")).where("known = needed").select("question_id", "needed", "r.term", "r.bucket"))
+    few = Observation()
+    rare = asked.groupBy("question_id", "needed").agg(F.min(F.struct("df", "term", "bucket")).alias("r"), F.count("*").alias("known")).where("known = needed")
+    rare = settled(rare.select("question_id", "needed", "r.df", "r.term", "r.bucket").observe(few, F.sum(F.col("df") * F.col("needed")).alias("lookups")))
+    postings = own.postings.where(F.col("bucket").isin(buckets))
+    live = None
+    if (few.get["lookups"] or 0) > BROADCAST_LOOKUPS:
+        live = live_segments(own, postings, buckets, asked, rare, limit)
+    found = scored(own, postings, asked, rare, live)
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("question_id", F.col("id").alias(key), "score", "rank")
+
+
+def live_segments(own: TextIndex, postings: DataFrame, buckets: list[int], asked: DataFrame, rare: DataFrame, limit: int) -> DataFrame:
+    """(question_id, seg) of segments that hold all terms of a question and whose maxima reach the ``limit``-th score of its most promising ones."""
     blocks = own.blocks.where(F.col("bucket").isin(buckets)).join(asked.select("bucket", "term", "question_id", "needed", "weight"), ["bucket", "term"])
     bounds = blocks.groupBy("question_id", "needed", "seg").agg(F.count("*").alias("found"), F.sum(F.col("weight") * own.part("max_tf", "min_length")).alias("bound")).where("found = needed")
     bounds = settled(bounds.select("question_id", "seg", "bound"))
-    postings = own.postings.where(F.col("bucket").isin(buckets))
     first = bounds.withColumn("k", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("bound"), "seg"))).where(F.col("k") <= FIRST)
     begun = scored(own, postings, asked, rare, first)
     floors = begun.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score")))).where(F.col("rank") == limit).select("question_id", F.col("score").alias("least"))
     # scores are rounded to six digits
-    live = bounds.join(floors, "question_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-5))
-    found = scored(own, postings, asked, rare, live)
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("question_id", F.col("id").alias(key), "score", "rank")
+    return settled(bounds.join(floors, "question_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-5)).select("question_id", "seg"))
 
 
-def scored(own: TextIndex, postings: DataFrame, asked: DataFrame, rare: DataFrame, segments: DataFrame) -> DataFrame:
-    """(question_id, id, score) of the chunks in (question_id, seg) that hold all terms of the question."""
-    near = rare.join(segments.select("question_id", "seg"), "question_id")
-    chunks = postings.select("bucket", "term", "seg", "id").join(near, ["bucket", "term", "seg"]).select("question_id", "needed", "seg", "id")
-    wanted = chunks.join(asked.select("question_id", "bucket", "term", "weight"), "question_id")
+def scored(own: TextIndex, postings: DataFrame, asked: DataFrame, rare: DataFrame, segments: DataFrame | None) -> DataFrame:
+    """(question_id, id, score) of the chunks that hold all terms of the question: those of (question_id, seg), or all."""
+    near = rare if segments is None else rare.join(segments.select("question_id", "seg"), "question_id")
+    by = ["bucket", "term", *(["seg"] if segments is not None else [])]
+    chunks = postings.select("bucket", "term", "seg", "id").join(near, by).select("question_id", "needed", "seg", "id")
+    wanted = settled(chunks.join(asked.select("question_id", "bucket", "term", "weight"), "question_id"))
+    if wanted.count() <= BROADCAST_LOOKUPS:
+        wanted = F.broadcast(wanted)
     met = postings.select("bucket", "term", "seg", "id", "tf", "length").join(wanted, ["bucket", "term", "seg", "id"])
     whole = met.groupBy("question_id", "id", "needed").agg(F.count("*").alias("found"), F.sum(F.col("weight") * own.part("tf", "length")).alias("score")).where("found = needed")
     return whole.select("question_id", "id", F.round("score", 6).alias("score"))

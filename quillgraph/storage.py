@@ -29,3 +29,15 @@ def settled(df: DataFrame) -> DataFrame:
 def place(spark: SparkSession, what: str) -> str:
     """A new folder in the shared one."""
     return f"{shared(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+#: Bytes of a task's input, about, below which a small input is dealt anew.
+TASK_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its files are so small that few tasks would read them; larger inputs stay as they are, unshuffled."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores) if known < cores * TASK_BYTES else df

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators import extract
+from quillgraph.storage import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,7 +107,7 @@ edges AS (
 
 def chunks(spark: SparkSession, d: str, window: int = 10, overlap: int = 2) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
-    return extract.window_chunks(docs, window, overlap).withColumn("chunk_id", F.col("file_id") * 10_000 + F.col("seq"))
+    return extract.window_chunks(spread(docs), window, overlap).withColumn("chunk_id", F.col("file_id") * 10_000 + F.col("seq"))
 
 
 CHUNKS_SQL = """
