@@ -12,24 +12,29 @@ at least ``THRESHOLD``.  Classes are the connected components of links and exact
 
 Only one text of each group of exact copies takes part.  A bucket is led by its central
 text, the one that meets most texts in its buckets, and every text of the bucket is
-compared with it; classes are contracted over these links.  Pairs of texts that are
-still in different classes and share a bucket without leading it are compared in the
-first band that they share, once, unless counts rule the threshold out: a shingle that
-no other class has among these texts cannot be common, and of the rest a text can share
-with another at most the fewer inside their leader and the fewer outside it.  These
-bounds are exact, so no pair that shares a bucket is left out, and a run takes the same
-few steps however many texts a bucket holds.
+compared with it; classes are contracted over these links.  Texts of buckets that still hold
+several classes are joined by an exact filter instead of by their buckets, since texts
+that share a long template fill buckets without being alike.  A shingle that no other
+class has among these texts cannot be common, so each text keeps s of its n shingles.
+Two texts of n and m shingles need threshold / (1 + threshold) * (n + m) common ones: so one of
+them can only meet partners of a range of sizes that follows from n and s, and both have one of their
+s - threshold * n + 1 rarest kept shingles in common.  Pairs are made of texts that
+share such a shingle in a cell of sizes that both allow, and dropped where the places of
+the shingle leave too few common ones behind it.  These bounds are exact, so no pair that
+shares a bucket is left out, and a run takes the same few steps however many texts a
+bucket holds.
 
 Defined results: null text counts as empty; a word is a run of ASCII letters and digits
 or non-ASCII characters, in lower case; a text of fewer than ``WORDS`` words is one
 shingle; texts without a word only match exact copies; a class is named by its least
-id (null if all are null); repeated ids or rows are documents of their own; an empty
+id (null if all are null); links are between different texts, so exact copies have the links of their text; repeated ids or rows are documents of their own; an empty
 table gives no row; other columns do not take part; texts are read whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +51,8 @@ BANDS, ROWS = 24, 5
 PAIRS = 4_000
 #: So many texts (16 bytes each, and their ids) may be named to every executor at most.
 BROADCAST_TEXTS = 400_000
+#: Ratio of the sizes that share a cell.
+CELL = 1.02
 #: Bytes of text hashed at a time.
 STEP = 400_000
 
@@ -235,28 +242,43 @@ def common_sets(left: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     return own.join(lone, "x", "left_anti").groupBy("node").agg(F.collect_list("x").alias("shingles"))
 
 
-def bounded(left: DataFrame, kept: DataFrame, sets: DataFrame, nodes: DataFrame, rows: int, threshold: float) -> DataFrame:
-    """Members that can still have a link, with bands, s (shingles kept) and o (of these the leader's)."""
-    pairs = sized(left.select("node", "lead").distinct(), rows)
-    inside = sized(sized(pairs.join(kept, "node"), rows, PAIRS).join(sets.select(F.col("node").alias("lead"), F.col("shingles").alias("b")), "lead"), rows, PAIRS)
-    inside = inside.select("node", "lead", F.size("shingles").alias("s"), F.size(F.array_intersect("shingles", "b")).alias("o"))
-    known = sized(sized(left.join(inside, ["node", "lead"]), rows).join(nodes.select("node", "bands"), "node"), rows)
-    # the best partner has exactly the s shingles that are kept
-    return known.where(F.col("s") >= threshold * F.col("n"))
+def rarest(left: DataFrame, kept: DataFrame, rows: int, threshold: float) -> DataFrame:
+    """(x, at, node, n, c, s): for each (node, n, c) that can have a link, its rarest kept shingles with their places, as many as any link must touch.
 
-
-def cross_pairs(left: DataFrame, threshold: float) -> DataFrame:
-    """Pairs across classes that bounds allow, each in the first band that it shares."""
-    one = left.select("bucket", *[F.col(c).alias(f"{c}u") for c in ("n", "c", "s", "o", "bands")], F.col("node").alias("u"))
-    two = left.select("bucket", *[F.col(c).alias(f"{c}v") for c in ("n", "c", "s", "o", "bands")], F.col("node").alias("v"))
-    most = F.least("ou", "ov") + F.least(F.col("su") - F.col("ou"), F.col("sv") - F.col("ov"))
-    here = F.col("bucket") == F.try_element_at(F.array_intersect("bandsu", "bandsv"), F.lit(1))
-    met = one.join(two, "bucket").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & enough(most, F.col("nu"), F.col("nv"), threshold) & here)
-    return met.select("u", "v", "nu", "nv", "cu", "cv")
-
-
-def link_copies(texts: Callable[[DataFrame, int], DataFrame], nodes: DataFrame, threshold: float = THRESHOLD) -> list[DataFrame]:
-    """(node, component) tables: a text's class is what the first gives for its node, what the second gives for that, and so on.
+    The best partner has exactly the s shingles that are kept.
+    """
+    nodes = sized(left.select("node", "n", "c").distinct(), rows)
+    own = sized(nodes.join(kept.select("node", "shingles", F.size("shingles").alias("s")), "node"), rows, PAIRS).where(F.col("s") >= threshold * F.col("n"))
+    each = own.select("node", F.explode("shingles").alias("x"))
+    often = each.groupBy("x").agg(F.count("*").alias("df"))
+    order = each.join(often, "x").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("order"))
+    ranked = order.join(own.select("node", "n", "c", "s"), "node")
+    many = (F.col("s") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
+    return ranked.select(F.posexplode(F.slice("order", F.lit(1), many)).alias("at", "o"), "node", "n", "c", "s").select(F.col("o.x").alias("x"), "at", "node", "n", "c", "s")
+
+
+def cell(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(CELL))).cast("int")
+
+
+def cross_pairs(front: DataFrame, threshold: float) -> DataFrame:
+    """Pairs across classes, once each, that share one of their rarest shingles and whose counts and places allow the threshold; u is the larger."""
+    share = threshold / (1 + threshold)
+    # the most shingles that a partner of a text can have, and of that the larger text's partner at most as many as itself
+    reach = F.col("s") / share - F.col("n")
+    asks = front.where(F.least("n", reach) >= threshold * F.col("n")).withColumn("cell", F.explode(F.sequence(cell(threshold * F.col("n") - 1e-6), cell(F.least("n", reach) + 1e-6))))
+    one = asks.select("x", "cell", F.col("node").alias("u"), *[F.col(c).alias(f"{c}u") for c in ("at", "n", "c", "s")])
+    two = front.select("x", cell(F.col("n")).alias("cell"), F.col("node").alias("v"), *[F.col(c).alias(f"{c}v") for c in ("at", "n", "c", "s")])
+    need = share * (F.col("nu") + F.col("nv")) - 1e-9
+    first = (F.col("nu") > F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
+    # behind the first shingle that they share, no more are common than either has left
+    rest = F.least(F.col("su") - F.col("atu"), F.col("sv") - F.col("atv"))
+    met = one.join(two, ["x", "cell"]).where(first & (F.col("cu") != F.col("cv")) & (rest >= need))
+    return met.select("u", "v", "nu", "nv", "cu", "cv").distinct()
+
+
+def link_copies(texts: Callable[[DataFrame, int], DataFrame], nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(node, component) tables: a text's class is what the first gives for its node, what the second gives for that, and so on; and the links (u, v) that made them.
 
     ``nodes`` has (node, n, bands), ``texts`` gives (node, text) for a set of nodes and its
     size; a node that a table lacks stays as it is.
@@ -265,7 +287,7 @@ def link_copies(texts: Callable[[DataFrame, int], DataFrame], nodes: DataFrame,
     full = spread.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     members, rows = counted(spread.join(full, "bucket"), "buckets")
     if not rows:
-        return []
+        return [], []
     wanted, size = counted(sized(members.select("node").distinct(), rows), "wanted")
     sets, got = counted(shingle_sets(texts(wanted, size)), "shingles")
     if got > size:  # the same row twice
@@ -273,26 +295,27 @@ def link_copies(texts: Callable[[DataFrame, int], DataFrame], nodes: DataFrame,
     led = stored(led_members(members, rows), "led")
     pairs, many = counted(star_pairs(led, rows, threshold), "pairs")
     links, found = counted(verify(pairs, many, sets, threshold), "links")
-    out = [components(links.select("u", "v"), found)] if found else []
+    out, all_ = ([components(links.select("u", "v"), found)], [links.select("u", "v")]) if found else ([], [])
     comps = out[0] if found else links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     left, rows = counted(unsettled(led, comps, rows), "left")
     if not rows:
-        return out
+        return out, all_
     kept = stored(common_sets(left, sets, rows), "kept")
-    left, rows = counted(bounded(left, kept, sets, nodes, rows, threshold), "left")
+    front, rows = counted(rarest(left, kept, rows, threshold), "front")
     if not rows:
-        return out
-    pairs, many = counted(cross_pairs(left, threshold), "pairs")
+        return out, all_
+    pairs, many = counted(cross_pairs(front, threshold), "pairs")
     if not many:
-        return out
+        return out, all_
     links, found = counted(verify(pairs, many, kept, threshold), "links")
     if found:
         out.append(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), found))
-    return out
+        all_.append(links.select("u", "v"))
+    return out, all_
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, many: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, node, class_id, kept) a row: the text's key, the class's least id, and whether this document is the one of its class to keep."""
+    """(key, node, class_id, kept, n_links) a row: the text's key, the class's least id, whether this document is the one of its class to keep, and how many links of its text were verified."""
     # null ids come last, so a class is named by a real id where it has one
     grouped = sketch(docs, key, text, many, rows).groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = stored(grouped.select(F.col("node").alias("text_key"), "id", "n", "bands", F.monotonically_increasing_id().alias("node")), "texts")
@@ -303,11 +326,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         source = docs.select(F.col(key).alias("__id"), text_key(text).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         return source.join(own, (F.col("__key") == F.col("text_key")) & F.col("__id").eqNullSafe(F.col("id"))).select("node", "text")
 
-    named = nodes.select("text_key", "id", F.col("node").alias("c"))
-    for step in link_copies(texts_of, nodes.select("node", "n", "bands"), threshold):
-        named = named.join(step, F.col("c") == F.col("node"), "left").select("text_key", "id", F.coalesce("component", "c").alias("c"))
+    steps, links = link_copies(texts_of, nodes.select("node", "n", "bands"), threshold)
+    named = nodes.select("text_key", "id", F.col("node").alias("c"), F.lit(0).cast("long").alias("n_links"))
+    if links:
+        ends = [found.select(F.explode(F.array("u", "v")).alias("node")) for found in links]
+        many = reduce(DataFrame.unionByName, ends).groupBy("node").agg(F.count("*").alias("k"))
+        named = named.join(many, F.col("c") == F.col("node"), "left").select("text_key", "id", "c", F.coalesce("k", "n_links").alias("n_links"))
+    for step in steps:
+        named = named.join(step, F.col("c") == F.col("node"), "left").select("text_key", "id", F.coalesce("component", "c").alias("c"), "n_links")
     best = named.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"))
-    named = named.join(best, "c").select("text_key", F.col("best.id").alias("class_id"), F.col("best.text_key").alias("keeper"))
+    named = named.join(best, "c").select("text_key", F.col("best.id").alias("class_id"), F.col("best.text_key").alias("keeper"), "n_links")
     out = docs.select(F.col(key).alias("id"), text_key(text).alias("text_key")).join(named, "text_key")
     kept = (F.col("text_key") == F.col("keeper")) & F.col("id").eqNullSafe(F.col("class_id"))
-    return out.select(F.col("id").alias(key), F.col("text_key").alias("node"), "class_id", kept.alias("kept"))
+    return out.select(F.col("id").alias(key), F.col("text_key").alias("node"), "class_id", kept.alias("kept"), "n_links")

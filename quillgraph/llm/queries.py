@@ -92,7 +92,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+    return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

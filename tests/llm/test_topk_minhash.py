@@ -127,6 +127,23 @@ def test_repeated_passages_lose_no_link(spark):
     assert {r.doc_id: r.class_id for r in minhash.classes(df).collect()} == want
 
 
+def test_templates_make_no_pairs(spark, monkeypatch):
+    """Texts of one long template below the threshold fill buckets; pairs that do reach it are found among them."""
+    rng = random.Random(9)
+    template = [f"t{k}" for k in range(170)]
+    docs = {k: " ".join(template[:90] + [f"o{k}w{i}" for i in range(28 + k % 9)] + template[90:]) for k in range(900)}
+    docs |= {2000 + k: docs[k].replace(f"o{k}w3 ", f"x{k} ") for k in range(0, 900, 30)}
+    seen = []
+    counted = minhash.counted
+    monkeypatch.setattr(minhash, "counted", lambda df, what: (lambda out: seen.append((what, out[1])) or out)(counted(df, what)))
+    df = spark.createDataFrame(rng.sample(sorted(docs.items()), len(docs)), "doc_id bigint, text string").repartition(3)
+    out = minhash.classes(df, many=60, rows=2).collect()
+    assert {r.doc_id: r.class_id for r in out} == {k: k if k < 2000 else k - 2000 for k in docs}
+    linked = {r.doc_id for r in out if r.n_links}
+    assert linked == {k for k in docs if k >= 2000} | {k - 2000 for k in docs if k >= 2000}
+    assert max(n for what, n in seen if what == "pairs") < 60 * len(docs)
+
+
 def test_minhash_odd_rows(spark):
     rows = [(None, "lonely text of some words here now"), (None, "lonely text of some words here now"), (7, "lonely text of some words here now"), (7, "lonely text of some words here now"), (8, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit("clash")).withColumn("Class_Id", F.lit(1))
