@@ -7,8 +7,16 @@ searches for the next version line or gzip member, whichever is nearer, whose re
 holds, logging the bytes between as a quarantined gap.  Only lengths and digests that a
 record carries are checked, digests in the algorithms of ``ALGORITHMS``.
 
-Archives may be plain, gzip files of one member a record, or a mix of both.  A record ends with
-two line ends, which are the sink's separator, so the sink writes exact records.
+Archives may be plain, gzip files of one member a record, of several records a member, or
+one stream for all, or a mix; versions of the format from 0.17 on are read.  Inside a
+member's content the reader searches as it does in a file: records around a damaged one
+are kept, also those that a cut member held, and of a damaged one those before the last that
+could be unpacked, unless only its checksum tells of the damage.  A record ends
+with two line ends, which are the sink's separator, so the sink writes exact records.
+
+Where a record is damaged but tells its length, a record that is found within that
+length may be part of its payload (an archive in an archive): it is returned, marked
+``in_gap``.
 
 Defined results: null payload counts as empty; a null id is larger than any other;
 of rows with the same id and payload one is the response; a null url has no target
@@ -137,7 +145,8 @@ def _write(records: DataFrame, path: str, most: int) -> None:
 #: Digests that are checked.
 ALGORITHMS = {"md5", "sha1", "sha256", "sha384", "sha512"}
 _CHUNK = re.compile(rb"([0-9A-Fa-f]+)[ \t]*(?:;[^\r\n]*)?\r\n")
-_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_LINE = re.compile(rb"WARC/\d\.\d{1,2}\r\n")
+_LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,15})[ \t]*\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 
 
@@ -215,37 +224,87 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
     return {"fields": fields, "kind": kind, "payload": body, "length": length}, stop + 4
 
 
-def unzip(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and where it ends (0: it does not)."""
+def unzip(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
+    """The content of the gzip member at ``at``, where it ends (0: it does not), and why not; what came before a fault is kept."""
     whole, z, out = memoryview(data), zlib.decompressobj(31), []
     while at < len(data):
-        out.append(z.decompress(whole[at : at + step]))
+        held = z.copy() if step > 1 else None
+        try:
+            out.append(z.decompress(whole[at : at + step]))
+        except zlib.error as e:
+            if held is None:
+                return b"".join(out), 0, f"bad member: {e}"[:80]
+            z, step = held, max(1, step // 256)  # again, in smaller steps, up to the fault
+            continue
         at = min(at + step, len(data))
         if z.eof:
-            return b"".join(out), at - len(z.unused_data)
-    return b"".join(out), 0
+            return b"".join(out), at - len(z.unused_data), ""
+    return b"".join(out), 0, "member is cut off"
+
+
+def claimed(data: bytes, at: int) -> int:
+    """Where the damaged record at ``at`` says that it ends; ``at`` where it does not say."""
+    end = data.find(b"\r\n\r\n", at)
+    if not _LINE.match(data, at) or end < 0:
+        return at
+    told = _LENGTH.search(data, at, end + 2)
+    return end + 4 + int(told[1]) if told else at
+
+
+def walk(data: bytes) -> Iterator[tuple]:
+    """(offset, length, error, record) of a plain stretch of records: what a member holds."""
+    at, bad, why, outer = 0, -1, "", 0
+    while at < len(data):
+        got = parse_record(data, at)
+        if isinstance(got, str):
+            if bad < 0:
+                bad, why = at, got
+            outer = max(outer, claimed(data, at))
+            m = _LINE.search(data, at + 1)
+            at = m.start() if m else len(data)
+            continue
+        if bad >= 0:
+            yield bad, at - bad, why, None
+            bad = -1
+        yield at, got[1] - at, None, got[0] | {"in_gap": at < outer}
+        at = got[1]
+    if bad >= 0:
+        yield bad, len(data) - bad, why, None
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
-    """(offset, length, error, record) for each record that holds and each gap that does not."""
-    at, bad, why = 0, -1, ""
+    """(offset, length, error, record) for each record that holds and each gap that does not.
+
+    Offsets and lengths are of the file.  Of a member with several records the first has its length and
+    the others none; a gap inside a member, which has no length either, tells its place there.
+    """
+    at, bad, why, outer = 0, -1, "", 0
     n = len(data)
     member = line = -1  # the next of each kind, found once
     while at < n:
-        got: tuple | str
+        found: list[tuple] = []
+        end, error = 0, ""
         if data[at : at + 3] == _MEMBER:
-            try:
-                plain, end = unzip(data, at)
-                got = parse_record(plain, 0) if end else "member is cut off"
-                if not isinstance(got, str):
-                    got = (got[0], end) if got[1] == len(plain) else "bytes after a member's record"
-            except zlib.error as e:
-                got = f"bad member: {e}"[:80]
+            plain, end, error = unzip(data, at)
+            inside = list(walk(plain))
+            found = [x for x in inside if x[3] is not None or end]
+            if not end and error.startswith("bad member"):
+                # damage shows after it was done, and a checksum does not tell where
+                found = [] if "check" in error else found[:-1]
+            if end and not any(x[3] for x in found):
+                end, error, found = 0, next((x[2] for x in inside), "empty member"), []
         else:
             got = parse_record(data, at)
-        if isinstance(got, str):
+            if isinstance(got, str):
+                error = got
+                outer = max(outer, claimed(data, at))
+            else:
+                found, end = [(0, 0, None, got[0] | {"in_gap": at < outer})], got[1]
+        if not end:
+            # what a broken member held before its fault
+            yield from ((at, 0, None, x[3]) for x in found)
             if bad < 0:
-                bad, why = at, got
+                bad, why = at, error
             if member <= at:
                 member = x if (x := data.find(_MEMBER, at + 1)) >= 0 else n
             if line <= at:
@@ -255,8 +314,12 @@ def salvage(data: bytes) -> Iterator[tuple]:
         if bad >= 0:
             yield bad, at - bad, why, None
             bad = -1
-        yield at, got[1] - at, None, got[0]
-        at = got[1]
+        length = end - at
+        for place, size, wrong, rec in found:
+            own = length if rec is not None else 0
+            yield at, own, None if rec else f"{wrong}, at {place} to {place + size} of the member", rec
+            length -= own
+        at = end
     if bad >= 0:
         yield bad, n - bad, why, None
 
@@ -274,6 +337,7 @@ RECORDS = T.StructType(
         T.StructField("payload_digest", T.StringType()),
         T.StructField("payload_bytes", T.LongType()),
         T.StructField("payload", T.BinaryType()),
+        T.StructField("in_gap", T.BooleanType()),
     ]
 )
 
@@ -284,7 +348,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list) -> pa.RecordBatch:
-            kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=RECORDS.names)
 
         for batch in batches:
@@ -292,11 +356,11 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 name, rows, size = batch.column(0)[k].as_py(), [], 0
                 for offset, length, error, rec in salvage(batch.column(1)[k].as_py()):
                     if rec is None:
-                        rows.append((name, offset, length, error, *[None] * 7))
+                        rows.append((name, offset, length, error, *[None] * 8))
                     else:
                         f = rec["fields"]
                         body = rec["payload"] if payloads and rec["kind"] != "revisit" else None
-                        rows.append((name, offset, length, None, rec["kind"], f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:"), rec["length"], body))
+                        rows.append((name, offset, length, None, rec["kind"], f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:"), rec["length"], body, rec["in_gap"]))
                         size += len(body or b"")
                     if len(rows) >= 2000 or size > 8_000_000:
                         yield out(rows)

@@ -232,6 +232,55 @@ def test_records_of_other_writers():
         assert isinstance(warc.parse_record(other_record(*args), 0), str), args
 
 
+def names(found):
+    return [r["fields"]["warc-record-id"][10:-1] for *_, r in found if r]
+
+
+def test_several_records_in_a_member():
+    whole = [record(k, b"body %d " % k * 50) for k in range(8)]
+    two, six = gzip.compress(whole[0] + whole[1], mtime=0), gzip.compress(b"".join(whole[2:]), mtime=0)
+    found = list(warc.salvage(two + six))
+    assert names(found) == [str(k) for k in range(8)] and not any(e for _, _, e, _ in found)
+    assert [(a, n) for a, n, *_ in found] == [(0, len(two)), (0, 0), (len(two), len(six)), *[(len(two), 0)] * 5]
+    broken = bytearray(whole[3])
+    broken[-20] ^= 0xFF
+    found = list(warc.salvage(gzip.compress(whole[2] + bytes(broken) + b"noise" + whole[4], mtime=0) + whole[5]))
+    assert names(found) == ["2", "4", "5"]
+    (gap,) = [(n, e) for _, n, e, r in found if r is None]
+    assert gap == (0, f"block digest differs, at {len(whole[2])} to {len(whole[2]) + len(broken) + 5} of the member")
+    # a stream that breaks off, or breaks, gives what it held before
+    rng = random.Random(2)
+    whole = [record(k, rng.randbytes(3000)) for k in range(6)]
+    stream = gzip.compress(b"".join(whole), mtime=0)
+    found = list(warc.salvage(stream[: len(stream) // 2] + record(9, b"later")))
+    assert names(list(warc.salvage(stream[: len(stream) // 2])))[:2] == ["0", "1"]
+    assert names(found)[:2] == ["0", "1"] and names(found)[-1] == "9" and sum(n for _, n, *_ in found) == len(stream) // 2 + len(record(9, b"later"))
+    hole = bytearray(stream)
+    hole[len(stream) // 2 : len(stream) // 2 + 400] = bytes(400)
+    found = list(warc.salvage(bytes(hole) + gzip.compress(record(9, b"later"), mtime=0)))
+    assert {"0", "1", "9"} <= set(names(found)) and sum(n for _, n, *_ in found) == len(stream) + len(gzip.compress(record(9, b"later"), mtime=0))
+
+
+def test_older_versions_and_records_inside_a_damaged_one():
+    old = record(1, b"x" * 50).replace(b"WARC/1.1", b"WARC/0.18")
+    assert names(list(warc.salvage(old + gzip.compress(old)))) == ["1", "1"]
+    inner = record(7, b"inner")
+    outer = bytearray(record(2, b"a" * 99 + inner + b"b" * 99))
+    outer[-20] ^= 0xFF
+    found = list(warc.salvage(bytes(outer) + record(3, b"after")))
+    assert names(found) == ["7", "3"] and [r["in_gap"] for *_, r in found if r] == [True, False]
+    assert [r["in_gap"] for *_, r in warc.salvage(gzip.compress(bytes(outer) + record(3, b"after"))) if r] == [True, False]
+
+
+def test_archives_of_no_page_and_clashing_names(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string, gaps int, path string")
+    warc.write_archives(warc.plan_records(pages), str(tmp_path / "none"))
+    assert queries.read_back(spark, str(tmp_path / "none")).count() == 0
+    rows = spark.createDataFrame([(1, None, None, 5, "p"), (2, None, "x", 5, "p")], pages.schema)
+    warc.write_archives(warc.plan_records(rows), str(tmp_path / "some"))
+    assert {(r.page_id, r.payload_bytes, r.gaps) for r in queries.read_back(spark, str(tmp_path / "some")).collect()} == {(1, 0, 0), (2, 1, 0)}
+
+
 def test_salvage_never_fails_on_noise():
     rng = random.Random(3)
     base = record(1, b"x" * 100) + gzip.compress(record(2, b"y")) + record(3, b"")
