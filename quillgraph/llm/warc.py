@@ -11,7 +11,8 @@ Archives may be plain, gzip files of one member a record, of several records a m
 one stream for all, or a mix; versions of the format from 0.17 on are read.  Inside a
 member's content the reader searches as it does in a file: records around a damaged one
 are kept, also those that a cut member held, and of a damaged one those before the last that
-could be unpacked, unless only its checksum tells of the damage.  A record ends
+could be unpacked; where only a checksum tells of the damage, those of several whose block
+digest holds, marked ``in_gap``.  A record ends
 with two line ends, which are the sink's separator, so the sink writes exact records.
 
 Where a record is damaged but tells its length, a record that is found within that
@@ -289,8 +290,9 @@ def salvage(data: bytes) -> Iterator[tuple]:
             inside = list(walk(plain))
             found = [x for x in inside if x[3] is not None or end]
             if not end and error.startswith("bad member"):
-                # damage shows after it was done, and a checksum does not tell where
-                found = [] if "check" in error else found[:-1]
+                # damage shows after it was done, and a checksum does not tell where: then block digests must
+                kept = [x for x in found if "warc-block-digest" in x[3]["fields"]] if len(found) > 1 else []
+                found = [(*x[:3], x[3] | {"in_gap": True}) for x in kept] if "check" in error else found[:-1]
             if end and not any(x[3] for x in found):
                 end, error, found = 0, next((x[2] for x in inside), "empty member"), []
         else:
