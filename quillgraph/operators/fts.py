@@ -15,11 +15,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions import ftsyntax
 from quillgraph.storage import place, settled
 
+cloudpickle.register_pickle_by_value(ftsyntax)
+
 # BM25 as commonly set.
 K1, B = 1.2, 0.75
 #: Chunks of a segment, about, buckets of terms, and segments of a bucket that share a file.
@@ -64,27 +68,28 @@ def plain(question: Column) -> Column:
 
 
 class TextIndex(NamedTuple):
-    """A stored index: its folder, how many chunks it holds, and their words in all."""
+    """A stored index: its folder, how many chunks it holds, their words in all, and the type of their keys."""
 
     spark: SparkSession
     path: str
     n: int
     total: int
+    kind: str
 
     @property
     def postings(self) -> DataFrame:
         """(bucket, term, seg, id, tf, length, places)."""
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return self.spark.read.schema(f"term string, seg int, id {self.kind}, tf int, length int, places array<int>, bucket int").parquet(f"{self.path}/postings")
 
     @property
     def blocks(self) -> DataFrame:
         """(bucket, term, seg, n, max_tf, min_length)."""
-        return self.spark.read.parquet(f"{self.path}/blocks")
+        return self.spark.read.schema("term string, seg int, n long, max_tf int, min_length int, bucket int").parquet(f"{self.path}/blocks")
 
     @property
     def terms(self) -> DataFrame:
         """(bucket, term, df)."""
-        return self.spark.read.parquet(f"{self.path}/terms")
+        return self.spark.read.schema("term string, df long, bucket int").parquet(f"{self.path}/terms")
 
     def norm(self, length: Column | str) -> Column:
         return K1 * (1 - B + B * F.col(length) * self.n / max(self.total, 1))
@@ -131,7 +136,8 @@ def write_index(chunks: DataFrame, key: str = "chunk_id", text: str = "content",
     """The index of (key, text, title) rows, written to ``path`` (a new folder of the shared one)."""
     spark = chunks.sparkSession
     path = path or place(spark, "text-index")
-    segments = max(1, -(-chunks.count() // SEGMENT))
+    n = chunks.count()
+    segments = max(1, -(-n // SEGMENT))
     seg = F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int")
     head = F.array().cast("array<string>") if title is None else terms(F.coalesce(title, F.lit("")))
     own = chunks.select(F.col(key).alias("id"), head.alias("head"), terms(F.col(text)).alias("body"))
@@ -139,22 +145,22 @@ def write_index(chunks: DataFrame, key: str = "chunk_id", text: str = "content",
     kind = own.schema["id"].dataType.simpleString()
     files = max(spark.sparkContext.defaultParallelism, BUCKETS * -(-segments // TOGETHER))
     sizes = Observation()
-    own = own.observe(sizes, F.count("*").alias("n"), F.sum("length").alias("total"))
+    own = own.observe(sizes, F.sum("length").alias("total"))
     # a chunk's uses are put together where it is read, before the shuffle
     made = own.select("id", seg.alias("seg"), "heads", "words").mapInArrow(_posting(), f"id {kind}, seg int, term string, tf int, length int, places array<int>")
     dealt = made.withColumn("bucket", bucket_of()).repartition(files, "bucket", F.floor(F.col("seg") / TOGETHER)).sortWithinPartitions("bucket", "term", "seg", "id")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    out = TextIndex(spark, path, sizes.get["n"], sizes.get["total"] or 0)
+    out = TextIndex(spark, path, n, (sizes.get["total"] or 0) if n else 0, kind)
     blocks = out.postings.groupBy("bucket", "term", "seg").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
     blocks.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "seg").write.partitionBy("bucket").parquet(f"{path}/blocks")
     out.blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition(BUCKETS, "bucket").write.partitionBy("bucket").parquet(f"{path}/terms")
-    spark.createDataFrame([(out.n, out.total)], "n long, total long").write.parquet(f"{path}/corpus")
+    spark.createDataFrame([(out.n, out.total, kind)], "n long, total long, kind string").write.parquet(f"{path}/corpus")
     return out
 
 
 def open_index(spark: SparkSession, path: str) -> TextIndex:
     told = spark.read.parquet(f"{path}/corpus").first()
-    return TextIndex(spark, path, told["n"], told["total"])
+    return TextIndex(spark, path, told["n"], told["total"], told["kind"])
 
 
 def asked_of(questions: DataFrame, strict: bool = False) -> DataFrame:
@@ -216,3 +222,46 @@ def scored(own: TextIndex, postings: DataFrame, asked: DataFrame, rare: DataFram
 def search(chunks: DataFrame, questions: DataFrame, limit: int, key: str = "chunk_id", text: str = "content", title: str | None = None, strict: bool = False) -> DataFrame:
     """``ask`` of an index that is written for these chunks."""
     return ask(write_index(chunks, key, text, title), questions, limit, key, strict)
+
+
+def match(own: TextIndex, questions: DataFrame, limit: int, key: str = "chunk_id") -> DataFrame:
+    """(question_id, key, score, rank): the best chunks for questions in the query syntax, ties by key.
+
+    Words, "phrases" (also word + word), prefix*, NEAR(a b, n), title: and content: (also -title:), AND, OR, NOT and
+    brackets; words side by side bind closest, then NOT, AND, OR.  A question that does not follow the syntax finds
+    nothing.  Each phrase of a matching leaf counts in the score by its instances and by how many chunks have it.
+    """
+    read = F.udf(ftsyntax.read, ftsyntax.SCHEMA)
+    parsed = settled(questions.select("question_id", read("question").alias("p")).where("p is not null").select("question_id", "p.leaves", "p.clauses"))
+    leaf = parsed.select("question_id", F.inline("leaves")).select("question_id", "leaf", "distance", "column", F.size("phrases").alias("phrases"), F.posexplode("phrases").alias("phrase", "x"))
+    slot = leaf.select("question_id", "leaf", "distance", "column", "phrases", "phrase", F.size("x.words").alias("many"), "x.prefix", F.posexplode("x.words").alias("slot", "word"))
+    # of a phrase with a star the last word is a prefix
+    slot = slot.withColumn("prefix", F.col("prefix") & (F.col("slot") == F.col("many") - 1))
+    sizes = [r["n"] for r in slot.where("prefix").select(F.length("word").alias("n")).distinct().collect()]
+    named = slot.where("not prefix").withColumn("term", F.col("word"))
+    if sizes:
+        heads = own.terms.select("term", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")).where(F.length("term") >= F.col("n"))
+        named = named.unionByName(slot.where("prefix").join(heads.select("term", F.expr("substring(term, 1, n)").alias("word")), "word").select(*named.columns))
+    named = settled(named.withColumn("bucket", bucket_of()))
+    buckets = [r["bucket"] for r in named.select("bucket").distinct().collect()]
+    met = own.postings.where(F.col("bucket").isin(buckets)).join(named, ["bucket", "term"])
+    place_ = F.explode(F.filter("places", lambda p: F.col("column").isNull() | ((F.col("column") == "title") == (p < 0))))
+    uses = met.select("question_id", "leaf", "distance", "phrases", "phrase", "many", "slot", "id", "length", place_.alias("at"))
+    by = ["question_id", "leaf", "distance", "phrases", "phrase", "many", "id", "length"]
+    # words of a phrase stand one after the other: all say that it begins in the same place
+    found = uses.groupBy(*by, (F.col("at") - F.col("slot")).alias("start")).agg(F.count_distinct("slot").alias("slots")).where("slots = many").drop("slots")
+    found = settled(found.withColumn("stop", F.col("start") + F.col("many") - 1))
+    counts = found.groupBy("question_id", "leaf", "phrase", "id", "length").agg(F.count("*").alias("tf"))
+    often = counts.groupBy("question_id", "leaf", "phrase").agg(F.count("*").alias("df"))
+    alone = found.where("phrases = 1").select("question_id", "leaf", "id").distinct()
+    together = found.where("phrases > 1").groupBy("question_id", "leaf", "distance", "phrases", "id").agg(F.collect_list(F.struct("phrase", "start", "stop")).alias("all"))
+    after = lambda a, i: (i["start"] >= a["start"]) & (i["start"] - a["stop"] - 1 <= F.col("distance")) & ((i["start"] < 0) == (a["start"] < 0))
+    near = F.exists("all", lambda a: F.size(F.array_distinct(F.transform(F.filter("all", lambda i: after(a, i)), lambda i: i["phrase"]))) == F.col("phrases"))
+    leaves = alone.unionByName(together.where(near).select("question_id", "leaf", "id"))
+    held = leaves.groupBy("question_id", "id").agg(F.collect_set("leaf").alias("held")).join(parsed.select("question_id", "clauses"), "question_id")
+    holds = F.exists("clauses", lambda c: (F.size(F.array_except(c["want"], "held")) == 0) & ~F.arrays_overlap(c["unwanted"], "held"))
+    good = held.where(holds).select("question_id", "id", F.explode("held").alias("leaf"))
+    weighed = counts.join(often, ["question_id", "leaf", "phrase"]).join(good, ["question_id", "leaf", "id"])
+    scored = weighed.groupBy("question_id", "id").agg(F.round(F.sum(own.idf("df") * own.part("tf", "length")), 6).alias("score"))
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("question_id", F.col("id").alias(key), "score", "rank")

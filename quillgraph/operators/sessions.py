@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,9 +93,10 @@ def imported(documents: DataFrame) -> DataFrame:
 
 
 def forked(messages: DataFrame, session_id: str, new_id: str) -> DataFrame:
-    """A session's rows under another id, mentions of the old id in its values included."""
+    """A session's rows under another id, mentions of the old id in its values included, but not of longer ids that contain it."""
     own = messages.where(F.col("session_id") == session_id)
-    return own.withColumn("session_id", F.lit(new_id)).withColumn("value", F.replace("value", F.lit(session_id), F.lit(new_id)))
+    whole = r"(?<![\w-])" + re.escape(session_id) + r"(?![\w-])"
+    return own.withColumn("session_id", F.lit(new_id)).withColumn("value", F.regexp_replace("value", whole, F.lit(new_id.replace("\\", "\\\\").replace("$", "\\$"))))
 
 
 def without_session(messages: DataFrame, session_id: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import views as v
 from quillgraph.functions import text as tx
-from quillgraph.operators import aggregates, evidence, extract, link, sessions
+from quillgraph.operators import aggregates, evidence, extract, link, nested, sessions
 from quillgraph.registry import query
 
 LANGUAGE = ["typescript", "python", "go", "rust"]
@@ -248,6 +248,52 @@ def session_export(spark: SparkSession, d: str) -> DataFrame:
     return out.select("session_id", "seq", F.when(F.col("key") == "command", "system").otherwise(F.col("key")).alias("key"), F.when(F.col("value").startswith("[REDACTED_"), F.col("value")).otherwise(F.sha2("value", 256)).alias("value"))
 
 
+@query("""
+SELECT 'c' || conv_id || '.' || turn AS id, CASE WHEN turn % 3 = 0 THEN '[REDACTED_SECRET]' ELSE v END AS secret, CASE WHEN regexp_matches(text, '(?i)bearer\s+[a-z0-9._:-]+|sk-[a-z0-9._:-]+') THEN '[REDACTED_SECRET]' ELSE '[REDACTED_COMMAND]' END AS command,
+v AS plain, CASE WHEN regexp_matches(role, '^(user|a)') THEN '[REDACTED_PATH]' ELSE '/work/' || role END AS path, CAST(turn AS VARCHAR) AS n
+FROM (SELECT *, CASE WHEN regexp_matches(text, '(?i)bearer\s+[a-z0-9._:-]+|sk-[a-z0-9._:-]+') THEN '[REDACTED_SECRET]' ELSE sha256(text) END AS v FROM conversations)""")
+def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn as a document with lists in lists: secrets by key and by value, commands, paths, numbers."""
+    key = F.when(F.col("turn") % 3 == 0, "authToken").otherwise("note")
+    root = F.when(F.col("role").rlike("^(user|a)"), "/home/").otherwise("/work/")
+    text = F.col("text")
+    json = F.concat(
+        F.lit('{"deep": [[{'), nested.quoted(key), F.lit(': ["head", ['), nested.quoted(text), F.lit(']], "turn": '), F.col("turn").cast("string"),
+        F.lit('}]], "run": {"shellCmd": {"args": 1}, "cmd": ['), nested.quoted(text), F.lit('], "list": [null, true, {"plain": '), nested.quoted(text), F.lit(', "at": '), nested.quoted(F.concat(root, "role")), F.lit("}]}}"),
+    )
+    rows = v.table(spark, d, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), json.alias("json"))
+    out = nested.redacted_json(rows, ["/home/"])
+    get = lambda path: F.get_json_object("json", path)
+    shown = lambda c: F.when(c.startswith("[REDACTED_"), c).otherwise(F.sha2(c, 256))
+    secret = F.coalesce(get("$.deep[0][0].authToken[1][0]"), get("$.deep[0][0].note[1][0]"))
+    return out.select("id", shown(secret).alias("secret"), get("$.run.cmd[0]").alias("command"), shown(get("$.run.list[2].plain")).alias("plain"), get("$.run.list[2].at").alias("path"), get("$.deep[0][0].turn").alias("n"))
+
+
+@query("""
+WITH b AS (SELECT DISTINCT 'conv-' || conv_id AS s FROM conversations WHERE conv_id % 5 = 1)
+SELECT 'event' AS kind, 'e' || turn || '@' || s || '/fork' AS id, s || '/fork' AS session_id, s || '/fork' AS a, s || '0' AS b FROM conversations JOIN b ON 'conv-' || conv_id = s
+UNION ALL SELECT 'checkpoint', 'p' || turn || '@' || s || '/fork', s || '/fork', NULL, NULL FROM conversations JOIN b ON 'conv-' || conv_id = s WHERE turn % 2 = 0
+UNION ALL SELECT 'revert', 'r' || turn || '@' || s || '/fork', s || '/fork', 'p' || turn || CASE WHEN turn % 2 = 0 THEN '@' || s || '/fork' ELSE '' END, CASE WHEN turn > 0 THEN 'p' || (turn - 1) || CASE WHEN turn % 2 = 1 THEN '@' || s || '/fork' ELSE '' END END FROM conversations JOIN b ON 'conv-' || conv_id = s
+UNION ALL SELECT 'session', s || '/fork', s || '/fork', 'in_progress', NULL FROM b""")
+def forked_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth conversation forked: events name it inside lists beside a longer name, every second turn is a checkpoint, reverts point at them."""
+    turns = v.table(spark, d, "conversations").select(F.concat(F.lit("conv-"), "conv_id").alias("session_id"), "conv_id", "turn")
+    payload = F.concat(F.lit('{"a": [{"id": "'), "session_id", F.lit('"}], "b": ["'), "session_id", F.lit('0"]}'))
+    named = lambda c, n: F.concat(F.lit(c), n)
+    sessions_ = turns.select("session_id", F.lit("done").alias("status"), F.lit("m").alias("latest_summary_id"), F.lit("p0").alias("latest_checkpoint_id")).distinct()
+    events = turns.select(named("e", F.col("turn")).alias("id"), "session_id", payload.alias("payload"))
+    points = turns.where("turn % 2 = 0").select(named("p", F.col("turn")).alias("id"), "session_id")
+    reverts = turns.select(named("r", F.col("turn")).alias("id"), "session_id", named("p", F.col("turn")).alias("checkpoint_id"), F.when(F.col("turn") > 0, named("p", F.col("turn") - 1)).alias("previous_checkpoint_id"))
+    forks = turns.where("conv_id % 5 = 1").select(F.col("session_id").alias("source"), F.concat("session_id", F.lit("/fork")).alias("target")).distinct()
+    out = nested.forked(sessions_, events, events.select("id", "session_id"), points, reverts, forks)
+    none = F.lit(None).cast("string")
+    get = lambda path: F.get_json_object("payload", path)
+    rows = out["events"].select(F.lit("event").alias("kind"), "id", "session_id", get("$.a[0].id").alias("a"), get("$.b[0]").alias("b"))
+    rows = rows.unionByName(out["checkpoints"].select(F.lit("checkpoint").alias("kind"), "id", "session_id", none.alias("a"), none.alias("b")))
+    rows = rows.unionByName(out["reverts"].select(F.lit("revert").alias("kind"), "id", "session_id", F.col("checkpoint_id").alias("a"), F.col("previous_checkpoint_id").alias("b")))
+    return rows.unionByName(out["sessions"].select(F.lit("session").alias("kind"), F.col("session_id").alias("id"), "session_id", F.col("status").alias("a"), none.alias("b")))
+
+
 @query("SELECT 'fork' AS session_id, turn AS seq, role AS key, 'fork/' || turn AS value FROM conversations WHERE conv_id = 3")
 def session_fork(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("conv-"), "conv_id", F.lit("-end"))

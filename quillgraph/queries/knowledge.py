@@ -57,6 +57,51 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return fts.ask(text_index(spark, d), questions(spark, d), 10)
 
 
+FORMS_SQL = """
+w AS (SELECT item_id, TERMS_Q AS w FROM benchmark),
+forms AS (SELECT item_id AS q, item_id % 7 AS form, coalesce(w[1], 'x') AS a, coalesce(w[2], 'x') AS b, coalesce(w[3], 'x') AS c FROM w),
+spots AS (SELECT chunk_id, length, unnest(w) AS term, unnest(range(0, len(w))) AS i, heads FROM (SELECT chunk_id, TERMS_T || TERMS_C AS w, len(TERMS_T || TERMS_C) AS length, len(TERMS_T) AS heads FROM titled)),
+tokens AS (SELECT chunk_id, length, term, i - heads - CASE WHEN i < heads THEN 1 ELSE 0 END AS spot FROM spots),
+leaves AS (
+    SELECT q, 0 AS leaf, CASE form WHEN 1 THEN substr(a, 1, 3) WHEN 4 THEN ['en', 'fr', 'de', 'es'][CAST(q % 4 + 1 AS INTEGER)] ELSE a END AS x, CASE form WHEN 0 THEN b END AS y, form = 1 AS prefix, CASE form WHEN 4 THEN 'title' WHEN 5 THEN 'content' END AS col FROM forms WHERE form < 6
+    UNION ALL SELECT q, 1, CASE form WHEN 4 THEN a ELSE b END, NULL, false, CASE form WHEN 5 THEN 'content' END FROM forms WHERE form IN (2, 3, 4, 5) UNION ALL SELECT q, 2, c, NULL, false, NULL FROM forms WHERE form IN (2, 5)),
+inst AS (
+    SELECT q, leaf, t.chunk_id, t.length, t.spot FROM leaves JOIN tokens t ON NOT prefix AND t.term = x LEFT JOIN tokens u ON y IS NOT NULL AND u.chunk_id = t.chunk_id AND u.spot = t.spot + 1 AND u.term = y
+    WHERE (y IS NULL OR u.term IS NOT NULL) AND (col IS NULL OR (col = 'title') = (t.spot < 0))
+    UNION ALL SELECT q, leaf, chunk_id, length, spot FROM leaves JOIN tokens ON prefix AND starts_with(term, x)),
+counts AS (SELECT q, leaf, chunk_id, length, count(*) AS tf FROM inst GROUP BY ALL),
+often AS (SELECT q, leaf, count(*) AS df FROM counts GROUP BY ALL),
+near AS (SELECT DISTINCT i.q, i.chunk_id FROM inst i JOIN inst j ON i.q = j.q AND i.chunk_id = j.chunk_id AND i.leaf = 0 AND j.leaf = 1 AND (i.spot < 0) = (j.spot < 0) AND abs(i.spot - j.spot) - 1 <= 4 WHERE i.q % 7 = 3),
+held AS (SELECT q, form, chunk_id, list(leaf) AS held FROM counts JOIN forms USING (q) GROUP BY ALL),
+good AS (SELECT * FROM held WHERE CASE form WHEN 2 THEN list_contains(held, 0) OR (list_contains(held, 1) AND NOT list_contains(held, 2)) WHEN 3 THEN EXISTS (SELECT 1 FROM near WHERE near.q = held.q AND near.chunk_id = held.chunk_id)
+    WHEN 4 THEN list_contains(held, 0) AND list_contains(held, 1) WHEN 5 THEN (list_contains(held, 0) OR list_contains(held, 1)) AND list_contains(held, 2) ELSE true END),
+size AS (SELECT count(*) AS n, avg(length) AS avg_length FROM (SELECT DISTINCT chunk_id, len(TERMS_T || TERMS_C) AS length FROM titled)),
+scores AS (SELECT q AS question_id, chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) AS score
+    FROM good JOIN counts USING (q, chunk_id) JOIN often USING (q, leaf), size GROUP BY q, chunk_id)
+SELECT question_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM scores) WHERE rank <= 10""".replace(
+    "TERMS_C", TERMS_SQL.format("content")
+).replace("TERMS_T", TERMS_SQL.format("title")).replace("TERMS_Q", TERMS_SQL.format("text"))
+
+
+@query(v.with_(v.CHUNKS_SQL, v.FILES_SQL, TITLED_SQL, FORMS_SQL))
+def fts_syntax(spark: SparkSession, d: str) -> DataFrame:
+    """The first words of each benchmark item as a phrase, a prefix, OR and NOT, NEAR, a column, brackets in a column, and a question that is refused."""
+    words = fts.terms(F.col("text"))
+    a, b, c = (F.coalesce(F.get(words, F.lit(k)), F.lit("x")) for k in range(3))
+    form, lang = F.col("item_id") % 7, F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("item_id") % 4 + 1).cast("int"))
+    text = (
+        F.when(form == 0, F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"')))
+        .when(form == 1, F.concat(F.substring(a, 1, 3), F.lit("*")))
+        .when(form == 2, F.concat(a, F.lit(" OR "), b, F.lit(" NOT "), c))
+        .when(form == 3, F.concat(F.lit("NEAR("), a, F.lit(" "), b, F.lit(", 4)")))
+        .when(form == 4, F.concat(F.lit("title : "), lang, F.lit(" AND "), a))
+        .when(form == 5, F.concat(F.lit("content: ("), a, F.lit(" OR "), b, F.lit(") "), c))
+        .otherwise(F.concat(a, F.lit(" AND")))
+    )
+    asked = v.table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), text.alias("question"))
+    return fts.match(text_index(spark, d), asked, 10)
+
+
 def question_vector(spark: SparkSession, d: str) -> list[float]:
     row = v.table(spark, d, "embeddings").where("vec_id = 3").select("embedding").first()
     return [float(x) for x in row[0]]
