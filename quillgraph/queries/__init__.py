@@ -1,3 +1,3 @@
 """Named queries over the driver's tables; importing the modules registers them."""
 
-from quillgraph.queries import facts, graphs, knowledge, relational  # noqa: F401
+from quillgraph.queries import facts, graphs, knowledge, relational, workspace  # noqa: F401
