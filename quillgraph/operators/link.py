@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.storage import settled
+
 # What a path may end with, in order of preference.
 ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs"]
 
@@ -48,14 +50,8 @@ def alias_matches(specifiers: DataFrame, aliases: DataFrame) -> DataFrame:
     return asked.join(known, "head").withColumn("star", star).where("star is not null").drop("head")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Imports (file_id, rel_path, specifier) with kind, target_file_id, confidence and status.
-
-    Every import names its candidate paths in order of preference; one equi-join with
-    the files and one minimum decide.  ``aliases`` has (pattern, target), however many:
-    an import names every head that a pattern could have and meets those of one ``*``.
-    Ambiguous imports have no target.
-    """
+def wanted_paths(imports: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Imports (file_id, rel_path, specifier) with kind and the path, apart from its ending, that they ask for; null for packages."""
     kind = specifier_kind(F.col("specifier"))
     base = F.regexp_extract("rel_path", r"^(.*/)?[^/]*$", 1)
     wanted = F.when(kind == "relative", normalised(F.concat(base, "specifier"))).when(kind == "absolute", normalised(F.col("specifier")))
@@ -64,6 +60,18 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
         mapped = alias_matches(rows.where("kind = 'package'").select("file_id", "specifier").distinct(), aliases)
         best = mapped.groupBy("file_id", "specifier").agg(F.min_by(F.struct(F.replace("target", F.lit("*"), "star").alias("path")), F.struct(-F.length("pattern"), "pattern")).alias("m"))
         rows = rows.join(best, ["file_id", "specifier"], "left").withColumn("kind", F.when(F.col("m").isNotNull(), "alias").otherwise(F.col("kind"))).withColumn("wanted", F.coalesce("wanted", "m.path")).drop("m")
+    return rows
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Imports (file_id, rel_path, specifier) with kind, target_file_id, confidence and status.
+
+    Every import names its candidate paths in order of preference; one equi-join with
+    the files and one minimum decide.  ``aliases`` has (pattern, target), however many:
+    an import names every head that a pattern could have and meets those of one ``*``.
+    Ambiguous imports have no target.
+    """
+    rows = wanted_paths(imports, aliases)
     asked = rows.where("wanted is not null").select("wanted").distinct()
     probes = asked.select("wanted", F.posexplode(F.transform(F.array(*map(F.lit, ENDINGS)), lambda e: F.concat("wanted", e))).alias("order", "path"))
     there = probes.join(files.select(F.col("rel_path").alias("path"), F.col("file_id").alias("target_file_id"), F.col("root_id").alias("target_root")), "path")
@@ -124,12 +132,17 @@ def binding_candidates(uses: DataFrame, symbols: DataFrame, bindings: DataFrame)
 
 def resolve_uses(uses: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
     """Uses (use_id, file_id, name, qualified) with symbol_id, status, reason and the number of candidates, by bindings instead of whole imported files."""
+    # what a name means in a file is asked once, however often it is used there
+    qualified = F.coalesce("qualified", F.lit(""))
+    asked = uses.select("file_id", "name", qualified.alias("qualified")).distinct().withColumn("use_id", F.struct("file_id", "name", "qualified"))
     known = symbols.select("name", "symbol_id", F.col("file_id").alias("owner"))
     local = known.groupBy("name", F.col("owner").alias("file_id")).agg(F.count("*").alias("n1"), F.min("symbol_id").alias("s1"))
-    near = binding_candidates(uses, symbols, bindings).groupBy("use_id").agg(F.count("*").alias("n2"), F.min("symbol_id").alias("s2"))
+    near = binding_candidates(asked, symbols, bindings).groupBy("use_id").agg(F.count("*").alias("n2"), F.min("symbol_id").alias("s2"))
     everywhere = known.groupBy("name").agg(F.count("*").alias("n3"), F.min("symbol_id").alias("s3"))
-    out = uses.join(local, ["file_id", "name"], "left").join(near, "use_id", "left").join(everywhere, "name", "left")
-    return out.withColumn("r", ladder()).select(*uses.columns, "r.symbol_id", "r.status", "r.reason", F.coalesce("r.candidates", F.lit(0)).alias("candidates"))
+    told = asked.join(local, ["file_id", "name"], "left").join(near, "use_id", "left").join(everywhere, "name", "left")
+    told = told.select("file_id", "name", F.col("qualified").alias("__q"), ladder().alias("r"))
+    out = uses.withColumn("__q", qualified).join(told, ["file_id", "name", "__q"])
+    return out.select(*uses.columns, "r.symbol_id", "r.status", "r.reason", F.coalesce("r.candidates", F.lit(0)).alias("candidates"))
 
 
 def ladder() -> Column:
@@ -152,38 +165,97 @@ def link_imports(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     found = F.col("target_file_id").isNotNull()
     reason = F.when(found, "resolved_path_matched_indexed_file").when(F.col("status") == "external", "external_dependency").otherwise(F.col("status"))
     told = F.to_json(F.struct("specifier", "imported_name", F.when(found, "linked").otherwise("unresolved").alias("status"), reason.alias("reason"), F.col("target_file_id").alias("resolved_file_id"), F.col("symbol_id").alias("resolved_symbol_id")))
+    origin = [F.col("origin")] if "origin" in resolved.columns else []
     return out.select(
-        F.when(F.col("is_reexport"), "re_exports").otherwise("imports").alias("kind"), F.lit("file").alias("from_kind"), F.col("file_id").alias("from_id"),
+        *origin, F.when(F.col("is_reexport"), "re_exports").otherwise("imports").alias("kind"), F.lit("file").alias("from_kind"), F.col("file_id").alias("from_id"),
         F.lit("file").alias("to_kind"), F.coalesce("target_file_id", "file_id").alias("to_id"), F.when(found, "resolved").otherwise("unresolved").alias("resolution"),
         F.when(found, "direct").otherwise("best_effort").alias("confidence"), "line", told.alias("payload_json"),
     )
 
 
-def link_uses(kind: str, uses: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Edges of calls or references (use_id, file_id, caller_id, name, qualified, line): from the symbol around them, or the file, to what the ladder finds, else to where they are."""
+def link_uses(uses: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Edges of uses (kind, file_id, caller_id, name, qualified, line): from the symbol around them, or the file, to what the ladder finds, else to where they are."""
     out = resolve_uses(uses, symbols, bindings)
     source_kind, source = F.when(F.col("caller_id").isNotNull(), "symbol").otherwise("file"), F.coalesce("caller_id", "file_id")
     found = F.col("symbol_id").isNotNull()
     told = F.to_json(F.struct("name", "qualified", "status", "reason", "candidates"))
     return out.select(
-        F.lit(kind).alias("kind"), source_kind.alias("from_kind"), source.alias("from_id"), F.when(found, "symbol").otherwise(source_kind).alias("to_kind"), F.coalesce("symbol_id", source).alias("to_id"),
+        "origin", "kind", source_kind.alias("from_kind"), source.alias("from_id"), F.when(found, "symbol").otherwise(source_kind).alias("to_kind"), F.coalesce("symbol_id", source).alias("to_id"),
         F.when(found, "resolved").otherwise("unresolved").alias("resolution"), F.when(found, "direct").otherwise("best_effort").alias("confidence"), "line", told.alias("payload_json"),
     )
 
 
+def with_origins(imports: DataFrame, calls: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Imports, and calls and references as one table with their kind, each row with the name of its origin."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("file_id", "line", "specifier", "local_name", "imported_name", "is_reexport")]
+    uses = calls.withColumn("kind", F.lit("calls")).unionByName(references.withColumn("kind", F.lit("references")))
+    return imports.withColumn("origin", F.concat_ws("\n", *told)), uses.withColumn("origin", F.concat_ws(":", "kind", "use_id"))
+
+
+def linked(files: DataFrame, symbols: DataFrame, imports: DataFrame, uses: DataFrame, aliases: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Edges with the origin of each, of imports and uses as ``with_origins`` gives them; ``of`` (origin) are the imports whose edges are wanted, if not all."""
+    placed = imports.join(files.select("file_id", "rel_path", "root_id"), "file_id")
+    # read by the edges of imports and by the bindings of names
+    resolved = settled(resolve_imports(placed, files, aliases))
+    bindings = resolved.where("target_file_id is not null and local_name is not null").select("file_id", "local_name", "imported_name", "target_file_id")
+    own = resolved if of is None else resolved.join(of.select("origin").distinct(), "origin", "left_semi")
+    return link_imports(own, symbols).unionByName(link_uses(uses, symbols, bindings))
+
+
 def link_workspace(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataFrame, references: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """All edges of a workspace in one job.
 
     ``imports`` has (file_id, specifier, local_name, imported_name, is_reexport, line),
     ``calls`` and ``references`` (use_id, file_id, caller_id, name, qualified, line).
     """
-    placed = imports.join(files.select("file_id", "rel_path", "root_id"), "file_id")
-    resolved = resolve_imports(placed, files, aliases)
-    bindings = resolved.where("target_file_id is not null and local_name is not null").select("file_id", "local_name", "imported_name", "target_file_id")
-    edges = link_imports(resolved, symbols)
-    for kind, uses in (("calls", calls), ("references", references)):
-        edges = edges.unionByName(link_uses(kind, uses, symbols, bindings))
-    return edges
+    return linked(files, symbols, *with_origins(imports, calls, references), aliases).drop("origin")
+
+
+def waiting(files: DataFrame, imports: DataFrame, uses: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(key, origin): the paths, names and bindings that the edge of an import or use depends on, there or not.
+
+    Imports wait for every path that they could reach and for the name that they import; uses for their name, for the names
+    that bindings of their file make of it, and for these bindings.
+    """
+    asked = wanted_paths(imports.join(files.select("file_id", "rel_path"), "file_id"), aliases).where("wanted is not null")
+    paths = asked.select(F.explode(F.transform(F.array(*map(F.lit, ENDINGS)), lambda e: F.concat(F.lit("path:"), "wanted", e))).alias("key"), "origin")
+    name = lambda c: F.concat(F.lit("name:"), c)
+    out = paths.unionByName(imports.where("imported_name is not null").select(name("imported_name").alias("key"), "origin"))
+    head, second = F.split_part("qualified", F.lit("."), F.lit(1)), F.split_part("qualified", F.lit("."), F.lit(2))
+    parts = F.array_distinct(F.array_compact(F.array("name", F.when(F.col("qualified").contains("."), head))))
+    own = uses.select("origin", "file_id", F.explode(F.array_compact(F.array(F.col("name"), F.when(F.col("qualified").contains("."), second)))).alias("n")).select(name("n").alias("key"), "origin")
+    bound = uses.select("origin", "file_id", F.explode(parts).alias("local_name"))
+    bind = bound.select(F.concat_ws(":", F.lit("bind"), "file_id", "local_name").alias("key"), "origin")
+    known = imports.where("local_name is not null").select("file_id", "local_name", F.explode(F.array(F.coalesce("imported_name", F.lit("default")), F.lit("default"))).alias("n")).distinct()
+    through = bound.join(known, ["file_id", "local_name"]).select(name("n").alias("key"), "origin")
+    return out.unionByName(own).unionByName(bind).unionByName(through)
+
+
+def relinked(edges: DataFrame, before: dict[str, DataFrame], now: dict[str, DataFrame], changed: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """The edges (with origins) after files changed: only those are linked again whose paths, names or bindings the change touches.
+
+    ``before`` and ``now`` hold files, symbols, imports and uses (the last two ``with_origins``); ``changed`` has the file_id of each
+    file that came, went or was read again.  All other edges stay as they are.
+    """
+    changed = settled(changed.select("file_id").distinct())
+    of = lambda rows: rows.join(changed, "file_id", "left_semi")
+    path = lambda t: t["files"].select("file_id", F.concat(F.lit("path:"), "rel_path").alias("key"))
+    moved = of(path(before)).select("key").unionByName(of(path(now)).select("key"))
+    names = of(before["symbols"]).select("name").unionByName(of(now["symbols"]).select("name")).select(F.concat(F.lit("name:"), "name").alias("key"))
+    touched = settled(moved.unionByName(names).distinct())
+    waits = settled(waiting(now["files"], now["imports"], now["uses"], aliases))
+    hit = waits.join(touched, "key", "left_semi").select("origin").distinct()
+    turned = settled(now["imports"].join(hit.unionByName(of(now["imports"]).select("origin")).distinct(), "origin", "left_semi"))
+    bound = turned.unionByName(of(before["imports"])).where("local_name is not null").select(F.concat_ws(":", F.lit("bind"), "file_id", "local_name").alias("key")).distinct()
+    hit = waits.join(touched.unionByName(bound).distinct(), "key", "left_semi").select("origin").distinct()
+    again = settled(now["uses"].join(hit.unionByName(of(now["uses"]).select("origin")).distinct(), "origin", "left_semi"))
+    gone = of(before["imports"]).select("origin").unionByName(of(before["uses"]).select("origin"))
+    left = gone.unionByName(turned.select("origin")).unionByName(again.select("origin")).distinct()
+    kept = edges.join(left, "origin", "left_anti")
+    # names of a file are read through all of its imports
+    homes = turned.select("file_id").unionByName(again.select("file_id")).distinct()
+    near = now["imports"].join(homes, "file_id", "left_semi")
+    return kept.unionByName(linked(now["files"], now["symbols"], near, again, aliases, turned))
 
 
 def payload(rows: DataFrame, *columns: str) -> DataFrame:

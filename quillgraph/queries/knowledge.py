@@ -241,28 +241,30 @@ def workspace_packages(spark: SparkSession, d: str) -> DataFrame:
     return link.resolve_packages(imports, packages).select("file_id", "name", "path")
 
 
-@query(v.with_(v.FILES_SQL, v.SYMBOLS_SQL, v.EDGES_SQL) + """
+LINKED_SQL = """
 , asked AS (SELECT f.file_id, f.root_id, g.file_id AS target, (['red', 'ns', 'blue'])[f.file_id % 3 + 1] AS loc, (['red', '*', 'default'])[f.file_id % 3 + 1] AS imported, f.file_id % 5 = 0 AS re, CAST(f.file_id % 50 AS INTEGER) AS line
     FROM files f LEFT JOIN files g ON g.file_id = f.file_id + 20),
 exps AS (SELECT file_id, name, count(*) AS n, min(symbol_id) AS s FROM symbols WHERE exported GROUP BY file_id, name),
 uses AS (SELECT CASE WHEN l_linenumber < 4 THEN 'calls' ELSE 'references' END AS kind, l_orderkey * 10 + l_linenumber AS use_id, l_orderkey % docs AS file_id, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END AS caller_id,
     (['red', 'blue', 'green', 'nothing'])[l_partkey % 4 + 1] AS name, (['red', 'blue', 'ns.green', 'a.b.nothing'])[l_partkey % 4 + 1] AS qualified, CAST(l_quantity AS INTEGER) AS line FROM lineitem, sizes),
-cands AS (SELECT DISTINCT use_id, symbol_id FROM (
-    SELECT use_id, s.symbol_id FROM uses u JOIN asked b ON b.file_id = u.file_id AND target IS NOT NULL AND loc = u.name AND imported <> '*' JOIN symbols s ON s.file_id = target AND s.exported AND s.name IN (CASE imported WHEN 'default' THEN loc ELSE imported END, CASE imported WHEN 'default' THEN 'default' END)
-    UNION ALL SELECT use_id, s.symbol_id FROM uses u JOIN asked b ON b.file_id = u.file_id AND target IS NOT NULL AND imported = '*' AND u.qualified = 'ns.green' JOIN symbols s ON s.file_id = target AND s.exported AND s.name = 'green')),
+cands AS (SELECT DISTINCT file_id, name, qualified, symbol_id FROM (
+    SELECT u.file_id, u.name, u.qualified, s.symbol_id FROM uses u JOIN asked b ON b.file_id = u.file_id AND target IS NOT NULL AND loc = u.name AND imported <> '*' JOIN symbols s ON s.file_id = target AND s.exported AND s.name IN (CASE imported WHEN 'default' THEN loc ELSE imported END, CASE imported WHEN 'default' THEN 'default' END)
+    UNION ALL SELECT u.file_id, u.name, u.qualified, s.symbol_id FROM uses u JOIN asked b ON b.file_id = u.file_id AND target IS NOT NULL AND imported = '*' AND u.qualified = 'ns.green' JOIN symbols s ON s.file_id = target AND s.exported AND s.name = 'green')),
 loc AS (SELECT name, file_id, count(*) AS n1, min(symbol_id) AS s1 FROM symbols GROUP BY name, file_id),
-near AS (SELECT use_id, count(*) AS n2, min(symbol_id) AS s2 FROM cands GROUP BY use_id),
+near AS (SELECT file_id, name, qualified, count(*) AS n2, min(symbol_id) AS s2 FROM cands GROUP BY file_id, name, qualified),
 ws AS (SELECT name, count(*) AS n3, min(symbol_id) AS s3 FROM symbols GROUP BY name),
 told AS (SELECT u.*, CASE WHEN n1 = 1 THEN s1 WHEN n1 > 1 THEN NULL WHEN n2 = 1 THEN s2 WHEN n2 > 1 THEN NULL WHEN n3 = 1 THEN s3 END AS sym,
     CASE WHEN n1 = 1 THEN 'local' WHEN n1 > 1 THEN 'local_ambiguous' WHEN n2 = 1 THEN 'imported' WHEN n2 > 1 THEN 'imported_ambiguous' WHEN n3 = 1 THEN 'workspace' WHEN n3 > 1 THEN 'workspace_ambiguous' ELSE 'missing' END AS reason
-    FROM uses u LEFT JOIN loc ON u.file_id = loc.file_id AND u.name = loc.name LEFT JOIN near USING (use_id) LEFT JOIN ws ON u.name = ws.name)
+    FROM uses u LEFT JOIN loc ON u.file_id = loc.file_id AND u.name = loc.name LEFT JOIN near ON u.file_id = near.file_id AND u.name = near.name AND u.qualified = near.qualified LEFT JOIN ws ON u.name = ws.name)
 SELECT CASE WHEN re THEN 're_exports' ELSE 'imports' END AS kind, 'file' AS from_kind, a.file_id AS from_id, 'file' AS to_kind, coalesce(target, a.file_id) AS to_id, CASE WHEN target IS NULL THEN 'unresolved' ELSE 'resolved' END AS resolution,
     CASE WHEN target IS NULL THEN 'best_effort' ELSE 'direct' END AS confidence, line, CASE WHEN target IS NULL THEN 'missing' ELSE 'resolved_path_matched_indexed_file' END AS reason, CASE WHEN n = 1 THEN s END AS symbol_id
 FROM asked a LEFT JOIN exps ON exps.file_id = target AND exps.name = imported
 UNION ALL SELECT kind, CASE WHEN caller_id IS NULL THEN 'file' ELSE 'symbol' END, coalesce(caller_id, file_id), CASE WHEN sym IS NOT NULL OR caller_id IS NOT NULL THEN 'symbol' ELSE 'file' END, coalesce(sym, caller_id, file_id),
-    CASE WHEN sym IS NULL THEN 'unresolved' ELSE 'resolved' END, CASE WHEN sym IS NULL THEN 'best_effort' ELSE 'direct' END, line, reason, NULL FROM told""")
-def linked_workspace(spark: SparkSession, d: str) -> DataFrame:
-    """Each file imports the file 20 ids on, by its whole path; calls and references are line items."""
+    CASE WHEN sym IS NULL THEN 'unresolved' ELSE 'resolved' END, CASE WHEN sym IS NULL THEN 'best_effort' ELSE 'direct' END, line, reason, NULL FROM told"""
+
+
+def workspace(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Files, symbols, imports (each file imports the file 20 ids on, by its whole path), calls and references (line items)."""
     files = v.files(spark, d).select("file_id", "rel_path", "root_id")
     k = F.col("file_id") % 3
     ahead = files.select((F.col("file_id") - 20).alias("file_id"), F.concat(F.lit("/"), "rel_path").alias("specifier"))
@@ -273,11 +275,33 @@ def linked_workspace(spark: SparkSession, d: str) -> DataFrame:
         n.alias("n"), (F.col("l_orderkey") * 10 + n).alias("use_id"), (F.col("l_orderkey") % F.col("docs")).alias("file_id"), F.when(n % 2 == 0, F.col("l_partkey")).alias("caller_id"),
         F.element_at(F.array(*map(F.lit, ("red", "blue", "green", "nothing"))), pick).alias("name"), F.element_at(F.array(*map(F.lit, ("red", "blue", "ns.green", "a.b.nothing"))), pick).alias("qualified"), F.col("l_quantity").cast("int").alias("line"),
     )
-    edges = link.link_workspace(files, v.symbols(spark, d), imports, uses.where("n < 4").drop("n"), uses.where("n >= 4").drop("n"))
+    return files, v.symbols(spark, d), imports, uses.where("n < 4").drop("n"), uses.where("n >= 4").drop("n")
+
+
+def told_edges(edges: DataFrame) -> DataFrame:
     field = lambda name: F.get_json_object("payload_json", f"$.{name}")
     return edges.select("kind", "from_kind", "from_id", "to_kind", "to_id", "resolution", "confidence", "line", field("reason").alias("reason"), field("resolved_symbol_id").cast("bigint").alias("symbol_id"))
 
 
+@query(v.with_(v.FILES_SQL, v.SYMBOLS_SQL, v.EDGES_SQL) + LINKED_SQL)
+def linked_workspace(spark: SparkSession, d: str) -> DataFrame:
+    return told_edges(link.link_workspace(*workspace(spark, d)))
+
+
+@query(v.with_(v.FILES_SQL, v.SYMBOLS_SQL, v.EDGES_SQL) + LINKED_SQL)
+def relinked_workspace(spark: SparkSession, d: str) -> DataFrame:
+    """The same edges by way of an older state: every fortieth file was absent, and those beside them had other symbols and no imports."""
+    files, symbols, imports, calls, references = workspace(spark, d)
+    gone, other = F.col("file_id") % 40 == 7, F.col("file_id") % 40 == 11
+    old_files, old_symbols = files.where(~gone), symbols.where(~gone).withColumn("name", F.when(other, F.lit("green")).otherwise(F.col("name")))
+    old = link.with_origins(imports.where(~gone & ~other), calls.where(~gone), references.where(~gone))
+    before = {"files": old_files, "symbols": old_symbols, "imports": old[0], "uses": old[1]}
+    new = link.with_origins(imports, calls, references)
+    now = {"files": files, "symbols": symbols, "imports": new[0], "uses": new[1]}
+    edges = link.linked(old_files, old_symbols, *old)
+    return told_edges(link.relinked(edges, before, now, files.where(gone | other)))
+
+
 @query(v.with_(v.SYMBOLS_SQL, v.EDGES_SQL) + """
 , uses AS (SELECT l_orderkey * 10 + l_linenumber AS use_id, l_orderkey % docs AS file_id, (['red', 'blue', 'small', 'nothing'])[l_linenumber % 4 + 1] AS name
     FROM lineitem, sizes),
