@@ -154,7 +154,7 @@ def write_index(chunks: DataFrame, key: str = "chunk_id", text: str = "content",
     blocks = out.postings.groupBy("bucket", "term", "seg").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
     blocks.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "seg").write.partitionBy("bucket").parquet(f"{path}/blocks")
     out.blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition(BUCKETS, "bucket").write.partitionBy("bucket").parquet(f"{path}/terms")
-    spark.createDataFrame([(out.n, out.total, kind)], "n long, total long, kind string").write.parquet(f"{path}/corpus")
+    spark.range(1, numPartitions=1).select(F.lit(out.n).cast("long").alias("n"), F.lit(out.total).cast("long").alias("total"), F.lit(kind).alias("kind")).write.parquet(f"{path}/corpus")
     return out
 
 

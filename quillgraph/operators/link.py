@@ -194,8 +194,9 @@ def with_origins(imports: DataFrame, calls: DataFrame, references: DataFrame) ->
 
 def linked(files: DataFrame, symbols: DataFrame, imports: DataFrame, uses: DataFrame, aliases: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
     """Edges with the origin of each, of imports and uses as ``with_origins`` gives them; ``of`` (origin) are the imports whose edges are wanted, if not all."""
-    placed = imports.join(files.select("file_id", "rel_path", "root_id"), "file_id")
-    # read by the edges of imports and by the bindings of names
+    # each of these is read several times
+    files, symbols = settled(files.select("file_id", "rel_path", "root_id")), settled(symbols.select("symbol_id", "file_id", "name", "exported"))
+    placed = imports.join(files, "file_id")
     resolved = settled(resolve_imports(placed, files, aliases))
     bindings = resolved.where("target_file_id is not null and local_name is not null").select("file_id", "local_name", "imported_name", "target_file_id")
     own = resolved if of is None else resolved.join(of.select("origin").distinct(), "origin", "left_semi")

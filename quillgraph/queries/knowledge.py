@@ -52,6 +52,12 @@ def text_index(spark: SparkSession, d: str) -> fts.TextIndex:
     return fts.open_index(spark, INDEXES[at])
 
 
+@query(v.with_(v.CHUNKS_SQL, SEARCH_SQL) + "SELECT term, df FROM df")
+def stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """How many chunks hold each term, from the stored index, which this query writes if none has yet."""
+    return text_index(spark, d).terms.select("term", "df")
+
+
 @query(v.with_(v.CHUNKS_SQL, SEARCH_SQL) + "SELECT question_id, chunk_id, score, rank FROM ranked WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return fts.ask(text_index(spark, d), questions(spark, d), 10)
