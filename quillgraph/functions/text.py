@@ -170,14 +170,27 @@ def redacted(key: Column, value: Column, roots: list[str]) -> Column:
     )
 
 
-def retry_delay(attempt: Column, base: int = 500, most: int = 8000) -> Column:
-    return F.least(F.lit(base) * F.pow(F.lit(2.0), F.greatest(attempt, F.lit(1)) - 1), F.lit(most)).cast("bigint")
-
-
-def retryable(kind: Column, status: Column) -> Column:
-    """Whether an error of a kind and status (null: none) may be tried again."""
+def retry_delay(attempt: Column, base: int = 500, most: int = 8000, after_ms: Column | None = None, after: Column | None = None, now: Column | None = None) -> Column:
+    """Milliseconds to wait: what the answer asks for (``after_ms`` above 0; else ``after``, seconds or an HTTP date, against ``now``), or doubled with every attempt; ``most`` at most."""
+    usual = F.least(F.lit(base) * F.pow(F.lit(2.0), F.greatest(attempt, F.lit(1)) - 1), F.lit(most)).cast("bigint")
+    out = F
+    if after_ms is not None:
+        out = out.when(after_ms > 0, F.least(F.floor(after_ms), F.lit(most)).cast("bigint"))
+    if after is not None:
+        told = F.trim(after)
+        seconds = F.when(told.rlike(r"^[0-9.eE+-]+$"), told.try_cast("double"))
+        dated = F.regexp_extract(told, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
+        date = F.when(dated != "", F.try_to_timestamp(dated, F.lit("dd MMM yyyy HH:mm:ss")))
+        wait = F.when(seconds >= 0, F.floor(seconds * 1000)).when(date.isNotNull(), F.greatest((F.unix_timestamp(date) - F.unix_timestamp(F.current_timestamp() if now is None else now)) * 1000, F.lit(0)))
+        out = out.when(wait.isNotNull(), F.least(wait, F.lit(most)).cast("bigint"))
+    return usual if out is F else out.otherwise(usual)
+
+
+def retryable(kind: Column, status: Column, flagged: Column | None = None) -> Column:
+    """Whether an error of a kind and status (null: none) may be tried again; one that is flagged so always may."""
     by_status = status.isin(408, 409, 425, 429) | status.between(500, 599)
-    return F.when(kind.isin("semantic", "overflow"), False).when(status.isNull(), kind.isin("network", "rate_limit", "transient")).otherwise(by_status)
+    out = F.when(kind.isin("semantic", "overflow"), False).when(status.isNull(), kind.isin("network", "rate_limit", "transient")).otherwise(by_status)
+    return out if flagged is None else F.when(flagged, True).otherwise(out)
 
 
 def stable_id(*parts: Column) -> Column:

@@ -26,8 +26,8 @@ def hybrid_score(source: Column, score: Column, confidence: Column) -> Column:
     return F.round(F.coalesce(weight.otherwise(0.0), F.lit(0.0)) * score + F.when(confidence == "grounded", GROUNDED_EXTRA).otherwise(0.0), 6)
 
 
-def capped(candidates: DataFrame, key: list[str], order: list[str], most: int, by: str = "question_id") -> DataFrame:
-    """The first row of each key, then the first ``most`` of a question, all by insertion order: rows beyond are never considered."""
+def capped(candidates: DataFrame, key: list[str], order: list, most: int, by: str = "question_id") -> DataFrame:
+    """The first row of each key, then the first ``most`` of a question, all by ``order``: rows beyond are never considered."""
     once = Window.partitionBy(by, *key).orderBy(*order)
     rows = candidates.withColumn("__k", F.row_number().over(once)).where("__k = 1")
     first = Window.partitionBy(by).orderBy(*order)
@@ -126,18 +126,39 @@ def capability_matrix(spark) -> DataFrame:
     return spark.createDataFrame(rows, "language string, capability string, state string")
 
 
-def ledger(candidates: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
-    """Entries (question_id, path, source, order) of a mode's budget, and (question_id, entries, warnings): what the ledger lacks.
+# What names a file in a question, and the entry that a mention makes.
+MENTION = r"[A-Za-z0-9_.\-/]+\.[A-Za-z0-9]+"
+MENTIONED = {"line_start": 1, "line_end": 80, "score": 1.0, "source": "file_mention"}
 
-    Modes: ``small`` 4 entries, ``usual`` 12, ``large`` 24.
+
+def file_mentions(questions: DataFrame, files: DataFrame) -> DataFrame:
+    """(question_id, path, line_start, line_end, score, source, order) of files that a (question_id, question) names by their path, in the order of the words."""
+    named = questions.select("question_id", F.posexplode(F.regexp_extract_all("question", F.lit(MENTION), F.lit(0))).alias("order", "word"))
+    # one dot and one slash in front do not count
+    named = named.withColumn("path", F.regexp_replace("word", r"^\.?/", ""))
+    met = named.join(files.select(F.col("rel_path").alias("path")).distinct(), "path")
+    return met.select("question_id", "path", *[F.lit(v).alias(k) for k, v in MENTIONED.items()], F.col("order").cast("long").alias("order"))
+
+
+def ledger(candidates: DataFrame, mode: str, mentions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entries of a mode's budget, and (question_id, entries, skipped, warnings): what the ledger lacks.
+
+    Candidates have (question_id, path, line_start, line_end, source, score, order); mentions, as ``file_mentions`` gives them, come
+    behind them.  The best scores go first, then the order, then the path; of entries with the same path, lines and source the
+    first stays.  Modes: ``small`` 4 entries, ``usual`` 12, ``large`` 24.
     """
     most = {"small": 4, "usual": 12, "large": 24}[mode]
-    kept = capped(candidates, ["path", "source"], ["order"], most)
-    all_ = candidates.groupBy("question_id").agg(F.count_distinct("path", "source").alias("there"), F.count_distinct("source").alias("sources"))
+    columns = ["question_id", "path", "line_start", "line_end", "source", "score", "order"]
+    rows = candidates.select(*columns, F.lit(0).alias("behind"))
+    if mentions is not None:
+        rows = rows.unionByName(mentions.select(*columns, F.lit(1).alias("behind")))
+    key = ["path", "line_start", "line_end", "source"]
+    kept = capped(rows, key, [F.desc("score"), "behind", "order", "path"], most).drop("behind")
+    all_ = rows.groupBy("question_id").agg(F.count_distinct(*key).alias("there"), F.count_distinct("source").alias("sources"), F.count_if(F.col("behind") == 0).alias("found"))
     have = kept.groupBy("question_id").agg(F.count("*").alias("entries"), F.count_distinct("source").alias("kept_sources"))
     both = all_.join(have, "question_id")
     warn = F.filter(F.array(F.when(F.col("there") > F.col("entries"), "budget_reached"), F.when(F.col("sources") > F.col("kept_sources"), "source_missing"), F.when(F.col("kept_sources") == 1, "single_source")), lambda x: x.isNotNull())
-    return kept, both.select("question_id", "entries", warn.alias("warnings"))
+    return kept, both.select("question_id", "entries", F.greatest(F.col("found") - F.col("entries"), F.lit(0)).alias("skipped"), warn.alias("warnings"))
 
 
 def routed(servers: DataFrame, lane: str, role: str, wanted: Column, capabilities: list[str], versions: list[str], most: int = 4) -> DataFrame:

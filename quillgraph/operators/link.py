@@ -71,7 +71,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
     an import names every head that a pattern could have and meets those of one ``*``.
     Ambiguous imports have no target.
     """
-    rows = wanted_paths(imports, aliases)
+    rows = imports if "wanted" in imports.columns else wanted_paths(imports, aliases)
     asked = rows.where("wanted is not null").select("wanted").distinct()
     probes = asked.select("wanted", F.posexplode(F.transform(F.array(*map(F.lit, ENDINGS)), lambda e: F.concat("wanted", e))).alias("order", "path"))
     there = probes.join(files.select(F.col("rel_path").alias("path"), F.col("file_id").alias("target_file_id"), F.col("root_id").alias("target_root")), "path")
@@ -196,8 +196,8 @@ def linked(files: DataFrame, symbols: DataFrame, imports: DataFrame, uses: DataF
     """Edges with the origin of each, of imports and uses as ``with_origins`` gives them; ``of`` (origin) are the imports whose edges are wanted, if not all."""
     # each of these is read several times
     files, symbols = settled(files.select("file_id", "rel_path", "root_id")), settled(symbols.select("symbol_id", "file_id", "name", "exported"))
-    placed = imports.join(files, "file_id")
-    resolved = settled(resolve_imports(placed, files, aliases))
+    placed = settled(wanted_paths(imports.join(files, "file_id"), aliases))
+    resolved = settled(resolve_imports(placed, files))
     bindings = resolved.where("target_file_id is not null and local_name is not null").select("file_id", "local_name", "imported_name", "target_file_id")
     own = resolved if of is None else resolved.join(of.select("origin").distinct(), "origin", "left_semi")
     return link_imports(own, symbols).unionByName(link_uses(uses, symbols, bindings))

@@ -230,12 +230,12 @@ def combined_diffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(v.with_(v.TELEMETRY_SQL) + """
-, e AS (SELECT session_id AS question_id, kind || ':' || (k % 10) AS path, strategy AS source, min(event_id) AS o FROM telemetry GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY o) AS seq FROM e)
+, e AS (SELECT session_id AS question_id, kind || ':' || (k % 10) AS path, strategy AS source, max((event_id % 17) / 10.0) AS score, min_by(event_id, struct_pack(a := -((event_id % 17) / 10.0), b := event_id)) AS o FROM telemetry GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, o) AS seq FROM e)
 SELECT question_id, path, source, seq FROM r WHERE seq <= 12""")
 def context_ledger(spark: SparkSession, d: str) -> DataFrame:
-    rows = v.telemetry(spark, d).select(F.col("session_id").alias("question_id"), F.concat("kind", F.lit(":"), F.col("k") % 10).alias("path"), F.col("strategy").alias("source"), F.col("event_id").alias("o"))
-    return evidence.capped(rows, ["path", "source"], ["o"], 12).select("question_id", "path", "source", "seq")
+    rows = v.telemetry(spark, d).select(F.col("session_id").alias("question_id"), F.concat("kind", F.lit(":"), F.col("k") % 10).alias("path"), F.col("strategy").alias("source"), (F.col("event_id") % 17 / F.lit(10.0)).alias("score"), F.col("event_id").alias("o"))
+    return evidence.capped(rows, ["path", "source"], [F.desc("score"), "o"], 12).select("question_id", "path", "source", "seq")
 
 
 @query("""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph import views as v
 from quillgraph.functions import text as tx
 from quillgraph.functions.vectors import cosine
-from quillgraph.operators import evidence, extract, fts, incremental, joins, link, sessions, vector, windows
+from quillgraph.operators import aggregates, evidence, extract, fts, incremental, joins, link, sessions, vector, windows
 from quillgraph.plans import answer
 from quillgraph.registry import query
 from quillgraph.streaming import telemetry as streams
@@ -495,13 +495,33 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.length(s).cast("bigint").alias("chars"), F.sha2(s, 256).alias("hash"))
 
 
-@query("""SELECT capability, CASE min(CASE state WHEN 'unsupported' THEN 0 WHEN 'best_effort' THEN 1 WHEN 'partial' THEN 2 ELSE 3 END) WHEN 0 THEN 'unsupported' WHEN 1 THEN 'best_effort' WHEN 2 THEN 'partial' ELSE 'supported' END AS weakest
-FROM (SELECT capability, CASE WHEN language = 'unknown' THEN CASE WHEN capability IN ('search', 'embedding') THEN 'best_effort' ELSE 'unsupported' END WHEN capability = 'trace' THEN 'unsupported' WHEN capability IN ('parsing', 'definitions', 'search', 'embedding') THEN 'supported' WHEN language IN ('typescript', 'tsx', 'javascript', 'jsx') THEN 'supported' ELSE 'partial' END AS state
-      FROM (SELECT unnest(['typescript', 'tsx', 'javascript', 'jsx', 'python', 'go', 'rust', 'unknown']) AS language), (SELECT unnest(['parsing', 'definitions', 'references', 'imports', 'calls', 'entry_points', 'impact', 'trace', 'search', 'embedding']) AS capability)) GROUP BY capability""")
+@query(v.with_(v.FILES_SQL) + """
+, langs AS (SELECT CASE WHEN ext = 'ts' THEN 'typescript' WHEN ext = 'js' THEN 'javascript' WHEN ext = 'py' THEN 'python' WHEN ext = 'rs' THEN 'rust' ELSE 'unknown' END AS language, count(*) AS n FROM files WHERE deleted_at_unix_ms IS NULL GROUP BY 1),
+states AS (SELECT capability, n, CASE WHEN language = 'unknown' THEN CASE WHEN capability IN ('search', 'embedding') THEN 'best_effort' ELSE 'unsupported' END WHEN capability = 'trace' THEN 'unsupported' WHEN capability IN ('parsing', 'definitions', 'search', 'embedding') THEN 'supported' WHEN language IN ('typescript', 'tsx', 'javascript', 'jsx') THEN 'supported' ELSE 'partial' END AS state
+      FROM langs, (SELECT unnest(['parsing', 'definitions', 'references', 'imports', 'calls', 'entry_points', 'impact', 'trace', 'search', 'embedding']) AS capability))
+SELECT capability, CASE min(CASE state WHEN 'unsupported' THEN 0 WHEN 'best_effort' THEN 1 WHEN 'partial' THEN 2 ELSE 3 END) WHEN 0 THEN 'unsupported' WHEN 1 THEN 'best_effort' WHEN 2 THEN 'partial' ELSE 'supported' END AS weakest,
+    CAST(sum(n) AS BIGINT) AS files, CAST(coalesce(sum(n) FILTER (WHERE state = 'supported'), 0) AS BIGINT) AS supported FROM states GROUP BY capability""")
 def capability_summary(spark: SparkSession, d: str) -> DataFrame:
-    from quillgraph.operators import aggregates
+    """The weakest state of each capability over the languages of the given files that are there, and for how many files it is supported."""
+    present = v.files(spark, d).where("deleted_at_unix_ms is null").groupBy(F.coalesce(tx.language_of(F.col("rel_path")), F.lit("unknown")).alias("language")).agg(F.count("*").alias("n"))
+    rows = evidence.capability_matrix(spark).join(present, "language")
+    counts = rows.groupBy("capability").agg(F.sum("n").alias("files"), F.coalesce(F.sum(F.when(F.col("state") == "supported", F.col("n"))), F.lit(0)).alias("supported"))
+    return aggregates.weakest(rows, "state", ["unsupported", "best_effort", "partial", "supported"]).join(counts, "capability")
+
 
-    return aggregates.weakest(evidence.capability_matrix(spark), "state", ["unsupported", "best_effort", "partial", "supported"])
+@query("""
+SELECT event_id, CASE WHEN event_id % 4 = 0 AND user_id % 5 > 0 THEN least(user_id % 5 * 700, 8000) WHEN event_id % 4 IN (0, 1) AND event_id % 3 = 0 THEN least(CAST(floor((user_id % 9) * 1500) AS BIGINT), 8000)
+    WHEN event_id % 4 IN (0, 1) AND event_id % 3 = 1 THEN least(greatest(0, (user_id % 20 - 8) * 1000), 8000) ELSE CAST(least(500 * pow(2, greatest(user_id % 7, 1) - 1), 8000) AS BIGINT) END AS delay_ms,
+CASE WHEN event_id % 6 = 0 THEN true WHEN event_type = 'error' THEN false ELSE event_type = 'click' END AS retry FROM events""")
+def retry_hints(spark: SparkSession, d: str) -> DataFrame:
+    """Waits that a server names in milliseconds, seconds or as a date, before the usual ones; errors that say that they may be tried again."""
+    e, u = F.col("event_id"), F.col("user_id")
+    now = F.lit("2024-03-01 12:00:00").cast("timestamp")
+    date = F.date_format(F.timestamp_seconds(F.unix_timestamp(now) + (u % 20 - 8)), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    after = F.when(e % 4 < 2, F.when(e % 3 == 0, F.concat(F.lit(" "), (u % 9 * F.lit(1.5)).cast("decimal(9,1)").cast("string"))).when(e % 3 == 1, date).otherwise("soon"))
+    kind = F.when(F.col("event_type") == "error", "semantic").when(F.col("event_type") == "click", "network").otherwise("other")
+    wait = tx.retry_delay(u % 7, after_ms=F.when(e % 4 == 0, u % 5 * 700), after=after, now=now)
+    return v.table(spark, d, "events").select("event_id", wait.alias("delay_ms"), tx.retryable(kind, F.lit(None).cast("int"), e % 6 == 0).alias("retry"))
 
 
 @query("""
@@ -713,17 +733,45 @@ def converted_paths(spark: SparkSession, d: str) -> DataFrame:
     return incremental.converted_paths(files.select("file_id", path.alias("file_path")), files.select("rel_path"), "/repo")
 
 
-@query("".join(f"""
-{start} SELECT '{mode}' AS mode, user_id AS question_id, least(count(DISTINCT event_type || ':' || (event_id % 9)), {most}) AS entries, count(DISTINCT event_type || ':' || (event_id % 9)) > {most} AS budget_reached FROM events GROUP BY user_id""" for start, mode, most in (("", "small", 4), ("UNION ALL", "usual", 12), ("UNION ALL", "large", 24))))
+LEDGER_SQL = """
+WITH mentions AS (SELECT c_custkey % 100 AS q, 1 AS behind, 1 AS o, 'src' || (c_custkey % 20) || '/en/doc_' || c_custkey || '.ts' AS path FROM customer),
+known AS (SELECT source || '/' || lang || '/' || CASE WHEN doc_id % 9 = 0 THEN 'test_' ELSE 'doc_' END || doc_id || '.' || (['ts', 'js', 'py', 'rs'])[doc_id % 4 + 1] AS path FROM documents),
+cand AS (SELECT user_id AS q, 0 AS behind, event_id AS o, CAST(event_id % 9 AS VARCHAR) AS path, CAST(event_id % 2 AS INTEGER) AS a, CAST(event_id % 2 + 5 AS INTEGER) AS b, event_type AS source, (event_id % 13) / 10.0 AS score FROM events
+    UNION ALL SELECT q, behind, o, path, 1, 80, 'file_mention', 1.0 FROM mentions JOIN known USING (path)),
+once AS (SELECT *, row_number() OVER (PARTITION BY q, path, a, b, source ORDER BY score DESC, behind, o) AS r FROM cand),
+placed AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, behind, o, path) AS seq FROM once WHERE r = 1),
+total AS (SELECT q, count(*) AS there FROM placed GROUP BY q)"""
+
+
+def ledger_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Events as results, and customers' questions that name a file."""
+    e = F.col("event_id")
+    rows = v.table(spark, d, "events").select(
+        F.col("user_id").alias("question_id"), (e % 9).cast("string").alias("path"), (e % 2).cast("int").alias("line_start"), (e % 2 + 5).cast("int").alias("line_end"),
+        F.col("event_type").alias("source"), (e % 13 / F.lit(10.0)).alias("score"), e.alias("order"),
+    )
+    c = F.col("c_custkey")
+    asked = v.table(spark, d, "customer").select((c % 100).alias("question_id"), F.concat(F.lit("why does ./src"), c % 20, F.lit("/en/doc_"), c, F.lit(".ts call gone/x.ts?")).alias("question"))
+    return rows, evidence.file_mentions(asked, v.files(spark, d))
+
+
+@query(LEDGER_SQL + "".join(f"""
+{start} SELECT '{mode}' AS mode, q AS question_id, least(there, {most}) AS entries, there > {most} AS budget_reached FROM total""" for start, mode, most in (("", "small", 4), ("UNION ALL", "usual", 12), ("UNION ALL", "large", 24))))
 def ledger_modes(spark: SparkSession, d: str) -> DataFrame:
-    rows = v.table(spark, d, "events").select(F.col("user_id").alias("question_id"), (F.col("event_id") % 9).cast("string").alias("path"), F.col("event_type").alias("source"), F.col("event_id").alias("order"))
+    rows, mentions = ledger_rows(spark, d)
     out = None
     for mode in ("small", "usual", "large"):
-        one = evidence.ledger(rows, mode)[1].select(F.lit(mode).alias("mode"), "question_id", "entries", F.array_contains("warnings", "budget_reached").alias("budget_reached"))
+        one = evidence.ledger(rows, mode, mentions)[1].select(F.lit(mode).alias("mode"), "question_id", "entries", F.array_contains("warnings", "budget_reached").alias("budget_reached"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query(LEDGER_SQL + "SELECT q AS question_id, CAST(seq AS INTEGER) AS seq, path, a AS line_start, b AS line_end, source, CAST(score AS DOUBLE) AS score FROM placed WHERE seq <= 12")
+def ledger_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries by score, keyed by path, lines and source, with the files that questions name."""
+    return evidence.ledger(*ledger_rows(spark, d)[:1], "usual", ledger_rows(spark, d)[1])[0].select("question_id", "seq", "path", "line_start", "line_end", "source", "score")
+
+
 @query("""
 WITH r AS (SELECT s_suppkey AS server_id, CASE WHEN s_suppkey % 5 = 0 THEN 'contract_version_mismatch' WHEN s_acctbal < 0 THEN 'entry_missing' WHEN s_suppkey % 7 = 0 THEN 'lane_mismatch' WHEN s_suppkey % 11 = 0 THEN 'role_mismatch' WHEN s_suppkey % 13 = 0 THEN 'capability_denied' END AS reason,
     s_nationkey + CASE WHEN s_nationkey % 3 = 0 THEN 20 ELSE -25 END AS score FROM supplier),
