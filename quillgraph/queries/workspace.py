@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillgraph import views as v
 from quillgraph.operators import contenthash, ignores, packages
 from quillgraph.registry import query
+from quillgraph.sources import versions
+from quillgraph.storage import place
 
 
 @query()
@@ -73,3 +75,28 @@ def package_exports(spark: SparkSession, d: str) -> DataFrame:
     inner = F.array(F.lit(""), F.concat(F.lit("/feature/deep/"), "file_id", F.lit(".js")), F.lit("/hidden"), F.lit("/feature/x"), F.lit("/away"), F.lit("/list"), F.concat(F.lit("/"), base), F.concat(F.lit("/dir/"), base))
     asks = files.select("file_id", name.alias("name"), F.posexplode(inner).alias("ask", "inner")).select((F.col("file_id") * 10 + F.col("ask")).alias("import_id"), F.concat("name", "inner").alias("specifier"))
     return packages.resolve_exports(asks, known, files, ["require", "node", "types", "default"]).select("import_id", "status", "path", "target_file_id")
+
+
+@query(v.with_(v.FILES_SQL, v.CHUNKS_SQL, v.EMBEDDINGS_SQL) + """
+, f AS (SELECT file_id, CASE WHEN file_id % 20 = 3 THEN 'new' ELSE content_hash END AS mark FROM files WHERE file_id % 20 <> 13),
+c AS (SELECT chunk_id, file_id, CASE WHEN file_id % 20 = 3 THEN 'new' ELSE sha256(content) END AS mark FROM chunks WHERE file_id % 20 <> 13),
+e AS (SELECT chunk_id AS file_id, model AS mark FROM vecs WHERE chunk_id % 20 NOT IN (3, 13))
+SELECT 'files' AS kind, count(*) AS n, count_if(mark = 'new') AS fresh, CAST(sum(file_id) AS BIGINT) AS total, min(mark) AS least FROM f
+UNION ALL SELECT 'chunks', count(*), count_if(mark = 'new'), CAST(sum(chunk_id) AS BIGINT), min(mark) FROM c UNION ALL SELECT 'embeddings', count(*), 0, CAST(sum(file_id) AS BIGINT), min(mark) FROM e""")
+def replaced_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Files, chunks and vectors in one store: of every tenth file half get new facts and lose their vectors, half go, in one version."""
+    files = v.files(spark, d).select("file_id", F.col("content_hash").alias("mark"))
+    chunks = v.chunks(spark, d).select("file_id", "chunk_id", F.sha2("content", 256).alias("mark"))
+    vectors = v.embeddings(spark, d).select(F.col("chunk_id").alias("file_id"), F.col("model").alias("mark"))
+    root = place(spark, "versions")
+    versions.begin(spark, root, {"files": files, "chunks": chunks, "embeddings": vectors})
+    fresh = F.col("file_id") % 20 == 3
+    new = {"files": files.where(fresh).withColumn("mark", F.lit("new")), "chunks": chunks.where(fresh).withColumn("mark", F.lit("new")), "embeddings": vectors.where("false")}
+    changed = files.where("file_id % 10 = 3").select("file_id").unionByName(vectors.where("file_id % 10 = 3").select("file_id"))
+    now = versions.replace(spark, root, new, changed)
+    out = None
+    for name, key in (("files", "file_id"), ("chunks", "chunk_id"), ("embeddings", "file_id")):
+        rows = versions.read(spark, root, name, now)
+        one = rows.agg(F.count("*").alias("n"), F.count_if(F.col("mark") == "new").alias("fresh"), F.sum(key).alias("total"), F.min("mark").alias("least")).select(F.lit(name).alias("kind"), "n", "fresh", "total", "least")
+        out = one if out is None else out.unionByName(one)
+    return out
