@@ -289,3 +289,24 @@ def layers(items: DataFrame, needs: DataFrame) -> DataFrame:
         k += 1
     rest = left.withColumn("layer", F.lit(None).cast("int"))
     return rest if done is None else done.unionByName(rest)
+
+
+def planned(items: DataFrame, needs: DataFrame) -> DataFrame:
+    """(item, state, reason, layer, batch) of pending items: ready, waiting or blocked, the layer in which they can run, and what runs together there.
+
+    ``items`` has (item, status, parallel, batch), ``needs`` (item, needs).  Needs that are done, under way or blocked hold
+    nothing up; a need that is no item blocks (``missing_need``), and so does a cycle (``cycle``).  Items of a layer that may run
+    in parallel run with those of their batch, or alone without one; all others run alone.
+    """
+    pending = items.where("status = 'pending'")
+    own = needs.select("item", "needs").distinct().join(pending.select("item"), "item", "left_semi")
+    lost = settled(own.join(items.select(F.col("item").alias("needs")), "needs", "left_anti").select("item").distinct())
+    able = settled(pending.join(lost, "item", "left_anti"))
+    open_ = own.join(able.select("item"), "item", "left_semi").join(able.select(F.col("item").alias("needs")), "needs", "left_semi")
+    placed = layers(able.select("item"), open_)
+    batch = F.when(F.col("parallel"), F.coalesce("batch", F.concat(F.lit("solo:"), "item"))).otherwise(F.concat(F.lit("serial:"), "item"))
+    free = able.withColumn("batch", batch).select("item", "batch").join(placed, "item")
+    state = F.when(F.col("layer").isNull(), "blocked").when(F.col("layer") == 0, "ready").otherwise("waiting")
+    out = free.select("item", state.alias("state"), F.when(F.col("layer").isNull(), "cycle").alias("reason"), "layer", F.when(F.col("layer").isNotNull(), F.col("batch")).alias("batch"))
+    none = F.lit(None)
+    return out.unionByName(lost.select("item", F.lit("blocked").alias("state"), F.lit("missing_need").alias("reason"), none.cast("int").alias("layer"), none.cast("string").alias("batch")))

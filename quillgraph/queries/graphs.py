@@ -258,13 +258,37 @@ SELECT item, max(k) AS layer FROM depth GROUP BY item UNION ALL SELECT DISTINCT
 def work_layers(spark: SparkSession, d: str) -> DataFrame:
     """Orders that wait for others: chains, cycles of two, and needs that are not there."""
     items = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("item"))
+    return graph.layers(items, order_needs(items))
+
+
+def order_needs(items: DataFrame) -> DataFrame:
     k = F.col("item")
-    needs = (
+    return (
         items.where((k % 2 == 0) & (k >= 6)).select("item", F.floor(k / 3).alias("needs"))
         .unionByName(items.where((k % 97).isin(0, 1) & (k > 1)).select("item", F.when(k % 97 == 0, k + 1).otherwise(k - 1).alias("needs")))
         .unionByName(items.where(k % 101 == 0).select("item", (-k).alias("needs")))
     )
-    return graph.layers(items, needs)
+
+
+@query("""
+WITH RECURSIVE items AS (SELECT o_orderkey AS item, CASE WHEN o_orderkey % 5 = 0 THEN 'done' WHEN o_orderkey % 7 = 0 THEN 'in_progress' ELSE 'pending' END AS status FROM orders), needs AS (
+    SELECT item, item // 3 AS needs FROM items WHERE item % 2 = 0 AND item >= 6
+    UNION SELECT item, CASE WHEN item % 97 = 0 THEN item + 1 ELSE item - 1 END FROM items WHERE item % 97 IN (0, 1) AND item > 1
+    UNION SELECT item, -item FROM items WHERE item % 101 = 0),
+lost AS (SELECT DISTINCT n.item FROM needs n JOIN items i ON n.item = i.item AND i.status = 'pending' WHERE n.needs NOT IN (SELECT item FROM items)),
+able AS (SELECT item FROM items WHERE status = 'pending' AND item NOT IN (SELECT item FROM lost)),
+free AS (SELECT * FROM needs WHERE item IN (SELECT item FROM able) AND needs IN (SELECT item FROM able)),
+stuck(item) AS (SELECT a.item FROM free a JOIN free b ON a.needs = b.item AND b.needs = a.item UNION SELECT n.item FROM stuck s JOIN free n ON n.needs = s.item),
+depth(item, k) AS (SELECT item, 0 FROM able WHERE item NOT IN (SELECT item FROM stuck) UNION SELECT n.item, d.k + 1 FROM depth d JOIN free n ON n.needs = d.item WHERE n.item NOT IN (SELECT item FROM stuck)),
+placed AS (SELECT item, max(k) AS layer FROM depth GROUP BY item)
+SELECT item, CASE WHEN layer = 0 THEN 'ready' ELSE 'waiting' END AS state, NULL AS reason, layer, CASE WHEN item % 4 = 0 THEN 'serial:' || item WHEN item % 4 = 1 THEN 'solo:' || item ELSE 'batch' || (item % 10) END AS batch FROM placed
+UNION ALL SELECT DISTINCT item, 'blocked', 'cycle', NULL, NULL FROM stuck UNION ALL SELECT item, 'blocked', 'missing_need', NULL, NULL FROM lost""")
+def work_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as work items: some are done or under way, a quarter runs alone, a quarter has no batch."""
+    k = F.col("o_orderkey")
+    status = F.when(k % 5 == 0, "done").when(k % 7 == 0, "in_progress").otherwise("pending")
+    items = v.table(spark, d, "orders").select(k.alias("item"), status.alias("status"), (k % 4 != 0).alias("parallel"), F.when(k % 4 != 1, F.concat(F.lit("batch"), k % 10)).alias("batch"))
+    return graph.planned(items, order_needs(items.select("item")))
 
 
 @query(v.with_(v.EDGES_SQL, v.FILES_SQL) + """
