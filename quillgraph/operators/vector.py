@@ -52,17 +52,18 @@ def search(vectors: DataFrame, question: list[float], dimensions: int, k: int, m
 def batch_scan(vectors: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id", block: int = 1000) -> DataFrame:
     """(question_id, key, score, rank): the exact k best for each question (question_id, vector).
 
-    Questions go to all tasks in blocks of so many; a block is one pass over the vectors
-    with a partial top-k, so vectors are never shuffled.
+    Questions go to all tasks in blocks of so many at most; a block is one pass over the vectors
+    with a partial top-k, so vectors are never shuffled.  Rows that repeat an id are one question.
     """
-    asked = settled(questions.select("question_id", F.col("vector").alias("__q")))
+    asked = settled(questions.select("question_id", F.col("vector").alias("__q")).dropDuplicates(["question_id"]))
     blocks = max(1, -(-asked.count() // block))
-    # blocks of even size: the rank of a hash, not the hash, says where a question belongs
-    order = Window.orderBy(F.xxhash64("question_id"), "question_id")
-    placed = settled(asked.select("question_id").withColumn("block", ((F.row_number().over(order) - 1) / block).cast("int"))) if blocks > 1 else None
+    place = lambda n: F.pmod(F.xxhash64("question_id"), F.lit(n)).cast("int")
+    # a hash deals the questions out; more blocks until none holds more than ``block``
+    while blocks > 1 and asked.groupBy(place(blocks).alias("block")).count().agg(F.max("count")).first()[0] > block:
+        blocks += -(-blocks // 4)
     out = None
     for at in range(blocks):
-        own = asked if placed is None else asked.join(F.broadcast(placed.where(F.col("block") == at).drop("block")), "question_id")
+        own = asked.where(place(blocks) == at)
         # at most ``block`` rows
         scored = vectors.join(F.broadcast(own), F.lit(True)).where(F.col(key) != F.col("question_id")).select("question_id", key, F.round(cosine(F.col("vector"), F.col("__q")), 6).alias("score"))
         w = Window.partitionBy("question_id").orderBy(F.desc("score"), key)
