@@ -175,11 +175,21 @@ class Shard:
 _ROW = {"term": pa.string(), "df": pa.int64(), "docs": pa.binary(), "impacts": pa.binary(), "ends": pa.binary(), "tops": pa.binary()}
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a task have a term, and how many terms they have."""
+    n = total = 0
+    for batch in batches:
+        for t in batch.column(0):
+            many = len(terms(t.as_py()))
+            n, total = n + (many > 0), total + many
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["n", "total"])
+
+
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text", wanted: list[str] | None = None) -> Index:
     """The stored index of (key, text) rows: of all terms, or of the wanted ones."""
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    sizes = own.select(F.regexp_count("text", F.lit(TERM)).cast("long").alias("n")).where("n > 0").agg(F.count("*").alias("n"), F.sum("n").alias("total")).first()
-    n, total = sizes["n"], sizes["total"] or 0
+    sizes = own.select("text").mapInArrow(lean(_counted), "n long, total long").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    n, total = sizes["n"] or 0, sizes["total"] or 0
     only = None if wanted is None else {w.encode() for w in wanted}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
