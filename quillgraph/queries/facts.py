@@ -249,9 +249,9 @@ def session_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT 'c' || conv_id || '.' || turn AS id, CASE WHEN turn % 3 = 0 THEN '[REDACTED_SECRET]' ELSE v END AS secret, CASE WHEN regexp_matches(text, '(?i)bearer\s+[a-z0-9._:-]+|sk-[a-z0-9._:-]+') THEN '[REDACTED_SECRET]' ELSE '[REDACTED_COMMAND]' END AS command,
+SELECT 'c' || conv_id || '.' || turn AS id, CASE WHEN turn % 3 = 0 THEN '[REDACTED_SECRET]' ELSE v END AS secret, CASE WHEN regexp_matches(text, '(?i)bearer\\s+[a-z0-9._:-]+|sk-[a-z0-9._:-]+') THEN '[REDACTED_SECRET]' ELSE '[REDACTED_COMMAND]' END AS command,
 v AS plain, CASE WHEN regexp_matches(role, '^(user|a)') THEN '[REDACTED_PATH]' ELSE '/work/' || role END AS path, CAST(turn AS VARCHAR) AS n
-FROM (SELECT *, CASE WHEN regexp_matches(text, '(?i)bearer\s+[a-z0-9._:-]+|sk-[a-z0-9._:-]+') THEN '[REDACTED_SECRET]' ELSE sha256(text) END AS v FROM conversations)""")
+FROM (SELECT *, CASE WHEN regexp_matches(text, '(?i)bearer\\s+[a-z0-9._:-]+|sk-[a-z0-9._:-]+') THEN '[REDACTED_SECRET]' ELSE sha256(text) END AS v FROM conversations)""")
 def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every turn as a document with lists in lists: secrets by key and by value, commands, paths, numbers."""
     key = F.when(F.col("turn") % 3 == 0, "authToken").otherwise("note")
