@@ -30,6 +30,16 @@ def test_published_hashes(spark):
     assert contenthash.blake3_hashes(rows.where("false")).count() == 0
 
 
+def test_blake3_of_many_texts_together(monkeypatch):
+    """Many small texts take as many array steps as one large one, not so many each."""
+    texts = [bytes([k % 251]) * (37 * k) for k in range(200)]
+    alone = [blake3.digest(x) for x in texts]
+    calls, compress = [], blake3.compress
+    monkeypatch.setattr(blake3, "compress", lambda *a: calls.append(1) or compress(*a))
+    assert blake3.digests(texts) == alone
+    assert len(calls) <= 16 + 3
+
+
 def test_hashes_of_documents(spark, sf):
     from quillgraph.queries import workspace
 
