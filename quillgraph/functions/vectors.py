@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,14 +36,23 @@ def unit(a: Column) -> Column:
 
 
 def seeded_vector(text: Column, dimensions: int) -> Column:
-    """A deterministic unit vector of a text: a 32-bit rolling hash seeds a linear congruence."""
-    wrap = lambda x: F.pmod(x, F.lit(1 << 32))
-    letters = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
-    seed = F.aggregate(letters, F.lit(0).cast("bigint"), lambda h, c: wrap(h * 31 + F.ascii(c)))
-    steps = F.sequence(F.lit(1), F.lit(dimensions))
-    states = F.aggregate(
-        steps,
-        F.struct(seed.alias("s"), F.array().cast("array<double>").alias("v")),
-        lambda a, _: F.struct(wrap(a["s"] * 1664525 + 1013904223).alias("s"), F.concat(a["v"], F.array(wrap(a["s"] * 1664525 + 1013904223) / F.lit(2.0**32 - 1) * 2 - 1)).alias("v")),
-    )
-    return unit(states["v"])
+    """A deterministic unit vector of a text: a 32-bit rolling hash of its characters seeds a linear congruence; null counts as empty."""
+
+    @F.pandas_udf("array<double>")
+    def made(column: pd.Series) -> pd.Series:
+        size = column.str.len().to_numpy(np.int64)
+        letters = np.frombuffer("".join(column).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+        ends = np.cumsum(size)
+        # the hash is a polynomial in 31 modulo 2**32
+        powers = np.cumprod(np.append(np.uint32(1), np.full(int(size.max(initial=0)), 31, np.uint32)), dtype=np.uint32)
+        sums = np.append(np.uint32(0), np.cumsum(letters * powers[np.repeat(ends, size) - 1 - np.arange(len(letters))], dtype=np.uint32))
+        state = (sums[ends] - sums[ends - size]).astype(np.uint64)
+        out, total = np.empty((len(size), dimensions)), np.zeros(len(size))
+        for k in range(dimensions):
+            state = (state * np.uint64(1664525) + np.uint64(1013904223)) & np.uint64(0xFFFFFFFF)
+            out[:, k] = state / (2.0**32 - 1) * 2 - 1
+            total += out[:, k] * out[:, k]
+        length = np.sqrt(total)
+        return pd.Series((out / np.where(length > 0, length, 1.0)[:, None]).tolist())
+
+    return made(F.coalesce(text, F.lit("")))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.vectors import cosine, seeded_vector
-from quillgraph.storage import settled
+from quillgraph.functions.vectors import cosine, norm, seeded_vector
+from quillgraph.storage import settled, spread
 
 
 def exact_scan(vectors: DataFrame, question: list[float], k: int, min_score: float = -1.0, key: str = "chunk_id") -> DataFrame:
@@ -49,28 +52,151 @@ def search(vectors: DataFrame, question: list[float], dimensions: int, k: int, m
     return exact_scan(vectors, question, k, min_score, key)
 
 
-def batch_scan(vectors: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id", block: int = 1000) -> DataFrame:
-    """(question_id, key, score, rank): the exact k best for each question (question_id, vector).
+#: Questions that go to all tasks at once, and vectors that are multiplied with them together.
+BLOCK, TILE = 4096, 512
+
 
-    Questions go to all tasks in blocks of so many at most; a block is one pass over the vectors
-    with a partial top-k, so vectors are never shuffled.  Rows that repeat an id are one question.
+def best_in_tasks(vectors: DataFrame, asked: DataFrame, k: int, key: str, size: int, how: dict | None = None) -> DataFrame:
+    """(question_id, key, score): of each task those that can be among the k best for one of at most BLOCK questions (question_id, __q).
+
+    All vectors are finite, of one size and no zeros.  Tiles of vectors are multiplied with the questions as matrices; only
+    what reaches a question's k-th rounded score leaves the task, so neither vectors nor pairs are shuffled.  With ``how``,
+    the arguments of ``buckets``, only pairs that share a bucket count.
+    """
+    # at most BLOCK rows
+    block = asked.collect()
+    names = np.array([r["question_id"] for r in block], np.int64)
+    matrix = np.array([r["__q"] for r in block], float).reshape(len(block), size)
+    matrix /= np.sqrt((matrix**2).sum(axis=1, keepdims=True))
+    tile, hashed = TILE, how is not None
+    tables, planes, normal, looks = 0, 0, None, None
+    if hashed:
+        tables, planes = how.get("tables", 8), how.get("planes", 10)
+        normal = normals(size, tables, planes, how.get("seed", 5))
+        looks = np.zeros((tables, 1 << planes, len(block)), bool)
+        own = probed(matrix @ normal.T, tables, planes, how.get("probes", 1))
+        for t in range(tables):
+            looks[t, own[:, t].ravel(), np.repeat(np.arange(len(block)), own.shape[2])] = True
+    kind = vectors.schema[key].dataType.simpleString()
+    types = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
+    out_type = types[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(names)
+        least, last = np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max)  # the k-th: its rounded score in millionths, its key
+        q, ids, x = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+        def cut() -> None:
+            """Only what can be among the k best stays; scores so near to a half that rounding may go either way count as both."""
+            nonlocal q, ids, x
+            low, high = np.ceil(x * 1e6 - 0.5 - 1e-6), np.floor(x * 1e6 + 0.5 + 1e-6)
+            order = np.lexsort((ids, -low, q))
+            first = np.flatnonzero(np.diff(q[order], prepend=-1))
+            at = first + k - 1
+            full = at < np.append(first[1:], len(order))
+            kth = order[at[full]]
+            least[q[kth]], last[q[kth]] = low[kth], ids[kth]
+            stay = (high > least[q]) | ((high == least[q]) & (ids <= last[q]))
+            q, ids, x = q[stay], ids[stay], x[stay]
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            grid = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), -1)
+            order = np.argsort(keys, kind="stable")
+            keys, grid = keys[order], grid[order]
+            grid = grid / np.sqrt((grid**2).sum(axis=1, keepdims=True))
+            for at in range(0, len(keys), tile):
+                part, own = grid[at : at + tile], keys[at : at + tile]
+                scores = part @ matrix.T
+                good = scores >= (least - 0.5 - 1e-5) / 1e6
+                good &= own[:, None] != names
+                if hashed:
+                    side = (part @ normal.T).reshape(len(part), tables, planes)
+                    codes = ((side >= 0) << np.arange(planes)).sum(axis=2)
+                    shared = looks[0, codes[:, 0]]
+                    for t in range(1, tables):
+                        shared |= looks[t, codes[:, t]]
+                    good &= shared
+                row, col = np.nonzero(good)
+                value = scores[row, col]
+                high = np.floor(value * 1e6 + 0.5 + 1e-6)
+                stay = (high > least[col]) | ((high == least[col]) & (own[row] <= last[col]))
+                q, ids, x = np.append(q, col[stay]), np.append(ids, own[row[stay]]), np.append(x, value[stay])
+                if len(q) > 2 * k * n + 10_000 or not np.isfinite(least).any():
+                    cut()
+        if len(q):
+            cut()
+        yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(ids).cast(out_type), pa.array(x, pa.float64())], names=["question_id", key, "score"])
+
+    return vectors.select(key, "vector").mapInArrow(run, f"question_id long, {key} {kind}, score double")
+
+
+def ranked_pairs(vectors: DataFrame, questions: DataFrame, k: int, key: str, size: int | None, pairs: Callable[[DataFrame, DataFrame], DataFrame], how: dict | None = None, block: int = BLOCK) -> DataFrame:
+    """(question_id, key, score, rank) of the k best for each question: regular vectors in tiles, ``pairs`` for the rest.
+
+    Rows that repeat an id are one question.  Vectors that are null, hold nulls or no finite number, are zero or of
+    another size than most questions, and keys that are no integers, are scored pair by pair with native expressions.
     """
     asked = settled(questions.select("question_id", F.col("vector").alias("__q")).dropDuplicates(["question_id"]))
-    blocks = max(1, -(-asked.count() // block))
-    place = lambda n: F.pmod(F.xxhash64("question_id"), F.lit(n)).cast("int")
+    if size is None:
+        common = asked.groupBy(F.size("__q").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        size = common["n"] if common else 0
+    whole = all(df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for df, c in ((vectors, key), (asked, "question_id")))
+    sound = lambda c: F.coalesce((F.size(c) == size) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e100)) & (norm(F.col(c)) > 1e-100), F.lit(False)) if whole and size and size > 0 else F.lit(False)
+    good, odd = asked.where(sound("__q") & F.col("question_id").isNotNull()), asked.where(~sound("__q") | F.col("question_id").isNull())
+    own, strange = vectors.where(sound("vector") & F.col(key).isNotNull()), vectors.where(~sound("vector") | F.col(key).isNull())
+    type_ = asked.schema["question_id"].dataType
+    scored = lambda rows: rows.select(F.col("question_id").cast(type_).alias("question_id"), key, F.round("score", 6).alias("score"))
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), key)
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found, n = [], good.count()
+    blocks = max(1, -(-n // block))
+    place = lambda m: F.pmod(F.xxhash64("question_id"), F.lit(m)).cast("int")
     # a hash deals the questions out; more blocks until none holds more than ``block``
-    while blocks > 1 and asked.groupBy(place(blocks).alias("block")).count().agg(F.max("count")).first()[0] > block:
+    while blocks > 1 and good.groupBy(place(blocks).alias("block")).count().agg(F.max("count")).first()[0] > block:
         blocks += -(-blocks // 4)
-    out = None
-    for at in range(blocks):
-        own = asked.where(place(blocks) == at)
-        # at most ``block`` rows
-        scored = vectors.join(F.broadcast(own), F.lit(True)).where(F.col(key) != F.col("question_id")).select("question_id", key, F.round(cosine(F.col("vector"), F.col("__q")), 6).alias("score"))
-        w = Window.partitionBy("question_id").orderBy(F.desc("score"), key)
-        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        best = best if blocks == 1 else settled(best)
-        out = best if out is None else out.unionByName(best)
-    return out
+    if n and k > 0:
+        for at in range(blocks):
+            best = scored(best_in_tasks(spread(own), good.where(place(blocks) == at), k, key, size, how))
+            found.append(best if blocks == 1 else settled(top(best).drop("rank")))
+    if not strange.isEmpty():
+        found.append(pairs(strange, asked))
+    if not odd.isEmpty():
+        found.append(pairs(own, odd))
+    if not found:
+        found.append(pairs(own, asked))
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return top(out)
+
+
+def batch_scan(vectors: DataFrame, questions: DataFrame, k: int, key: str = "chunk_id", block: int = BLOCK) -> DataFrame:
+    """(question_id, key, score, rank): the exact k best for each question (question_id, vector), itself left out; ties by key.
+
+    Questions go to all tasks in blocks of so many at most; a block is one pass over the vectors, which are never shuffled.
+    """
+
+    def pairs(some: DataFrame, asked: DataFrame) -> DataFrame:
+        met = some.join(asked, F.col(key) != F.col("question_id"))
+        return met.select("question_id", key, F.round(cosine(F.col("vector"), F.col("__q")), 6).alias("score"))
+
+    return ranked_pairs(vectors, questions, k, key, None, pairs, block=block)
+
+
+def normals(dimensions: int, tables: int, planes: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((tables * planes, dimensions))
+
+
+def probed(sides: np.ndarray, tables: int, planes: int, probes: int) -> np.ndarray:
+    """[n, tables, probes]: the bucket of each vector in each table, and the nearest others."""
+    side = sides.reshape(len(sides), tables, planes)
+    codes = ((side >= 0) << np.arange(planes)).sum(axis=2)[:, :, None]
+    if probes <= 1:
+        return codes
+    flips = np.arange(1 << planes)
+    cost = (side**2) @ ((flips[:, None] >> np.arange(planes)) & 1).T
+    return codes ^ np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
 
 
 def buckets(vectors: DataFrame, dimensions: int, tables: int = 8, planes: int = 10, probes: int = 1, seed: int = 5) -> DataFrame:
@@ -101,12 +227,14 @@ def candidates(vectors: DataFrame, questions: DataFrame, dimensions: int, key: s
 
 
 def bucketed_search(vectors: DataFrame, questions: DataFrame, dimensions: int, k: int, key: str = "chunk_id", **how: int) -> DataFrame:
-    """Approximate top-k: candidates share a bucket with the question, then are ranked exactly."""
-    pairs = candidates(vectors, questions, dimensions, key, **how)
-    scored = pairs.join(questions.select("question_id", F.col("vector").alias("__q")), "question_id").join(vectors.select(key, "vector"), key)
-    scored = scored.select("question_id", key, F.round(cosine(F.col("vector"), F.col("__q")), 6).alias("score"))
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Approximate top-k: candidates share a bucket with the question, then are ranked exactly; buckets meet inside the tasks, so pairs are never rows."""
+
+    def pairs(some: DataFrame, asked: DataFrame) -> DataFrame:
+        own = candidates(some, asked.withColumnRenamed("__q", "vector"), dimensions, key, **how)
+        met = own.join(asked, "question_id").join(some.select(key, "vector"), key)
+        return met.select("question_id", key, F.round(cosine(F.col("vector"), F.col("__q")), 6).alias("score"))
+
+    return ranked_pairs(vectors, questions, k, key, dimensions, pairs, how)
 
 
 def missing(chunks: DataFrame, embeddings: DataFrame, model: str, dimensions: int) -> DataFrame:
@@ -117,7 +245,7 @@ def missing(chunks: DataFrame, embeddings: DataFrame, model: str, dimensions: in
 
 def embed(chunks: DataFrame, model: str, dimensions: int) -> DataFrame:
     """Vectors of chunks by the deterministic stand-in for a provider."""
-    return chunks.select("chunk_id", F.lit(model).alias("model"), F.lit(dimensions).alias("dimensions"), "content_hash", seeded_vector(F.col("content"), dimensions).alias("vector"))
+    return spread(chunks).select("chunk_id", F.lit(model).alias("model"), F.lit(dimensions).alias("dimensions"), "content_hash", seeded_vector(F.col("content"), dimensions).alias("vector"))
 
 
 def batches(chunks: DataFrame, size: int = 96, text: str = "content", key: str = "chunk_id") -> DataFrame:

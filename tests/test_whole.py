@@ -210,3 +210,27 @@ def test_scopes_of_python_and_imports_of_go(spark):
     named = {r.qualified_name: (r.kind, r.line_start, r.line_end, r.exported) for r in extract.scoped_symbols(files).collect()}
     assert named == {"A": ("class", 2, 10, True), "A.top": ("method", 6, 8, True), "A.top.inner": ("function", 7, 7, True), "A.C": ("class", 9, 10, True), "A.C.go": ("method", 10, 10, True), "_main": ("function", 11, 12, False)}
     assert [r.specifier for r in extract.imports(files).where("file_id = 2").orderBy("line").collect()] == ["one", "two/x", "three", "six"]
+
+
+def test_tiles_equal_pairs(spark, monkeypatch):
+    """Copies, zeros, nulls and other sizes: the tiles give what native expressions give pair by pair, and no pair is a row of the plan."""
+    rng = random.Random(5)
+    rows = [(k, [float(rng.choice([-2, -1, 0, 1, 3])) for _ in range(3)]) for k in range(120)]
+    rows += [(200, None), (201, [1.0]), (202, [0.0, 0.0, 0.0]), (203, [1.0, None, 2.0]), (204, [])]
+    df = spark.createDataFrame(rows, "chunk_id bigint, vector array<float>").repartition(3)
+    asked = df.where("chunk_id % 10 = 0 or chunk_id > 199").withColumnRenamed("chunk_id", "question_id")
+    pairs = df.join(asked.withColumnRenamed("vector", "q"), F.col("chunk_id") != F.col("question_id")).select("question_id", "chunk_id", F.round(vector.cosine(F.col("vector"), F.col("q")), 6).alias("score"))
+    want = {}
+    for r in pairs.collect():
+        want.setdefault(r.question_id, []).append((r.score is None, -(r.score or 0.0), r.chunk_id))
+    monkeypatch.setattr(vector, "TILE", 7)
+    out = vector.batch_scan(df, asked, 6)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.question_id, []).append((r["rank"], r.chunk_id))
+    assert {q: [c for _, c in sorted(v)] for q, v in got.items()} == {q: [c for *_, c in sorted(v)[:6]] for q, v in want.items()}
+    sound = df.where("size(vector) = 3 and chunk_id < 120 and vector != array(0f, 0f, 0f)")
+    plan = vector.batch_scan(sound, sound.where("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "question_id"), 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+    near = vector.bucketed_search(sound, sound.where("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "question_id"), 3, 6, tables=4, planes=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in near
