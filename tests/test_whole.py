@@ -234,3 +234,19 @@ def test_tiles_equal_pairs(spark, monkeypatch):
     assert "Join" not in plan and "MapInArrow" in plan
     near = vector.bucketed_search(sound, sound.where("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "question_id"), 3, 6, tables=4, planes=3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in near
+
+
+def test_ledgers_and_evidence_are_dealt_by_question(spark, monkeypatch):
+    """What a task sorts is bounded: rows go by question to as many tasks as their number asks for."""
+    from quillgraph import storage
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 50)
+    rows = spark.range(2000).selectExpr("id % 40 AS question_id", "concat('p', id % 9) AS path", "1 AS line_start", "2 AS line_end", "'s' AS source", "cast(id % 7 AS double) AS score", "id AS order")
+    kept, told = evidence.ledger(rows, "small")
+    assert "RepartitionByExpression [question_id" in kept._jdf.queryExecution().optimizedPlan().toString() and kept.rdd.getNumPartitions() == 40
+    assert {(r.question_id, r.entries) for r in told.collect()} == {(q, 4) for q in range(40)}
+    asks = spark.range(40).selectExpr("id AS question_id", "'explain' AS intent", "cast(null AS string) AS unsupported", "1 AS targets")
+    met = evidence.target_candidates(spark.range(40).selectExpr("id AS question_id", "0 AS target_seq", "'hot' AS target"), [("query", spark.range(50).selectExpr("'hot' AS target", "id AS row_seq", "concat('k', id) AS key", "0.5 AS score", "'partial' AS confidence"))])
+    made, states = evidence.built(asks, met, 5, 8)
+    assert made.rdd.getNumPartitions() == 40
+    assert {tuple(r) for r in states.collect()} == {(q, "partial", 40) for q in range(40)}
