@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 from quillgraph.functions.lexer import tokens
 from quillgraph.functions.syntax import facts
 from quillgraph.operators import extract
@@ -81,3 +82,27 @@ def test_any_text_is_read(spark):
         for k in range(len(odd)):
             assert facts(odd[:k], language, ALL)[-1]["fact"] == "status"
             assert all(t.text == odd[t.start : t.end] or t.kind == "s" for t in tokens(odd[:k], language).all)
+
+
+def test_copies_share_a_walk(spark, monkeypatch):
+    """Of equal texts in equal languages one is walked a task, and each file has all facts; little is remembered."""
+    from quillgraph.functions import syntax
+    from quillgraph.operators import extract
+
+    text = "import { a } from './b'\nexport const c = a(1)\n"
+    rows = [(k, ("typescript", "python")[k % 2], text if k % 3 else f"import d{k}\n") for k in range(60)]
+    files = spark.createDataFrame(rows, "file_id long, language string, content string").coalesce(1)
+    want = {(k, f["name"], f["line"]) for k, language, t in rows for f in syntax.facts(t, language, frozenset(["reference"]))}
+    for held in (4_000_000, 1):
+        monkeypatch.setattr(extract, "SAME_HELD", held)
+        assert {(r.file_id, r.name, r.line) for r in extract.references(files).collect()} == want
+    calls, walk = [], syntax.facts
+    monkeypatch.setattr(extract, "SAME_HELD", 4_000_000)
+    monkeypatch.setattr(syntax, "facts", lambda *a: calls.append(1) or walk(*a))
+    monkeypatch.setattr(extract, "spread", lambda df: df)
+    runs = []
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, f, schema, *a: runs.append(f) or self.limit(0).selectExpr(*[f"cast(null as {c.rsplit(' ', 1)[1]}) as {c.split(' ')[0]}" for c in schema.split(", ")]))
+    extract.facts(files, "reference")
+    batch = pa.RecordBatch.from_pydict({"file_id": [1, 2, 3], "language": ["typescript"] * 3, "content": [text] * 3})
+    out = list(runs[0](iter([batch])))
+    assert len(calls) == 1 and {i for b in out for i in b.column(0).to_pylist()} == {1, 2, 3}
