@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import langid, minhash, packing, quality
-from quillgraph.llm.common import observed, ship, stored, table
+from quillgraph.llm.common import observed, relieved, ship, stored, table
 from quillgraph.llm.queries import END_ID, GOOD_AT, WORD_BPE, vocabulary
 
 #: A text of at least so many bytes that costs more bits a byte under its best language is in none of them: clean
@@ -38,6 +38,7 @@ def where(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame], keep: C
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that are in one of the languages that the table names."""
     ship(spark)
+    relieved(spark)
     model = langid.fit(docs)
     known = F.col("lang_pred") != langid.UNDETERMINED
     told = (F.col("bits_per_byte") <= FOREIGN_BITS) | (F.col("n_bytes") < FOREIGN_BYTES)
@@ -47,6 +48,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a quality score of at least 0.3."""
     ship(spark)
+    relieved(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return where(docs, lambda rows, text: quality.score(rows, model, text), F.col("score") >= GOOD_AT)
 
@@ -54,6 +56,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near-duplicates, the one of least id."""
     ship(spark)
+    relieved(spark)
     kept = minhash.classes(docs.select("doc_id", "text")).where("kept").groupBy("doc_id", "node").agg(F.count("*").alias("k"))
     own, told = observed(kept.select(F.col("doc_id").alias("__id"), F.col("node").alias("__keep"), "k"), "kept", {"most": F.max("k")})
     rows = docs.toDF(*[f"__in{k}" for k in range(len(docs.columns))])
@@ -68,6 +71,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
     ship(spark)
+    relieved(spark)
     return packing.pack_texts(docs.select("doc_id", "text"), vocabulary(WORD_BPE), END_ID, keep_ids=False)
 
 

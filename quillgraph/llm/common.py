@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import unicodedata
@@ -93,6 +94,16 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return task
 
 
+def relieved(spark: SparkSession) -> None:
+    """Give back what the driver still holds of earlier jobs: plans, broadcasts and results that nothing refers to, and freed buffers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # where the C library has it
+        trim(0)
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 class Kept(dict):
     """Remembers what ``make`` gives for short keys: the latest ``most``, and those before them until the next clearance."""
 
