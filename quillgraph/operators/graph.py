@@ -4,7 +4,9 @@ A node is a (kind, id) pair and always joined as such.  Loops run hop by hop: th
 frontier joins the edges, what was seen before is removed by an anti-join, and the
 result of a hop is checkpointed, so a walk never grows with the number of paths and a
 lost executor costs one hop.  Every seed keeps its own visited set, so a batch of seeds
-is one job.
+is one job.  The steps of a walk are stored once as lists of neighbours, which are
+shuffled whole and opened where their nodes are compared; the last hop of a walk, which
+is most of it, is neither checkpointed nor sorted.
 """
 
 from __future__ import annotations
@@ -14,11 +16,15 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.storage import settled
+from quillgraph.storage import many, settled, written
 
 NODE = ["node_kind", "node_id"]
 #: After so many hops what was seen is written into one table.
 REWRITE = 16
+#: Neighbours in a list at most.
+LIST = 1024
+#: Nodes met by a seed in a hop, repeats included, that are compared as one array at most.
+ARRAY = 500_000
 
 
 def hydrated(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -48,18 +54,50 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     return out.unionByName(back) if direction == "both" else out.where(F.lit(False))
 
 
+def adjacency(edges: DataFrame, direction: str) -> DataFrame:
+    """(a_kind, a_id, b_kind, b_ids): the different nodes one step from each node in lists of ``LIST`` at most, stored."""
+    steps = directed(edges, direction).select("a_kind", "a_id", "b_kind", "b_id").where("a_kind is not null and a_id is not null")
+    # ids go first: rows are sorted by numbers, and by names of kinds only where these are equal
+    w = Window.partitionBy("a_id", "a_kind").orderBy("b_id", "b_kind")
+    again = F.col("b_id").eqNullSafe(F.lag("b_id").over(w)) & F.col("b_kind").eqNullSafe(F.lag("b_kind").over(w)) & (F.row_number().over(w) > 1)
+    own = steps.repartition("a_id", "a_kind").withColumn("again", again).withColumn("part", F.when(F.col("b_id").isNotNull(), F.floor(F.row_number().over(w) / LIST)))
+    lists = own.where(~F.col("again")).groupBy("a_id", "a_kind", "b_kind", "part").agg(F.collect_list("b_id").alias("b_ids"))
+    # a null id is a node too, which no list collects
+    ids = F.when(F.col("part").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.col("b_ids"))
+    return written(lists.select("a_kind", "a_id", "b_kind", ids.alias("b_ids")), "steps")
+
+
+def opened(rows: DataFrame, owner: str, by_owner: bool) -> DataFrame:
+    """Rows with a list of nodes (node_kind, ids) as one row a node.
+
+    By owner, lists are shuffled whole to a task that gets all of an owner, where later groups by owner and node are made;
+    with few owners they are opened first, so that the nodes of one are dealt over all tasks.
+    """
+    rows = rows.repartition(owner) if by_owner else rows
+    return rows.withColumn("node_id", F.explode("ids")).drop("ids")
+
+
+def met_lists(front: DataFrame, steps: DataFrame, *columns: str) -> DataFrame:
+    """Lists of nodes (node_kind, ids) one step from a front, with columns of the front."""
+    met = front.join(steps, (F.col("node_id") == F.col("a_id")) & (F.col("node_kind") == F.col("a_kind")))
+    return met.select(*columns, F.col("b_kind").alias("node_kind"), F.col("b_ids").alias("ids"))
+
+
 def frontier(edges: DataFrame, seeds: DataFrame, max_hops: int | None, direction: str = "outgoing") -> DataFrame:
     """(seed, node_kind, node_id, depth): nodes within ``max_hops`` (None: any number) of each seed with their least depth, the seed at 0.
 
-    ``seeds`` has (seed, node_kind, node_id).  Stops when a hop finds nothing new.
+    ``seeds`` has (seed, node_kind, node_id).  Stops when a hop finds nothing new.  The
+    last of a given number of hops is not stored: it is computed where the rows are read.
     """
-    steps = directed(edges, direction).select("a_kind", "a_id", "b_kind", "b_id").distinct()
+    steps = adjacency(edges, direction)
     seen = settled(seeds.select("seed", *NODE).distinct().withColumn("depth", F.lit(0)))
+    by_owner = many(seen.sparkSession, seen.select("seed").distinct().count())
     front = seen
     for hop in count(1) if max_hops is None else range(1, max_hops + 1):
-        met = front.join(steps, (F.col("node_kind") == F.col("a_kind")) & (F.col("node_id") == F.col("a_id")))
-        new = met.select("seed", F.col("b_kind").alias("node_kind"), F.col("b_id").alias("node_id")).distinct()
-        front = settled(new.join(seen.select("seed", *NODE), ["seed", *NODE], "left_anti").withColumn("depth", F.lit(hop)))
+        new = unseen(met_lists(front, steps, "seed"), seen, by_owner).withColumn("depth", F.lit(hop))
+        if hop == max_hops:
+            return seen.unionByName(new)
+        front = settled(new)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -68,6 +106,22 @@ def frontier(edges: DataFrame, seeds: DataFrame, max_hops: int | None, direction
     return seen
 
 
+def unseen(near: DataFrame, seen: DataFrame, by_seed: bool) -> DataFrame:
+    """(seed, node_kind, node_id): the different nodes of the lists ``near`` (seed, node_kind, ids) that the seed has not seen.
+
+    With many seeds the lists of a seed meet in its task: as two arrays of a kind, or, where they hold more than ``ARRAY``
+    nodes, node by node, as with few seeds.
+    """
+    told = near.withColumn("new", F.lit(True)).unionByName(seen.select("seed", "node_kind", F.array("node_id").alias("ids"), F.lit(False).alias("new")))
+    one_by_one = lambda rows: rows.withColumn("node_id", F.explode("ids")).groupBy("seed", *NODE).agg(F.min("new").alias("new")).where("new").drop("new")
+    if not by_seed:
+        return one_by_one(told)
+    told = told.repartition("seed").withColumn("n", F.sum(F.size("ids")).over(Window.partitionBy("seed")))
+    lists = lambda new: F.flatten(F.collect_list(F.when(F.col("new") == new, F.col("ids"))))
+    arrays = told.where(F.col("n") <= ARRAY).groupBy("seed", "node_kind").agg(F.array_except(lists(True), lists(False)).alias("ids"))
+    return arrays.select("seed", "node_kind", F.explode("ids").alias("node_id")).unionByName(one_by_one(told.where(F.col("n") > ARRAY)))
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, max_hops: int, limit: int, direction: str = "both", kind: str | None = None) -> DataFrame:
     """The nearest ``limit`` nodes of each seed, of one kind if asked; ties by kind and id."""
     near = frontier(edges, seeds, max_hops, direction)
@@ -85,7 +139,7 @@ def bounded_neighbourhood(edges: DataFrame, seeds: DataFrame, max_hops: int, lim
     """
     order = Window.partitionBy("from_kind", "from_id").orderBy("kind", "to_kind", "to_id")
     kept = settled(edges.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= each).drop("__k"))
-    every = frontier(kept, seeds, max_hops)
+    every = settled(frontier(kept, seeds, max_hops))
     w = Window.partitionBy("seed").orderBy("depth", *NODE)
     ranked = every.withColumn("__k", F.row_number().over(w))
     nodes = settled(ranked.where(F.col("__k") <= limit).drop("__k"))

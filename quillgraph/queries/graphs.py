@@ -60,12 +60,12 @@ def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, CALLS_IN, walk_sql(SYMBOL_SEEDS.format(100), "callers", 2)) + "SELECT seed, node_id, depth FROM near WHERE depth > 0")
 def callers_2hop(spark: SparkSession, d: str) -> DataFrame:
-    return graph.call_closure(v.edges(spark, d), seeds(v.symbols(spark, d), "symbol_id", "symbol"), 2, "incoming").select("seed", "node_id", "depth")
+    return graph.call_closure(v.edge_rows(spark, d), seeds(v.symbols(spark, d), "symbol_id", "symbol"), 2, "incoming").select("seed", "node_id", "depth")
 
 
 @query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, CALLS_OUT, walk_sql(SYMBOL_SEEDS.format(100), "callees", 3)) + "SELECT seed, node_id, depth FROM near WHERE depth > 0")
 def callees_3hop(spark: SparkSession, d: str) -> DataFrame:
-    return graph.call_closure(v.edges(spark, d), seeds(v.symbols(spark, d), "symbol_id", "symbol"), 3, "outgoing").select("seed", "node_id", "depth")
+    return graph.call_closure(v.edge_rows(spark, d), seeds(v.symbols(spark, d), "symbol_id", "symbol"), 3, "outgoing").select("seed", "node_id", "depth")
 
 
 @query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL, CALLS_IN, walk_sql(SYMBOL_SEEDS.format(100), "callers", 3)) + """
@@ -75,7 +75,7 @@ SELECT seed, node_id, CASE WHEN contains('api/' || rel_path, 'routes/') OR conta
 WHERE contains(rel_path, 'src1/') OR name IN ('red', 'green')""")
 def entry_points(spark: SparkSession, d: str) -> DataFrame:
     """Files of one source stand for routes, red symbols for commands, green ones for handlers."""
-    callers = graph.call_closure(v.edges(spark, d), seeds(v.symbols(spark, d), "symbol_id", "symbol"), 3, "incoming")
+    callers = graph.call_closure(v.edge_rows(spark, d), seeds(v.symbols(spark, d), "symbol_id", "symbol"), 3, "incoming")
     files = v.files(spark, d).withColumn("rel_path", F.replace("rel_path", F.lit("src1/"), F.lit("api/")))
     name = F.when(F.col("name") == "red", "cli_red").when(F.col("name") == "green", "green_handler").otherwise(F.col("name"))
     return graph.entry_points(callers, v.symbols(spark, d).withColumn("name", name), files).select("seed", "node_id", "entry_kind")
@@ -84,18 +84,18 @@ def entry_points(spark: SparkSession, d: str) -> DataFrame:
 @query(v.with_(v.EDGES_SQL, v.FILES_SQL, BOTH, walk_sql(FILE_SEEDS.format(100), "boths", 2)) + """
 SELECT seed, node_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node_kind, node_id) AS k FROM near) WHERE k <= 30""")
 def undirected_neighborhood(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbourhood(v.edges(spark, d), seeds(v.files(spark, d), "file_id", "file"), 2, 30).select("seed", "node_id", "depth")
+    return graph.neighbourhood(v.edge_rows(spark, d), seeds(v.files(spark, d), "file_id", "file"), 2, 30).select("seed", "node_id", "depth")
 
 
 @query(v.with_(v.EDGES_SQL, v.FILES_SQL, OUT, walk_sql(FILE_SEEDS.format(100), "outs", 3)) + "SELECT seed, node_id, depth FROM near")
 def outgoing_neighborhood(spark: SparkSession, d: str) -> DataFrame:
-    return graph.frontier(v.edges(spark, d), seeds(v.files(spark, d), "file_id", "file"), 3, "outgoing").select("seed", "node_id", "depth")
+    return graph.frontier(v.edge_rows(spark, d), seeds(v.files(spark, d), "file_id", "file"), 3, "outgoing").select("seed", "node_id", "depth")
 
 
 @query(v.with_(v.EDGES_SQL, v.FILES_SQL, BOTH, walk_sql(FILE_SEEDS.format(100), "boths", 3)) + """
 SELECT seed, node_id, CASE WHEN depth <= 1 THEN 'direct' ELSE 'transitive' END AS category, CASE WHEN depth <= 1 THEN 1 ELSE 2 END AS distance FROM near""")
 def impact(spark: SparkSession, d: str) -> DataFrame:
-    return graph.impact(v.edges(spark, d), seeds(v.files(spark, d), "file_id", "file"), 3).select("seed", "node_id", "category", "distance")
+    return graph.impact(v.edge_rows(spark, d), seeds(v.files(spark, d), "file_id", "file"), 3).select("seed", "node_id", "category", "distance")
 
 
 def paths_sql(pairs: str, hops: int, steps: str = "edges") -> str:
@@ -123,7 +123,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, paths_sql(PAIRS_SQL, 5)) + "SELECT pair, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, ' ') AS path FROM trail WHERE togo = 0")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shortest_paths(v.edges(spark, d), pairs(spark, d), 5).select("pair", "hops", F.array_join("path", " ").alias("path"))
+    return graph.shortest_paths(v.edge_rows(spark, d), pairs(spark, d), 5).select("pair", "hops", F.array_join("path", " ").alias("path"))
 
 
 HYDRATED_SQL = """
@@ -136,7 +136,7 @@ walkable AS (
 @query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL, HYDRATED_SQL, paths_sql(PAIRS_SQL, 4, "walkable")) + "SELECT pair, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, ' ') AS path FROM trail WHERE togo = 0")
 def hydrated_path(spark: SparkSession, d: str) -> DataFrame:
     """Over stored and synthetic edges."""
-    edges = graph.hydrated(v.edges(spark, d), v.symbols(spark, d), v.files(spark, d))
+    edges = graph.hydrated(v.edge_rows(spark, d), v.symbols(spark, d), v.files(spark, d))
     return graph.shortest_paths(edges, pairs(spark, d), 4).select("pair", "hops", F.array_join("path", " ").alias("path"))
 
 
@@ -163,7 +163,7 @@ def traces(spark: SparkSession, d: str) -> DataFrame:
     other = s.select(F.col("symbol_id").alias("o"), F.col("name").alias("n2"))
     asked = s.join(v.sizes(spark, d), F.lit(True)).where("symbol_id % 100 = 0").withColumn("o", (F.col("symbol_id") * 3 + 11) % F.col("parts")).join(other, "o")
     asked = asked.select(F.col("symbol_id").alias("pair"), F.col("name").alias("from_name"), F.when(F.col("symbol_id") % 500 == 0, "nothing").otherwise(F.col("n2")).alias("to_name"))
-    return graph.trace_paths(v.edges(spark, d), s, asked, 4)
+    return graph.trace_paths(v.edge_rows(spark, d), s, asked, 4)
 
 
 @query(v.with_(v.EDGES_SQL, v.SYMBOLS_SQL, v.FILES_SQL, TRACE_SQL) + """
