@@ -183,21 +183,21 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int) -> DataFra
     A path of length n has one node that is half of n from the one end and the rest from
     the other, where the two halves meet.
     """
-    steps = directed(edges, "outgoing").select("a_kind", "a_id", "b_kind", "b_id").distinct()
-    name = lambda k, i: F.concat_ws(":", k, i)
-    side = lambda end: pairs.select("pair", F.col(f"{end}_kind").alias("node_kind"), F.col(f"{end}_id").alias("node_id")).distinct().withColumn("path", F.array(name("node_kind", "node_id")))
+    steps = [adjacency(edges, "outgoing"), adjacency(edges, "incoming")]
+    name = F.concat_ws(":", *NODE)
+    side = lambda end: pairs.select("pair", F.col(f"{end}_kind").alias("node_kind"), F.col(f"{end}_id").alias("node_id")).distinct().withColumn("path", F.array(name))
     fronts = [settled(side("from")), settled(side("to"))]
+    by_owner = many(pairs.sparkSession, fronts[0].select("pair").distinct().count())
     seen, reached = list(fronts), None
     for hops in range(max_hops + 1):
         if hops:
             back = 1 - hops % 2  # odd lengths move the start's half, even ones the end's
-            here, there = ("b", "a") if back else ("a", "b")
             alive = fronts[back].join(reached.select("pair"), "pair", "left_anti")
-            met = alive.join(steps, (F.col("node_kind") == F.col(f"{here}_kind")) & (F.col("node_id") == F.col(f"{here}_id")))
-            node = name(f"{there}_kind", f"{there}_id")
-            longer = F.concat(F.array(node), "path") if back else F.concat("path", F.array(node))
-            new = met.select("pair", F.col(f"{there}_kind").alias("node_kind"), F.col(f"{there}_id").alias("node_id"), longer.alias("path"))
-            new = new.groupBy("pair", *NODE).agg(F.min("path").alias("path"))
+            if hops == max_hops:
+                return reached.unionByName(joined_halves(alive, fronts[1 - back], steps[back], back, by_owner).select("pair", F.lit(hops).alias("hops"), "path"))
+            near = opened(met_lists(alive, steps[back], "pair", "path"), "pair", by_owner)
+            longer = F.concat(F.array(name), "path") if back else F.concat("path", F.array(name))
+            new = near.groupBy("pair", *NODE).agg(F.min("path").alias("path")).withColumn("path", longer)
             fronts[back] = settled(new.join(seen[back].select("pair", *NODE), ["pair", *NODE], "left_anti"))
             if fronts[back].isEmpty():
                 break
@@ -209,6 +209,23 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int) -> DataFra
     return reached
 
 
+def joined_halves(front: DataFrame, other: DataFrame, steps: DataFrame, back: int, by_owner: bool) -> DataFrame:
+    """(pair, path): the first of the paths over one more step of ``front``, the end's half where ``back``, that meet the ``other`` half.
+
+    Paths are told by their rank among those of a pair, so the many nodes of this step carry a number each and no path; only
+    those met get their paths.
+    """
+    w = Window.partitionBy("pair").orderBy("path")
+    ranked = settled(front.withColumn("rank", F.row_number().over(w)))
+    there = other.select("pair", F.lit(None).cast("int").alias("rank"), "node_kind", F.array("node_id").alias("ids"), F.lit(1).alias("there"))
+    near = met_lists(ranked, steps, "pair", "rank").withColumn("there", F.lit(None).cast("int"))
+    both = opened(near.unionByName(there), "pair", by_owner).groupBy("pair", *NODE).agg(F.min("rank").alias("rank"), F.max("there").alias("there"))
+    met = settled(both.where("rank is not null and there is not null and node_id is not null").drop("there"))
+    met = met.join(other.withColumnRenamed("path", "rest"), ["pair", *NODE]).join(ranked.select("pair", "rank", "path"), ["pair", "rank"])
+    whole = F.concat("rest", "path") if back else F.concat("path", "rest")
+    return settled(met.groupBy("pair").agg(F.min(whole).alias("path")))
+
+
 def trace_paths(edges: DataFrame, symbols: DataFrame, asked: DataFrame, max_hops: int) -> DataFrame:
     """(pair, from_id, to_id, hops, path) of (pair, from_name, to_name): the first symbol of either name and a shortest path between them, nulls where there is none."""
     first = symbols.groupBy("name").agg(F.min("symbol_id").alias("id"))

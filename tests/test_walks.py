@@ -52,6 +52,31 @@ def test_a_walk_reads_its_edges_once(spark, monkeypatch, counted, steps, by_seed
     assert read.value == n
 
 
+@pytest.mark.parametrize("by_pair", [True, False])
+def test_paths_read_their_edges_once_a_direction(spark, monkeypatch, counted, steps, by_pair):
+    edges, read, n = counted
+    monkeypatch.setattr(graph, "many", lambda spark, owners: by_pair, raising=False)
+    after = {}
+    for a, b in steps:
+        after.setdefault(a, []).append(b)
+
+    def first(start, end, most):
+        """The first by name of the shortest paths."""
+        paths = [[start]]
+        for _ in range(most + 1):
+            if found := [p for p in paths if p[-1] == end]:
+                return min([f"symbol:{x}" for x in p] for p in found)
+            paths = [[*p, b] for p in paths for b in after.get(p[-1], [])]
+        return None
+
+    for most in (3, 4):
+        asked = [(k, "symbol", k, "symbol", (k * 7 + 3) % 60) for k in range(60)]
+        read.value = 0
+        out = graph.shortest_paths(edges, spark.createDataFrame(asked, "pair bigint, from_kind string, from_id bigint, to_kind string, to_id bigint"), most).collect()
+        assert {r.pair: list(r.path) for r in out} == {k: p for k, *_, to in asked if (p := first(k, to, most))}
+        assert all(r.hops == len(r.path) - 1 for r in out) and read.value == 2 * n
+
+
 def test_null_ids_are_reached_once(spark):
     edges = spark.createDataFrame([("calls", "symbol", 1, "symbol", 2, "resolved", 1), ("calls", "symbol", 1, "symbol", None, "resolved", 1), ("calls", "symbol", 2, "symbol", None, "resolved", 1)], schema.EDGES)
     seeds = spark.createDataFrame([(1, "symbol", 1)], "seed bigint, node_kind string, node_id bigint")
