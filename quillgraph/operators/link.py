@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.storage import settled
+from quillgraph.storage import settled, written
 
 # What a path may end with, in order of preference.
 ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs"]
@@ -185,11 +185,16 @@ def link_uses(uses: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataF
     )
 
 
+#: What a use asks; all uses of a file that ask the same have one answer.
+ASKED = ["file_id", "name", "qualified"]
+
+
 def with_origins(imports: DataFrame, calls: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Imports, and calls and references as one table with their kind, each row with the name of its origin."""
-    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("file_id", "line", "specifier", "local_name", "imported_name", "is_reexport")]
+    """Imports, and calls and references as one table with their kind, each row with the name of its origin: an import, or what uses of a file ask."""
+    text = lambda *columns: [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    told = text("file_id", "line", "specifier", "local_name", "imported_name", "is_reexport")
     uses = calls.withColumn("kind", F.lit("calls")).unionByName(references.withColumn("kind", F.lit("references")))
-    return imports.withColumn("origin", F.concat_ws("\n", *told)), uses.withColumn("origin", F.concat_ws(":", "kind", "use_id"))
+    return imports.withColumn("origin", F.concat_ws("\n", *told)), uses.withColumn("origin", F.concat_ws("\n", F.lit("use"), *text(*ASKED)))
 
 
 def linked(files: DataFrame, symbols: DataFrame, imports: DataFrame, uses: DataFrame, aliases: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
@@ -213,18 +218,19 @@ def link_workspace(files: DataFrame, symbols: DataFrame, imports: DataFrame, cal
 
 
 def waiting(files: DataFrame, imports: DataFrame, uses: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(key, origin): the paths, names and bindings that the edge of an import or use depends on, there or not.
+    """(key, origin): the paths, names and bindings that the edges of an import or of uses depend on, there or not.
 
     Imports wait for every path that they could reach and for the name that they import; uses for their name, for the names
-    that bindings of their file make of it, and for these bindings.
+    that bindings of their file make of it, and for these bindings, once for all that ask the same.
     """
     asked = wanted_paths(imports.join(files.select("file_id", "rel_path"), "file_id"), aliases).where("wanted is not null")
     paths = asked.select(F.explode(F.transform(F.array(*map(F.lit, ENDINGS)), lambda e: F.concat(F.lit("path:"), "wanted", e))).alias("key"), "origin")
     name = lambda c: F.concat(F.lit("name:"), c)
     out = paths.unionByName(imports.where("imported_name is not null").select(name("imported_name").alias("key"), "origin"))
+    uses = uses.select("origin", *ASKED).distinct()
     head, second = F.split_part("qualified", F.lit("."), F.lit(1)), F.split_part("qualified", F.lit("."), F.lit(2))
     parts = F.array_distinct(F.array_compact(F.array("name", F.when(F.col("qualified").contains("."), head))))
-    own = uses.select("origin", "file_id", F.explode(F.array_compact(F.array(F.col("name"), F.when(F.col("qualified").contains("."), second)))).alias("n")).select(name("n").alias("key"), "origin")
+    own = uses.select("origin", F.explode(F.array_compact(F.array(F.col("name"), F.when(F.col("qualified").contains("."), second)))).alias("n")).select(name("n").alias("key"), "origin")
     bound = uses.select("origin", "file_id", F.explode(parts).alias("local_name"))
     bind = bound.select(F.concat_ws(":", F.lit("bind"), "file_id", "local_name").alias("key"), "origin")
     known = imports.where("local_name is not null").select("file_id", "local_name", F.explode(F.array(F.coalesce("imported_name", F.lit("default")), F.lit("default"))).alias("n")).distinct()
@@ -244,14 +250,15 @@ def relinked(edges: DataFrame, before: dict[str, DataFrame], now: dict[str, Data
     moved = of(path(before)).select("key").unionByName(of(path(now)).select("key"))
     names = of(before["symbols"]).select("name").unionByName(of(now["symbols"]).select("name")).select(F.concat(F.lit("name:"), "name").alias("key"))
     touched = settled(moved.unionByName(names).distinct())
-    waits = settled(waiting(now["files"], now["imports"], now["uses"], aliases))
-    hit = waits.join(touched, "key", "left_semi").select("origin").distinct()
-    turned = settled(now["imports"].join(hit.unionByName(of(now["imports"]).select("origin")).distinct(), "origin", "left_semi"))
+    waits = written(waiting(now["files"], now["imports"], now["uses"], aliases), "waits")
+    hit = waits.join(touched, "key", "left_semi").select("origin")
+    turned = written(now["imports"].join(hit.unionByName(of(now["imports"]).select("origin")).distinct(), "origin", "left_semi"), "imports")
     bound = turned.unionByName(of(before["imports"])).where("local_name is not null").select(F.concat_ws(":", F.lit("bind"), "file_id", "local_name").alias("key")).distinct()
-    hit = waits.join(touched.unionByName(bound).distinct(), "key", "left_semi").select("origin").distinct()
-    again = settled(now["uses"].join(hit.unionByName(of(now["uses"]).select("origin")).distinct(), "origin", "left_semi"))
-    gone = of(before["imports"]).select("origin").unionByName(of(before["uses"]).select("origin"))
-    left = gone.unionByName(turned.select("origin")).unionByName(again.select("origin")).distinct()
+    hit = waits.join(touched.unionByName(bound).distinct(), "key", "left_semi").select("origin")
+    asked = settled(hit.unionByName(of(now["uses"].select("origin", "file_id").distinct()).select("origin")).distinct())
+    again = written(now["uses"].join(asked, "origin", "left_semi"), "uses")
+    gone = of(before["imports"]).select("origin").unionByName(of(before["uses"].select("origin", "file_id").distinct()).select("origin"))
+    left = gone.unionByName(turned.select("origin")).unionByName(asked)
     kept = edges.join(left, "origin", "left_anti")
     # names of a file are read through all of its imports
     homes = turned.select("file_id").unionByName(again.select("file_id")).distinct()
